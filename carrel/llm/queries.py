@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from carrel.llm.canonical import p2_found, p2_unmatched
 from carrel.llm.crosssplit import p1_found, p1_overlap_by_source
 
 QUERIES = {
     "p1_found": p1_found,
     "p1_overlap_by_source": p1_overlap_by_source,
+    "p2_found": p2_found,
+    "p2_unmatched": p2_unmatched,
 }
 ORACLES: dict[str, str] = {}
