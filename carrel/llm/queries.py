@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from carrel.llm.canonical import p2_found, p2_unmatched
 from carrel.llm.crosssplit import p1_found, p1_overlap_by_source
+from carrel.llm.leakage import p8_found, p8_leaked_items
 from carrel.llm.splitting import p6_evidence, p6_found, p6_pieces
 
 QUERIES = {
@@ -11,6 +12,8 @@ QUERIES = {
     "p1_overlap_by_source": p1_overlap_by_source,
     "p2_found": p2_found,
     "p2_unmatched": p2_unmatched,
+    "p8_found": p8_found,
+    "p8_leaked_items": p8_leaked_items,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
     "p6_evidence": p6_evidence,
