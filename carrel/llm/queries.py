@@ -6,6 +6,7 @@ from carrel.llm.canonical import p2_found, p2_unmatched
 from carrel.llm.crosssplit import p1_found, p1_overlap_by_source
 from carrel.llm.leakage import p8_found, p8_leaked_items
 from carrel.llm.splitting import p6_evidence, p6_found, p6_pieces
+from carrel.llm.textkind import p9_found, p9_statistics
 
 QUERIES = {
     "p1_found": p1_found,
@@ -14,6 +15,8 @@ QUERIES = {
     "p2_unmatched": p2_unmatched,
     "p8_found": p8_found,
     "p8_leaked_items": p8_leaked_items,
+    "p9_found": p9_found,
+    "p9_statistics": p9_statistics,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
     "p6_evidence": p6_evidence,
