@@ -5,6 +5,7 @@ from __future__ import annotations
 from carrel.llm.canonical import p2_found, p2_unmatched
 from carrel.llm.crosssplit import p1_found, p1_overlap_by_source
 from carrel.llm.leakage import p8_found, p8_leaked_items
+from carrel.llm.packing import p7_containers, p7_fill
 from carrel.llm.splitting import p6_evidence, p6_found, p6_pieces
 from carrel.llm.textkind import p9_found, p9_statistics
 
@@ -17,6 +18,8 @@ QUERIES = {
     "p8_leaked_items": p8_leaked_items,
     "p9_found": p9_found,
     "p9_statistics": p9_statistics,
+    "p7_containers": p7_containers,
+    "p7_fill": p7_fill,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
     "p6_evidence": p6_evidence,
