@@ -6,6 +6,7 @@ from carrel.llm.canonical import p2_found, p2_unmatched
 from carrel.llm.crosssplit import p1_found, p1_overlap_by_source
 from carrel.llm.leakage import p8_found, p8_leaked_items
 from carrel.llm.packing import p7_containers, p7_fill
+from carrel.llm.pii import p3_found, p3_redacted
 from carrel.llm.scanrepair import p4_found, p4_paragraphs
 from carrel.llm.splitting import p6_evidence, p6_found, p6_pieces
 from carrel.llm.textkind import p9_found, p9_statistics
@@ -23,6 +24,8 @@ QUERIES = {
     "p7_fill": p7_fill,
     "p4_found": p4_found,
     "p4_paragraphs": p4_paragraphs,
+    "p3_found": p3_found,
+    "p3_redacted": p3_redacted,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
     "p6_evidence": p6_evidence,
