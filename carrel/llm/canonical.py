@@ -239,7 +239,7 @@ def match_values(values: DataFrame, ontology: DataFrame, block_rows: int = 20_00
     least = F.array_min(F.transform("all", lambda x: F.coalesce(x["distance"], F.lit(99))))
     codes = F.array_distinct(F.transform(F.filter("all", lambda x: F.coalesce(x["distance"], F.lit(99)) == least), lambda x: x["code"]))
     return best.select(
-        "vocabulary", "value", F.when(F.size(codes) == 1, codes[0]).otherwise("NONE").alias("code"), F.when(least < 99, least).alias("distance")
+        "vocabulary", "value", F.when(F.size(codes) == 1, F.get(codes, F.lit(0))).otherwise("NONE").alias("code"), F.when(least < 99, least).alias("distance")
     )
 
 
