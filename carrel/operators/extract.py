@@ -222,7 +222,7 @@ def enum_match(value: Column, options: list[str]) -> Column:
     equal = F.filter(opts, lambda o: F.lower(o) == low)
     inside = F.filter(opts, lambda o: F.contains(low, F.lower(o)) | F.contains(F.lower(o), low))
     shared = F.array_max(F.transform(opts, lambda o, i: F.struct(F.size(F.array_intersect(tokens(o), tokens(value))).alias("n"), (-i).alias("neg"), o.alias("o"))))
-    return F.when(F.size(equal) > 0, equal[0]).when(F.size(inside) > 0, inside[0]).when(shared["n"] > 0, shared["o"]).otherwise(value)
+    return F.when(F.size(equal) > 0, F.get(equal, F.lit(0))).when(F.size(inside) > 0, F.get(inside, F.lit(0))).when(shared["n"] > 0, shared["o"]).otherwise(value)
 
 
 def trinary(value: Column, allow_unknown: bool = True) -> Column:
