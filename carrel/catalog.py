@@ -1,8 +1,718 @@
-"""All core queries by name, with their SQL oracles."""
+"""All core queries by name, over the supplied tables, with the SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from carrel.functions import quality as Q
+from carrel.functions import text as X
+from carrel.operators import extract as E
+from carrel.operators import phi as P
+from carrel.operators import provenance as G
+from carrel.operators import schemas as SC
+from carrel.operators import search as S
+from carrel.operators import sections as SE
+from carrel.operators import tables as T
+from carrel.operators import verify as V
 from carrel.operators.units import p5_found
+from carrel.plans import planner as PL
+from carrel.plans.guard import guarded_sql
+from carrel.session import table
+from carrel.sources import readers as R
+from carrel.sources import writers as W
+from carrel.streaming import batch as B
 
-QUERIES = {"p5_found": p5_found}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {"p5_found": p5_found}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query and its SQL."""
+
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def r6(df: DataFrame, *columns: str) -> DataFrame:
+    """Doubles rounded, for sums whose last digits depend on the order of the rows."""
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+# ---- statistics -----------------------------------------------------------------------------------------------------
+_SQL_STAT = {
+    "mean": "avg({c})", "median": "median({c})", "min": "min({c})", "max": "max({c})", "sum": "sum({c})", "std": "stddev_samp({c})", "count": "count({c})", "nunique": "count(DISTINCT {c})", "missing_count": "count(*) - count({c})",
+}
+for _op, _expr in _SQL_STAT.items():
+    _e = _expr.format(c="l_extendedprice")
+    query(f"stat_{_op}", f"SELECT round(CAST({_e} AS DOUBLE), 4) AS value, count(*) AS row_count, count(l_extendedprice) AS non_null FROM lineitem")(
+        lambda spark, d, op=_op: T.table_stat(table(spark, d, "lineitem"), "l_extendedprice", op).withColumn("value", F.round(F.col("value").cast("double"), 4))
+    )
+    query(f"stat_{_op}_grouped", f"SELECT l_returnflag AS grp, round(CAST({_expr.format(c='l_quantity')} AS DOUBLE), 4) AS value FROM lineitem GROUP BY l_returnflag ORDER BY value DESC NULLS LAST, grp NULLS LAST LIMIT 10")(
+        lambda spark, d, op=_op: T.table_stat(table(spark, d, "lineitem"), "l_quantity", op, group_by="l_returnflag").withColumn("value", F.round(F.col("value").cast("double"), 4))
+    )
+
+
+@query("stat_where", "SELECT round(avg(l_quantity), 4) AS value, count(*) AS row_count, count(l_quantity) AS non_null FROM lineitem WHERE l_discount > 0.05 AND l_returnflag = 'R'")
+def stat_where(spark, d):
+    return T.table_stat(table(spark, d, "lineitem"), "L Quantity", "avg", where="l_discount > 0.05 AND l_returnflag = 'R'").withColumn("value", F.round("value", 4))
+
+
+@query("row_count", "SELECT count(*) AS value FROM orders")
+def row_count(spark, d):
+    return PL.compile_plan(PL.Plan("count_rows", "orders"), table(spark, d, "orders"))
+
+
+@query("distinct_values", "SELECT o_orderpriority AS value, count(*) AS n FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY 1 ORDER BY n DESC, value LIMIT 50")
+def distinct_values(spark, d):
+    return T.distinct_values(table(spark, d, "orders"), "o_orderpriority")
+
+
+@query("distinct_values_where", "SELECT event_type AS value, count(*) AS n FROM events WHERE event_type IS NOT NULL AND (value > 10 OR user_id < 5) GROUP BY 1 ORDER BY n DESC, value LIMIT 50")
+def distinct_values_where(spark, d):
+    return T.distinct_values(table(spark, d, "events"), "event_type", where="value > 10 OR user_id < 5")
+
+
+_SCHEMA_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", '{t}' AS type, count({c}) AS non_null, count(*) - count({c}) AS missing, round(100.0 * (count(*) - count({c})) / count(*), 2) AS missing_pct, count(DISTINCT {c}) AS uniques FROM customer"
+    for c, t in (("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"), ("c_acctbal", "double"), ("c_mktsegment", "string"))
+)
+
+
+@query("table_schema", _SCHEMA_SQL)
+def table_schema(spark, d):
+    return T.table_schema(table(spark, d, "customer"))
+
+
+_PROFILE_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, CAST(min({c}) AS DOUBLE) AS min, round(quantile_cont({c}, 0.25), 4) AS p25, round(CAST(quantile_cont({c}, 0.5) AS DOUBLE), 4) AS median, round(quantile_cont({c}, 0.75), 4) AS p75, CAST(max({c}) AS DOUBLE) AS max FROM part"
+    for c in ("p_partkey", "p_size", "p_retailprice")
+)
+
+
+@query("table_profile_numeric", _PROFILE_SQL)
+def table_profile_numeric(spark, d):
+    out = T.numeric_profile(table(spark, d, "part"))
+    return out.withColumns({c: F.round(c, 4) for c in ("mean", "std", "p25", "median", "p75")})
+
+
+@query("table_profile_topk", "SELECT p_brand AS value, count(*) AS n FROM part WHERE p_brand IS NOT NULL GROUP BY 1 ORDER BY n DESC, value LIMIT 5")
+def table_profile_topk(spark, d):
+    return T.top_values(table(spark, d, "part"), "p_brand")
+
+
+@query("id_candidates", """
+SELECT c AS "column", CAST(round(100.0 * u / nn) AS INT) AS score, nn AS non_null, u AS uniques, round(u / nn, 6) AS unique_ratio, role FROM (
+  SELECT 'c_custkey' AS c, count(c_custkey) AS nn, count(DISTINCT c_custkey) AS u, count(*) AS n, 'numeric' AS role FROM customer
+  UNION ALL SELECT 'c_name', count(c_name), count(DISTINCT c_name), count(*), 'categorical' FROM customer
+  UNION ALL SELECT 'c_nationkey', count(c_nationkey), count(DISTINCT c_nationkey), count(*), 'numeric' FROM customer
+  UNION ALL SELECT 'c_acctbal', count(c_acctbal), count(DISTINCT c_acctbal), count(*), 'numeric' FROM customer
+  UNION ALL SELECT 'c_mktsegment', count(c_mktsegment), count(DISTINCT c_mktsegment), count(*), 'categorical' FROM customer) t
+WHERE nn >= greatest(3, floor(n * 0.5)) AND u / nn >= 0.95""")
+def id_candidates(spark, d):
+    return T.id_candidates(table(spark, d, "customer"))
+
+
+@query("column_roles")
+def column_roles(spark, d):
+    return spark.createDataFrame(sorted(T.column_roles(table(spark, d, "documents")).items()), "column string, role string")
+
+
+@query("sample_head", "SELECT n_nationkey, n_name FROM nation ORDER BY n_nationkey LIMIT 5")
+def sample_head(spark, d):
+    return T.sample_rows(table(spark, d, "nation"), "head", 5, ["N Nationkey", "n_name"])
+
+
+@query("sample_tail", "SELECT * FROM nation ORDER BY n_nationkey DESC LIMIT 5")
+def sample_tail(spark, d):
+    return T.sample_rows(table(spark, d, "nation"), "tail", 5)
+
+
+@query("sample_random")
+def sample_random(spark, d):
+    return T.sample_rows(table(spark, d, "orders"), "random", 20)
+
+
+@query("project_columns", "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_totalprice > 400000")
+def project_columns(spark, d):
+    o = T.filtered(table(spark, d, "orders"), "o_totalprice > 400000")
+    return o.select(*[T.quoted(T.resolve_column(o, c)) for c in ("O_ORDERKEY", "o orderpriority")])
+
+
+# ---- read-only SQL --------------------------------------------------------------------------------------------------
+_PASS = {
+    "window": "SELECT o_orderkey, o_custkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rnk FROM orders WHERE o_custkey < 20 ORDER BY o_orderkey",
+    "cte": "WITH t AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) SELECT n, count(*) AS customers FROM t GROUP BY n ORDER BY n",
+    "setop": "SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey AS k FROM supplier WHERE s_acctbal > 5000",
+    "join": "SELECT n_name, count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name ORDER BY n_name",
+    "rollup": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)",
+    "cube": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
+    "semi": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) ORDER BY c_custkey",
+}
+for _name, _sql in _PASS.items():
+    query(f"sql_passthrough_{_name}", f"SELECT * FROM ({_sql}) LIMIT 500" if _name in ("window", "semi") else _sql)(
+        lambda spark, d, sql=_sql: guarded_sql(spark, sql, {t: table(spark, d, t) for t in ("orders", "customer", "nation", "supplier")}, 500)
+    )
+
+# ---- row search -----------------------------------------------------------------------------------------------------
+
+
+@query("search_tables_rows", """
+SELECT 'customer' AS source, c_custkey AS row_key, CAST(1 + (CASE WHEN contains(lower(c_mktsegment), 'building') THEN 0 ELSE 0 END) AS INT) AS score,
+  'row ' || c_custkey || ': c_mktsegment=' || c_mktsegment AS snippet, 'table_row' AS evidence_type
+FROM customer WHERE contains(lower(c_mktsegment), 'building') ORDER BY c_custkey LIMIT 5""")
+def search_tables_rows(spark, d):
+    return T.search_rows(table(spark, d, "customer"), "building", "customer", "c_custkey")
+
+
+# ---- text -----------------------------------------------------------------------------------------------------------
+_STEM = "CASE WHEN t LIKE '%ies' AND length(t) > 4 THEN regexp_replace(t, 'ies$', 'y') WHEN t LIKE '%s' AND length(t) > 3 THEN regexp_replace(t, 's$', '') ELSE t END"
+
+
+@query("tokens_freq", f"SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, {_STEM} AS term FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM documents)) GROUP BY term")
+def tokens_freq(spark, d):
+    return S.term_frequencies(table(spark, d, "documents"), "text")
+
+
+def _hits_sql(wanted: list[str], text: str) -> str:
+    inside = ", ".join(f"'{t}'" for t in wanted)
+    return f"len(list_filter(list_transform(regexp_extract_all(lower({text}), '[a-z0-9]+'), lambda t: {_STEM}), lambda t: t IN ({inside})))"
+
+
+_LESION = X.question_terms("lesion in the liver")
+
+
+@query("doc_search_topk", f"""
+WITH s AS (SELECT doc_id AS source, text, {_hits_sql(_LESION, 'text')} AS score FROM documents),
+b AS (SELECT * FROM s WHERE score > 0 ORDER BY score DESC, source LIMIT 5),
+l AS (SELECT source, score, unnest(string_split_regex(text, '\\r\\n|\\n|\\r|\\f')) AS line, generate_subscripts(string_split_regex(text, '\\r\\n|\\n|\\r|\\f'), 1) AS pos FROM b)
+SELECT source, CAST(score AS INT) AS score, snippet, 'text' AS evidence_type FROM (
+  SELECT source, score, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS snippet, row_number() OVER (PARTITION BY source ORDER BY {_hits_sql(_LESION, "line")} DESC, pos) AS n FROM l) WHERE n = 1""")
+def doc_search_topk(spark, d):
+    return S.search_documents(table(spark, d, "documents"), "doc_id", "text", "lesion in the liver")
+
+
+_CHUNK_SQL = "SELECT doc_id, CAST(i AS INT) AS chunk_id, CAST(i * 1580 AS INT) AS \"start\", CAST(least(i * 1580 + 1800, length(text)) AS INT) AS \"end\", substring(text, CAST(i * 1580 + 1 AS BIGINT), 1800) AS text FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(greatest(length(text) - 1800, 0) / 1580.0) AS BIGINT) + 1)) AS i FROM documents WHERE length(text) > 0)"
+
+
+@query("doc_chunks", f'SELECT doc_id, chunk_id, "start", "end", CAST(length(text) AS INT) AS char_count, md5(text) AS digest FROM ({_CHUNK_SQL})')
+def doc_chunks(spark, d):
+    return S.document_chunks(table(spark, d, "documents"), "doc_id", "text").withColumn("digest", F.md5("text")).drop("text")
+
+
+@query("chunk_search_topk", f"""SELECT doc_id AS source, chunk_id, "start", "end", CAST(score AS INT) AS score, 'text_chunk' AS evidence_type FROM (SELECT *, {_hits_sql(_LESION, 'text')} AS score FROM ({_CHUNK_SQL})) WHERE score > 0 ORDER BY score DESC, doc_id, chunk_id LIMIT 8""")
+def chunk_search_topk(spark, d):
+    return S.search_chunks(table(spark, d, "documents"), "doc_id", "text", "lesion in the liver").drop("snippet")
+
+
+@query("chunk_snippets")
+def chunk_snippets(spark, d):
+    return S.search_chunks(table(spark, d, "documents"), "doc_id", "text", "lesion in the liver")
+
+
+def _count_sql(t: str) -> str:
+    return f"(length(low) - length(replace(low, '{t}', ''))) / {len(t)}"
+
+
+@query("chunk_audit_search", f"""SELECT doc_id AS source, chunk_id, CAST(8 * CAST(contains(low, 'chest pain') AS INT) + 2 * (CAST(contains(low, 'chest') AS INT) + CAST(contains(low, 'pain') AS INT)) + {_count_sql('chest')} + {_count_sql('pain')} AS INT) AS score
+FROM (SELECT doc_id, chunk_id, lower(text) AS low FROM ({_CHUNK_SQL})) WHERE contains(low, 'chest') OR contains(low, 'pain') ORDER BY score DESC, source, chunk_id LIMIT 12""")
+def chunk_audit_search(spark, d):
+    return S.audit_chunks(table(spark, d, "documents"), "doc_id", "text", "chest pain")
+
+
+@query("chunk_phrase_search", """
+WITH s AS (SELECT doc_id, string_split(lower(text), 'chest pain') AS p FROM documents WHERE contains(lower(text), 'chest pain')),
+u AS (SELECT doc_id, unnest(range(1, len(p))) AS i, p FROM s)
+SELECT doc_id AS source, CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + (i - 1) * 10 AS INT) AS "start" FROM u WHERE i <= 10""")
+def chunk_phrase_search(spark, d):
+    return S.phrase_positions(table(spark, d, "documents"), "doc_id", "text", "chest pain").drop("snippet")
+
+
+@query("number_inventory", r"""
+SELECT source, CAST(regexp_extract(h, '^(\d+(\.\d+)?)', 1) AS DOUBLE) AS value, regexp_extract(h, '(mm|cm|mg|ml|kg|g|%|bpm|mmHg)$', 1) AS unit, count(*) AS n
+FROM (SELECT doc_id AS source, unnest(regexp_extract_all(text, '(\d+(?:\.\d+)?)\s*(mm|cm|mg|ml|kg|g|%|bpm|mmHg)\b')) AS h FROM documents) GROUP BY 1, 2, 3""")
+def number_inventory(spark, d):
+    return S.number_inventory(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query("merge_hits_dedupe")
+def merge_hits_dedupe(spark, d):
+    docs = table(spark, d, "documents")
+    return S.merge_hits([S.search_chunks(docs, "doc_id", "text", "liver lesion"), S.search_documents(docs, "doc_id", "text", "liver lesion")])
+
+
+@query("citations_ranked")
+def citations_ranked(spark, d):
+    return S.diverse_citations(S.ranked_citations(merge_hits_dedupe(spark, d), "liver lesion", 20), 8)
+
+
+@query("citation_confidence")
+def citation_confidence(spark, d):
+    return S.citation_confidence(citations_ranked(spark, d), "liver lesion size", "the liver lesion measures 24 mm")
+
+
+@query("literal_support", "SELECT (CAST(max(CAST(contains(lower(text), 'liver') AS INT)) AS DOUBLE) + max(CAST(contains(lower(text), 'unicorn') AS INT))) / 2 AS support FROM documents")
+def literal_support(spark, d):
+    return S.literal_support(table(spark, d, "documents").select(F.col("text").alias("snippet")), ["liver", "Unicorn"])
+
+
+@query("measure_delta", r"""
+WITH h AS (SELECT doc_id, CAST(created_at AT TIME ZONE 'UTC' AS DATE) AS day, unnest(regexp_extract_all(text, '(\d+(?:\.\d+)?)\s*(mm|cm)\b')) AS h FROM documents),
+m AS (SELECT DISTINCT doc_id, day, round(CAST(regexp_extract(h, '^(\d+(\.\d+)?)', 1) AS DOUBLE) * CASE WHEN h LIKE '%cm' THEN 10 ELSE 1 END, 4) AS mm FROM h)
+SELECT CAST(min(day) AS VARCHAR) AS first_day, CAST(max(day) AS VARCHAR) AS last_day, (SELECT max(mm) FROM m WHERE day = (SELECT min(day) FROM m)) AS first_mm, (SELECT max(mm) FROM m WHERE day = (SELECT max(day) FROM m)) AS last_mm,
+round((SELECT max(mm) FROM m WHERE day = (SELECT max(day) FROM m)) - (SELECT max(mm) FROM m WHERE day = (SELECT min(day) FROM m)), 4) AS delta FROM m""")
+def measure_delta(spark, d):
+    out = S.measure_delta(S.dated_measures(table(spark, d, "documents"), "doc_id", "text", "created_at"))
+    return out.withColumns({c: F.col(c).cast("string") for c in ("first_day", "last_day")})
+
+
+# ---- de-identification ----------------------------------------------------------------------------------------------
+def _notes(spark, d):
+    return table(spark, d, "extract_train").select("record_id", "document_text").distinct()
+
+
+# RE2 without (?U): the notes hold no digits or word signs outside ASCII beside letters in names, which no pattern touches.
+_RE2 = [(k, p.replace("(?U)", "").replace("(?iuU)", "(?i)").replace("(?iU)", "(?i)")) for k, p in P.PATTERNS]
+_LEAK_SQL = " OR ".join(f"regexp_matches(document_text, '{p}')" for _, p in _RE2)
+_SCRUB_SQL = "document_text"
+for _k, _p in _RE2:
+    _SCRUB_SQL = f"regexp_replace({_SCRUB_SQL}, '{_p}', '[REDACTED]', 'g')"
+
+
+@query("phi_leak", f"SELECT record_id, md5(document_text) AS digest, CASE WHEN {_LEAK_SQL} THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS leak FROM (SELECT DISTINCT record_id, document_text FROM extract_train)")
+def phi_leak(spark, d):
+    return _notes(spark, d).select("record_id", F.md5("document_text").alias("digest"), P.leak_score(F.col("document_text")).alias("leak"))
+
+
+@query("phi_scrubbed", f"SELECT record_id, md5({_SCRUB_SQL}) AS digest FROM (SELECT DISTINCT record_id, document_text FROM extract_train)")
+def phi_scrubbed(spark, d):
+    return _notes(spark, d).select("record_id", F.md5(P.scrub(F.col("document_text"))).alias("digest"))
+
+
+_SPAN_PARTS = " UNION ALL ".join(f"SELECT record_id, '{k}' AS kind, len(regexp_extract_all(document_text, '{p}')) AS n FROM (SELECT DISTINCT record_id, document_text FROM extract_train)" for k, p in _RE2)
+
+
+@query("phi_matches_by_type", f"SELECT kind AS phi_type, CAST(sum(n) AS BIGINT) AS n FROM ({_SPAN_PARTS}) GROUP BY kind HAVING sum(n) > 0")
+def phi_matches_by_type(spark, d):
+    rows = _notes(spark, d).select(F.explode(P.all_spans(F.col("document_text"))).alias("s"))
+    return rows.groupBy(F.col("s.kind").alias("phi_type")).agg(F.count("*").alias("n"))
+
+
+@query("phi_spans")
+def phi_spans(spark, d):
+    return P.phi_spans(_notes(spark, d), "record_id", "document_text")
+
+
+@query("phi_redacted")
+def phi_redacted(spark, d):
+    n = _notes(spark, d)
+    return n.select("record_id", P.redact_spans(F.col("document_text"), P.merge_spans(P.all_spans(F.col("document_text")))).alias("text"))
+
+
+@query("phi_summary")
+def phi_summary(spark, d):
+    return P.phi_summary(phi_spans(spark, d), "record_id")
+
+
+@query("phi_context")
+def phi_context(spark, d):
+    notes = _notes(spark, d).groupBy("record_id").agg(F.min("document_text").alias("document_text"))
+    return P.with_context(P.phi_spans(notes, "record_id", "document_text"), notes, "record_id", "document_text")
+
+
+@query("phi_entities_redacted")
+def phi_entities_redacted(spark, d):
+    """Values of phi_entity replaced in the notes they belong to."""
+    values = table(spark, d, "phi_entity").where("record_id IS NOT NULL AND trim(value_text) <> ''").groupBy("record_id").agg(F.collect_set("value_text").alias("v"))
+    return _notes(spark, d).join(values, "record_id").select("record_id", P.redact_values(F.col("document_text"), F.col("v")).alias("text"))
+
+
+@query("phi_entity_kinds", "SELECT kind, count(*) AS n FROM (SELECT CASE " + " ".join(f"WHEN regexp_matches(value_text, '{p}') THEN '{k}'" for k, p in _RE2) + " ELSE 'OTHER' END AS kind FROM phi_entity WHERE value_text IS NOT NULL) GROUP BY kind")
+def phi_entity_kinds(spark, d):
+    rows = table(spark, d, "phi_entity").where("value_text IS NOT NULL")
+    return rows.groupBy(P.span_kind(F.col("value_text")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+# ---- sections, extraction -------------------------------------------------------------------------------------------
+def _scans(spark, d):
+    return table(spark, d, "loaded_document").select("loaded_id", "text").distinct()
+
+
+@query("section_split")
+def section_split(spark, d):
+    return SE.sections(_scans(spark, d), "loaded_id", "text")
+
+
+@query("label_blocks")
+def label_blocks(spark, d):
+    return SE.labelled_blocks(_notes(spark, d), "record_id", "document_text")
+
+
+_WORDS = "len(list_filter(string_split_regex({t}, '\\s+'), lambda w: w <> ''))"
+
+
+@query("section_complexity", f"""
+SELECT doc_id, CASE WHEN w <= 70 AND g <= 20 AND NOT m AND NOT b THEN 'easy' WHEN w >= 260 OR g >= 80 OR m OR b THEN 'hard' ELSE 'moderate' END AS hint FROM (
+  SELECT doc_id, len(list_filter(string_split_regex(text, '[\\s\\x0B\\x{{00a0}}]+'), lambda w: w <> '')) AS w, len(regexp_extract_all(text, '\\d')) AS g, regexp_matches(text, '(?i)\\b\\d+(\\.\\d+)?\\s*(mm|cm|kg|mg|ml|%|x10\\^?\\d+)\\b') AS m, regexp_matches(text, '\\b[A-Za-z_]+\\s*\\|\\s*[A-Za-z_]+') AS b FROM documents)""")
+def section_complexity(spark, d):
+    return table(spark, d, "documents").select("doc_id", SE.complexity(F.col("text")).alias("hint"))
+
+
+@query("routed_context")
+def routed_context(spark, d):
+    return SE.routed_context(_scans(spark, d).dropDuplicates(["loaded_id"]), "loaded_id", "text")
+
+
+@query("focused_context")
+def focused_context(spark, d):
+    return SE.focused_context(_scans(spark, d), "loaded_id", "text", ["medication", "history", "findings"])
+
+
+@query("label_backfill")
+def label_backfill(spark, d):
+    return SE.backfill(_notes(spark, d), "record_id", "document_text", ["patient_name", "name", "visit_date"])
+
+
+def _extracted(spark, d, dialect="verify"):
+    rows = table(spark, d, "extract_train").where("extracted IS NOT NULL").select("record_id", "document_text", "extracted").distinct()
+    return rows.select("record_id", "document_text", F.inline(E.flattened(F.col("extracted"), dialect)))
+
+
+@query("field_flatten", """
+SELECT record_id, k AS path, CAST(json_extract_string(extracted, '$.' || k) AS VARCHAR) AS value FROM (
+  SELECT record_id, extracted, unnest(json_keys(extracted)) AS k FROM (SELECT DISTINCT record_id, document_text, extracted FROM extract_train WHERE json_valid(extracted)))
+WHERE json_type(extracted, '$.' || k) NOT IN ('ARRAY', 'OBJECT', 'BOOLEAN', 'NULL')
+UNION ALL
+SELECT record_id, k || '[' || i || ']' AS path, json_extract_string(extracted, '$.' || k || '[' || i || ']') AS value FROM (
+  SELECT record_id, extracted, k, unnest(range(0, CAST(json_array_length(extracted, '$.' || k) AS BIGINT))) AS i FROM (
+    SELECT record_id, extracted, unnest(json_keys(extracted)) AS k FROM (SELECT DISTINCT record_id, document_text, extracted FROM extract_train WHERE json_valid(extracted))) WHERE json_type(extracted, '$.' || k) = 'ARRAY')
+WHERE json_type(extracted, '$.' || k || '[' || i || ']') NOT IN ('ARRAY', 'OBJECT', 'BOOLEAN', 'NULL')""")
+def field_flatten(spark, d):
+    return _extracted(spark, d).select("record_id", "path", "value")
+
+
+@query("json_path_get", "SELECT record_id, json_extract_string(extracted, '$.medication[0]') AS first_medication FROM (SELECT DISTINCT record_id, extracted FROM extract_train WHERE extracted IS NOT NULL)")
+def json_path_get(spark, d):
+    rows = table(spark, d, "extract_train").where("extracted IS NOT NULL").select("record_id", "extracted").distinct()
+    return rows.select("record_id", E.json_get(F.col("extracted"), "medication[0]").alias("first_medication"))
+
+
+@query("semantic_checks")
+def semantic_checks(spark, d):
+    return _extracted(spark, d).select("record_id", "path", E.semantic_check(F.col("path"), F.col("value")).alias("c")).select("record_id", "path", "c.*")
+
+
+@query("grounding_snippet", """
+SELECT record_id, path, contains(lower(trim(regexp_replace(document_text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(value, '\\s+', ' ', 'g')))) AS grounded FROM (
+  SELECT record_id, document_text, 'patient_name' AS path, json_extract_string(extracted, '$.patient_name') AS value FROM (SELECT DISTINCT record_id, document_text, extracted FROM extract_train WHERE json_valid(extracted)))
+WHERE value IS NOT NULL""")
+def grounding_snippet(spark, d):
+    names = _extracted(spark, d).where("path = 'patient_name'")
+    return names.select("record_id", "path", E.ground(F.col("document_text"), F.col("value"))["grounded"].alias("grounded"))
+
+
+@query("contract")
+def contract(spark, d):
+    rows = _extracted(spark, d).withColumnRenamed("path", "field")
+    return E.contract(rows, "record_id", F.col("document_text"))
+
+
+@query("contract_counts")
+def contract_counts(spark, d):
+    return E.contract_counts(contract(spark, d), "record_id")
+
+
+@query("candidate_scores")
+def candidate_scores(spark, d):
+    rows = table(spark, d, "extract_train").where("extracted IS NOT NULL").select("record_id", "document_text", "extracted").distinct()
+    return rows.select("record_id", E.candidate_score(E.flattened(F.col("extracted"), "candidate"), F.col("document_text"), ["patient_name", "primary_diagnosis"])["score"].alias("score"))
+
+
+@query("derived_counts", "SELECT report_id, len(findings) AS n, len(list_filter(findings, lambda f: lower(trim(f.severity)) IN ('yes', 'positive', '1', 'true', 'ja') OR TRY_CAST(f.severity AS DOUBLE) > 0)) AS flagged FROM (SELECT DISTINCT report_id, findings FROM radiology_train WHERE findings IS NOT NULL)")
+def derived_counts(spark, d):
+    rows = table(spark, d, "radiology_train").where("findings IS NOT NULL").select("report_id", "findings").distinct()
+    return rows.select("report_id", F.size("findings").cast("bigint").alias("n"), E.count_where(F.col("findings"), "severity").cast("bigint").alias("flagged"))
+
+
+@query("consistency_issues", """
+SELECT report_id, CAST((exam_type IS NULL OR lower(trim(exam_type)) IN ('', 'none', 'null', 'nil', 'n/a', 'na', 'not available')) AS INT) + CAST((impressions IS NULL OR lower(trim(impressions)) IN ('', 'none', 'null', 'nil', 'n/a', 'na', 'not available')) AS INT) AS issues FROM radiology_train""")
+def consistency_issues(spark, d):
+    rows = table(spark, d, "radiology_train")
+    return rows.select("report_id", F.size(E.consistency_issues({"exam_type": F.col("exam_type"), "impressions": F.col("impressions")}, {}, {})).alias("issues"))
+
+
+@query("enum_coerced")
+def enum_coerced(spark, d):
+    rows = table(spark, d, "radiology_mode_output").select("finding_id", "severity").distinct()
+    return rows.select("finding_id", "severity", E.coerce(F.col("severity"), "enum", options=["absent", "minimal", "mild", "moderate", "severe", "critical"]).alias("option"), E.trinary(F.col("severity")).alias("trinary"))
+
+
+@query("missing_values", "SELECT count(*) AS n, count(*) FILTER (measurement IS NULL OR lower(trim(measurement)) IN ('', 'none', 'null', 'nil', 'n/a', 'na', 'not available')) AS missing FROM radiology_mode_output")
+def missing_values(spark, d):
+    return table(spark, d, "radiology_mode_output").agg(F.count("*").alias("n"), F.count(F.when(X.is_missing(F.col("measurement")), 1)).alias("missing"))
+
+
+# ---- verification ---------------------------------------------------------------------------------------------------
+@query("extraction_verify")
+def extraction_verify(spark, d):
+    return V.extraction_reports(V.field_verdicts(_extracted(spark, d), "record_id", "document_text"), "record_id")
+
+
+@query("field_verdicts")
+def field_verdicts(spark, d):
+    return V.field_verdicts(_extracted(spark, d), "record_id", "document_text")
+
+
+@query("high_risk_fields")
+def high_risk_fields(spark, d):
+    return V.high_risk_fields(_extracted(spark, d), "record_id")
+
+
+@query("claim_verify", r"""
+SELECT item_id, CASE WHEN miss = 0 AND r > 0.5 THEN 'verified' WHEN r > 0.3 THEN 'partially_supported' ELSE 'insufficient_evidence' END AS verdict, round(CASE WHEN miss = 0 AND r > 0.5 THEN least(0.95, r) ELSE r END, 6) AS confidence FROM (
+  SELECT item_id, len(list_filter(regexp_extract_all(response, '\d+(?:\.\d+)?'), lambda n: NOT contains(source_text, n))) AS miss,
+    len(list_intersect(list_distinct(regexp_extract_all(lower(response), '[a-z0-9]+')), regexp_extract_all(lower(source_text), '[a-z0-9]+'))) / len(list_distinct(regexp_extract_all(lower(response), '[a-z0-9]+'))) AS r
+  FROM eval_item WHERE response IS NOT NULL)""")
+def claim_verify(spark, d):
+    rows = table(spark, d, "eval_item").where("response IS NOT NULL")
+    return rows.select("item_id", V.claim_check(F.col("response"), F.col("source_text")).alias("c")).select("item_id", "c.verdict", "c.confidence")
+
+
+@query("claim_decision")
+def claim_decision(spark, d):
+    rows = table(spark, d, "eval_item").where("response IS NOT NULL").withColumn("c", V.claim_check(F.col("response"), F.col("source_text")))
+    compared = V.value_comparison(F.col("response"), F.col("question"))
+    return rows.select("item_id", V.final_decision(F.col("c.verdict"), F.col("c.confidence"), compared, F.size("c.missing") > 0, F.col("c.confidence") > 0.5).alias("x")).select("item_id", "x.*")
+
+
+@query("report_merge")
+def report_merge(spark, d):
+    return V.merged_report(field_verdicts(spark, d).select("record_id", V.status_name(F.col("status")).alias("status")), "record_id")
+
+
+@query("verification_citations")
+def verification_citations(spark, d):
+    parts = field_verdicts(spark, d).where("excerpt IS NOT NULL").select(F.col("record_id").cast("string").alias("source"), F.col("excerpt").alias("snippet"), F.lit("evidence").alias("part"), F.lit(1).alias("score"))
+    return V.verification_citations(parts)
+
+
+# ---- provenance -----------------------------------------------------------------------------------------------------
+def _pages(spark, d):
+    docs = table(spark, d, "loaded_document").where("pages IS NOT NULL").groupBy("loaded_id").agg(F.min("pages").alias("pages"))
+    return docs.select("loaded_id", F.inline("pages"))
+
+
+_PAGES_SQL = "(SELECT loaded_id, p.page_number AS page_number, p.text AS text, p.confidence AS confidence FROM (SELECT loaded_id, unnest(pages) AS p FROM (SELECT loaded_id, min(pages) AS pages FROM loaded_document WHERE pages IS NOT NULL GROUP BY loaded_id)))"
+
+
+@query("assemble_pages", f"SELECT loaded_id, count(*) AS page_count, round(avg(confidence), 3) AS confidence, coalesce(min(confidence) < 0.8, false) AS quality_warning, md5(string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY page_number)) AS digest FROM {_PAGES_SQL} GROUP BY loaded_id")
+def assemble_pages(spark, d):
+    return G.assemble_pages(_pages(spark, d), "loaded_id", "page_number", "text", "confidence").withColumn("digest", F.md5("text")).drop("text")
+
+
+_OFFSETS = f"(SELECT loaded_id, page_number, coalesce(sum(length(coalesce(text, '')) + 2) OVER (PARTITION BY loaded_id ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, length(coalesce(text, '')) AS n FROM {_PAGES_SQL})"
+
+
+@query("page_offsets", f'SELECT loaded_id, page_number, CAST(s AS BIGINT) AS "start", CAST(s + n AS BIGINT) AS "end" FROM {_OFFSETS}')
+def page_offsets(spark, d):
+    return G.page_offsets(_pages(spark, d), "loaded_id", "page_number", "text")
+
+
+@query("span_pages", f"""SELECT DISTINCT e.loaded_id, e.evidence_id, o.page_number AS page, 0.0::DOUBLE AS x0, CAST(o.page_number AS DOUBLE) AS y0, 100.0::DOUBLE AS x1, CAST(o.page_number + 1 AS DOUBLE) AS y1
+FROM (SELECT DISTINCT evidence_id, loaded_id, char_start, char_end FROM outlines_evidence) e JOIN {_OFFSETS} o ON e.loaded_id = o.loaded_id AND o.s < e.char_end AND o.s + o.n > e.char_start""")
+def span_pages(spark, d):
+    blocks = page_offsets(spark, d).withColumnRenamed("page_number", "page").withColumns({"x0": F.lit(0.0), "y0": F.col("page").cast("double"), "x1": F.lit(100.0), "y1": (F.col("page") + 1).cast("double")})
+    spans = table(spark, d, "outlines_evidence").select("loaded_id", "evidence_id", F.col("char_start").alias("start"), F.col("char_end").alias("end")).distinct()
+    return G.span_pages(spans, blocks, "loaded_id", "evidence_id")
+
+
+@query("tight_excerpts")
+def tight_excerpts(spark, d):
+    rows = _extracted(spark, d).where("path IN ('patient_name', 'visit_date')")
+    return rows.select("record_id", "path", G.tight_excerpt(F.col("document_text"), F.col("value")).alias("e")).select("record_id", "path", "e.*")
+
+
+@query("evidence_resolved")
+def evidence_resolved(spark, d):
+    docs = table(spark, d, "loaded_document").groupBy("loaded_id").agg(F.max("text").alias("text"))
+    excerpts = table(spark, d, "outlines_evidence").where("excerpt IS NOT NULL").groupBy("loaded_id").agg(F.array_sort(F.collect_set(F.struct(F.col("evidence_id").cast("string").alias("field"), "excerpt"))).alias("e"))
+    return docs.join(excerpts, "loaded_id").select("loaded_id", F.inline(G.resolve_evidence(F.col("text"), F.col("e"))))
+
+
+# ---- quality and metrics --------------------------------------------------------------------------------------------
+_VOCAB = ", ".join(f"'{w}'" for w in Q.MEDICAL_WORDS)
+
+
+@query("quality_vocabulary", f"SELECT doc_id, round(least(1.0, h / n / 0.30), 6) AS vocabulary FROM (SELECT doc_id, len(list_filter(w, lambda x: x IN ({_VOCAB}))) AS h, len(w) AS n FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-zA-Z][\\p{{L}}\\p{{N}}_\\p{{M}}''-]*') AS w FROM documents)) WHERE n > 0")
+def quality_vocabulary(spark, d):
+    rows = table(spark, d, "documents").where(F.size(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]"), F.lit(0))) > 0)
+    return rows.select("doc_id", F.round(Q.vocabulary_score(F.col("text")), 6).alias("vocabulary"))
+
+
+@query("quality_score")
+def quality_score(spark, d):
+    return table(spark, d, "documents").select("doc_id", Q.quality(F.col("text")).alias("q")).select("doc_id", "q.*")
+
+
+@query("completeness", """
+SELECT report_id, round((CAST(coalesce(trim(exam_type) <> '', false) AS INT) + CAST(coalesce(len(findings) > 0, false) AS INT) + 0.3 * CAST(coalesce(trim(report_header) <> '', false) AS INT)) / 2.3, 6) AS overall,
+(CAST(coalesce(trim(exam_type) <> '', false) AS INT) + CAST(coalesce(len(findings) > 0, false) AS INT)) / 2.0 AS required_coverage, CAST(CAST(coalesce(trim(report_header) <> '', false) AS INT) AS DOUBLE) AS optional_coverage FROM radiology_train""")
+def completeness(spark, d):
+    c = Q.report_completeness({"exam_type": Q.populated(F.col("exam_type")), "findings": Q.populated(F.col("findings"), "array")}, {"report_header": Q.populated(F.col("report_header"))})
+    return table(spark, d, "radiology_train").select("report_id", c.alias("c")).select("report_id", F.round("c.overall", 6).alias("overall"), "c.required_coverage", "c.optional_coverage")
+
+
+def _scored(spark, d):
+    e = table(spark, d, "eval_item").where("response IS NOT NULL")
+    q, r, s = F.col("question"), F.col("response"), F.col("source_text")
+    rows = e.select(
+        "item_id", Q.groundedness(q, r, s).alias("grounding"), Q.numeric_exactness(r, s).alias("numeric"), r.rlike(r"\d").alias("has_number"), Q.exact_match(r, s).alias("exact_match"), Q.passage_match(r, s).alias("passage_match")
+    )
+    return rows.withColumn("score", Q.query_score(F.col("grounding"), F.col("numeric"), F.col("has_number")))
+
+
+def _overlap_sql(a: str, b: str) -> str:
+    return f"len(list_intersect(list_distinct(regexp_extract_all(lower({a}), '[a-z0-9]+')), regexp_extract_all(lower({b}), '[a-z0-9]+'))) / len(list_distinct(regexp_extract_all(lower({a}), '[a-z0-9]+')))"
+
+
+@query("metric_grounding", f"SELECT item_id, round(0.45 * {_overlap_sql('question', 'source_text')} + 0.55 * {_overlap_sql('response', 'source_text')}, 6) AS grounding, round({_overlap_sql('response', 'source_text')}, 6) AS passage_match FROM eval_item WHERE response IS NOT NULL")
+def metric_grounding(spark, d):
+    return _scored(spark, d).select("item_id", F.round("grounding", 6).alias("grounding"), F.round("passage_match", 6).alias("passage_match"))
+
+
+@query("metric_query")
+def metric_query(spark, d):
+    return _scored(spark, d)
+
+
+@query("quality_gates")
+def quality_gates(spark, d):
+    return Q.query_gates(_scored(spark, d))
+
+
+@query("eval_summary")
+def eval_summary(spark, d):
+    return r6(Q.summary_stats(_scored(spark, d), "score"), "mean", "median", "std", "min", "max")
+
+
+@query("metric_extract")
+def metric_extract(spark, d):
+    """Extractions of repeated notes against each other: the first against the last of an id."""
+    rows = table(spark, d, "extract_train").where("extracted IS NOT NULL").groupBy("record_id").agg(F.min("extracted").alias("a"), F.max("extracted").alias("b"))
+    flat = lambda c: rows.select("record_id", F.inline(E.flattened(F.col(c), "metrics"))).select("record_id", "path", "value")
+    return Q.extraction_pairs(flat("a"), flat("b"), "record_id")
+
+
+@query("metric_reports")
+def metric_reports(spark, d):
+    r = table(spark, d, "radiology_train").where("findings IS NOT NULL").select("report_id", "findings", "exam_type", "impressions").distinct()
+    reward = 0.7 * Q.finding_reward(F.col("findings")) + 0.3 * Q.impression_reward(F.col("impressions"))
+    return r.select("report_id", F.round(Q.radiology_metric(reward, F.col("findings"), F.col("findings"), F.col("exam_type"), F.col("exam_type")), 6).alias("score"))
+
+
+@query("ontology_lookup", "SELECT r.finding_id, o.code FROM (SELECT DISTINCT finding_id, anatomy FROM radiology_mode_output) r JOIN (SELECT DISTINCT lower(trim(term)) AS t, code FROM ontology_result WHERE vocabulary = 'anatomy') o ON lower(trim(r.anatomy)) = o.t")
+def ontology_lookup(spark, d):
+    o = table(spark, d, "ontology_result").where("vocabulary = 'anatomy'").select(F.lower(F.trim("term")).alias("t"), "code").distinct()
+    r = table(spark, d, "radiology_mode_output").select("finding_id", F.lower(F.trim("anatomy")).alias("t")).distinct()
+    return r.join(o, "t").select("finding_id", "code").distinct()
+
+
+@query("score_categories")
+def score_categories(spark, d):
+    rows = [(s, c) for s, cs in SC.SCORES.items() for c in cs]
+    df = spark.createDataFrame(rows, "system string, category string")
+    return df.select("system", "category", SC.score_description(F.col("system"), F.col("category")).alias("description"))
+
+
+# ---- sinks, schemas, batches ----------------------------------------------------------------------------------------
+@query("export_findings_rows", "SELECT report_id, exam_type, f.anatomy AS anatomy, f.observation AS observation, f.severity AS severity FROM (SELECT report_id, exam_type, unnest(findings) AS f FROM radiology_train)")
+def export_findings_rows(spark, d):
+    return W.findings_rows(table(spark, d, "radiology_train").select("report_id", "exam_type", "findings"))
+
+
+@query("export_one_row", "SELECT report_id, exam_type, CAST(len(findings) AS BIGINT) AS n FROM radiology_train WHERE findings IS NOT NULL")
+def export_one_row(spark, d):
+    flat = W.one_row(table(spark, d, "radiology_train").where("findings IS NOT NULL").select("report_id", "exam_type", "findings"))
+    return flat.select("report_id", "exam_type", F.json_array_length("findings").cast("bigint").alias("n"))
+
+
+@query("export_markdown")
+def export_markdown(spark, d):
+    return table(spark, d, "radiology_train").select("report_id", W.markdown(F.coalesce("exam_type", F.lit("Report")), {"Site": F.col("site_id")}, F.col("findings"), F.col("impressions")).alias("markdown"))
+
+
+@query("export_bundles")
+def export_bundles(spark, d):
+    return table(spark, d, "radiology_train").select("report_id", W.clinical_bundle(F.col("report_id"), F.col("exam_type"), F.col("findings"), F.col("impressions")).alias("bundle"))
+
+
+@query("infer_columns", """
+SELECT 'o_orderkey' AS "column", 'int' AS type, count(*) = count(o_orderkey) AS required, count(DISTINCT o_orderkey) AS uniques, count(o_orderkey) AS filled FROM orders
+UNION ALL SELECT 'o_orderstatus', 'enum', count(*) = count(o_orderstatus), count(DISTINCT o_orderstatus), count(o_orderstatus) FROM orders
+UNION ALL SELECT 'o_totalprice', 'float', count(*) = count(o_totalprice), count(DISTINCT o_totalprice), count(o_totalprice) FROM orders
+UNION ALL SELECT 'o_orderpriority', 'enum', count(*) = count(o_orderpriority), count(DISTINCT o_orderpriority), count(o_orderpriority) FROM orders""")
+def infer_columns(spark, d):
+    return SC.infer_columns(table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"))
+
+
+@query("catalog_fields", "SELECT '' AS split, vocabulary AS name, count(DISTINCT trim(term)) AS n FROM ontology_result WHERE trim(term) <> '' GROUP BY vocabulary")
+def catalog_fields(spark, d):
+    out = SC.catalog_fields(table(spark, d, "ontology_result"), "vocabulary", "term", "code")
+    return out.select("split", "name", F.size("values").cast("bigint").alias("n"))
+
+
+@query("schema_diff", "SELECT * FROM (VALUES ('o_orderstatus', 'removed'), ('o_custkey', 'modified'), ('extra', 'added')) AS t(field, change)")
+def schema_diff(spark, d):
+    o = table(spark, d, "orders")
+    return SC.schema_diff(SC.fields_of(o), SC.fields_of(o.drop("o_orderstatus").withColumn("o_custkey", F.col("o_custkey").cast("string")).withColumn("extra", F.lit(1))))
+
+
+@query("resume_anti_join", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def resume_anti_join(spark, d):
+    done = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return B.pending(table(spark, d, "orders").select("o_orderkey"), done, "o_orderkey")
+
+
+@query("completed_semi_join", "SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def completed_semi_join(spark, d):
+    done = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return B.completed(table(spark, d, "orders").select("o_orderkey"), done, "o_orderkey")
+
+
+@query("process_documents")
+def process_documents(spark, d):
+    return B.process(table(spark, d, "documents"), "doc_id", "text", lambda t: str(len(t.split())))
+
+
+@query("unique_source_names", "SELECT doc_id, CASE WHEN n = 1 THEN source ELSE source || ' (' || n || ')' END AS unique_name FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents WHERE source IS NOT NULL)")
+def unique_source_names(spark, d):
+    return R.unique_names(table(spark, d, "documents").where("source IS NOT NULL").select("doc_id", "source"), "source", "doc_id").drop("source")
+
+
+@query("combined_sources", "SELECT source, md5(string_agg(text, chr(10) || chr(10) ORDER BY doc_id)) AS digest FROM documents WHERE source IS NOT NULL GROUP BY source")
+def combined_sources(spark, d):
+    out = V.combined_sources(table(spark, d, "documents").where("source IS NOT NULL"), "source", "doc_id", "text")
+    return out.select("source", F.md5("text").alias("digest"))
+
+
+@query("question_plan")
+def question_plan(spark, d):
+    """Plans of some questions over orders."""
+    o = table(spark, d, "orders")
+    asked = ["what is the average o_totalprice?", "how many rows are there?", "how many distinct o_custkey?", "breakdown of o_orderpriority", "which columns are there?"]
+    rows = [(q, (p := PL.plan_question(q, "orders", o)).intent, p.column, p.operation) for q in asked]
+    return spark.createDataFrame(rows, "question string, intent string, column string, operation string")
+
+
+@query("question_answer", "SELECT round(avg(o_totalprice), 4) AS value, count(*) AS row_count, count(o_totalprice) AS non_null FROM orders")
+def question_answer(spark, d):
+    o = table(spark, d, "orders")
+    return PL.compile_plan(PL.plan_question("what is the average o_totalprice?", "orders", o), o).withColumn("value", F.round("value", 4))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,34 +93,53 @@ def tight_excerpt(source: Column, value: Column) -> Column:
 RESOLVED = T.ArrayType(T.StructType([T.StructField("field", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("resolution", T.StringType())]))
 
 
-def fuzzy_find(text: str, excerpt: str, claimed: list[tuple[int, int]] = ()) -> tuple[int, int] | None:
+def fuzzy_find(text: str, excerpt: str, claimed: list[tuple[int, int]] = (), places: int = 5) -> tuple[int, int] | None:
     """Window of text that is most like an excerpt: 90 % for short excerpts, 80 % from 40 characters on.
 
-    Windows begin where five-letter pieces of the excerpt stand in the text, so that only near places are compared.
+    Five-letter pieces of the excerpt vote for the places where it would begin; the windows at the `places` best voted ones are
+    compared, in five lengths up to a fifth shorter or longer.
     """
     n = len(excerpt)
     if not n or not text:
         return None
     least = 0.90 if n < 40 else 0.80
     k = min(5, n)
-    starts: set[int] = set()
-    for i in range(0, n - k + 1):
-        piece = excerpt[i : i + k]
-        at = text.find(piece)
-        while at >= 0:
-            starts.add(max(0, at - i))
-            at = text.find(piece, at + 1)
-    best, where = 0.0, None
+    where: dict[str, list[int]] = {}
+    wanted = {excerpt[i : i + k] for i in range(n - k + 1)}
+    for at in range(len(text) - k + 1):
+        piece = text[at : at + k]
+        if piece in wanted:
+            where.setdefault(piece, []).append(at)
+    votes = np.zeros(len(text) + 2 * n + 1, np.int32)
+    for i in range(n - k + 1):
+        if at := where.get(excerpt[i : i + k]):
+            np.add.at(votes, np.asarray(at) - i + n, 1)
+    around = np.convolve(votes, np.ones(max(3, n // 5), np.int32), "same")
+    best, found = 0.0, None
     matcher = SequenceMatcher(None, "", excerpt, autojunk=False)
-    for s in sorted({x + d for x in starts for d in (-1, 0, 1) if x + d >= 0}):
-        for size in sorted({n, int(n * 0.9), int(n * 1.1) + 1, int(n * 0.8), int(n * 1.2)}):
+    for _ in range(places):
+        top = int(around.argmax())
+        # an 80 % likeness leaves a good part of the pieces whole
+        if around[top] < max(1, (n - k + 1) // 8):
+            break
+        low = max(0, top - max(3, n // 5) // 2)
+        exact = low + int(votes[low : top + max(3, n // 5) // 2 + 1].argmax()) - n
+        for s, size in [(max(0, exact), n), *((max(0, exact + d), z) for d in (0, -1, 1) for z in (int(n * 0.9), int(n * 1.1) + 1, int(n * 0.8), int(n * 1.2)))]:
             e = min(len(text), s + max(1, size))
-            if any(s < ce and cs < e for cs, ce in claimed):
+            if e <= s or any(s < ce and cs < e for cs, ce in claimed):
                 continue
             matcher.set_seq1(text[s:e])
-            if matcher.real_quick_ratio() > best and matcher.quick_ratio() > best and (r := matcher.ratio()) > best:
-                best, where = r, (s, e)
-    return where if best >= least else None
+            if matcher.real_quick_ratio() <= best or matcher.quick_ratio() <= best:
+                continue
+            r = matcher.ratio()
+            if r > best:
+                best, found = r, (s, e)
+            if best >= 0.97:
+                return found
+            if size == n and r < 0.6:
+                break
+        around[max(0, top - n // 2) : top + n // 2 + 1] = 0
+    return found if best >= least else None
 
 
 def resolve_evidence(text: Column, evidence: Column) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import os
 import re
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -254,5 +253,5 @@ SCORES = {
 
 def score_description(system, category):
     """Column: description of a category; null for an unknown one."""
-    pairs = [F.when((system == s) & (F.upper(category) == c.upper()), d) for s, cs in SCORES.items() for c, d in cs.items()]
-    return reduce(lambda a, b: F.coalesce(a, b), pairs)
+    pairs = [F.lit(x) for s, cs in SCORES.items() for c, d in cs.items() for x in (f"{s}|{c.upper()}", d)]
+    return F.create_map(*pairs)[F.concat(system, F.lit("|"), F.upper(category))]

@@ -13,7 +13,7 @@ from carrel.functions.text import around, chunks, question_terms, spans, squash,
 
 def term_frequencies(docs: DataFrame, text_col: str) -> DataFrame:
     """(term, n, docs): how often each stemmed term occurs and in how many rows."""
-    per = docs.select(F.explode(terms(F.col(text_col))).alias("term"), F.monotonically_increasing_id().alias("row"))
+    per = docs.select(F.monotonically_increasing_id().alias("row"), terms(F.col(text_col)).alias("t")).select("row", F.explode("t").alias("term"))
     return per.groupBy("term", "row").agg(F.count("*").alias("n")).groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
 
 
@@ -77,7 +77,7 @@ NUMBER_UNIT = r"(\d+(?:\.\d+)?)\s*(mm|cm|mg|ml|kg|g|%|bpm|mmHg)\b"
 def number_inventory(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(source, value, unit, n) of the numbers with units in each text."""
     found = docs.select(F.col(id_col).alias("source"), F.explode(F.regexp_extract_all(text_col, F.lit(NUMBER_UNIT), F.lit(0))).alias("hit"))
-    rows = found.select("source", F.regexp_extract("hit", NUMBER_UNIT, 1).cast("double").alias("value"), F.regexp_extract("hit", NUMBER_UNIT, 2).alias("unit"))
+    rows = found.select("source", F.regexp_extract("hit", r"^\d+(?:\.\d+)?", 0).cast("double").alias("value"), F.regexp_extract("hit", r"[^\d\s]+$", 0).alias("unit"))
     return rows.groupBy("source", "value", "unit").agg(F.count("*").alias("n"))
 
 
