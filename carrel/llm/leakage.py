@@ -42,6 +42,7 @@ class Item:
             at += len(p)
             self.ends.append(at)
         self.words = len(parts)
+        self.bounds = frozenset(self.starts)
 
     def blocks(self) -> list[tuple[int, int]]:
         """(start, end) in the squeezed text of consecutive blocks; a rest of half a block or more counts as one."""
@@ -106,7 +107,10 @@ class Scanner:
             while b < len(doc) and j < len(item.text) and doc[b] == item.text[j]:
                 b, j = b + 1, j + 1
             done.append((d - s, a, b))
-            best = max(best, (item.words_inside(i, j), a, b))
+            if (n_words := item.words_inside(i, j)) > best[0]:
+                # offsets of the whole words only
+                first, last = bisect_left(item.starts, i), bisect_left(item.ends, j + 1) - 1
+                best = (n_words, a + item.starts[first] - i, b - (j - item.ends[last]))
         if best[0] >= min(RUN_WORDS, item.words):
             return ("run" if best[0] < item.words else "whole", *best)
         return self._whole(doc, item, found)
@@ -132,7 +136,8 @@ class Scanner:
             if not blocks:
                 continue
             intact = sum(item.words_inside(m.a, m.a + m.size) for m in blocks)
-            added = sum(1 for x, y in zip(blocks, blocks[1:]) if y.a == x.a + x.size and y.b - x.b - x.size >= 2)
+            # an addition between two words; one inside a word has spoilt the word already
+            added = sum(1 for x, y in zip(blocks, blocks[1:]) if y.a == x.a + x.size and y.b - x.b - x.size >= 2 and y.a in item.bounds)
             if item.words - intact + added <= self.changed * item.words + 1:
                 return ("whole", intact, low + blocks[0].b, low + blocks[-1].b + blocks[-1].size)
         return None

@@ -25,20 +25,20 @@ NOT_WS = r"[^\s\x1c-\x1f]"
 _BREAK = rf"(?:(?<=[.!?]){WS}|\n){WS}{{0,18}}"
 _PARAGRAPH = rf"\n[^\S\n]{{0,4}}\n{WS}{{0,14}}"
 #: Text without a natural boundary inside.
-STRETCH = rf"(?U){NOT_WS}++(?:(?<![.!?])[^\S\n]++{NOT_WS}++)*+"
+STRETCH = rf"(?U)(?:\A[^\S\n]++)?{NOT_WS}++(?:(?<![.!?])[^\S\n]++{NOT_WS}++)*+(?:(?<![.!?])[^\S\n]++\z)?"
 
 
 def core_pattern(limit: int = LIMIT, overlap: int = OVERLAP) -> str:
     body = limit - overlap
     room = body - 20
     return (
-        rf"(?sU).{{1,{body}}}\z"
+        rf"(?sU){WS}*+(?:.{{1,{body}}}\z"
         rf"|.{{{room // 2},{room}}}{_PARAGRAPH}"
         rf"|.{{{room // 4},{room}}}{_BREAK}"
         rf"|.{{1,{room}}}{_BREAK}"
         rf"|.{{1,{limit}}}?(?={WS}*\z|[^\S\n]{{0,40}}\n|(?<=[.!?]){WS})"
         rf"|.{{1,{body - 1}}}{WS}(?={NOT_WS})"
-        rf"|.{{1,{body}}}"
+        rf"|.{{1,{body}}})|{WS}++"
     )
 
 
@@ -56,12 +56,15 @@ def split_pieces(text: Column, limit: int = LIMIT, overlap: int = OVERLAP) -> Co
 
     def piece(core: Column, i: Column, ends: Column, n: Column) -> Column:
         start, end = ends[i], ends[i + 1]
-        back = F.greatest(F.lit(0), F.least(F.lit(overlap), start, F.lit(limit) - (end - start)))
+        room = F.lit(limit) - (end - start)
+        back = F.greatest(F.lit(0), F.least(F.lit(overlap), start, room))
+        lead = F.char_length(core) - F.char_length(F.regexp_replace(core, rf"(?U)\A{WS}+", ""))
         # the window begins one character early: is its start itself behind a boundary?
         window = F.substring(text, start - back + 1, back)
         first = F.char_length(F.regexp_extract(window, rf"(?sU)\A.*?(?:[.!?]{WS}|\n){WS}*+(?={NOT_WS})", 0))
         aligned = F.when((first > 0) & (first < back), back - first).otherwise(back)
-        begin = F.when((i == 0) | (back == 0), start).otherwise(start - aligned)
+        # white space that a long stretch pushed into its successor counts for no piece where it would burst the limit
+        begin = F.when(room < 0, start + lead).when((i == 0) | (back == 0), start).otherwise(start - aligned)
         natural = (i == n - 1) | core.rlike(rf"(?sU)(?:[.!?]{WS}|\n){WS}*\z") | F.substring(text, end + 1, 42).rlike(rf"(?sU)\A[^\S\n]*\n") | (
             core.rlike(r"(?s)[.!?]\z") & F.substring(text, end + 1, 1).rlike(rf"(?U){WS}"))
         return F.struct(i.cast("int").alias("chunk_id"), begin.cast("bigint").alias("char_start"), end.cast("bigint").alias("char_end"), start.cast("bigint").alias("core_start"), natural.alias("natural"))
@@ -115,7 +118,8 @@ def evidence_chunks(evidence: DataFrame, pieces: DataFrame, salts: int = 8) -> D
     small = small.select(F.col("doc_id").alias("loaded_id"), F.transform("pieces", lambda p: F.struct(p["chunk_id"].alias("chunk_id"), p["char_start"].alias("s"), p["char_end"].alias("e"))).alias("pieces"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     rows = evidence.select("evidence_id", "loaded_id", "char_start", "char_end").distinct().withColumn("salt", F.pmod(F.xxhash64("evidence_id"), F.lit(salts)).cast("int"))
     held = lambda p: F.least(p["e"], F.col("char_end")) - F.greatest(p["s"], F.col("char_start"))
-    best = F.array_max(F.transform(F.filter("pieces", lambda p: held(p) > 0), lambda p: F.struct(held(p).alias("held"), (-p["chunk_id"]).alias("neg"))))
+    valid = F.col("char_start").isNotNull() & F.col("char_end").isNotNull()
+    best = F.array_max(F.transform(F.filter("pieces", lambda p: valid & (held(p) > 0)), lambda p: F.struct(held(p).alias("held"), (-p["chunk_id"]).alias("neg"))))
     out = rows.join(small, ["loaded_id", "salt"], "left").withColumn("best", best)
     return out.select(
         F.col("evidence_id").cast("bigint").alias("evidence_id"), F.col("loaded_id").cast("bigint").alias("loaded_id"), (-F.col("best.neg")).alias("chunk_id"),
