@@ -63,7 +63,7 @@ def word_bag(tokens: list[str]) -> list[int]:
 PROFILE = T.StructType([
     T.StructField("side", T.IntegerType()),
     T.StructField("rid", T.LongType()),
-    T.StructField("class_id", T.StringType()),
+    T.StructField("class_id", T.BinaryType()),
     T.StructField("n", T.IntegerType()),
     T.StructField("bag", T.ArrayType(T.LongType())),
     T.StructField("chunks", T.ArrayType(T.StructType([T.StructField("digest", T.LongType()), T.StructField("len", T.IntegerType())]))),
@@ -82,7 +82,7 @@ def note_profiles(notes: DataFrame, divisor: int = 4) -> DataFrame:
                     chunks: dict[int, int] = {}
                     for digest, n in content_chunks(tokens, divisor):
                         chunks.setdefault(digest, n)
-                    name = xxhash.xxh3_128_hexdigest(" ".join(sorted(tokens)))
+                    name = xxhash.xxh3_128_digest(" ".join(sorted(tokens)))
                     out.append((side, rid, name, len(tokens), word_bag(tokens), [{"digest": d, "len": n} for d, n in chunks.items()]))
             yield pd.DataFrame(out, columns=PROFILE.names)
 
