@@ -108,7 +108,7 @@ def same_notes(
         F.min(F.struct("side", "rid")).alias("rep"),
     )
     reps = profiles.select(F.struct("side", "rid").alias("rep"), "class_id", "bag", "chunks").dropDuplicates(["class_id", "rep"])
-    classes = classes.join(reps, ["class_id", "rep"]).drop("rep")
+    classes = cut(classes.join(reps, ["class_id", "rep"]).drop("rep"))  # read by four branches
 
     chunks = classes.select("class_id", "n", "in_train", "in_test", F.explode("chunks").alias("c")).select("class_id", "n", "in_train", "in_test", "c.digest", "c.len")
     counts = chunks.groupBy("digest").agg(F.count("*").alias("df"), F.max("in_train").alias("a"), F.max("in_test").alias("b"))
