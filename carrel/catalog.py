@@ -716,3 +716,41 @@ def question_plan(spark, d):
 def question_answer(spark, d):
     o = table(spark, d, "orders")
     return PL.compile_plan(PL.plan_question("what is the average o_totalprice?", "orders", o), o).withColumn("value", F.round("value", 4))
+
+
+# ---- layout ---------------------------------------------------------------------------------------------------------
+@query("word_blocks", """
+WITH s AS (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part), u AS (SELECT p_partkey, unnest(range(1, len(w) + 1)) AS i, w FROM s)
+SELECT p_partkey, i AS block, w[i] AS text, list_sum(list_transform(w[1:i], lambda x: length(x) + 1)) - length(w[i]) - 1 AS "start", list_sum(list_transform(w[1:i], lambda x: length(x) + 1)) - 1 AS "end",
+CAST(list_sum(list_transform(w[1:i], lambda x: length(x) + 1)) - length(w[i]) - 1 AS DOUBLE) AS x0, CAST(list_sum(list_transform(w[1:i], lambda x: length(x) + 1)) - 1 AS DOUBLE) AS x1 FROM u""")
+def word_blocks(spark, d):
+    """Characters of part names as boxes of width 1, joined to words."""
+    chars = table(spark, d, "part").select("p_partkey", F.posexplode(F.split("p_name", "")).alias("pos", "c"))
+    boxed = chars.select("p_partkey", "pos", "c", F.col("pos").cast("double").alias("x0"), F.lit(0.0).alias("y0"), (F.col("pos") + 1).cast("double").alias("x1"), F.lit(1.0).alias("y1"))
+    return G.word_blocks(boxed, "p_partkey", "pos", "c").select("p_partkey", F.col("block").cast("bigint").alias("block"), "text", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "x0", "x1")
+
+
+def _html(spark, d):
+    """Reports as pages: findings as a table, the impression as a section."""
+    cell = lambda c: F.concat(F.lit("<td>"), F.coalesce(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("")), F.lit("</td>"))
+    r = table(spark, d, "radiology_train").where("findings IS NOT NULL").select("report_id", "findings", "impressions").distinct()
+    rows = F.array_join(F.transform("findings", lambda f: F.concat(F.lit("<tr>"), cell(f["anatomy"]), cell(f["severity"]), F.lit("</tr>"))), "")
+    part = F.concat(F.lit('<section id="i1" data-section-name="Impression"><textarea>'), F.coalesce("impressions", F.lit("")), F.lit("</textarea></section>"))
+    return r.select("report_id", F.concat(F.lit("<table><tr><th>Anatomy</th><th>Severity</th></tr>"), rows, F.lit("</table>")).alias("page"), part.alias("section"))
+
+
+@query("html_tables_md")
+def html_tables_md(spark, d):
+    return _html(spark, d).select("report_id", R.html_table(F.col("page")).alias("table"))
+
+
+@query("html_sections", "SELECT DISTINCT report_id, md5(CAST(findings AS VARCHAR)) IS NOT NULL AS ok, trim(regexp_replace(coalesce(impressions, ''), '\\s+', ' ', 'g')) AS text FROM radiology_train WHERE findings IS NOT NULL AND trim(coalesce(impressions, '')) <> ''")
+def html_sections(spark, d):
+    rows = _html(spark, d).select("report_id", F.inline(R.html_sections(F.col("section"))))
+    return rows.where("text <> ''").select("report_id", F.lit(True).alias("ok"), "text").distinct()
+
+
+@query("source_snippets")
+def source_snippets(spark, d):
+    rows = _extracted(spark, d).where("path = 'patient_name'")
+    return rows.select("record_id", G.source_snippet(F.col("document_text"), F.col("value")).alias("snippet"))

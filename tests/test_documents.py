@@ -134,3 +134,16 @@ def test_batches(spark, tmp_path):
     out = str(tmp_path / "out")
     assert B.run_batch(docs, "name", "text", run, out) == {"total": 3, "succeeded": 1, "failed": 2, "skipped": 0}
     assert B.run_batch(docs, "name", "text", str.upper, out) == {"total": 3, "succeeded": 1, "failed": 1, "skipped": 1}
+
+
+def test_html(spark):
+    page = "<table><tr><th>A</th><th>B</th></tr><tr><td>1 &amp; 2</td><td><b>x</b></td></tr></table>"
+    assert one(spark, page, R.html_table) == "| A | B |\n| --- | --- |\n| 1 & 2 | x |" and one(spark, "none", R.html_table) is None
+    parts = one(spark, '<section id="s" data-section-name="N"><textarea>ok  then</textarea></section>', R.html_sections)
+    assert [(p["id"], p["name"], p["text"]) for p in parts] == [("s", "N", "ok then")]
+
+
+def test_word_blocks(spark):
+    rows = [(1, i, c, float(i), 0.0, i + 1.0, 1.0) for i, c in enumerate("ab  cd")]
+    got = G.word_blocks(spark.createDataFrame(rows, "d int, p int, c string, x0 double, y0 double, x1 double, y1 double"), "d", "p", "c").orderBy("block").collect()
+    assert [(r["text"], r["start"], r["end"], r["x0"], r["x1"]) for r in got] == [("ab", 0, 2, 0.0, 2.0), ("cd", 4, 6, 4.0, 6.0)]
