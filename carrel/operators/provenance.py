@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from datetime import datetime
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -60,34 +62,86 @@ def span_pages(spans: DataFrame, blocks: DataFrame, doc_col: str, span_id: str,
 
 
 # Notations in which a date is looked for, and those in which it may be given.
-DATE_OUT = ("MMMM dd, yyyy", "MMMM dd,yyyy", "MMM dd, yyyy", "dd MMMM yyyy", "dd.MM.yyyy", "dd-MM-yyyy", "MM/dd/yyyy", "dd/MM/yyyy", "yyyy-MM-dd", "dd MMM yyyy")
-DATE_IN = (("yyyy-MM-dd", r"^\d{4}-\d\d-\d\d$"), ("yyyy/MM/dd", r"^\d{4}/\d\d/\d\d$"), ("dd.MM.yyyy", r"^\d\d\.\d\d\.\d{4}$"), ("dd-MM-yyyy", r"^\d\d-\d\d-\d{4}$"), ("MM/dd/yyyy", r"^\d\d/\d\d/\d{4}$"))
+DATE_OUT = ("%B %d, %Y", "%B %d,%Y", "%b %d, %Y", "%d %B %Y", "%d.%m.%Y", "%d-%m-%Y", "%m/%d/%Y", "%d/%m/%Y", "%Y-%m-%d", "%d %b %Y")
+DATE_IN = ("%Y-%m-%d", "%Y/%m/%d", "%d.%m.%Y", "%d-%m-%Y", "%m/%d/%Y")
+EXCERPT = T.StructType([T.StructField("excerpt", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+
+
+def date_forms(value: str) -> list[str]:
+    """A date in all notations of DATE_OUT; empty for anything else."""
+    for fmt in DATE_IN:
+        try:
+            day = datetime.strptime(value, fmt)
+        except ValueError:
+            continue
+        return [day.strftime(f) for f in DATE_OUT]
+    return []
+
+
+def squash_with_offsets(text: str) -> tuple[str, list[int]]:
+    """The text with single spaces only, and the original offset of each of its characters."""
+    words = list(re.finditer(r"\S+", text))
+    at: list[int] = []
+    for m in words:
+        at += range(m.start(), m.end() + 1)
+    return " ".join(m[0] for m in words), at[:-1]
+
+
+def locate_value(text: str, value: str) -> tuple[int, int] | None:
+    """(start, end) of a value: as it is, then case aside, then as a date in other notations, then, from four characters on, by
+    likeness. White space counts as one space however much there is; offsets are those of the text as given."""
+    needle = value.strip()
+    if not needle or not text:
+        return None
+    flat, at = squash_with_offsets(text)
+
+    def literal(form: str) -> tuple[int, int] | None:
+        squashed = " ".join(form.split())
+        if (i := text.find(form)) >= 0:
+            return i, i + len(form)
+        if (i := flat.find(squashed)) >= 0:
+            return at[i], at[i + len(squashed) - 1] + 1
+        if m := re.search(re.escape(form), text, re.I):
+            return m.span()
+        if m := re.search(re.escape(squashed), flat, re.I):
+            return at[m.start()], at[m.end() - 1] + 1
+        return None
+
+    if span := literal(needle):
+        return span
+    for form in date_forms(needle):
+        if span := literal(form):
+            return span
+    squashed = " ".join(needle.split())
+    if len(squashed) >= 4 and (span := fuzzy_find(flat, squashed)):
+        return at[span[0]], at[span[1] - 1] + 1
+    return None
+
+
+def _excerpt(text: str | None, value: str | None) -> tuple[str | None, int | None, int | None]:
+    span = locate_value(text, value) if text and value else None
+    if span is None:
+        return None, None, None
+    start, end = span
+    line_start = text.rfind("\n", 0, start) + 1
+    line_end = text.find("\n", end)
+    line = text[line_start : len(text) if line_end < 0 else line_end].strip()
+    if len(line) > 120:
+        line = line[max(0, start - line_start - 30) : end - line_start + 30].strip()
+    return line, start, end
 
 
 def tight_excerpt(source: Column, value: Column) -> Column:
-    """struct<excerpt, start, end>: the line around a value, cut to its neighbourhood over 120 characters.
+    """struct<excerpt, start, end>: the line around a value, cut to its neighbourhood over 120 characters; nulls where it is
+    not found (locate_value)."""
 
-    The value is looked for as it is, then case aside, then as a date in other notations; nulls where it is not found.
-    """
-    needle = F.trim(value)
-    date = F.coalesce(*[F.when(needle.rlike(shape), F.call_function("try_to_timestamp", needle, F.lit(fmt))) for fmt, shape in DATE_IN])
-    forms = F.filter(F.array(needle, *[F.date_format(date, f) for f in DATE_OUT]), lambda f: f.isNotNull() & (f != ""))
-
-    def locate(pair: Column) -> Column:
-        text = pair["t"]
-        tries = F.transform(pair["f"], lambda f: F.struct(
-            F.when(F.instr(text, f) > 0, F.instr(text, f)).otherwise(F.instr(F.lower(text), F.lower(f))).alias("at"), F.char_length(f).alias("n")))
-        return F.get(F.filter(tries, lambda x: x["at"] > 0), F.lit(0))
-
-    at = F.transform(F.array(F.struct(source.alias("t"), forms.alias("f"))), locate)[0]
-    start, end = at["at"] - 1, at["at"] - 1 + at["n"]
-    head = F.substring(source, 1, start)
-    line_start = F.char_length(head) - F.char_length(F.substring_index(head, "\n", -1))
-    line_end = end + F.char_length(F.substring_index(F.substring(source, end + 1, F.char_length(source)), "\n", 1))
-    line = F.trim(F.substring(source, line_start + 1, line_end - line_start))
-    low = F.greatest(F.lit(0), start - line_start - 30)
-    short = F.when(F.char_length(line) > 120, F.trim(F.substring(line, low + 1, start - line_start + at["n"] + 30 - low))).otherwise(line)
-    return F.struct(short.alias("excerpt"), start.cast("int").alias("start"), end.cast("int").alias("end"))
+    @F.pandas_udf(EXCERPT)
+    def excerpts(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, values in parts:
+            out = pd.DataFrame([_excerpt(t, v) for t, v in zip(texts, values)], columns=EXCERPT.names)
+            yield out.astype({"excerpt": object, "start": "Int32", "end": "Int32"})
+
+    return excerpts(source, value)
 
 
 RESOLVED = T.ArrayType(T.StructType([T.StructField("field", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("resolution", T.StringType())]))

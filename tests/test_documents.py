@@ -95,6 +95,15 @@ def test_provenance(spark):
     assert one(spark, "a\nBorn March 15, 1985 here\nb", lambda t: G.tight_excerpt(t, F.lit("1985-03-15")))["excerpt"] == "Born March 15, 1985 here"
 
 
+def test_tight_excerpts_squash_white_space_and_forgive_misspelling(spark):
+    find = lambda text, value: tuple(one(spark, text, lambda t: G.tight_excerpt(t, F.lit(value))))
+    text = "Report\nPatient:  Sarah\n  Johnson, seen\nend"
+    assert find(text, "Sarah Johnson") == ("Patient:  Sarah\n  Johnson, seen", 17, 32) and text[17:32] == "Sarah\n  Johnson"
+    assert find("Born  15 \t March\n1985 here", "1985-03-15")[1:] == (6, 21)
+    assert find("a\nPatient: Sarah Jonson\nb", "Sarah Johnson")[1] == 11
+    assert find("nobody here", "Sarah Johnson") == (None, None, None) and find("abd", "abc") == (None, None, None)
+
+
 def test_quality_and_gates(spark):
     good = "The chest CT shows a nodule in the right lung lobe with mild pleural effusion. " * 6
     assert one(spark, good, Q.quality)["overall"] > 0.7 > one(spark, "cl3@r p@t13nt x#9 l1v3r", Q.quality)["overall"]
