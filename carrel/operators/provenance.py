@@ -147,53 +147,79 @@ def tight_excerpt(source: Column, value: Column) -> Column:
 RESOLVED = T.ArrayType(T.StructType([T.StructField("field", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("resolution", T.StringType())]))
 
 
-def fuzzy_find(text: str, excerpt: str, claimed: list[tuple[int, int]] = (), places: int = 5) -> tuple[int, int] | None:
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _end_distances(text: np.ndarray, excerpt: np.ndarray) -> np.ndarray:
+    """For each end in text, the fewest insertions and deletions between the excerpt and any piece that ends there."""
+    steps = np.arange(len(text) + 1, dtype=np.int32)
+    row = np.zeros(len(text) + 1, np.int32)
+    for c in excerpt:
+        new = row + 1
+        np.minimum(new[1:], np.where(text == c, row[:-1], row[1:] + 1), out=new[1:])
+        row = np.minimum.accumulate(new - steps) + steps
+    return row
+
+
+def fuzzy_find(text: str, excerpt: str, claimed: list[tuple[int, int]] = ()) -> tuple[int, int] | None:
     """Window of text that is most like an excerpt: 90 % for short excerpts, 80 % from 40 characters on.
 
-    Five-letter pieces of the excerpt vote for the places where it would begin; the windows at the `places` best voted ones are
-    compared, in five lengths up to a fifth shorter or longer.
+    All windows from a fifth shorter to a fifth longer count; of equal ones the shortest, then the first. SequenceMatcher never
+    matches more than the longest common subsequence, so a window can be left out where that is too short for the likeness
+    asked or already reached: first by the best piece that ends or begins there, then by the window itself.
     """
     n = len(excerpt)
     if not n or not text:
         return None
     least = 0.90 if n < 40 else 0.80
-    k = min(5, n)
-    where: dict[str, list[int]] = {}
-    wanted = {excerpt[i : i + k] for i in range(n - k + 1)}
-    for at in range(len(text) - k + 1):
-        piece = text[at : at + k]
-        if piece in wanted:
-            where.setdefault(piece, []).append(at)
-    votes = np.zeros(len(text) + 2 * n + 1, np.int32)
-    for i in range(n - k + 1):
-        if at := where.get(excerpt[i : i + k]):
-            np.add.at(votes, np.asarray(at) - i + n, 1)
-    around = np.convolve(votes, np.ones(max(3, n // 5), np.int32), "same")
-    best, found = 0.0, None
-    matcher = SequenceMatcher(None, "", excerpt, autojunk=False)
-    for _ in range(places):
-        top = int(around.argmax())
-        # an 80 % likeness leaves a good part of the pieces whole
-        if around[top] < max(1, (n - k + 1) // 8):
+    short, long = max(1, int(n * 0.8)), min(int(n * 1.2), len(text))
+    if long < short:
+        return None
+    t, x = _codes(text), _codes(excerpt)
+    at_end, at_start = _end_distances(t, x), _end_distances(t[::-1], x[::-1])[::-1]
+    bound = lambda same, w: 2.0 * same / (n + w)
+    free = np.ones(len(text) + 1, np.int64)
+    for cs, ce in claimed:
+        free[cs:ce] = 0
+    taken = np.concatenate([[0], np.cumsum(1 - free[:-1])])
+    windows = []
+    for w in range(short, long + 1):
+        fewest = np.maximum(at_start[: len(text) + 1 - w], at_end[w:])
+        # at least |n - w| changes, and as many as make n + w - changes even
+        same = (n + w - np.maximum(fewest, abs(n - w))) // 2
+        ok = (2.0 * same / (n + w) >= least) & (taken[w:] == taken[: len(text) + 1 - w])
+        windows += [(-bound(int(same[s]), w), w, int(s)) for s in np.flatnonzero(ok)]
+    windows.sort()
+    masks: dict[str, int] = {}
+    for i, c in enumerate(excerpt):
+        masks[c] = masks.get(c, 0) | 1 << i
+    full = (1 << n) - 1
+    common: dict[int, list[int]] = {}
+
+    def subsequence(s: int, w: int) -> int:
+        if s not in common:
+            v, lengths = full, [0]
+            for c in text[s : s + long]:
+                u = v & masks.get(c, 0)
+                v = ((v + u) | (v - u)) & full
+                lengths.append(n - v.bit_count())
+            common[s] = lengths
+        return common[s][w]
+
+    best: tuple[float, int, int] | None = None  # (-likeness, length, start)
+    matcher = SequenceMatcher(None, excerpt, "", autojunk=False)
+    for limit, w, s in windows:
+        if best and limit > best[0]:
             break
-        low = max(0, top - max(3, n // 5) // 2)
-        exact = low + int(votes[low : top + max(3, n // 5) // 2 + 1].argmax()) - n
-        for s, size in [(max(0, exact), n), *((max(0, exact + d), z) for d in (0, -1, 1) for z in (int(n * 0.9), int(n * 1.1) + 1, int(n * 0.8), int(n * 1.2)))]:
-            e = min(len(text), s + max(1, size))
-            if e <= s or any(s < ce and cs < e for cs, ce in claimed):
-                continue
-            matcher.set_seq1(text[s:e])
-            if matcher.real_quick_ratio() <= best or matcher.quick_ratio() <= best:
-                continue
-            r = matcher.ratio()
-            if r > best:
-                best, found = r, (s, e)
-            if best >= 0.97:
-                return found
-            if size == n and r < 0.6:
-                break
-        around[max(0, top - n // 2) : top + n // 2 + 1] = 0
-    return found if best >= least else None
+        closest = (-bound(subsequence(s, w), w), w, s)
+        if -closest[0] < least or best and closest >= best:
+            continue
+        matcher.set_seq2(text[s : s + w])
+        r = matcher.ratio()
+        if r >= least and (best is None or (-r, w, s) < best):
+            best = (-r, w, s)
+    return (best[2], best[2] + best[1]) if best else None
 
 
 def resolve_evidence(text: Column, evidence: Column) -> Column:

@@ -1,4 +1,6 @@
 import json
+import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,6 +106,37 @@ def test_tight_excerpts_squash_white_space_and_forgive_misspelling(spark):
     assert find("nobody here", "Sarah Johnson") == (None, None, None) and find("abd", "abc") == (None, None, None)
 
 
+def every_window(text, excerpt, claimed=()):
+    """The best of all windows, compared one by one."""
+    n, best, found = len(excerpt), 0.0, None
+    for w in range(max(1, int(n * 0.8)), min(int(n * 1.2) + 1, len(text) + 1)):
+        for i in range(len(text) - w + 1):
+            if all(i + w <= cs or i >= ce for cs, ce in claimed):
+                r = SequenceMatcher(None, excerpt, text[i : i + w], autojunk=False).ratio()
+                if r > best:
+                    best, found = r, (i, i + w)
+    return found if best >= (0.9 if n < 40 else 0.8) else None
+
+
+def test_fuzzy_find_compares_every_window():
+    # a template on many pages, the true place further on
+    excerpt = "Findings of the chest: nodule of 14 mm in the left lower lobe."
+    pages = "".join(f"Findings of the chest: nodule of {k} mm in the xxxxx upper part. " for k in range(20, 50))
+    text = pages + excerpt.replace("left", "letf") + pages
+    assert G.fuzzy_find(text, excerpt) == (len(pages), len(pages) + len(excerpt))
+    # a change about every fifth letter leaves no five-letter piece whole
+    worn = "".join("#" if i % 5 == 4 else c for i, c in enumerate(excerpt))
+    assert G.fuzzy_find("aa " * 50 + worn + " bb" * 50, excerpt) == (150, 150 + len(excerpt))
+    r = random.Random(5)
+    for _ in range(60):
+        source = "".join(r.choice("abcd ") for _ in range(140))
+        s, n = r.randrange(90), r.choice((3, 6, 12, 20, 41, 45))
+        asked = "".join(c for c in source[s : s + n] if r.random() > 0.06)
+        asked = "".join(r.choice("abcd") if r.random() < 0.06 else c for c in asked)
+        claimed = [(s, s + 3)] if r.random() < 0.3 else []
+        assert G.fuzzy_find(source, asked, claimed) == every_window(source, asked, claimed)
+
+
 def test_quality_and_gates(spark):
     good = "The chest CT shows a nodule in the right lung lobe with mild pleural effusion. " * 6
     assert one(spark, good, Q.quality)["overall"] > 0.7 > one(spark, "cl3@r p@t13nt x#9 l1v3r", Q.quality)["overall"]
