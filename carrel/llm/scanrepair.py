@@ -36,6 +36,7 @@ FOLD_PAIRS = [("ﬁ", "fi"), ("vv", "w"), ("rn", "m"), ("ri", "n"), ("cl", "d")]
 FOLD_LETTERS = str.maketrans({"@": "a", "0": "o", "1": "l", "i": "l", "|": "l", "5": "s", "9": "g", "8": "b", "h": "b", "c": "e", "f": "t"})
 ROMAN = re.compile(r"x{0,3}(?:ix|iv|v?i{0,3})")
 EDGE_LINES = 3
+RARER = 20
 HYPHENS = "-‐‑¬­"
 PUNCT = ".,;:()"
 
@@ -148,25 +149,33 @@ _TOKEN = re.compile(r"\S+")
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, clean, scanned): how often each word occurs in texts that never were on paper and in scanned ones.
+    """(word, clean, scanned, clean_texts): how often each word occurs in rows that never were on paper, in different scanned
+    texts, and in different texts that never were on paper.
 
-    The parts of a word broken at a line's end do not count.
+    Copies of a scan under other ids count once, or their misread words would be as common as right ones. The parts of a word
+    broken at a line's end do not count.
     """
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            seen: dict[bool, Counter] = {False: Counter(), True: Counter()}
-            for text, scanned in zip(pdf["text"], pdf["scanned"]):
+            seen: dict[str, Counter] = {"clean": Counter(), "scanned": Counter(), "clean_texts": Counter()}
+            for text, scanned, copies in zip(pdf["text"], pdf["scanned"], pdf["copies"]):
                 if scanned:
                     text = re.sub(rf"\S+[{HYPHENS}]\s*\n\s*\S+", " ", text)
                 for w, n in Counter(_TOKEN.findall(text)).items():
                     if len(w) <= 60:
-                        seen[bool(scanned)][word_key(w)] += n
-            rows = [(w, n, 0) for w, n in seen[False].items()] + [(w, 0, n) for w, n in seen[True].items()]
-            yield pd.DataFrame(rows, columns=["word", "clean", "scanned"])
+                        key = word_key(w)
+                        if scanned:
+                            seen["scanned"][key] += n
+                        else:
+                            seen["clean"][key] += n * copies
+                            seen["clean_texts"][key] += n
+            words = sorted(set(seen["clean"]) | set(seen["scanned"]))
+            yield pd.DataFrame({"word": words} | {k: [c[w] for w in words] for k, c in seen.items()}, columns=["word", "clean", "scanned", "clean_texts"])
 
-    counted = docs.select("text", "scanned").mapInPandas(count, "word string, clean bigint, scanned bigint")
-    return counted.where("word <> ''").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("scanned").alias("scanned"))
+    texts = docs.groupBy("scanned", F.md5("text").alias("digest")).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    counted = texts.select("text", "scanned", "copies").mapInPandas(count, "word string, clean bigint, scanned bigint, clean_texts bigint")
+    return counted.where("word <> ''").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("clean", "scanned", "clean_texts")])
 
 
 def edge_rows(scans: DataFrame) -> DataFrame:
@@ -370,18 +379,22 @@ def damage(docs: DataFrame, most_known: int = 100_000) -> DataFrame:
     proposed = forms.mapInPandas(propose, "kind string, left string, right string, form string, word string, cost int")
     counted = proposed.join(words, "word").groupBy("kind", "left", "right").agg(
         # the own count of an unknown word, which a repair must clearly exceed
-        F.max(F.when(F.col("cost") == 0, F.col("clean"))).alias("own_clean"), F.max(F.when(F.col("cost") == 0, F.col("scanned"))).alias("own_scanned"),
+        F.max(F.when(F.col("cost") == 0, F.col("clean_texts"))).alias("own_clean"), F.max(F.when(F.col("cost") == 0, F.col("scanned"))).alias("own_scanned"),
         F.max(F.when(F.col("cost") == 0, F.struct(F.col("clean") + F.col("scanned"), "form"))).alias("as_is"),
         F.max(F.when(F.col("cost") > 0, F.struct(-F.col("cost"), F.col("clean") + F.col("scanned"), "form"))).alias("nearest"),
         F.max(F.when(F.col("cost") > 0, F.struct(F.col("clean") + F.col("scanned"), -F.col("cost"), "form"))).alias("commonest"),
     )
-    total = F.coalesce("own_clean", F.lit(0)) + F.coalesce("own_scanned", F.lit(0))
+    own_clean, own_scanned = F.coalesce("own_clean", F.lit(0)), F.coalesce("own_scanned", F.lit(0))
+    total = own_clean + own_scanned
     enough = lambda n: (n >= 3) & (n >= 5 * total)
     near, common = F.col("nearest"), F.col("commonest")
     repair = F.when(enough(near["col2"]), near["form"]).when(enough(common["col1"]), common["form"])
-    chosen = counted.select(
+    # a form is a word of its own unless it is RARER times rarer in clean texts than in scanned ones, both as shares of all words
+    sums = words.agg(F.coalesce(F.sum("clean_texts"), F.lit(0)).alias("all_clean"), F.coalesce(F.sum("scanned"), F.lit(0)).alias("all_scanned"))
+    misread = own_clean.cast("double") * F.col("all_scanned") * RARER <= own_scanned.cast("double") * F.col("all_clean")
+    chosen = counted.crossJoin(F.broadcast(sums)).select(
         "kind", "left", "right",
-        F.when(F.col("kind") == "hyphen", F.when(F.col("as_is").isNotNull(), F.col("as_is.form")).otherwise(repair)).when(F.coalesce("own_clean", F.lit(0)) == 0, repair).alias("best"),
+        F.when(F.col("kind") == "hyphen", F.when(F.col("as_is").isNotNull(), F.col("as_is.form")).otherwise(repair)).when((own_clean == 0) | misread, repair).alias("best"),
     )
     settled = open_.join(chosen, ["kind", "left", "right"], "left").select(
         "doc", "loaded_id", "line", F.when(F.col("kind") == "hyphen", "hyphen").otherwise("misread").alias("damage"), "left", "right",

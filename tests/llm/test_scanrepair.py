@@ -39,6 +39,21 @@ def test_damage_and_paragraphs(spark):
     assert texts[50] == "The kidney is modern."
 
 
+def test_copies_of_a_scan_count_once(spark):
+    text = "The nausca was mild and the kidney looked modern."
+    clean = [(1000 + i, f"{CLEAN} {i}", None, None, 1) for i in range(4)]
+    scans = [(i, text, None, "ocr", 1) for i in range(60)]
+    got = {(r.loaded_id, r.repaired) for r in R.damage(spark.createDataFrame(clean + scans, SCHEMA)).collect() if r.damage == "misread"}
+    assert got == {(i, "nausea") for i in range(60)}
+
+
+def test_a_slip_in_a_clean_text_is_no_veto(spark):
+    clean = [(1000 + i, f"{CLEAN} {i}", None, None, 1) for i in range(60)] + [(2000, "Severe nausca at night.", None, None, 1), (2001, "The calf and the half were sore.", None, None, 1)]
+    scans = [(i, f"The nausca was mild {'abcdefgh'[i] * 3}.", None, "ocr", 1) for i in range(8)]
+    got = {(r.loaded_id, r.repaired) for r in R.damage(spark.createDataFrame(clean + scans, SCHEMA)).collect() if r.damage == "misread"}
+    assert got == {(i, "nausea") for i in range(8)}
+
+
 def test_empty(spark):
     assert R.damage(spark.createDataFrame([], SCHEMA)).count() == 0
 
