@@ -4,7 +4,9 @@ Content-defined chunks: a rolling hash over two neighbouring words cuts each nor
 splits are joined and the lengths of shared chunks summed into overlap fractions. Only the rarest chunks of a note enter
 the join: those left out make up at most `uncovered` of its words, so two notes that share more than that fraction in chunks
 share a joined one whatever the frequencies are. Boilerplate chunks, however often they occur, thus cost nothing and no
-cap is needed. Candidate pairs are then measured exactly: words in common, each as often as it occurs, against the longer.
+cap is needed. Pairs that share a joined chunk are measured exactly, however little it covers: words in common, each as often
+as it occurs, against the longer. Only pairs whose bitmaps prove a smaller overlap are left out before that: a bit that one
+note has and the other lacks stands for at least one word occurrence that the other lacks.
 
 Notes with the same bag of words are one class; chunks, join and measure see one representative, and pairs of records are
 written by membership only at the end.
@@ -16,10 +18,12 @@ disagree keeps each text, and a pair counts if any of them match; extra columns
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,12 +64,29 @@ def word_bag(tokens: list[str]) -> list[int]:
     return out
 
 
+BITMAP_WORDS = 16
+
+
+def bitmap(bag: list[int]) -> list[int]:
+    """One bit for each member of a bag, modulo 64 * BITMAP_WORDS, as signed 64-bit numbers."""
+    bits = 0
+    for x in bag:
+        bits |= 1 << x % (64 * BITMAP_WORDS)
+    return [_signed(bits >> 64 * i & MASK) for i in range(BITMAP_WORDS)]
+
+
+def lacking(a: str, b: str) -> Column:
+    """At least so many members of the bag of bitmap columns a0, a1, ... are not in that of b0, b1, ..."""
+    return reduce(add, [F.bit_count(F.col(f"{a}{i}").bitwiseAND(F.bitwise_not(f"{b}{i}"))) for i in range(BITMAP_WORDS)])
+
+
 PROFILE = T.StructType([
     T.StructField("side", T.IntegerType()),
     T.StructField("rid", T.LongType()),
     T.StructField("class_id", T.BinaryType()),
     T.StructField("n", T.IntegerType()),
     T.StructField("bag", T.ArrayType(T.LongType())),
+    T.StructField("bits", T.ArrayType(T.LongType())),
     T.StructField("chunks", T.ArrayType(T.StructType([T.StructField("digest", T.LongType()), T.StructField("len", T.IntegerType())]))),
 ])
 
@@ -83,20 +104,20 @@ def note_profiles(notes: DataFrame, divisor: int = 4) -> DataFrame:
                     for digest, n in content_chunks(tokens, divisor):
                         chunks.setdefault(digest, n)
                     name = xxhash.xxh3_128_digest(" ".join(sorted(tokens)))
-                    out.append((side, rid, name, len(tokens), word_bag(tokens), [{"digest": d, "len": n} for d, n in chunks.items()]))
+                    bag = word_bag(tokens)
+                    out.append((side, rid, name, len(tokens), bag, bitmap(bag), [{"digest": d, "len": n} for d, n in chunks.items()]))
             yield pd.DataFrame(out, columns=PROFILE.names)
 
     return notes.mapInPandas(profile, PROFILE)
 
 
 def same_notes(
-    train: DataFrame, test: DataFrame, id_col: str, text_col: str, least_overlap: float = 0.8, divisor: int = 4, uncovered: float = 0.15, least_chunk_share: float = 0.04
+    train: DataFrame, test: DataFrame, id_col: str, text_col: str, least_overlap: float = 0.8, divisor: int = 4, uncovered: float = 0.15
 ) -> DataFrame:
     """(train_id, test_id, overlap, chunk_overlap) of all pairs whose overlap is least_overlap or more.
 
-    uncovered: share of a note's words whose (most frequent) chunks stay out of the join. least_chunk_share: least share of
-    the longer note that the joined chunks must cover before the pair is measured. chunk_overlap is the summed length of
-    shared joined chunks over the longer note's words; it is 1.0 within a class.
+    uncovered: share of a note's words whose (most frequent) chunks stay out of the join. chunk_overlap is the summed length of
+    different shared joined chunks over the longer note's words; it is 1.0 within a class.
     """
     one = lambda df, side: df.select(F.lit(side).alias("side"), F.col(id_col).cast("bigint").alias("rid"), F.col(text_col).alias("text"))
     notes = one(train, 0).unionByName(one(test, 1)).where(F.col("rid").isNotNull() & F.col("text").isNotNull()).distinct()
@@ -107,7 +128,7 @@ def same_notes(
         F.first("n").alias("n"), F.max(F.col("side") == 0).alias("in_train"), F.max(F.col("side") == 1).alias("in_test"),
         F.min(F.struct("side", "rid")).alias("rep"),
     )
-    reps = profiles.select(F.struct("side", "rid").alias("rep"), "class_id", "bag", "chunks").dropDuplicates(["class_id", "rep"])
+    reps = profiles.select(F.struct("side", "rid").alias("rep"), "class_id", "bag", "bits", "chunks").dropDuplicates(["class_id", "rep"])
     classes = cut(classes.join(reps, ["class_id", "rep"]).drop("rep"))  # read by four branches
 
     chunks = classes.select("class_id", "n", "in_train", "in_test", F.explode("chunks").alias("c")).select("class_id", "n", "in_train", "in_test", "c.digest", "c.len")
@@ -129,14 +150,17 @@ def same_notes(
         lambda acc: acc["kept"],
     )
     kept = ranked.select("class_id", "n", "in_train", "in_test", F.explode(covered).alias("c")).select("class_id", "n", "in_train", "in_test", "c.digest", "c.len")
-    a = kept.where("in_train").select("digest", "len", F.col("class_id").alias("ca"), F.col("n").alias("na"))
-    b = kept.where("in_test").select("digest", F.col("class_id").alias("cb"), F.col("n").alias("nb"))
+    marks = classes.select("class_id", *[F.col("bits")[i].alias(f"m{i}") for i in range(BITMAP_WORDS)])
+    kept = kept.join(marks, "class_id")
+    side = lambda x: [F.col("class_id").alias(f"c{x}"), F.col("n").alias(f"n{x}"), *[F.col(f"m{i}").alias(f"{x}{i}") for i in range(BITMAP_WORDS)]]
+    a = kept.where("in_train").select("digest", "len", *side("a"))
+    b = kept.where("in_test").select("digest", *side("b"))
+    shared = F.least(F.col("na") - lacking("a", "b"), F.col("nb") - lacking("b", "a"))
     near = (
         a.join(b, "digest")
-        .where((F.col("ca") != F.col("cb")) & (F.least("na", "nb") >= least_overlap * F.greatest("na", "nb")))
+        .where((F.col("ca") != F.col("cb")) & (F.least("na", "nb") >= least_overlap * F.greatest("na", "nb")) & (shared >= least_overlap * F.greatest("na", "nb")))
         .groupBy("ca", "cb")
         .agg((F.sum("len") / F.first(F.greatest("na", "nb"))).alias("chunk_overlap"))
-        .where(F.col("chunk_overlap") >= least_chunk_share)
     )
     bag = lambda c, k: classes.select(F.col("class_id").alias(c), F.col("bag").alias(k))
     measured = (

@@ -50,6 +50,15 @@ def test_copies_nulls_and_repeats(spark):
     assert found(spark, [], test) == set() and found(spark, train, []) == set()
 
 
+def test_repeated_lines(spark):
+    # 50 times one line of ten words, one word changed: the different chunks are a fiftieth of the note
+    line = [f"l{i}" for i in range(10)]
+    changed = line * 50
+    changed[255] = "edited"
+    train, test = [(1, " ".join(line * 50), 0), (2, "nothing of the kind", 0)], [(9, " ".join(changed), 0)]
+    assert found(spark, train, test) == brute(train, test) == {(1, 9)}
+
+
 def test_hot_copies(spark):
     text = " ".join(f"t{i}" for i in range(80))
     train = [(i, text, 0) for i in range(40)] + [(100 + i, f"other {i} words here", 0) for i in range(60)]
