@@ -48,7 +48,36 @@ ID_LABEL = (
     r"Pass(?:nr|nummer)|Member(?:ship)?\s+(?:no|number|id|nr)|Patient(?:en)?[\s-]?(?:ID|no|number|nr|nummer)|Ausweis(?:nr|nummer)?|Medical\s+record\s+(?:no|number)|Insurance\s+(?:no|number)|Hospital\s+(?:no|number)|ID(?:\s*(?:no|number))?)"
 )
 ID = re.compile(rf"(?<!\w){ID_LABEL}\.?\s*[:#=]?\s*(?P<id>(?=[\w-]*\d)[A-Z]{{0,4}}-?\d[\dA-Z]*(?:[\s-]\d[\dA-Z]*){{0,4}}(?<=[\d\w]))(?!\w)", re.I)
-ID_BARE = re.compile(r"(?<![\w-])(?P<id>VLM-\d{4,6}-\d\d|666-\d\d-\d{4}|000\s\d\d\s\d{4}|[A-Z]\d{9}|[A-Z]{2}\d{7}|P\d{6}|00\d{6})(?![\w-]|\.\d)")
+# Without a label: national numbers by their general form (and check, id_holds), then forms of passports, insurers and hospitals,
+# which have no public check; 000 and 666 are areas never issued, which specimens use.
+ID_BARE = re.compile(
+    r"(?<![\w-])(?P<id>(?P<ssn>\d{3}-\d\d-\d{4}|(?<!\d\s)\d{3} \d\d \d{4}|000\s\d\d\s\d{4})|(?P<nhs>(?<!\d\s)[1-9]\d\d \d{3} \d{4})"
+    r"|[A-Z]{2,4}-\d{4,6}-\d\d|[A-Z]\d{9}|[A-Z]{2}\d{7}|P\d{6}|00\d{6})(?![\w-]|\.\d)"
+)
+_DIALLED = re.compile(r"(?:\+|(?<!\d)00)\d{1,3}[\s./-]?(?:\(0\)\s?)?$|\)\s?$")
+_CALL = re.compile(r"(?:call|phone|telephone|tel|mobile|cell|fax|pager|reachable|contact)\b[\s:.]*(?:at|on|no|number)?[\s:.]*$", re.I)
+
+
+def id_holds(m: re.Match) -> bool:
+    """Whether a find of ID_BARE passes the check of its kind: SSN areas, groups and serials, NHS check digits."""
+    before = m.string[max(0, m.start() - 40) : m.start()]
+    if _NO_DETAIL.search(before):
+        return False
+    digits = re.sub(r"\D", "", m["id"])
+    if m["ssn"]:
+        area, group, serial = digits[:3], digits[3:5], digits[5:]
+        if area in ("000", "666"):
+            return True
+        # from 900 on: taxpayer numbers, by their groups
+        n = int(group)
+        return not _DIALLED.search(before) and serial != "0000" and (n > 0 if area < "900" else 50 <= n <= 65 or 70 <= n <= 99 and n not in (89, 93))
+    if m["nhs"]:
+        # a number of the fictional exchange 555 or behind a word for calling is a phone's
+        check = -sum(w * int(d) for w, d in zip(range(10, 1, -1), digits)) % 11
+        return check == int(digits[9]) and digits[3:6] != "555" and not _DIALLED.search(before) and not _CALL.search(before)
+    return True
+
+
 _NO_DETAIL = re.compile(r"(?:serial|lot|batch|device|accession|readings?\s+(?:were|was|of)|sequence|series|request|form|protocol|code|ref(?:erence)?|order|model|version|catalogue|article|invoice)\b[\s:#.]*(?:no|nr|number)?[\s:#.]*$", re.I)
 
 # How streets end or begin.
@@ -188,7 +217,7 @@ def find_details(text: str | None, lexicon: Lexicon, alone: bool = False) -> lis
     for m in ID.finditer(text):
         found.append(("ID", *m.span("id")))
     for m in ID_BARE.finditer(text):
-        if not _NO_DETAIL.search(text, max(0, m.start() - 40), m.start()):
+        if id_holds(m):
             found.append(("ID", *m.span("id")))
     for m in PHONE.finditer(text):
         digits = sum(c.isdigit() for c in m[0])

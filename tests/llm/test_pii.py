@@ -21,6 +21,25 @@ def test_details(text, found):
     assert [(k, text[s:e]) for k, s, e in P.find_details(text, LEX)] == found
 
 
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("Seen today, 123-45-6789, in ward 2", ["123-45-6789"]), ("number 123 45 6789 given", ["123 45 6789"]), ("666-14-8332 and 000 86 9404", ["666-14-8332", "000 86 9404"]), ("taxpayer 912-70-1234", ["912-70-1234"]),
+        ("123-00-6789", []), ("123-45-0000", []), ("912-10-1234", []), ("Device serial 611-07-7964 was recorded", []), ("dose 5 123 45 6789", []),
+        ("born 1950, 943 476 5919, ward 2", ["943 476 5919"]), ("401 023 2137 on file", ["401 023 2137"]), ("401 023 2138 on file", []), ("Request form 943 476 5919 was scanned", []),
+        ("insured XQ-79838-11 since", ["XQ-79838-11"]), ("Order XQ-79838-11 since", []),
+    ],
+)
+def test_numbers_without_a_label(text, found):
+    assert [text[s:e] for k, s, e in P.find_details(text, LEX) if k == "ID"] == found
+    assert all(n not in P.redact(text, LEX, b"k") for n in found)
+
+
+def test_phones_are_no_identity_numbers():
+    for text in ("+49 123-45-6789", "call 943 476 5919", "+1 943 476 5919", "353 555 0128"):
+        assert "ID" not in {k for k, _, _ in P.find_details(text, LEX)}
+
+
 @pytest.mark.parametrize("n", range(1, 16))
 def test_feistel_is_a_permutation(n):
     key = b"k"
