@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carrel.session import table
+from carrel.session import cut, table
 
 TYPES = ("NAME", "EMAIL", "PHONE", "ID", "ADDRESS")
 
@@ -130,8 +130,10 @@ def _words(name: str) -> list[str]:
 class Lexicon:
     """Known given and family names, lower case; a part of a double name counts by itself."""
 
-    def __init__(self, given: frozenset[str], family: frozenset[str]) -> None:
+    def __init__(self, given: frozenset[str], family: frozenset[str], rest: DataFrame | None = None) -> None:
         self.given, self.family = given, family
+        #: (kind, word) of the words that are too many to travel to the tasks; texts meet them in a join
+        self.rest = rest
         words = sorted(given, key=len, reverse=True)
         self.any_given = re.compile(r"(?<![\w@.-])(?:" + "|".join(map(re.escape, words)) + r")(?![\w@])", re.I) if words else None
 
@@ -298,8 +300,8 @@ def redact(text: str | None, lexicon: Lexicon, key: bytes) -> str | None:
 
 # ---- tables ---------------------------------------------------------------------------------------------------------
 def learn_lexicon(texts: DataFrame, least: int = 2, most: int = 200_000) -> Lexicon:
-    """Name words that stand at sure places at least `least` times over all texts (column text); the `most` most frequent
-    of each kind, which bounds what is sent to the tasks."""
+    """Name words that stand at sure places at least `least` times over all texts (column text). The `most` most frequent
+    of each kind travel to the tasks, the others are the rest that texts meet in a join."""
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
@@ -310,10 +312,49 @@ def learn_lexicon(texts: DataFrame, least: int = 2, most: int = 200_000) -> Lexi
 
     counted = texts.select("text").where("text IS NOT NULL").mapInPandas(count, "kind string, word string, n bigint").groupBy("kind", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     words: dict[str, frozenset] = {}
+    beyond = None
     for kind in ("given", "family"):
-        rows = counted.where(F.col("kind") == kind).orderBy(F.desc("n"), "word").limit(most).collect()
+        rows = counted.where(F.col("kind") == kind).orderBy(F.desc("n"), "word").limit(most + 1).collect()
+        if len(rows) > most:
+            first = rows.pop()
+            rarer = (F.col("kind") == kind) & ((F.col("n") < first["n"]) | ((F.col("n") == first["n"]) & (F.col("word") >= first["word"])))
+            beyond = rarer if beyond is None else beyond | rarer
         words[kind] = frozenset(r["word"] for r in rows if r["word"] not in NOT_NAMES)
-    return Lexicon(words["given"], words["family"])
+    rest = None if beyond is None else cut(counted.where(beyond & ~F.col("word").isin(sorted(NOT_NAMES))).select("kind", "word"))
+    return Lexicon(words["given"], words["family"], rest)
+
+
+def name_pieces(text: str) -> set[str]:
+    """Lower-case forms of a text that may be words of the lexicon: words, and their parts between apostrophes."""
+    out = set()
+    for token in set(re.findall(r"[\w'’]+", text.lower())):
+        parts = re.findall(r"\w+|['’]", token)
+        out.update("".join(parts[i:j]) for i in range(len(parts)) for j in range(i + 1, len(parts) + 1))
+    return out
+
+
+def with_rest(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """texts with a column rest: array<struct<kind, word>> of the words of lexicon.rest that each text holds, or null."""
+    if lexicon.rest is None:
+        return texts.withColumn("rest", F.lit(None).cast("array<struct<kind: string, word: string>>"))
+
+    def split(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            yield pd.DataFrame([(k, w) for k, t in zip(pdf["key"], pdf["text"]) for w in name_pieces(t)], columns=["key", "word"])
+
+    # equal texts hold equal words
+    pieces = texts.where("text IS NOT NULL").select(F.md5("text").alias("key"), "text").dropDuplicates(["key"]).mapInPandas(split, "key string, word string")
+    held = pieces.join(lexicon.rest, "word").groupBy("key").agg(F.collect_list(F.struct("kind", "word")).alias("rest"))
+    return texts.withColumn("key", F.md5("text")).join(held, "key", "left").drop("key")
+
+
+def lexicon_of(text: str, known: Lexicon, rest) -> Lexicon:
+    """The lexicon as far as it concerns a text: the known one, or where the text holds words of the rest, what it holds of both."""
+    if rest is None or not len(rest):
+        return known
+    pieces = name_pieces(text)
+    more = {kind: {r["word"] for r in rest if r["kind"] == kind} for kind in ("given", "family")}
+    return Lexicon(frozenset(pieces & known.given | more["given"]), frozenset(pieces & known.family | more["family"]))
 
 
 def all_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -332,11 +373,11 @@ def details(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
         known = Lexicon(given, family)
         for pdf in parts:
             out = []
-            for source, i, text in zip(pdf["source_table"], pdf["record_id"], pdf["text"]):
-                out += [(source, i, kind, re.sub(r"\s+", " ", text[s:e]).strip(), s, e) for kind, s, e in find_details(text, known)]
+            for source, i, text, rest in zip(pdf["source_table"], pdf["record_id"], pdf["text"], pdf["rest"]):
+                out += [(source, i, kind, re.sub(r"\s+", " ", text[s:e]).strip(), s, e) for kind, s, e in find_details(text, lexicon_of(text, known, rest))]
             yield pd.DataFrame(out, columns=names)
 
-    return texts.mapInPandas(run, "source_table string, record_id bigint, phi_type string, phi_text string, char_start bigint, char_end bigint")
+    return with_rest(texts, lexicon).mapInPandas(run, "source_table string, record_id bigint, phi_type string, phi_text string, char_start bigint, char_end bigint")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -351,9 +392,10 @@ def redacted(texts: DataFrame, lexicon: Lexicon, key: bytes) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Lexicon(given, family)
         for pdf in parts:
-            yield pdf.assign(text=[redact(t, known, key) for t in pdf["text"]])
+            done = [redact(t, lexicon_of(t, known, rest), key) for t, rest in zip(pdf["text"], pdf["rest"])]
+            yield pdf.assign(text=done).drop(columns="rest")
 
-    return texts.mapInPandas(run, "source_table string, record_id bigint, text string")
+    return with_rest(texts, lexicon).mapInPandas(run, "source_table string, record_id bigint, text string")
 
 
 def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:

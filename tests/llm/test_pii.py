@@ -67,3 +67,17 @@ def test_tables(spark):
     assert got == {(1, "Torben Ostford"), (2, "Torben Lund"), (3, "Torben")}
     assert P.redacted(texts, lexicon, b"k").count() == 4
     assert P.details(texts.limit(0), P.learn_lexicon(texts.limit(0))).count() == 0
+
+
+def test_names_beyond_the_cap_are_found(spark):
+    names = [("Torben", "Ostford"), ("Sunniva", "Lund"), ("Perrine", "O'Halberg")]
+    rows = [("t", 10 * k + i, f"Patient: {g} {f}, born") for k, (g, f) in enumerate(names) for i in range(2 + k)]
+    rows += [("t", 100 + k, f"later {g}'s cough; {f} says so, and {g.lower()} {f.lower()} too") for k, (g, f) in enumerate(names)] + [("t", 200, None)]
+    texts = spark.createDataFrame(rows, "source_table string, record_id long, text string")
+    whole, capped = P.learn_lexicon(texts), P.learn_lexicon(texts, most=1)
+    assert len(whole.given) == 3 and len(capped.given) == 1
+    some = texts.where("text is not null")
+    want = sorted(map(tuple, P.details(some, whole).collect()))
+    assert sorted(map(tuple, P.details(some, capped).collect())) == want and {r[1] for r in want} >= {100, 101, 102}
+    hidden = lambda lexicon: sorted(map(tuple, P.redacted(some, lexicon, b"k").collect()))
+    assert hidden(capped) == hidden(whole) and P.redacted(texts, capped, b"k").count() == len(rows)
