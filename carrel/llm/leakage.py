@@ -2,12 +2,13 @@
 
 All item texts are cut into blocks of six words; the squeezed blocks (folded letters and digits only, so that case, spacing,
 punctuation, quote marks, line breaks and look-alikes do not matter) go into one Aho-Corasick automaton, and every document
-is scanned once. Twenty-five words in a row hold at least three whole blocks, and a whole text with one word in ten changed
-keeps more than that, so a document and an item that share three blocks are looked at again: the runs are extended letter by
+is scanned once. Twenty-five words in a row hold at least three whole blocks; a whole text with one word in ten changed keeps as
+many as the changes leave, one at least (short items have shorter blocks). A document and an item that share three blocks, or
+as many as such a copy keeps if fewer, are looked at again: the runs are extended letter by
 letter, and a whole text is aligned with the part of the document around its blocks. Offsets are mapped to the original.
 
 Defined results: null or empty texts hold nothing; repeated rows count once; items with equal texts are each reported; an
-item shorter than three blocks is found only as a whole, through the blocks it has.
+item shorter than a run is found only as a whole.
 """
 
 from __future__ import annotations
@@ -44,15 +45,24 @@ class Item:
         self.words = len(parts)
         self.bounds = frozenset(self.starts)
 
-    def blocks(self) -> list[tuple[int, int]]:
+    def blocks(self, size: int = BLOCK_WORDS) -> list[tuple[int, int]]:
         """(start, end) in the squeezed text of consecutive blocks; a rest of half a block or more counts as one."""
         out = []
-        for k in range(0, self.words, BLOCK_WORDS):
-            last = min(k + BLOCK_WORDS, self.words) - 1
-            if last - k + 1 >= BLOCK_WORDS // 2:
+        for k in range(0, self.words, size):
+            last = min(k + size, self.words) - 1
+            if last - k + 1 >= size / 2:
                 out.append((self.starts[k], self.ends[last]))
         return out
 
+    def search_blocks(self, changed: float) -> tuple[list[tuple[int, int]], int]:
+        """The blocks to look for, and how many of them a copy with the allowed changes keeps (at most LEAST_BLOCKS, at least
+        one): as long as leave one whole, since each changed word spoils one block at most."""
+        spoilt = int(changed * self.words + 1)
+        for size in range(BLOCK_WORDS, 0, -1):
+            out = self.blocks(size)
+            if len(out) > spoilt or size == 1:
+                return out, max(1, min(LEAST_BLOCKS, len(out) - spoilt))
+
     def words_inside(self, a: int, b: int) -> int:
         """Number of whole words within [a, b)."""
         first = bisect_left(self.starts, a)
@@ -66,9 +76,10 @@ class Scanner:
         self.changed = changed
         self.automaton = ahocorasick.Automaton()
         patterns: dict[str, list[tuple[int, int, int]]] = defaultdict(list)
-        self.n_blocks = []
+        self.need, self.n_blocks = [], []
         for k, item in enumerate(self.items):
-            blocks = item.blocks()
+            blocks, need = item.search_blocks(changed)
+            self.need.append(need)
             self.n_blocks.append(len(blocks))
             for b, (s, e) in enumerate(blocks):
                 patterns[item.text[s:e]].append((k, b, s))
@@ -89,12 +100,11 @@ class Scanner:
                 hits[k].append((end + 1 - n, s, n, b))
         out = []
         for k, found in hits.items():
-            need = min(LEAST_BLOCKS, self.n_blocks[k])
-            if len({b for *_, b in found}) >= need and (best := self._measure(doc, self.items[k], found)):
+            if len({b for *_, b in found}) >= self.need[k] and (best := self._measure(doc, self.items[k], found, self.n_blocks[k])):
                 out.append((self.items[k].item_id, *best))
         return out
 
-    def _measure(self, doc: str, item: Item, found: list) -> tuple[str, int, int, int] | None:
+    def _measure(self, doc: str, item: Item, found: list, n_blocks: int) -> tuple[str, int, int, int] | None:
         best = (0, 0, 0)
         done: list[tuple[int, int, int]] = []
         for d, s, n, _ in sorted(found):
@@ -113,13 +123,13 @@ class Scanner:
                 best = (n_words, a + item.starts[first] - i, b - (j - item.ends[last]))
         if best[0] >= min(RUN_WORDS, item.words):
             return ("run" if best[0] < item.words else "whole", *best)
-        return self._whole(doc, item, found)
+        return self._whole(doc, item, found, n_blocks)
 
-    def _whole(self, doc: str, item: Item, found: list) -> tuple[str, int, int, int] | None:
+    def _whole(self, doc: str, item: Item, found: list, n_blocks: int) -> tuple[str, int, int, int] | None:
         """The whole text with up to `changed` of its words misspelt, replaced or added."""
         n = len(item.text)
         slack = n // 6 + 12
-        least = len(item.blocks()) - int(self.changed * item.words + 1)
+        least = n_blocks - int(self.changed * item.words + 1)
         tried: list[int] = []
         for d, s, _, _ in sorted(found):
             start = d - s

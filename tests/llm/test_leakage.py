@@ -46,3 +46,15 @@ def test_runs_against_brute_force():
         s = r.randrange(len(w) - n)
         text = " ".join(r.sample(WORDS, 20)) + " zzz " + " ".join(w[s : s + n]) + " zzz " + " ".join(r.sample(WORDS, 20))
         assert {x[0] for x in scanner.scan(text)} == ({k} if n >= 25 else set()), n
+
+
+def test_short_items_with_changed_words():
+    for n in range(10, 41):
+        w = R.sample(WORDS, n)
+        scanner = Scanner([(1, " ".join(w))])
+        changed = list(w)
+        # as many as are allowed, each in another block
+        for k in range(n // 10):
+            changed[k * 6 + 3] = "zzother"
+        assert [x[0] for x in scanner.scan("intro zzz " + " ".join(changed) + " zzz end")] == [1], n
+        assert not scanner.scan(" ".join(x if i % 2 else "zzother" for i, x in enumerate(w)))
