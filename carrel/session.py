@@ -18,6 +18,7 @@ def build_session(cores: str = "8", partitions: int = 8, memory: str = "12g") ->
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -54,15 +55,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
+    """Cut the lineage with a reliable checkpoint in the folder the cluster names in spark.checkpoint.dir.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where none is named
-    (tests, local runs) a temporary folder is used.
+    Where none is named, a session on this machine alone (master local[...]) gets a temporary folder and any other one an
+    error, since a folder of the driver's machine would not serve the executors. The files go when the session's references to
+    them do, with spark.cleaner.referenceTracking.cleanCheckpoints, which build_session sets.
     """
     sc = df.sparkSession.sparkContext
-    named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder; set it to one that all executors share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "carrel_checkpoints"))
     return df.checkpoint(eager=True)
-
-
