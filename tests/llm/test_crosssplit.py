@@ -68,3 +68,41 @@ def test_hot_copies(spark):
 def test_chunks_cover_the_words():
     tokens = [f"w{i % 17}" for i in range(500)]
     assert sum(n for _, n in content_chunks(tokens)) == 500 and content_chunks([]) == []
+
+
+def test_chunk_overlap_is_measured(spark):
+    a = [f"a{i}" for i in range(60)]
+    turned = a[30:] + a[:30]
+    mixed = list(a)
+    random.Random(1).shuffle(mixed)
+    train = spark.createDataFrame([(1, " ".join(a), 0)], SCHEMA)
+    test = spark.createDataFrame([(2, " ".join(a).upper(), 0), (3, " ".join(turned), 0), (4, " ".join(mixed), 0)], SCHEMA)
+    rows = {r.test_id: r for r in same_notes(train, test, "record_id", "document_text").collect()}
+    # the same words in another order are the same note, yet share few chunks
+    assert set(rows) == {2, 3, 4} and all(r.overlap == 1.0 for r in rows.values())
+    assert rows[2].chunk_overlap == 1.0 and 0.4 < rows[3].chunk_overlap < 1.0 and rows[4].chunk_overlap < 0.2
+
+
+def scattered(seed, share, n=40, size=70):
+    """Notes of few different words with words replaced at random places."""
+    r = random.Random(seed)
+    vocab = [f"w{i}" for i in range(2000)]
+    train = [(i, " ".join(r.choice(vocab) for _ in range(size)), 0) for i in range(n)]
+    test = []
+    for i, t, _ in train:
+        w = t.split()
+        for k in r.sample(range(size), int(size * r.uniform(0, share))):
+            w[k] = r.choice(vocab)
+        test.append((1000 + i, " ".join(w), 0))
+    return train, test
+
+
+def test_scattered_changes(spark):
+    lost = total = 0
+    for seed in range(2):
+        train, test = scattered(seed, 0.2)
+        want, got = brute(train, test), found(spark, train, test)
+        assert got <= want
+        total += len(want)
+        lost += len(want - got)
+    assert lost <= 0.02 * total, (lost, total)
