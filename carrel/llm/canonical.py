@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import combinations, permutations
+from itertools import permutations
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -94,6 +94,35 @@ class Trie:
         visit(self.root, [i if i <= limit else far for i in range(n + 1)], None, "", 0)
         return found
 
+    def begins(self, text: str, limit: int) -> bool:
+        """Whether some path begins with a form of the text at most limit edits away."""
+        n = len(text)
+        far = limit + 1
+
+        def visit(node: dict, row: list[int], before: list[int] | None, last: str, depth: int) -> bool:
+            if row[n] <= limit:
+                return True
+            low, high = max(1, depth + 1 - limit), min(n, depth + 1 + limit)
+            if low > n:
+                return False
+            for c, child in node.items():
+                if c == "":
+                    continue
+                new = [far] * (n + 1)
+                if depth < limit:
+                    new[0] = depth + 1
+                for i in range(low, high + 1):
+                    t = text[i - 1]
+                    d = row[i - 1] if t == c else 1 + min(row[i - 1], row[i], new[i - 1])
+                    if t != c and before is not None and i > 1 and t == last and text[i - 2] == c:
+                        d = min(d, before[i - 2] + 1)
+                    new[i] = d
+                if min(new) <= limit and visit(child, new, row, c, depth + 1):
+                    return True
+            return False
+
+        return visit(self.root, [i if i <= limit else far for i in range(n + 1)], None, "", 0)
+
     def completions(self, prefix: str) -> set[str]:
         """Codes of all paths that start with the prefix."""
         node = self.root
@@ -130,74 +159,134 @@ def _squeeze(tokens: list[str]) -> str:
 
 
 class Reference:
-    """The trie of one vocabulary; rows are (code, names), the term first."""
+    """The trie of one vocabulary; rows are (code, names), the term first.
+
+    Names of up to most_permuted words stand in the trie in every order of their words; longer ones in their own order and
+    with the words sorted, and values of so many words are searched in both ways too.
+    """
 
     def __init__(self, rows: list[tuple[str, list[str]]], most_permuted: int = 4) -> None:
         self.trie = Trie()
-        self.names: list[tuple[str, list[str]]] = []
+        self.most_permuted = most_permuted
+        #: first letters of a name's words, sorted -> (code, words): only these can be what shortened words stand for
+        self.by_letters: dict[str, list[tuple[str, list[str]]]] = {}
+        self.beginnings: set[str] = set()
+        self.long_words: set[str] = set()
+        self.longest = self.most_words = 0
         for code, names in rows:
             for name in [*names, *(n.replace("ß", "ss") for n in names if "ß" in n)]:
-                tokens = _tokens(name)
+                tokens = [t.rstrip(".") for t in _tokens(name)]
                 if not tokens:
                     continue
-                self.names.append((code, tokens))
-                orders = permutations(tokens) if len(tokens) <= most_permuted else [tokens]
+                self.by_letters.setdefault("".join(sorted(t[0] for t in tokens)), []).append((code, tokens))
+                self.beginnings.update(t[:k] for t in tokens for k in range(1, len(t) + 1))
+                if len(tokens) > most_permuted:
+                    self.long_words.update(tokens)
+                orders = permutations(tokens) if len(tokens) <= most_permuted else [tokens, sorted(tokens)]
                 for order in orders:
-                    self.trie.add(_squeeze(list(order)), code)
+                    self.trie.add("".join(order), code)
+                self.longest = max(self.longest, sum(map(len, tokens)))
+                self.most_words = max(self.most_words, len(tokens))
+
+    def readings(self, parts: list[str]) -> Iterator[tuple[int, list[str]]]:
+        """(remarks left out, words) of the head with any of its remarks, those with most remarks first.
+
+        A remark is taken up only where an entry can go on with it, so their number follows the entries, not the value.
+        """
+        found: list[tuple[int, list[str]]] = []
+        remarks = [_tokens(p) for p in parts[1:]]
+
+        def extend(tokens: list[str], at: int, left_out: int) -> None:
+            found.append((left_out + len(remarks) - at, tokens))
+            for k in range(at, len(remarks)):
+                if self._can_go_on(more := tokens + remarks[k]):
+                    extend(more, k + 1, left_out + k - at)
+
+        extend(_tokens(parts[0]), 0, 0)
+        yield from sorted(found, key=lambda x: x[0])
+
+    def _can_go_on(self, tokens: list[str]) -> bool:
+        text = _squeeze(tokens).removesuffix("ly")
+        if len(text) > self.longest + 2:
+            return False
+        if any(t.endswith(".") for t in tokens) or len(tokens) > self.most_permuted:
+            return len(tokens) <= self.most_words and all(t[:-1] in self.beginnings for t in tokens if t.endswith("."))
+        # the words of a long name may come in any order, which the trie does not hold
+        return self.trie.begins(text, 2) or len(tokens) <= self.most_words and self.long_words.issuperset(tokens)
 
     def lookup(self, typed: str) -> dict[str, int]:
-        """code -> distance of the nearest entries that fit; shortened words count as exact."""
+        """code -> rank of the entries that fit, the best having the least.
+
+        An entry met exactly ranks by the remarks left out, behind it one met by shortened words; entries met with d edits rank
+        from FAR + d on. Ranks do not depend on the other entries, so that blocks of a reference can be put together.
+        """
         parts = [p for p in re.split(r"\s*[,;()\[\]]\s*|\s+[-–:]\s+", typed.strip()) if re.search(r"\w", p)]
-        if not parts:
-            return {}
         best: dict[str, int] = {}
-        # the head with any of its remarks: the most inclusive reading first
-        for k in range(len(parts) - 1, -1, -1):
-            for extra in combinations(parts[1:4], min(k, 3)):
-                for code, d in self._whole([parts[0], *extra]).items():
-                    if d < best.get(code, 99):
-                        best[code] = d
-                if 0 in best.values():
-                    return best
+        if not parts:
+            return best
+        exact_at = None
+        for left_out, tokens in self.readings(parts):
+            if exact_at is not None and left_out > exact_at:
+                break
+            for code, (d, short) in self._whole(tokens).items():
+                rank = FAR + d if d else 2 * min(left_out, FAR // 2 - 1) + short
+                if d == 0:
+                    exact_at = left_out
+                best[code] = min(rank, best.get(code, rank))
         return best
 
-    def _whole(self, parts: list[str]) -> dict[str, int]:
-        tokens = [t for p in parts for t in _tokens(p)]
-        text = _squeeze(tokens)
+    def _whole(self, tokens: list[str]) -> dict[str, tuple[int, bool]]:
+        """code -> (edits, whether shortened words stand for it)."""
         found: dict[str, int] = {}
-        for limit in range(distance_limit(len(text) + 1) + 1):
-            if found := self.trie.within(text, limit):
-                break
-        if text.endswith("ly"):
-            stem = text[:-2]
+        texts = [_squeeze(tokens)]
+        if len(tokens) > self.most_permuted:
+            texts.append(_squeeze(sorted(tokens)))
+        if len(texts[0]) <= self.longest + 2:
+            for limit in range(distance_limit(len(texts[0]) + 1) + 1):
+                for text in texts:
+                    for code, d in self.trie.within(text, limit).items():
+                        found[code] = min(d, found.get(code, d))
+                if found:
+                    break
+        if texts[0].endswith("ly") and len(texts[0]) <= self.longest + 4:
+            stem = texts[0][:-2]
             for code, d in self.trie.within(stem, distance_limit(len(stem))).items():
-                found[code] = min(d, found.get(code, 99))
-        if any(t.endswith(".") for t in tokens) and (not found or min(found.values()) > 0):
+                found[code] = min(d, found.get(code, d))
+        out = {code: (d, False) for code, d in found.items()}
+        if any(t.endswith(".") for t in tokens):
             for code in self._shortened(tokens):
-                found[code] = 0
-        return found
+                if out.get(code, (1,))[0] > 0:
+                    out[code] = (0, True)
+        return out
 
     def _shortened(self, tokens: list[str]) -> set[str]:
         """Codes of the entries whose words start with the shortened ones."""
         if len(tokens) == 1:
             stem = tokens[0].rstrip(".")
             return self.trie.completions(stem) if len(stem) >= 2 else set()
-        out = set()
-        for code, name in self.names:
-            if len(name) == len(tokens) and any(
-                all(n.startswith(t[:-1]) if t.endswith(".") else n == t for n, t in zip(order, tokens)) for order in permutations(name)
-            ):
-                out.add(code)
-        return out
+        letters = "".join(sorted(t[0] for t in tokens))
+        return {code for code, name in self.by_letters.get(letters, ()) if _stand_for(tokens, name)}
 
     def best(self, typed: str) -> tuple[str, int | None]:
-        """(code, distance), or NONE if nothing or more than one code fits best."""
+        """(code, edits), or NONE if nothing or more than one code fits best."""
         found = self.lookup(typed)
         if not found:
             return "NONE", None
         least = min(found.values())
         codes = [c for c, d in found.items() if d == least]
-        return (codes[0], least) if len(codes) == 1 else ("NONE", least)
+        return (codes[0] if len(codes) == 1 else "NONE", max(0, least - FAR))
+
+
+#: Ranks from here on are those of entries that are only near.
+FAR = 1_000_000
+
+
+def _stand_for(tokens: list[str], name: list[str]) -> bool:
+    """Whether each token is a different word of the name, those with a full stop its beginning."""
+    if not tokens:
+        return not name
+    t = tokens[0]
+    return any((n.startswith(t[:-1]) if t.endswith(".") else n == t) and _stand_for(tokens[1:], name[:k] + name[k + 1 :]) for k, n in enumerate(name))
 
 
 def _reference_rows(ontology: DataFrame) -> DataFrame:
@@ -214,48 +303,47 @@ def _reference_rows(ontology: DataFrame) -> DataFrame:
 def match_values(values: DataFrame, ontology: DataFrame, block_rows: int = 20_000) -> DataFrame:
     """(vocabulary, value) to (vocabulary, value, code, distance).
 
-    The distinct values are searched. The reference goes to the tasks in blocks of at most block_rows entries (one block
-    here); with several blocks the best code over all of them counts.
+    The distinct values are searched, spread over all cores. The reference goes to the tasks in blocks of about block_rows
+    entries (one block here); the entries of the least rank over all blocks count, as in one block.
     """
-    distinct = values.select("vocabulary", "value").where("vocabulary IS NOT NULL AND value IS NOT NULL").distinct()
+    cores = values.sparkSession.sparkContext.defaultParallelism
+    distinct = values.select("vocabulary", "value").where("vocabulary IS NOT NULL AND value IS NOT NULL").distinct().repartition(cores, "vocabulary", "value")
     rows = _reference_rows(ontology)
-    size = rows.count()
-    blocks = max(1, -(-size // block_rows))
+    blocks = max(1, -(-rows.count() // block_rows))
     keyed = rows.withColumn("block", F.pmod(F.xxhash64("vocabulary", "code"), F.lit(blocks)))
-    parts = []
+    found = None
     for b in range(blocks):
         entries: dict[str, list] = {}
-        for r in keyed.where(F.col("block") == b).sort("vocabulary", "code").collect():  # at most about block_rows entries
+        for r in keyed.where(F.col("block") == b).sort("vocabulary", "code").collect():  # about block_rows entries
             entries.setdefault(r["vocabulary"], []).append((r["code"], list(r["names"])))
-        parts.append(_search(distinct, entries))
-    if blocks == 1:
-        found = parts[0]
-    else:
-        found = parts[0]
-        for p in parts[1:]:
-            found = found.unionByName(p)
-    # one row a value: the best code, NONE where two blocks tie
-    best = found.groupBy("vocabulary", "value").agg(F.collect_list(F.struct("distance", "code")).alias("all"))
-    least = F.array_min(F.transform("all", lambda x: F.coalesce(x["distance"], F.lit(99))))
-    codes = F.array_distinct(F.transform(F.filter("all", lambda x: F.coalesce(x["distance"], F.lit(99)) == least), lambda x: x["code"]))
-    return best.select(
-        "vocabulary", "value", F.when(F.size(codes) == 1, F.get(codes, F.lit(0))).otherwise("NONE").alias("code"), F.when(least < 99, least).alias("distance")
+        part = _search(distinct, entries)
+        found = part if found is None else found.unionByName(part)
+    if blocks > 1:
+        # the entries of the least rank, over all blocks
+        all_ = found.groupBy("vocabulary", "value").agg(F.collect_list(F.struct("rank", "codes")).alias("all"))
+        least = F.array_min(F.transform("all", lambda x: x["rank"]))
+        found = all_.select("vocabulary", "value", least.alias("rank"), F.flatten(F.transform(F.filter("all", lambda x: x["rank"] == least), lambda x: x["codes"])).alias("codes"))
+    return found.select(
+        "vocabulary", "value", F.when(F.size("codes") == 1, F.get("codes", F.lit(0))).otherwise("NONE").alias("code"), F.greatest(F.col("rank") - FAR, F.lit(0)).alias("distance")
     )
 
 
 def _search(distinct: DataFrame, entries: dict[str, list]) -> DataFrame:
+    """(vocabulary, value, rank, codes): the entries of the least rank, both null and empty where none fits."""
+
     def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tries = {v: Reference(rows) for v, rows in entries.items()}
         for pdf in parts:
             out = []
             for vocabulary, value in zip(pdf["vocabulary"], pdf["value"]):
-                code, distance = tries[vocabulary].best(value) if vocabulary in tries else ("NONE", None)
-                out.append((vocabulary, value, code, distance))
-            frame = pd.DataFrame(out, columns=["vocabulary", "value", "code", "distance"])
-            frame["distance"] = frame["distance"].astype("Int32")
+                found = tries[vocabulary].lookup(value) if vocabulary in tries else {}
+                least = min(found.values(), default=None)
+                out.append((vocabulary, value, least, [c for c, d in found.items() if d == least]))
+            frame = pd.DataFrame(out, columns=["vocabulary", "value", "rank", "codes"])
+            frame["rank"] = frame["rank"].astype("Int32")
             yield frame
 
-    return distinct.mapInPandas(search, "vocabulary string, value string, code string, distance int")
+    return distinct.mapInPandas(search, "vocabulary string, value string, rank int, codes array<string>")
 
 
 def finding_values(reports: DataFrame) -> DataFrame:

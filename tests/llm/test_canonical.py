@@ -55,3 +55,14 @@ def test_tables(spark):
     values = spark.createDataFrame([("anatomy", "Lebr"), ("severity", "mlid"), ("colour", "x")], "vocabulary string, value string")
     assert {(r.value, r.code) for r in match_values(values, onto, block_rows=1).collect()} == {("Lebr", "A4"), ("mlid", "S1"), ("x", "NONE")}
     assert match_values(values.limit(0), onto).count() == 0
+
+
+def test_blocks_do_not_matter(spark):
+    entries = [("A", "liver left lobe", None), ("B", "liver", None), ("C", "kidney", ["renal organ"]), ("D", "right upper abdominal wall muscle", None), ("E", "kidnez", None)]
+    onto = spark.createDataFrame([(t, c, "anatomy", s) for c, t, s in entries], "term string, code string, vocabulary string, synonyms array<string>")
+    typed = ["liver, left lobe", "liver, new", "left lobe (liver)", "liv. left lob.", "kidne", "kidney", "muscle, new, seen before, right, wall, upper, abdominal", "muscle abdominal upper right wall", "liver, a, b, c, d, left lobe", "kidn.", "toe", "liver" + ", left" * 400]
+    values = spark.createDataFrame([("anatomy", v) for v in typed], "vocabulary string, value string")
+    results = [{(r.value, r.code, r.distance) for r in match_values(values, onto, block_rows=n).collect()} for n in (20_000, 2, 1)]
+    assert results[0] == results[1] == results[2]
+    codes = {v: c for v, c, _ in results[0]}
+    assert [codes[v] for v in typed[:-1]] == ["A", "B", "A", "A", "NONE", "C", "D", "D", "A", "NONE", "NONE"]
