@@ -24,10 +24,6 @@ NOT_WS = r"[^\s\x1c-\x1f]"
 #: The white space of a natural boundary, as far as a core takes it in.
 _BREAK = rf"(?:(?<=[.!?]){WS}|\n){WS}{{0,18}}"
 _PARAGRAPH = rf"\n[^\S\n]{{0,4}}\n{WS}{{0,14}}"
-#: Text without a natural boundary inside.
-STRETCH = rf"(?U)(?:\A[^\S\n]++)?{NOT_WS}++(?:(?<![.!?])[^\S\n]++{NOT_WS}++)*+(?:(?<![.!?])[^\S\n]++\z)?"
-
-
 def core_pattern(limit: int = LIMIT, overlap: int = OVERLAP) -> str:
     body = limit - overlap
     room = body - 20
@@ -79,21 +75,30 @@ def with_pieces(docs: DataFrame, id_col: str, text_col: str, limit: int = LIMIT,
 
 
 def unbroken_stretches(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(doc_id, char_start, char_end) of stretches over the limit without a natural boundary.
+    """(doc_id, char_start, char_end) of stretches over the limit without a natural boundary inside.
 
-    Only texts with a piece that had to end elsewhere are scanned.
+    They come from the cores alone: one that ends at no boundary holds none, so a stretch goes from the first letter of the
+    first of such cores in a row to the first boundary of the core behind them, which its lazy alternative finds.
     """
     forced = pieces.where(F.exists("pieces", lambda p: ~p["natural"]))
-    parts = forced.select("doc_id", F.regexp_extract_all("text", F.lit(f"{STRETCH}|{WS}+"), F.lit(0)).alias("parts"))
-    sized = parts.select("doc_id", "parts", F.transform("parts", lambda p: F.char_length(p)).alias("lens"))
-    long = sized.select(
-        "doc_id",
-        F.explode(F.filter(
-            F.transform("lens", lambda n, i: F.when((n > limit) & F.element_at("parts", i + 1).rlike(NOT_WS), F.struct(
-                F.aggregate(F.slice("lens", F.lit(1), i), F.lit(0).cast("bigint"), lambda a, b: a + b).alias("at"), n.cast("bigint").alias("n")))),
-            lambda x: x.isNotNull())).alias("s"),
-    )
-    return long.select("doc_id", F.col("s.at").alias("char_start"), (F.col("s.at") + F.col("s.n")).alias("char_end")).distinct()
+    cores = F.transform("pieces", lambda p: F.struct(p["core_start"].alias("s"), p["char_end"].alias("e"), p["natural"].alias("natural")))
+    first = F.filter(F.transform(cores, lambda c, i: F.when(~c["natural"] & ((i == 0) | F.get(cores, i - 1)["natural"]), i)), lambda i: i.isNotNull())
+    runs = forced.select("doc_id", "text", cores.alias("cores"), F.explode(first).alias("i"))
+    # the first core behind the run; the text's last core counts as ending at a boundary
+    after = F.get(F.filter(F.sequence(F.col("i") + 1, F.size("cores") - 1), lambda j: F.get(F.col("cores"), j)["natural"]), F.lit(0))
+    runs = runs.select("doc_id", "text", F.get(F.col("cores"), F.col("i"))["s"].alias("s"), F.get(F.col("cores"), after).alias("last"))
+    core = F.expr("substring(text, int(last.s) + 1, int(last.e - last.s))")
+    # white space before a stretch is no part of it unless the text begins with it
+    lead = F.char_length(F.regexp_extract(F.expr("substring(text, int(s) + 1, int(last.e - s))"), rf"(?U)\A{WS}*+", 0))
+    start = F.when((F.col("s") == 0) & ~F.expr("substring(text, 1, 1)").rlike(r"\n") & (lead > 0) & ~F.regexp_extract(F.col("text"), rf"(?U)\A{WS}*+", 0).contains("\n"), F.lit(0)).otherwise(F.col("s") + lead)
+    end = F.col("last.s") + F.char_length(F.regexp_extract(core, stretch_end(limit), 0))
+    out = runs.select("doc_id", start.cast("bigint").alias("char_start"), end.cast("bigint").alias("char_end"))
+    return out.where(F.col("char_end") - F.col("char_start") > limit).distinct()
+
+
+def stretch_end(limit: int = LIMIT) -> str:
+    """The rest of a stretch at the beginning of a core: up to the white space of the first natural boundary."""
+    return rf"(?sU)\A.{{0,{limit}}}?(?=[^\S\n]*\n|(?<=[.!?]){WS}|\z)"
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
