@@ -143,7 +143,7 @@ class Scanner:
                 continue
             low = max(0, start - slack)
             if word_starts is None:
-                word_starts = np.cumsum([0, *(len(squeeze(w)) for w in text.split())])[:-1]
+                word_starts = np.unique(np.cumsum([0, *(len(squeeze(w)) for w in text.split())])[:-1])  # a word of signs alone is none
             changes, a, b = changed_words(item, doc[low : start + n + slack], word_starts[np.searchsorted(word_starts, low) :] - low)
             if changes <= self.changed * item.words:
                 return ("whole", item.words - changes, low + a, low + b)

@@ -71,14 +71,16 @@ def test_items_of_any_length_with_changed_words():
                     kind = r.randrange(3)
                     made[k] = "".join(r.choice("qrstuvwxyz") for _ in range(6)) if kind == 0 else made[k][:2] + "z" + made[k][2:] if kind == 1 else made[k] + " zzadded"
                 doc = " ".join([*r.sample(WORDS, 15), *made, *r.sample(WORDS, 15)])
+                # signs by themselves are no words
+                doc = doc.replace(" ", " / ", r.randrange(60))
                 got = bool(Scanner([(1, " ".join(w))]).scan(doc))
-                fewest = fewest_changes(w, doc.split())
+                fewest = fewest_changes(w, [x for x in doc.split() if x != "/"])
                 if fewest <= 0.1 * n:
                     cases += 1
                     missed += not got
                 else:
                     # a run of 25 intact words is a case of its own
-                    runs = " ".join(doc.split())
+                    runs = " ".join(x for x in doc.split() if x != "/")
                     run = any(" ".join(w[k : k + 25]) in runs for k in range(n - 24))
                     false += got and not run
     assert cases > 400 and missed <= 0.01 * cases and false == 0, (cases, missed, false)
