@@ -13,7 +13,6 @@ earlier, then the longer one; dates, organisations, devices, lots, signs and sco
 from __future__ import annotations
 
 import hashlib
-import hmac
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -32,6 +31,7 @@ _AT = r"\s*(?:@|\(\s*at\s*\)|\[\s*at\s*\]|\{\s*at\s*\}|<at>)\s*"
 _DOT = r"(?:\.|\s*(?:\(\s*dot\s*\)|\[\s*dot\s*\]|\{\s*dot\s*\}|<dot>)\s*)"
 EMAIL = re.compile(rf"(?<![\w.+-])[\w%+-]+(?:{_DOT}[\w%+-]+)*{_AT}[\w-]+(?:{_DOT}[\w-]+)*{_DOT}[A-Za-z]{{2,}}(?![\w@])", re.I)
 
+_AT_SIGN = re.compile(r"[(\[{<]\s*at\s*[)\]}>]", re.I)
 _SEP = r"[\s./-]"
 PHONE = re.compile(
     r"(?<![\w.,/+-])(?:"
@@ -127,6 +127,21 @@ def _words(name: str) -> list[str]:
     return [w for w in re.findall(r"[\w'’]+", name)]
 
 
+_TOKEN, _PART = re.compile(r"[\w'’]+"), re.compile(r"\w+")
+
+
+def name_pieces(text: str) -> set[str]:
+    """Lower-case forms of a text that may be words of the lexicon: words, and their parts between apostrophes."""
+    low = text.lower()
+    out = set(_PART.findall(low))
+    if "'" in low or "’" in low:
+        for token in _TOKEN.findall(low):
+            if "'" in token or "’" in token:
+                parts = re.findall(r"\w+|['’]", token)
+                out.update("".join(parts[i:j]) for i in range(len(parts)) for j in range(i + 1, len(parts) + 1))
+    return out
+
+
 class Lexicon:
     """Known given and family names, lower case; a part of a double name counts by itself."""
 
@@ -134,8 +149,24 @@ class Lexicon:
         self.given, self.family = given, family
         #: (kind, word) of the words that are too many to travel to the tasks; texts meet them in a join
         self.rest = rest
-        words = sorted(given, key=len, reverse=True)
-        self.any_given = re.compile(r"(?<![\w@.-])(?:" + "|".join(map(re.escape, words)) + r")(?![\w@])", re.I) if words else None
+
+    def given_in(self, text: str) -> Iterator[tuple[int, int]]:
+        """Where given names stand, by look-up of the words, however many names there are."""
+        if self.given.isdisjoint(name_pieces(text)):
+            return
+        for m in _TOKEN.finditer(text):
+            # parts between apostrophes count by themselves, the longest first
+            parts = [(k.start(), k.end()) for k in _PART.finditer(text, m.start(), m.end())]
+            i = 0
+            while i < len(parts):
+                for j in range(len(parts), i, -1):
+                    s, e = parts[i][0], parts[j - 1][1]
+                    if text[s:e].lower() in self.given and text[s - 1 : s] not in ("@", ".", "-") and text[e : e + 1] != "@":
+                        yield s, e
+                        i = j
+                        break
+                else:
+                    i += 1
 
     def is_family(self, text: str) -> bool:
         parts = [p for p in re.split(r"[\s-]+", text.lower()) if p not in ("van", "von", "de", "der", "den")]
@@ -180,9 +211,8 @@ _INITIAL = re.compile(rf"(?<![\w.])[A-Z]\.\s+(?P<family>{_FAMILY})(?![\w])")
 
 def lexicon_names(text: str, lexicon: Lexicon) -> Iterator[tuple[int, int]]:
     """Names with a known given name, or an initial and a known family name."""
-    if lexicon.any_given:
-        for m in lexicon.any_given.finditer(text):
-            start, end = m.span()
+    if lexicon.given:
+        for start, end in lexicon.given_in(text):
             lower = text[start].islower()
             after = _AFTER_GIVEN.match(text, end)
             if after:
@@ -215,7 +245,9 @@ def find_details(text: str | None, lexicon: Lexicon, alone: bool = False) -> lis
     """(type, start, end) of the details of a text, in order and without overlap. alone: the text is a single field."""
     if not text:
         return []
-    found: list[tuple[str, int, int]] = [("EMAIL", *m.span()) for m in EMAIL.finditer(text)]
+    found: list[tuple[str, int, int]] = []
+    if "@" in text or _AT_SIGN.search(text):
+        found += [("EMAIL", *m.span()) for m in EMAIL.finditer(text)]
     for m in ID.finditer(text):
         found.append(("ID", *m.span("id")))
     for m in ID_BARE.finditer(text):
@@ -241,7 +273,7 @@ def find_details(text: str | None, lexicon: Lexicon, alone: bool = False) -> lis
 
 # ---- pseudonyms -----------------------------------------------------------------------------------------------------
 def _round(key: bytes, tweak: str, i: int, value: str, modulus: int) -> int:
-    return int.from_bytes(hmac.new(key, f"{tweak}|{i}|{value}".encode(), hashlib.sha256).digest()[:16], "big") % modulus
+    return int.from_bytes(hashlib.blake2b(f"{tweak}|{i}|{value}".encode(), key=key[:64], digest_size=16).digest(), "big") % modulus
 
 
 def feistel_digits(digits: str, key: bytes, tweak: str = "", rounds: int = 8, back: bool = False) -> str:
@@ -269,7 +301,10 @@ def pseudonym_number(text: str, key: bytes, back: bool = False) -> str:
     return re.sub(r"\d", lambda _: next(new), text)
 
 
-def pseudonym_date(iso: str, key: bytes, first: date = date(1900, 1, 1), days: int = 73_000, back: bool = False) -> str:
+FIRST_DAY, DAYS = date(1900, 1, 1), 73_000
+
+
+def pseudonym_date(iso: str, key: bytes, first: date = FIRST_DAY, days: int = DAYS, back: bool = False) -> str:
     """A date of the given span permuted within it, by walking the cycles of a five-digit Feistel permutation."""
     n = (date.fromisoformat(iso) - first).days
     if not 0 <= n < days:
@@ -280,22 +315,46 @@ def pseudonym_date(iso: str, key: bytes, first: date = date(1900, 1, 1), days: i
             return (first + timedelta(days=n)).isoformat()
 
 
+# Dates by their notation: year first, day first with full stops, month first with slashes.
+DATE = re.compile(r"(?<![\w./-])(?:(?P<y>\d{4})-(?P<m>\d\d)-(?P<d>\d\d)|(?P<d2>\d{1,2})\.(?P<m2>\d{1,2})\.(?P<y2>\d{4})|(?P<m3>\d{1,2})/(?P<d3>\d{1,2})/(?P<y3>\d{4}))(?![\w/-]|\.\d)")
+
+
+def pseudonym_dates(text: str, key: bytes, back: bool = False) -> str:
+    """Every valid date of a text permuted within its notation; notations of one day stay linked. Other text stays."""
+
+    def other(m: re.Match) -> str:
+        kind = next(k for k in ("", "2", "3") if m["y" + k])
+        try:
+            iso = date(int(m["y" + kind]), int(m["m" + kind]), int(m["d" + kind])).isoformat()
+        except ValueError:
+            return m[0]
+        y, mo, d = pseudonym_date(iso, key, back=back).split("-")
+        if kind == "":
+            return f"{y}-{mo}-{d}"
+        return f"{d}.{mo}.{y}" if kind == "2" else f"{mo}/{d}/{y}"
+
+    return DATE.sub(other, text)
+
+
 def placeholder(kind: str, text: str, key: bytes) -> str:
+    """[TYPE pseudonym]: numbers permuted within their format, a keyed tag for anything else. Equal details have equal ones."""
     plain = re.sub(r"\s+", " ", text).strip()
     if kind in ("PHONE", "ID"):
         return f"[{kind} {pseudonym_number(plain, key)}]"
-    tag = hmac.new(key, f"{kind}|{plain.casefold()}".encode(), hashlib.sha256).hexdigest()[:8]
+    tag = hashlib.blake2b(f"{kind}|{plain.casefold()}".encode(), key=key[:64], digest_size=4).hexdigest()
     return f"[{kind} {tag}]"
 
 
-def redact(text: str | None, lexicon: Lexicon, key: bytes) -> str | None:
+def redact(text: str | None, lexicon: Lexicon, key: bytes, dates: bool = False) -> str | None:
+    """The text with every detail replaced by its placeholder. dates: days are permuted as well, each within its notation."""
     if not text:
         return text
     out, at = [], 0
+    keep = (lambda t: pseudonym_dates(t, key)) if dates else (lambda t: t)
     for kind, s, e in find_details(text, lexicon):
-        out += [text[at:s], placeholder(kind, text[s:e], key)]
+        out += [keep(text[at:s]), placeholder(kind, text[s:e], key)]
         at = e
-    return "".join(out) + text[at:]
+    return "".join(out) + keep(text[at:])
 
 
 # ---- tables ---------------------------------------------------------------------------------------------------------
@@ -311,6 +370,7 @@ def learn_lexicon(texts: DataFrame, least: int = 2, most: int = 200_000) -> Lexi
         yield pd.DataFrame([(k, w, n) for (k, w), n in seen.items()], columns=["kind", "word", "n"])
 
     counted = texts.select("text").where("text IS NOT NULL").mapInPandas(count, "kind string, word string, n bigint").groupBy("kind", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    counted = cut(counted)  # read once for each kind
     words: dict[str, frozenset] = {}
     beyond = None
     for kind in ("given", "family"):
@@ -324,15 +384,6 @@ def learn_lexicon(texts: DataFrame, least: int = 2, most: int = 200_000) -> Lexi
     return Lexicon(words["given"], words["family"], rest)
 
 
-def name_pieces(text: str) -> set[str]:
-    """Lower-case forms of a text that may be words of the lexicon: words, and their parts between apostrophes."""
-    out = set()
-    for token in set(re.findall(r"[\w'’]+", text.lower())):
-        parts = re.findall(r"\w+|['’]", token)
-        out.update("".join(parts[i:j]) for i in range(len(parts)) for j in range(i + 1, len(parts) + 1))
-    return out
-
-
 def with_rest(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
     """texts with a column rest: array<struct<kind, word>> of the words of lexicon.rest that each text holds, or null."""
     if lexicon.rest is None:
@@ -364,9 +415,12 @@ def all_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("record_id IS NOT NULL AND text IS NOT NULL").distinct()
 
 
-def details(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(source_table, record_id, phi_type, phi_text, char_start, char_end) of all details."""
-    names = ["source_table", "record_id", "phi_type", "phi_text", "char_start", "char_end"]
+def details(texts: DataFrame, lexicon: Lexicon, key: bytes) -> DataFrame:
+    """(source_table, record_id, phi_type, phi_text, placeholder, char_start, char_end) of all details.
+
+    placeholder is what stands for the detail in the redacted text, under the key.
+    """
+    names = ["source_table", "record_id", "phi_type", "phi_text", "placeholder", "char_start", "char_end"]
     given, family = lexicon.given, lexicon.family
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -374,25 +428,31 @@ def details(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
         for pdf in parts:
             out = []
             for source, i, text, rest in zip(pdf["source_table"], pdf["record_id"], pdf["text"], pdf["rest"]):
-                out += [(source, i, kind, re.sub(r"\s+", " ", text[s:e]).strip(), s, e) for kind, s, e in find_details(text, lexicon_of(text, known, rest))]
+                for kind, s, e in find_details(text, lexicon_of(text, known, rest)):
+                    plain = re.sub(r"\s+", " ", text[s:e]).strip()
+                    out.append((source, i, kind, plain, placeholder(kind, plain, key), s, e))
             yield pd.DataFrame(out, columns=names)
 
-    return with_rest(texts, lexicon).mapInPandas(run, "source_table string, record_id bigint, phi_type string, phi_text string, char_start bigint, char_end bigint")
+    return with_rest(texts, lexicon).mapInPandas(run, "source_table string, record_id bigint, phi_type string, phi_text string, placeholder string, char_start bigint, char_end bigint")
+
+
+#: Key of the queries; a real one is a secret of at least 16 bytes.
+DEMO_KEY = b"demonstration key"
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = all_texts(spark, sf_dir)
-    return details(texts, learn_lexicon(texts)).select("source_table", "record_id", "phi_type", "phi_text").distinct()
+    return details(texts, learn_lexicon(texts), DEMO_KEY).select("source_table", "record_id", "phi_type", "phi_text").distinct()
 
 
-def redacted(texts: DataFrame, lexicon: Lexicon, key: bytes) -> DataFrame:
-    """(source_table, record_id, text) with every detail replaced by its placeholder."""
+def redacted(texts: DataFrame, lexicon: Lexicon, key: bytes, dates: bool = False) -> DataFrame:
+    """(source_table, record_id, text) with every detail replaced by its placeholder, and with dates every day permuted."""
     given, family = lexicon.given, lexicon.family
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Lexicon(given, family)
         for pdf in parts:
-            done = [redact(t, lexicon_of(t, known, rest), key) for t, rest in zip(pdf["text"], pdf["rest"])]
+            done = [redact(t, lexicon_of(t, known, rest), key, dates) for t, rest in zip(pdf["text"], pdf["rest"])]
             yield pdf.assign(text=done).drop(columns="rest")
 
     return with_rest(texts, lexicon).mapInPandas(run, "source_table string, record_id bigint, text string")
@@ -401,4 +461,4 @@ def redacted(texts: DataFrame, lexicon: Lexicon, key: bytes) -> DataFrame:
 def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text with placeholders, under a fixed demonstration key."""
     texts = all_texts(spark, sf_dir)
-    return redacted(texts, learn_lexicon(texts), b"demonstration key")
+    return redacted(texts, learn_lexicon(texts), DEMO_KEY)

@@ -63,10 +63,10 @@ def test_tables(spark):
     texts = spark.createDataFrame([("t", 1, "Patient: Torben Ostford, born"), ("t", 2, "Signed: Torben Lund, neurology"), ("t", 3, "Torben says"), ("t", 4, None)], "source_table string, record_id long, text string")
     lexicon = P.learn_lexicon(texts)
     assert lexicon.given == {"torben"}
-    got = {(r.record_id, r.phi_text) for r in P.details(texts.where("text is not null"), lexicon).collect()}
+    got = {(r.record_id, r.phi_text) for r in P.details(texts.where("text is not null"), lexicon, b"k").collect()}
     assert got == {(1, "Torben Ostford"), (2, "Torben Lund"), (3, "Torben")}
     assert P.redacted(texts, lexicon, b"k").count() == 4
-    assert P.details(texts.limit(0), P.learn_lexicon(texts.limit(0))).count() == 0
+    assert P.details(texts.limit(0), P.learn_lexicon(texts.limit(0)), b"k").count() == 0
 
 
 def test_names_beyond_the_cap_are_found(spark):
@@ -77,7 +77,38 @@ def test_names_beyond_the_cap_are_found(spark):
     whole, capped = P.learn_lexicon(texts), P.learn_lexicon(texts, most=1)
     assert len(whole.given) == 3 and len(capped.given) == 1
     some = texts.where("text is not null")
-    want = sorted(map(tuple, P.details(some, whole).collect()))
-    assert sorted(map(tuple, P.details(some, capped).collect())) == want and {r[1] for r in want} >= {100, 101, 102}
+    want = sorted(map(tuple, P.details(some, whole, b"k").collect()))
+    assert sorted(map(tuple, P.details(some, capped, b"k").collect())) == want and {r[1] for r in want} >= {100, 101, 102}
     hidden = lambda lexicon: sorted(map(tuple, P.redacted(some, lexicon, b"k").collect()))
     assert hidden(capped) == hidden(whole) and P.redacted(texts, capped, b"k").count() == len(rows)
+
+
+def test_dates_stay_linked():
+    text = "Seen 2024-02-29 and 29.02.2024, also 02/29/2024; born 31.02.1950, build 2024-02-291."
+    made = P.redact(text, LEX, b"k", dates=True)
+    new = P.pseudonym_date("2024-02-29", b"k")
+    y, m, d = new.split("-")
+    assert made == f"Seen {new} and {d}.{m}.{y}, also {m}/{d}/{y}; born 31.02.1950, build 2024-02-291."
+    assert P.pseudonym_dates(made, b"k", back=True) == text and P.redact(text, LEX, b"k") == text
+
+
+def test_details_carry_their_placeholder(spark):
+    texts = spark.createDataFrame([("t", 1, "MRN 8460-6496"), ("t", 2, "call; MRN: 8460-6496, mail a.b@c.org")], "source_table string, record_id long, text string")
+    rows = P.details(texts, P.Lexicon(frozenset(), frozenset()), b"k").collect()
+    ids = {r.placeholder for r in rows if r.phi_type == "ID"}
+    assert len(ids) == 1 and P.pseudonym_number(ids.pop()[4:-1], b"k", back=True) == "8460-6496"
+
+
+def test_many_names_cost_no_more():
+    import time
+
+    text = "Seen by Torben Ostford; d'Arcy Lund's cough. " * 40
+    few = P.Lexicon(frozenset({"torben", "d'arcy"}), frozenset({"ostford", "lund"}))
+    many = P.Lexicon(few.given | {f"x{i}y" for i in range(50_000)}, few.family)
+    P.find_details(text, few)
+    spent = []
+    for lexicon in (few, many):
+        began = time.perf_counter()
+        got = P.find_details(text, lexicon)
+        spent.append(time.perf_counter() - began)
+    assert got == P.find_details(text, few) and spent[1] < 5 * spent[0] + 0.05
