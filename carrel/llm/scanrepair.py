@@ -120,8 +120,8 @@ def page_lines(text: str, pages) -> list[list[int]]:
     return [list(range(len(lines)))]
 
 
-def page_edges(text: str, pages) -> list[tuple[int, int, int, str, str]]:
-    """(page, line, place, line text, body): place 1, 2, 3 from the top, -1, -2, -3 from the bottom; blank lines do not count.
+def page_edges(text: str, pages, edge_lines: int = EDGE_LINES) -> list[tuple[int, int, int, str, str]]:
+    """(page, line, place, line text, body): place 1, 2, ... from the top, -1, -2, ... from the bottom, edge_lines of each; blank lines do not count.
 
     body is a line two places further in than the edge, which tells copies of a page from pages that only share a header.
     """
@@ -130,11 +130,11 @@ def page_edges(text: str, pages) -> list[tuple[int, int, int, str, str]]:
     for page, numbers in enumerate(page_lines(text, pages)):
         full = [k for k in numbers if lines[k].strip()]
         seen = set()
-        for place in range(1, EDGE_LINES + 1):
+        for place in range(1, edge_lines + 1):
             for k, p in ((place - 1, place), (len(full) - place, -place)):
                 if 0 <= k < len(full) and full[k] not in seen:
                     seen.add(full[k])
-                    deep = EDGE_LINES + 1 if p > 0 else len(full) - EDGE_LINES - 2
+                    deep = edge_lines + 1 if p > 0 else len(full) - edge_lines - 2
                     out.append((page, full[k], p, lines[full[k]].strip(), lines[full[min(max(deep, 0), len(full) - 1)]].strip()))
     return out
 
@@ -163,13 +163,12 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 if scanned:
                     text = re.sub(rf"\S+[{HYPHENS}]\s*\n\s*\S+", " ", text)
                 for w, n in Counter(_TOKEN.findall(text)).items():
-                    if len(w) <= 60:
-                        key = word_key(w)
-                        if scanned:
-                            seen["scanned"][key] += n
-                        else:
-                            seen["clean"][key] += n * copies
-                            seen["clean_texts"][key] += n
+                    key = word_key(w)
+                    if scanned:
+                        seen["scanned"][key] += n
+                    else:
+                        seen["clean"][key] += n * copies
+                        seen["clean_texts"][key] += n
             words = sorted(set(seen["clean"]) | set(seen["scanned"]))
             yield pd.DataFrame({"word": words} | {k: [c[w] for w in words] for k, c in seen.items()}, columns=["word", "clean", "scanned", "clean_texts"])
 
@@ -178,7 +177,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return counted.where("word <> ''").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("clean", "scanned", "clean_texts")])
 
 
-def edge_rows(scans: DataFrame) -> DataFrame:
+def edge_rows(scans: DataFrame, edge_lines: int = EDGE_LINES) -> DataFrame:
     """(doc, page, line, place, key, mark, number, inner) of all edge lines; inner lines come as key counts only (doc null)."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -186,13 +185,13 @@ def edge_rows(scans: DataFrame) -> DataFrame:
             rows = []
             inner: Counter = Counter()
             for doc, text, pages in zip(pdf["doc"], pdf["text"], pdf["pages"]):
-                edges = page_edges(text, pages)
+                edges = page_edges(text, pages, edge_lines)
                 at = {e[1] for e in edges}
                 for page, line, place, s, body in edges:
                     mark = page_mark(s)
                     rows.append((doc, page, line, place, line_key(s), line_segments(s), mark[0] if mark else None, mark[1] if mark else None, 0, body))
                 for k, s in enumerate(text.split("\n")):
-                    if k not in at and 0 < len(s) <= 120:
+                    if k not in at and s:
                         inner.update(line_segments(s))
             rows += [(None, None, None, None, key, None, None, None, n, None) for key, n in inner.items()]
             out = pd.DataFrame(rows, columns=["doc", "page", "line", "place", "key", "segments", "mark", "number", "inner", "body"])
@@ -203,9 +202,9 @@ def edge_rows(scans: DataFrame) -> DataFrame:
     return scans.select("doc", "text", "pages").mapInPandas(run, "doc string, page bigint, line bigint, place bigint, key string, segments array<string>, mark string, number bigint, inner bigint, body string")
 
 
-def furniture_lines(scans: DataFrame) -> DataFrame:
+def furniture_lines(scans: DataFrame, edge_lines: int = EDGE_LINES) -> DataFrame:
     """(doc, lines): the 0-based numbers of the lines that are furniture."""
-    rows = cut(edge_rows(scans))
+    rows = cut(edge_rows(scans, edge_lines))
     edges = rows.where("doc IS NOT NULL AND mark IS NULL AND key <> ''")
     # at the edges of how many different pages each part stands, and how often inside pages; two partial sums, so that one part is no hot spot
     parts = edges.select("doc", "page", "line", F.xxhash64("body").alias("body"), F.explode("segments").alias("part"))
@@ -270,8 +269,18 @@ def fixed_number(token: str) -> str | None:
     return fixed + (m[2] or "")
 
 
-def readings(token: str, most: int = 3, limit: int = 400) -> dict[str, int]:
-    """What a token may be a misreading of -> number of changes."""
+MOST_CHANGES = 3
+#: Tokens with more places for a change than this meet the vocabulary by their strokes.
+MOST_PLACES = 24
+
+
+def change_places(token: str) -> int:
+    """At how many places a token may hold a misreading."""
+    return sum(token.count(read) for read, _ in MISREADINGS)
+
+
+def readings(token: str, most: int = MOST_CHANGES) -> dict[str, int]:
+    """What a token of few places may be a misreading of -> number of changes."""
     out: dict[str, int] = {}
     layer = {token}
     for cost in range(1, most + 1):
@@ -291,11 +300,48 @@ def readings(token: str, most: int = 3, limit: int = 400) -> dict[str, int]:
         for s in nxt:
             out.setdefault(s, cost)
         layer = nxt
-        if len(out) > limit:
-            break
     return out
 
 
+# Strokes that scanners see in letters; a misreading of MISREADINGS leaves them as they are.
+_STROKES = {"ii": "hb86un", "iii": "m", "ci": "d", "vv": "w", "i": "li1|!tf7r", "c": "ceo03€", "a": "a@4", "s": "s5$", "g": "g9q"}
+STROKES = str.maketrans({c: k for k, letters in _STROKES.items() for c in letters} | {"ﬁ": "ii", "ﬂ": "ii"})
+
+
+def stroke_key(word: str) -> str:
+    """A form that a word and its misreadings share, of any length."""
+    return word.lower().translate(STROKES)
+
+
+_RULES: dict[str, list[tuple[str, str]]] = {}
+for _read, _right in MISREADINGS:
+    _RULES.setdefault(_read[0].lower(), []).append((_read.lower(), _right))
+
+
+def misread_cost(token: str, word: str, most: int = MOST_CHANGES) -> int | None:
+    """The fewest changes that make the word of the token, the same letter misread throughout counting once; None beyond most."""
+    token = token.lower()
+    #: (places in token and word) -> sets of rules with which they can be reached
+    layers: dict[tuple[int, int], set[frozenset]] = {(0, 0): {frozenset()}}
+    for i in range(len(token)):
+        for at in [k for k in layers if k[0] == i]:
+            j, used = at[1], layers.pop(at)
+            if word[j : j + 1] == token[i]:
+                layers.setdefault((i + 1, j + 1), set()).update(used)
+            for read, right in _RULES.get(token[i], ()):
+                if token.startswith(read, i) and word.startswith(right, j):
+                    more = {u | {(read, right)} for u in used}
+                    layers.setdefault((i + len(read), j + len(right)), set()).update(u for u in more if len(u) <= most)
+        layers = {k: v for k, v in layers.items() if v}
+    ends = layers.get((len(token), len(word)))
+    return min(map(len, ends)) if ends else None
+
+
+def cased_as(word: str, token: str) -> str:
+    """The word with the capitals of the token."""
+    return word.upper() if token.isupper() and len(token) > 1 else word[:1].upper() + word[1:] if token[:1].isupper() else word
+
+
 def line_cases(text: str, furniture: set[int], known: frozenset[str]) -> list[tuple[int, str, str, str]]:
     """(line, kind, left, right): 'hyphen' with the two parts of a broken word, 'word' with a token the known words lack,
     'number' with its repair at the right."""
@@ -320,7 +366,7 @@ def line_cases(text: str, furniture: set[int], known: frozenset[str]) -> list[tu
                 last -= 1
         for j in range(first, last):
             word = tokens[j].strip(PUNCT)
-            if not word or len(word) > 60:
+            if not word:
                 continue
             if (fixed := fixed_number(word)) and fixed != word:
                 out.append((k, "number", word, fixed))
@@ -330,10 +376,11 @@ def line_cases(text: str, furniture: set[int], known: frozenset[str]) -> list[tu
     return out
 
 
-def damage(docs: DataFrame, most_known: int = 100_000) -> DataFrame:
+def damage(docs: DataFrame, most_known: int = 100_000, edge_lines: int = EDGE_LINES, most_changes: int = MOST_CHANGES) -> DataFrame:
     """(doc, loaded_id, line, damage, found, repaired, left, right) of all damaged lines; line is 0-based.
 
-    docs: loaded_id, text, pages, ocr_engine_used.
+    docs: loaded_id, text, pages, ocr_engine_used. edge_lines: lines of a header or a footer at most; most_changes: different
+    misreadings in one word at most.
     """
     one = docs.select(F.col("loaded_id").cast("bigint").alias("loaded_id"), "text", "pages", F.col("ocr_engine_used").isNotNull().alias("scanned")).where("loaded_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
     one = one.withColumn("doc", F.concat_ws("-", "loaded_id", F.hex(F.xxhash64("text", F.to_json("pages"))))).dropDuplicates(["doc", "scanned"])
@@ -341,7 +388,7 @@ def damage(docs: DataFrame, most_known: int = 100_000) -> DataFrame:
     # at most most_known words; they only spare the join words that are surely right
     known = frozenset(r[0] for r in words.where("clean >= 3").orderBy(F.desc("clean"), "word").limit(most_known).select("word").collect())
     scans = one.where("scanned")
-    furniture = cut(furniture_lines(scans))
+    furniture = cut(furniture_lines(scans, edge_lines))
     rows = scans.select("doc", "loaded_id", "text").join(furniture, "doc", "left")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -368,15 +415,17 @@ def damage(docs: DataFrame, most_known: int = 100_000) -> DataFrame:
                 if kind == "hyphen":
                     joined = left + right
                     out += [(kind, left, right, joined, word_key(joined), 0), (kind, left, right, f"{left}-{right}", word_key(f"{left}-{right}"), 0)]
-                    out += [(kind, left, right, w, word_key(w), n) for w, n in readings(joined, 2).items()]
+                    if change_places(joined) <= MOST_PLACES:
+                        out += [(kind, left, right, w, word_key(w), n) for w, n in readings(joined, most_changes - 1).items()]
                 else:
                     out.append((kind, left, right, left, word_key(left), 0))
-                    for w, n in readings(left).items():
+                    for w, n in readings(left, most_changes).items() if change_places(left) <= MOST_PLACES else ():
                         new = w[0].upper() + w[1:] if right == "^" and not left[0].isalpha() and w[0].isalpha() else w
                         out.append((kind, left, right, new, word_key(new), n))
             yield pd.DataFrame(out, columns=["kind", "left", "right", "form", "word", "cost"])
 
     proposed = forms.mapInPandas(propose, "kind string, left string, right string, form string, word string, cost int")
+    proposed = proposed.unionByName(_by_strokes(forms, words, most_changes))
     counted = proposed.join(words, "word").groupBy("kind", "left", "right").agg(
         # the own count of an unknown word, which a repair must clearly exceed
         F.max(F.when(F.col("cost") == 0, F.col("clean_texts"))).alias("own_clean"), F.max(F.when(F.col("cost") == 0, F.col("scanned"))).alias("own_scanned"),
@@ -403,6 +452,38 @@ def damage(docs: DataFrame, most_known: int = 100_000) -> DataFrame:
     return plain.unionByName(settled.where(F.col("repaired").isNotNull()))
 
 
+def _by_strokes(forms: DataFrame, words: DataFrame, most_changes: int) -> DataFrame:
+    """The proposals for words with more than MOST_PLACES places for a change: known words of the same strokes."""
+
+    def keys(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = []
+            for kind, left, right in zip(pdf["kind"], pdf["left"], pdf["right"]):
+                token = left + right if kind == "hyphen" else left
+                if change_places(token) > MOST_PLACES:
+                    rows.append((kind, left, right, token, stroke_key(token)))
+            yield pd.DataFrame(rows, columns=["kind", "left", "right", "token", "strokes"])
+
+    def known(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # a known word has at least half the letters of such a token, each with a stroke
+        for pdf in parts:
+            held = pdf[pdf["word"].str.len() * 4 >= MOST_PLACES]
+            yield pd.DataFrame({"word": held["word"], "strokes": held["word"].map(stroke_key)}, columns=["word", "strokes"])
+
+    def cost(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = []
+            for kind, left, right, token, word in zip(pdf["kind"], pdf["left"], pdf["right"], pdf["token"], pdf["word"]):
+                n = misread_cost(token, word, most_changes - (kind == "hyphen"))
+                if n:
+                    rows.append((kind, left, right, cased_as(word, token), word, n))
+            yield pd.DataFrame(rows, columns=["kind", "left", "right", "form", "word", "cost"])
+
+    long = forms.mapInPandas(keys, "kind string, left string, right string, token string, strokes string")
+    meet = long.join(words.select("word").mapInPandas(known, "word string, strokes string"), "strokes")
+    return meet.select("kind", "left", "right", "token", "word").mapInPandas(cost, "kind string, left string, right string, form string, word string, cost int")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = damage(table(spark, sf_dir, "loaded_document"))
     return out.select("loaded_id", (F.col("line") + 1).alias("line_no"), "damage", "repaired").distinct()

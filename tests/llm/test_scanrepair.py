@@ -69,3 +69,28 @@ def test_page_marks():
 def test_numbers():
     assert R.fixed_number("l.6") == "1.6" and R.fixed_number("1S0") == "150" and R.fixed_number("4O") == "40"
     assert R.fixed_number("T2") is None and R.fixed_number("SOS") is None and R.fixed_number("12") is None
+
+
+def test_strokes_are_shared_by_all_misreadings():
+    for read, right in R.MISREADINGS:
+        assert R.stroke_key(f"x{read}y") == R.stroke_key(f"x{right}y"), (read, right)
+    assert R.misread_cost("nausca", "nausea") == 1 and R.misread_cost("rnodern", "modern") == 1 and R.misread_cost("nausca", "nausca") == 0 and R.misread_cost("abc", "xyz") is None
+    # the same letter throughout is one change, as for short words
+    assert R.misread_cost("hcpcc", "hepee") == 1 and R.readings("hcpcc")["hepee"] == 1
+    for token in ("pat1cnt", "calci", "rnodcrn"):
+        assert all(R.misread_cost(token, w) <= n for w, n in R.readings(token).items() if R.misread_cost(token, w) is not None)
+
+
+def test_long_words_are_repaired(spark):
+    long = "pneumonoultramicroscopicsilicovolcanoconiosis" * 3
+    misread = long.replace("e", "c", 1).replace("m", "rn", 1).replace("u", "ii", 1)
+    assert R.change_places(misread) > R.MOST_PLACES and len(misread) > 60
+    clean = [(1000 + i, f"{CLEAN} {long} {i}", None, None, 1) for i in range(6)]
+    scans = [(1, f"The {misread} was mild.", None, "ocr", 1)]
+    got = {(r.loaded_id, r.repaired) for r in R.damage(spark.createDataFrame(clean + scans, SCHEMA)).collect() if r.damage == "misread"}
+    assert got == {(1, long)}
+
+
+def test_more_edge_lines():
+    text = "\n".join(f"h{k}" for k in range(5)) + "\nbody\n" * 9
+    assert len(R.page_edges(text, None)) == 6 and len(R.page_edges(text, None, 5)) == 10
