@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from carrel import oracles
 from carrel.functions import quality as Q
 from carrel.functions import text as X
 from carrel.operators import extract as E
@@ -149,19 +150,40 @@ def project_columns(spark, d):
 
 # ---- read-only SQL --------------------------------------------------------------------------------------------------
 _PASS = {
-    "window": "SELECT o_orderkey, o_custkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rnk FROM orders WHERE o_custkey < 20 ORDER BY o_orderkey",
+    "window": "SELECT rnk, count(*) AS orders, min(o_totalprice) AS least, max(o_totalprice) AS most FROM (SELECT o_totalprice, rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rnk FROM orders) GROUP BY rnk ORDER BY rnk",
     "cte": "WITH t AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) SELECT n, count(*) AS customers FROM t GROUP BY n ORDER BY n",
     "setop": "SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey AS k FROM supplier WHERE s_acctbal > 5000",
     "join": "SELECT n_name, count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name ORDER BY n_name",
     "rollup": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)",
     "cube": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
-    "semi": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) ORDER BY c_custkey",
+    "semi": "SELECT c_nationkey, count(*) AS customers FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT') GROUP BY c_nationkey ORDER BY c_nationkey",
+    "anti": "SELECT c_nationkey, count(*) AS customers FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_totalprice > 100000) GROUP BY c_nationkey ORDER BY c_nationkey",
 }
 for _name, _sql in _PASS.items():
-    query(f"sql_passthrough_{_name}", f"SELECT * FROM ({_sql}) LIMIT 500" if _name in ("window", "semi") else _sql)(
+    query(f"sql_passthrough_{_name}", _sql)(
         lambda spark, d, sql=_sql: guarded_sql(spark, sql, {t: table(spark, d, t) for t in ("orders", "customer", "nation", "supplier")}, 500)
     )
 
+_REFUSED = {
+    "write": "WITH t AS (SELECT 1 AS a) INSERT INTO orders SELECT * FROM t", "file": "SELECT * FROM text.`/etc/hostname`", "foreign": "SELECT * FROM part", "nested": "SELECT * FROM orders WHERE o_custkey IN (SELECT c FROM csv.`/etc/passwd`)",
+    "two": "SELECT 1; SELECT 2", "command": "DROP TABLE orders", "function": "SELECT java_method('java.lang.System', 'getenv', 'HOME')", "read": "SELECT count(*) FROM orders",
+}
+
+
+@query("sql_guard", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {'false' if k == 'read' else 'true'})" for k in _REFUSED) + ") AS t(statement, refused)")
+def sql_guard(spark, d):
+    """Statements that must be refused, and one that must not."""
+
+    def refused(sql):
+        try:
+            guarded_sql(spark, sql, {"orders": table(spark, d, "orders")})
+        except ValueError:
+            return True
+        return False
+
+    return spark.createDataFrame([(k, refused(v)) for k, v in _REFUSED.items()], "statement string, refused boolean")
+
+
 # ---- row search -----------------------------------------------------------------------------------------------------
 
 
@@ -228,17 +250,21 @@ def chunk_audit_search(spark, d):
     return S.audit_chunks(table(spark, d, "documents"), "doc_id", "text", "chest pain")
 
 
-@query("chunk_phrase_search", """
-WITH s AS (SELECT doc_id, string_split(lower(text), 'chest pain') AS p FROM documents WHERE contains(lower(text), 'chest pain')),
-u AS (SELECT doc_id, unnest(range(1, len(p))) AS i, p FROM s)
-SELECT doc_id AS source, CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + (i - 1) * 10 AS INT) AS "start" FROM u WHERE i <= 10""")
+@query("chunk_phrase_search")
 def chunk_phrase_search(spark, d):
-    return S.phrase_positions(table(spark, d, "documents"), "doc_id", "text", "chest pain").drop("snippet")
+    return S.phrase_positions(table(spark, d, "documents"), "doc_id", "text", "chest pain")
 
 
-@query("number_inventory", r"""
-SELECT source, CAST(regexp_extract(h, '^(\d+(\.\d+)?)', 1) AS DOUBLE) AS value, regexp_extract(h, '(mm|cm|mg|ml|kg|g|%|bpm|mmHg)$', 1) AS unit, count(*) AS n
-FROM (SELECT doc_id AS source, unnest(regexp_extract_all(text, '(\d+(?:\.\d+)?)\s*(mm|cm|mg|ml|kg|g|%|bpm|mmHg)\b')) AS h FROM documents) GROUP BY 1, 2, 3""")
+@query("phrase_overlaps", """
+SELECT o_orderkey AS source, CAST(i - 1 AS INT) AS "start" FROM (SELECT o_orderkey, k, unnest(range(1, length(k))) AS i FROM (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) || CAST(o_custkey AS VARCHAR) AS k FROM orders))
+WHERE substring(k, i, 2) = '11'""")
+def phrase_overlaps(spark, d):
+    """A phrase that can overlap itself."""
+    keys = table(spark, d, "orders").select("o_orderkey", F.concat(F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")).alias("k"))
+    return S.phrase_positions(keys, "o_orderkey", "k", "11").drop("snippet")
+
+
+@query("number_inventory")
 def number_inventory(spark, d):
     return S.number_inventory(table(spark, d, "documents"), "doc_id", "text")
 
@@ -324,8 +350,8 @@ def phi_summary(spark, d):
 
 @query("phi_context")
 def phi_context(spark, d):
-    notes = _notes(spark, d).groupBy("record_id").agg(F.min("document_text").alias("document_text"))
-    return P.with_context(P.phi_spans(notes, "record_id", "document_text"), notes, "record_id", "document_text")
+    notes = _notes(spark, d).select(F.concat_ws("-", "record_id", F.md5("document_text")).alias("note"), "document_text")
+    return P.with_context(P.phi_spans(notes, "note", "document_text"), notes, "note", "document_text")
 
 
 @query("phi_entities_redacted")
@@ -368,7 +394,8 @@ def section_complexity(spark, d):
 
 @query("routed_context")
 def routed_context(spark, d):
-    return SE.routed_context(_scans(spark, d).dropDuplicates(["loaded_id"]), "loaded_id", "text")
+    scans = _scans(spark, d).select(F.concat_ws("-", "loaded_id", F.md5("text")).alias("scan"), "text")
+    return SE.routed_context(scans, "scan", "text")
 
 
 @query("focused_context")
@@ -410,13 +437,10 @@ def semantic_checks(spark, d):
     return _extracted(spark, d).select("record_id", "path", E.semantic_check(F.col("path"), F.col("value")).alias("c")).select("record_id", "path", "c.*")
 
 
-@query("grounding_snippet", """
-SELECT record_id, path, contains(lower(trim(regexp_replace(document_text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(value, '\\s+', ' ', 'g')))) AS grounded FROM (
-  SELECT record_id, document_text, 'patient_name' AS path, json_extract_string(extracted, '$.patient_name') AS value FROM (SELECT DISTINCT record_id, document_text, extracted FROM extract_train WHERE json_valid(extracted)))
-WHERE value IS NOT NULL""")
+@query("grounding_snippet")
 def grounding_snippet(spark, d):
-    names = _extracted(spark, d).where("path = 'patient_name'")
-    return names.select("record_id", "path", E.ground(F.col("document_text"), F.col("value"))["grounded"].alias("grounded"))
+    g = E.ground(F.col("document_text"), F.col("value"))
+    return _extracted(spark, d).select("record_id", "path", "value", g.alias("g")).select("record_id", "path", "value", "g.grounded", "g.snippet")
 
 
 @query("contract")
@@ -433,20 +457,41 @@ def contract_counts(spark, d):
 @query("candidate_scores")
 def candidate_scores(spark, d):
     rows = table(spark, d, "extract_train").where("extracted IS NOT NULL").select("record_id", "document_text", "extracted").distinct()
-    return rows.select("record_id", E.candidate_score(E.flattened(F.col("extracted"), "candidate"), F.col("document_text"), ["patient_name", "primary_diagnosis"])["score"].alias("score"))
+    # the schema asks for a name and texts: what is no object, or names nobody, does not fit
+    fits = F.try_variant_get(F.try_parse_json("extracted"), "$.patient_name", "string").isNotNull()
+    c = E.candidate_score(E.flattened(F.col("extracted"), "candidate"), F.col("document_text"), ["patient_name", "primary_diagnosis"], fits)
+    return rows.select("record_id", F.md5("document_text").alias("note"), c.alias("c")).select("record_id", "note", "c.score", *[F.round(f"c.{x}", 6).alias(x) for x in ("evidence", "completeness", "grounding", "contradiction", "null_overuse")])
 
 
-@query("derived_counts", "SELECT report_id, len(findings) AS n, len(list_filter(findings, lambda f: lower(trim(f.severity)) IN ('yes', 'positive', '1', 'true', 'ja') OR TRY_CAST(f.severity AS DOUBLE) > 0)) AS flagged FROM (SELECT DISTINCT report_id, findings FROM radiology_train WHERE findings IS NOT NULL)")
+@query("derived_counts", """
+SELECT report_id, count(*) AS n, count(*) FILTER (lower(trim(flag)) IN ('yes', 'positive', '1', 'true', 'ja') OR TRY_CAST(flag AS DOUBLE) > 0) AS flagged, max(CAST(round_even(extent / (len * 10) * 100, 0) AS DOUBLE)) AS worst FROM (
+  SELECT report_id, CASE WHEN severity IN ('severe', 'moderate') THEN 'ja' WHEN severity = 'mild' THEN '0' ELSE 'no' END AS flag, finding_no + 1.0 AS extent, length(anatomy) + 0.0 AS len FROM (SELECT DISTINCT report_id, finding_no, severity, anatomy FROM radiology_mode_output WHERE report_id IS NOT NULL AND length(anatomy) > 0))
+GROUP BY report_id""")
 def derived_counts(spark, d):
-    rows = table(spark, d, "radiology_train").where("findings IS NOT NULL").select("report_id", "findings").distinct()
-    return rows.select("report_id", F.size("findings").cast("bigint").alias("n"), E.count_where(F.col("findings"), "severity").cast("bigint").alias("flagged"))
+    """Counts of entries and of true flags, and the largest percentage, over the findings of a report."""
+    rows = table(spark, d, "radiology_mode_output").where("report_id IS NOT NULL AND length(anatomy) > 0").select("report_id", "finding_no", "severity", "anatomy").distinct()
+    flag = F.when(F.col("severity").isin("severe", "moderate"), "ja").when(F.col("severity") == "mild", "0").otherwise("no")
+    items = rows.groupBy("report_id").agg(F.collect_list(F.struct(flag.alias("flag"), (F.col("finding_no") + 1.0).alias("extent"), (F.length("anatomy") + 0.0).alias("len"))).alias("items"))
+    return items.select("report_id", F.size("items").cast("bigint").alias("n"), E.count_where(F.col("items"), "flag").cast("bigint").alias("flagged"), E.max_percentage(F.col("items"), "extent", "len").cast("double").alias("worst"))
+
 
+_GONE = "({c} IS NULL OR lower(trim({c})) IN ('', 'none', 'null', 'nil', 'n/a', 'na', 'not available'))"
 
-@query("consistency_issues", """
-SELECT report_id, CAST((exam_type IS NULL OR lower(trim(exam_type)) IN ('', 'none', 'null', 'nil', 'n/a', 'na', 'not available')) AS INT) + CAST((impressions IS NULL OR lower(trim(impressions)) IN ('', 'none', 'null', 'nil', 'n/a', 'na', 'not available')) AS INT) AS issues FROM radiology_train""")
+
+@query("consistency_issues", f"""
+WITH r AS (SELECT DISTINCT report_id, exam_type, impressions, site_id, findings, length(site_id) AS stated FROM radiology_train)
+SELECT report_id, field, issue, severity, count(*) AS n FROM (
+  SELECT report_id, 'exam_type' AS field, 'required_field_missing' AS issue, 'error' AS severity FROM r WHERE {_GONE.format(c='exam_type')}
+  UNION ALL SELECT report_id, 'impressions', 'required_field_missing', 'error' FROM r WHERE {_GONE.format(c='impressions')}
+  UNION ALL SELECT report_id, 'number_findings', 'count_mismatch', 'warning' FROM r WHERE stated <> len(findings)
+  UNION ALL SELECT report_id, 'site_id', 'invalid_enum_value', 'warning' FROM r WHERE site_id NOT IN ('S001', 'S002', 'S003', 'S007')) GROUP BY ALL""")
 def consistency_issues(spark, d):
-    rows = table(spark, d, "radiology_train")
-    return rows.select("report_id", F.size(E.consistency_issues({"exam_type": F.col("exam_type"), "impressions": F.col("impressions")}, {}, {})).alias("issues"))
+    """Required values, a stated number of findings (here the length of the site's name) and the allowed sites."""
+    rows = table(spark, d, "radiology_train").select("report_id", "exam_type", "impressions", "site_id", "findings").distinct()
+    issues = E.consistency_issues(
+        {"exam_type": F.col("exam_type"), "impressions": F.col("impressions")}, {"number_findings": (F.length("site_id"), F.col("findings"))}, {"site_id": (F.col("site_id"), ["S001", "S002", "S003", "S007"])}
+    )
+    return rows.select("report_id", F.inline(issues)).groupBy("report_id", "field", "issue", "severity").agg(F.count("*").alias("n"))
 
 
 @query("enum_coerced")
@@ -463,7 +508,7 @@ def missing_values(spark, d):
 # ---- verification ---------------------------------------------------------------------------------------------------
 @query("extraction_verify")
 def extraction_verify(spark, d):
-    return V.extraction_reports(V.field_verdicts(_extracted(spark, d), "record_id", "document_text"), "record_id")
+    return V.extraction_reports(V.field_verdicts(_extracted(spark, d), "record_id", "document_text"), "record_id", ids=table(spark, d, "extract_train"))
 
 
 @query("field_verdicts")
@@ -488,9 +533,18 @@ def claim_verify(spark, d):
 
 @query("claim_decision")
 def claim_decision(spark, d):
-    rows = table(spark, d, "eval_item").where("response IS NOT NULL").withColumn("c", V.claim_check(F.col("response"), F.col("source_text")))
-    compared = V.value_comparison(F.col("response"), F.col("question"))
-    return rows.select("item_id", V.final_decision(F.col("c.verdict"), F.col("c.confidence"), compared, F.size("c.missing") > 0, F.col("c.confidence") > 0.5).alias("x")).select("item_id", "x.*")
+    rows = _claims(spark, d).withColumn("c", V.claim_check(F.col("claim"), F.col("source_text")))
+    compared = V.value_comparison(F.col("claim"), F.col("source_text"))
+    x = V.final_decision(F.col("c.verdict"), F.col("c.confidence"), compared, F.size("c.missing") > 0, F.col("c.confidence") > 0.5)
+    return rows.select("item_id", "claim_no", compared.alias("comparison"), x.alias("x")).select("item_id", "claim_no", "comparison", "x.*")
+
+
+def _claims(spark, d):
+    """Claims with the sentences they are checked against: each sentence of a source as it is, and with its first digit turned into a 9."""
+    items = table(spark, d, "eval_item").select("item_id", "source_text").distinct()
+    parts = items.select("item_id", F.posexplode(F.split(F.regexp_replace("source_text", r"([.!?])\s+", "$1\n"), "\n")).alias("k", "source_text"))
+    both = F.array(F.struct((F.col("k") * 2).alias("claim_no"), F.col("source_text").alias("claim")), F.struct((F.col("k") * 2 + 1).alias("claim_no"), F.regexp_replace("source_text", r"^(\D*)\d", "$19").alias("claim")))
+    return parts.select("item_id", "source_text", F.inline(both))
 
 
 @query("report_merge")
@@ -536,7 +590,7 @@ def span_pages(spark, d):
 
 @query("tight_excerpts")
 def tight_excerpts(spark, d):
-    rows = _extracted(spark, d).where("path IN ('patient_name', 'visit_date')")
+    rows = _extracted(spark, d)
     return rows.select("record_id", "path", G.tight_excerpt(F.col("document_text"), F.col("value")).alias("e")).select("record_id", "path", "e.*")
 
 
@@ -590,7 +644,7 @@ def metric_grounding(spark, d):
 
 @query("metric_query")
 def metric_query(spark, d):
-    return _scored(spark, d)
+    return r6(_scored(spark, d), "grounding", "numeric", "passage_match", "score")
 
 
 @query("quality_gates")
@@ -603,19 +657,60 @@ def eval_summary(spark, d):
     return r6(Q.summary_stats(_scored(spark, d), "score"), "mean", "median", "std", "min", "max")
 
 
+def _labelled(spark, d):
+    """What plain patterns read from the notes: the predictions that are measured against the extractions."""
+    notes = table(spark, d, "extract_train").where("extracted IS NOT NULL").select("record_id", "document_text").distinct()
+    text = F.col("document_text")
+    name, day = F.regexp_extract(text, r"Patient: ([A-Z][a-z]+ [A-Z][A-Za-z-]+)", 1), F.regexp_extract(text, r"(\d{4}-\d\d-\d\d)", 1)
+    both = F.array(F.struct(F.lit("patient_name").alias("path"), name.alias("value")), F.struct(F.lit("visit_date").alias("path"), day.alias("value")))
+    rows = notes.select("record_id", F.inline(both)).where("value <> ''")
+    return rows.groupBy("record_id", "path").agg(F.min("value").alias("value"))
+
+
 @query("metric_extract")
 def metric_extract(spark, d):
-    """Extractions of repeated notes against each other: the first against the last of an id."""
-    rows = table(spark, d, "extract_train").where("extracted IS NOT NULL").groupBy("record_id").agg(F.min("extracted").alias("a"), F.max("extracted").alias("b"))
-    flat = lambda c: rows.select("record_id", F.inline(E.flattened(F.col(c), "metrics"))).select("record_id", "path", "value")
-    return Q.extraction_pairs(flat("a"), flat("b"), "record_id")
+    """Names and dates that patterns read from a note, against its extraction."""
+    gold = table(spark, d, "extract_train").where("extracted IS NOT NULL").select("record_id", F.inline(E.flattened(F.col("extracted"), "metrics"))).groupBy("record_id", "path").agg(F.min("value").alias("value"))
+    return Q.extraction_pairs(gold, _labelled(spark, d), "record_id")
+
+
+def _report_pairs(spark, d):
+    """Reports with the findings and exam as given, and as a pipeline read them."""
+    gold = table(spark, d, "radiology_train").where("findings IS NOT NULL").select("report_id", "findings", "exam_type", "impressions", "report_header").distinct()
+    found = table(spark, d, "radiology_mode_output").where("report_id IS NOT NULL").select("report_id", "finding_no", "anatomy", "observation").distinct()
+    found = found.groupBy("report_id").agg(F.collect_list(F.struct("anatomy", "observation")).alias("found"))
+    return gold.join(found, "report_id", "left").withColumn("found", F.coalesce("found", F.expr("cast(array() as array<struct<anatomy:string,observation:string>>)")))
 
 
 @query("metric_reports")
 def metric_reports(spark, d):
-    r = table(spark, d, "radiology_train").where("findings IS NOT NULL").select("report_id", "findings", "exam_type", "impressions").distinct()
-    reward = 0.7 * Q.finding_reward(F.col("findings")) + 0.3 * Q.impression_reward(F.col("impressions"))
-    return r.select("report_id", F.round(Q.radiology_metric(reward, F.col("findings"), F.col("findings"), F.col("exam_type"), F.col("exam_type")), 6).alias("score"))
+    r = _report_pairs(spark, d)
+    reward = 0.7 * Q.finding_reward(F.col("found")) + 0.3 * Q.impression_reward(F.col("impressions"))
+    score = Q.radiology_metric(reward, F.col("found"), F.col("findings"), F.col("report_header"), F.col("exam_type"))
+    path = Q.pathology_metric(F.col("found"), F.col("findings"), F.col("report_header"), F.col("exam_type"), "observation")
+    return r.select("report_id", F.round(score, 6).alias("radiology"), F.round(path, 6).alias("pathology"), F.size("found").alias("found"))
+
+
+@query("metric_summaries")
+def metric_summaries(spark, d):
+    """Impressions as summaries of the report texts, and texts scrubbed of identifiers against the originals."""
+    r = table(spark, d, "radiology_train").where("report_text IS NOT NULL").select("report_id", "report_text", "impressions").distinct()
+    scrubbed = P.scrub(F.col("report_text"))
+    return r.select("report_id", F.md5("report_text").alias("report"), F.round(Q.summary_metric(F.col("report_text"), F.col("impressions")), 6).alias("summary"), F.round(Q.deidentify_metric(P.leak_score(scrubbed), F.col("report_text"), scrubbed), 6).alias("deidentified"))
+
+
+@query("metric_verify")
+def metric_verify(spark, d):
+    """Verdicts of claims against what is known of them: those taken over unchanged are true."""
+    rows = _claims(spark, d).withColumn("c", V.claim_check(F.col("claim"), F.col("source_text")))
+    gold = F.when(F.col("claim") == F.col("source_text"), "verified").otherwise("partially_supported")
+    return rows.select("item_id", "claim_no", F.round(Q.verify_score(gold, F.col("c.verdict"), F.col("c.confidence")), 6).alias("score"), (gold == F.col("c.verdict")).alias("hit"), "c.confidence")
+
+
+@query("verify_gates")
+def verify_gates(spark, d):
+    rows = metric_verify(spark, d).select("score", F.when(F.col("hit"), 1.0).otherwise(0.0).alias("verdict_match"), "confidence")
+    return Q.verify_gates(rows)
 
 
 @query("ontology_lookup", "SELECT r.finding_id, o.code FROM (SELECT DISTINCT finding_id, anatomy FROM radiology_mode_output) r JOIN (SELECT DISTINCT lower(trim(term)) AS t, code FROM ontology_result WHERE vocabulary = 'anatomy') o ON lower(trim(r.anatomy)) = o.t")
@@ -627,7 +722,7 @@ def ontology_lookup(spark, d):
 
 @query("score_categories")
 def score_categories(spark, d):
-    rows = [(s, c) for s, cs in SC.SCORES.items() for c in cs]
+    rows = [(s, c) for s, cs in SC.SCORES.items() for c in [*cs, "none"]] + [("Other", "1")]
     df = spark.createDataFrame(rows, "system string, category string")
     return df.select("system", "category", SC.score_description(F.col("system"), F.col("category")).alias("description"))
 
@@ -697,10 +792,11 @@ def unique_source_names(spark, d):
     return R.unique_names(table(spark, d, "documents").where("source IS NOT NULL").select("doc_id", "source"), "source", "doc_id").drop("source")
 
 
-@query("combined_sources", "SELECT source, md5(string_agg(text, chr(10) || chr(10) ORDER BY doc_id)) AS digest FROM documents WHERE source IS NOT NULL GROUP BY source")
+@query("combined_sources", "SELECT record_id, md5(string_agg(document_text, chr(10) || chr(10) ORDER BY document_text)) AS digest FROM (SELECT DISTINCT record_id, document_text FROM extract_train WHERE record_id IS NOT NULL AND document_text IS NOT NULL) GROUP BY record_id")
 def combined_sources(spark, d):
-    out = V.combined_sources(table(spark, d, "documents").where("source IS NOT NULL"), "source", "doc_id", "text")
-    return out.select("source", F.md5("text").alias("digest"))
+    """The different notes of a record as one text."""
+    out = V.combined_sources(_notes(spark, d).where("record_id IS NOT NULL AND document_text IS NOT NULL"), "record_id", "document_text", "document_text")
+    return out.select("record_id", F.md5("text").alias("digest"))
 
 
 @query("question_plan")
@@ -744,13 +840,16 @@ def html_tables_md(spark, d):
     return _html(spark, d).select("report_id", R.html_table(F.col("page")).alias("table"))
 
 
-@query("html_sections", "SELECT DISTINCT report_id, md5(CAST(findings AS VARCHAR)) IS NOT NULL AS ok, trim(regexp_replace(coalesce(impressions, ''), '\\s+', ' ', 'g')) AS text FROM radiology_train WHERE findings IS NOT NULL AND trim(coalesce(impressions, '')) <> ''")
+@query("html_sections", "SELECT DISTINCT report_id, 'i1' AS id, 'Impression' AS name, trim(regexp_replace(impressions, '\\s+', ' ', 'g')) AS text FROM radiology_train WHERE findings IS NOT NULL AND trim(coalesce(impressions, '')) <> ''")
 def html_sections(spark, d):
     rows = _html(spark, d).select("report_id", F.inline(R.html_sections(F.col("section"))))
-    return rows.where("text <> ''").select("report_id", F.lit(True).alias("ok"), "text").distinct()
+    return rows.where("text <> ''").distinct()
 
 
 @query("source_snippets")
 def source_snippets(spark, d):
-    rows = _extracted(spark, d).where("path = 'patient_name'")
-    return rows.select("record_id", G.source_snippet(F.col("document_text"), F.col("value")).alias("snippet"))
+    rows = _extracted(spark, d)
+    return rows.select("record_id", "path", G.source_snippet(F.col("document_text"), F.col("value")).alias("snippet"))
+
+
+ORACLES |= {k: v for k, v in oracles.SQL.items() if k in QUERIES}

@@ -177,3 +177,23 @@ def iso_date(text: Column) -> Column:
         )
     ]
     return F.when(inside != "", inside).otherwise(F.date_format(F.coalesce(*shaped), "yyyy-MM-dd"))
+
+
+# Phrases that say a source holds nothing of the kind, and those of a failing service.
+ABSENCE_CUES = ("does not contain", "not contain", "not found", "no evidence", "not present", "unable to find", "cannot find", "missing", "no information found")
+FAILURE_CUES = ("unavailable", "connection error", "adapter jsonadapter failed", "failed to parse", "lm response cannot be serialized", "internalservererror")
+
+
+def _holds_any(text: Column, cues) -> Column:
+    low = F.lower(squash(F.coalesce(text, F.lit(""))))
+    return F.exists(F.array(*[F.lit(c) for c in cues]), lambda c: F.contains(low, c))
+
+
+def states_absence(text: Column) -> Column:
+    """Whether a text says that what was asked for is not there."""
+    return _holds_any(text, ABSENCE_CUES) | F.coalesce(F.lower(text).rlike(r"\bno\b[^.]{0,100}\bfound\b"), F.lit(False))
+
+
+def states_failure(text: Column) -> Column:
+    """Whether a text is the message of a failing service and no evidence."""
+    return _holds_any(text, FAILURE_CUES)

@@ -22,7 +22,8 @@ CRITICAL_WORDS = ("impression", "finding", "findings", "diagnosis", "assessment"
 # Units that are accepted, and other names of them.
 UNITS = "mm cm m kg g mg ug lb lbs mmhg s sec seconds min mins minute minutes h hr hrs hour hours ml l % mg/dl g/dl".split()
 UNIT_NAMES = {"millimeter": "mm", "millimeters": "mm", "centimeter": "cm", "centimeters": "cm", "milliliter": "ml", "milliliters": "ml", "liter": "l", "liters": "l", "kgs": "kg", "grams": "g", "milligrams": "mg", "micrograms": "ug", "mm hg": "mmhg"}
-RANGE = r"^\s*([-+]?\d+(?:\.\d+)?)\s*(?:-|[tT][oO]|–|—)\s*([-+]?\d+(?:\.\d+)?)\s*([A-Za-z%/]+)?\s*$"
+# How ranges and numbers with units are written.
+RANGE = r"(?i)^\s*([-+]?\d+(?:\.\d+)?)\s*(?:-|to|–|—)\s*([-+]?\d+(?:\.\d+)?)\s*([A-Za-z%/]+)?\s*$"
 NUMBER_UNIT = r"^\s*([-+]?\d+(?:\.\d+)?)\s*([A-Za-z%/]+)?\s*$"
 
 
@@ -244,8 +245,14 @@ def spinal_level(value: Column) -> Column:
 
 
 # ---- candidates, derived values, consistency ------------------------------------------------------------------------
-def candidate_score(fields: Column, source: Column, critical: list[str]) -> Column:
-    """struct<score, evidence, completeness, grounding, contradiction, null_overuse> of flattened fields (array<struct<path, value, kind>>)."""
+def candidate_score(
+    fields: Column, source: Column, critical: list[str], fits: Column | None = None, least_completeness: float = 1.0, least_grounding: float = 0.8
+) -> Column:
+    """struct<score, evidence, completeness, grounding, contradiction, null_overuse> of flattened fields (array<struct<path, value, kind>>).
+
+    fits: whether the candidate could be brought into the shape of its schema; one that could not scores 0. A candidate below
+    least_completeness or least_grounding of its critical fields is not accepted and keeps 55 % of its score.
+    """
     low = F.lower(source)
     observed = F.filter(fields, lambda f: ~is_missing(f["value"]) & (f["kind"] != "boolean") & (F.char_length(F.trim(f["value"])) >= 2))
     share = lambda n, d: F.when(d > 0, n / d).otherwise(0.0)
@@ -258,8 +265,10 @@ def candidate_score(fields: Column, source: Column, critical: list[str]) -> Colu
     empty = share(F.size(F.filter(fields, lambda f: is_missing(f["value"]))), F.size(fields))
     overuse = F.greatest(F.lit(0.0), empty - 0.5)
     raw = 0.30 + 0.20 * held + 0.20 * complete + 0.20 * grounded + 0.10 * (1 - F.least(denied, F.lit(1.0))) - 0.20 * overuse
-    accepted = (complete >= 1.0) & (grounded >= 0.8)
+    accepted = (complete >= least_completeness) & (grounded >= least_grounding)
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(accepted, raw).otherwise(raw * 0.55)))
+    if fits is not None:
+        score = F.when(F.coalesce(fits, F.lit(False)), score).otherwise(0.0)
     return F.struct(F.round(score, 6).alias("score"), held.alias("evidence"), complete.alias("completeness"), grounded.alias("grounding"), denied.alias("contradiction"), overuse.alias("null_overuse"))
 
 

@@ -242,16 +242,43 @@ def rename_field(spec: dict, old: str, new: str) -> dict:
     return {**spec, "fields": [{**f, "name": new} if f["name"] == old else f for f in spec["fields"]]}
 
 
-# Categories of published scoring systems.
+# Categories of published scoring systems and what they mean.
 SCORES = {
-    "Lung-RADS": {"0": "Incomplete", "1": "Negative", "2": "Benign appearance or behavior", "3": "Probably benign", "4A": "Suspicious", "4B": "Very suspicious", "4X": "Very suspicious with additional features"},
-    "BI-RADS": {"0": "Incomplete", "1": "Negative", "2": "Benign", "3": "Probably benign", "4": "Suspicious", "5": "Highly suggestive of malignancy", "6": "Known biopsy-proven malignancy"},
-    "TI-RADS": {"TR1": "Benign", "TR2": "Not suspicious", "TR3": "Mildly suspicious", "TR4": "Moderately suspicious", "TR5": "Highly suspicious"},
-    "Deauville": {"1": "No uptake", "2": "Uptake at or below mediastinum", "3": "Uptake above mediastinum, at or below liver", "4": "Uptake moderately above liver", "5": "Uptake markedly above liver or new lesions"},
-}
+    "Lung-RADS": {
+        "1": "Negative: no lung nodules or definitely benign nodules",
+        "2": "Benign appearance: nodules with a very low likelihood of malignancy",
+        "3": "Probably benign: short-term follow-up suggested",
+        "4A": "Suspicious: additional diagnostic testing recommended",
+        "4B": "Very suspicious: additional diagnostic testing and/or tissue sampling recommended",
+        "4X": "Category 3 or 4 with additional suspicious features",
+    },
+    "BI-RADS": {
+        "0": "Incomplete: additional imaging needed",
+        "1": "Negative: no significant findings",
+        "2": "Benign: non-cancerous findings",
+        "3": "Probably benign: short-interval follow-up recommended",
+        "4": "Suspicious: biopsy should be considered",
+        "5": "Highly suggestive of malignancy: biopsy strongly recommended",
+        "6": "Known biopsy-proven malignancy",
+    },
+    "TI-RADS": {
+        "TR1": "Benign: no FNA recommended",
+        "TR2": "Not suspicious: no FNA recommended",
+        "TR3": "Mildly suspicious: FNA if >= 2.5 cm; follow-up if >= 1.5 cm",
+        "TR4": "Moderately suspicious: FNA if >= 1.5 cm; follow-up if >= 1.0 cm",
+        "TR5": "Highly suspicious: FNA if >= 1.0 cm; follow-up if >= 0.5 cm",
+    },
+    "Deauville": {
+        "1": "No uptake above background",
+        "2": "Uptake <= mediastinum",
+        "3": "Uptake > mediastinum but <= liver",
+        "4": "Uptake moderately increased compared to liver",
+        "5": "Uptake markedly increased compared to liver and/or new sites of disease",
+    },
+}
 
 
 def score_description(system, category):
-    """Column: description of a category; null for an unknown one."""
-    pairs = [F.lit(x) for s, cs in SCORES.items() for c, d in cs.items() for x in (f"{s}|{c.upper()}", d)]
-    return F.create_map(*pairs)[F.concat(system, F.lit("|"), F.upper(category))]
+    """Column: description of a category; empty for an unknown system or category."""
+    pairs = [F.lit(x) for s, cs in SCORES.items() for c, d in cs.items() for x in (f"{s}|{c}", d)]
+    return F.coalesce(F.create_map(*pairs)[F.concat(system, F.lit("|"), category)], F.lit(""))

@@ -13,8 +13,10 @@ from carrel.functions.text import around, chunks, question_terms, spans, squash,
 
 def term_frequencies(docs: DataFrame, text_col: str) -> DataFrame:
     """(term, n, docs): how often each stemmed term occurs and in how many rows."""
-    per = docs.select(F.monotonically_increasing_id().alias("row"), terms(F.col(text_col)).alias("t")).select("row", F.explode("t").alias("term"))
-    return per.groupBy("term", "row").agg(F.count("*").alias("n")).groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
+    # sorted within the row, a term's first place tells it apart from its repeats: one shuffle of partial sums
+    per = docs.select(F.array_sort(terms(F.col(text_col))).alias("t")).where(F.size("t") > 0)
+    each = per.select(F.explode(F.transform("t", lambda x, i: F.struct(x.alias("term"), F.when((i == 0) | (F.get("t", i - 1) != x), 1).otherwise(0).alias("first")))).alias("e"))
+    return each.groupBy(F.col("e.term").alias("term")).agg(F.count("*").alias("n"), F.sum("e.first").alias("docs"))
 
 
 def document_chunks(docs: DataFrame, id_col: str, text_col: str, size: int = 1800, overlap: int = 220) -> DataFrame:
@@ -64,21 +66,39 @@ def audit_chunks(docs: DataFrame, id_col: str, text_col: str, phrase: str, top_k
     return part.select(F.col(id_col).alias("source"), "chunk_id", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "source", "chunk_id").limit(top_k)
 
 
+def overlaps_itself(phrase: str) -> bool:
+    """Whether two occurrences of a phrase can overlap: an end of it is also its beginning."""
+    return any(phrase.startswith(phrase[k:]) for k in range(1, len(phrase)))
+
+
 def phrase_positions(docs: DataFrame, id_col: str, text_col: str, phrase: str, most: int = 10, context: int = 150) -> DataFrame:
-    """(source, start, snippet) of the first `most` occurrences of a phrase in each text, case aside."""
-    found = docs.select(F.col(id_col).alias("source"), F.col(text_col).alias("text"), F.slice(spans(F.lower(text_col), re.escape(phrase.lower())), 1, most).alias("s"))
-    rows = found.select("source", "text", F.explode("s").alias("s"))
-    return rows.select("source", F.col("s.start").alias("start"), around(F.col("text"), F.col("s.start"), F.col("s.end"), context, context).alias("snippet"))
+    """(source, start, snippet) of the first `most` occurrences of a phrase in each text, case aside; overlapping ones count."""
+    low = phrase.lower()
+    if overlaps_itself(low):
+        at = F.filter(F.sequence(F.lit(1), F.greatest(F.char_length(text_col) - len(low) + 1, F.lit(1))), lambda k: F.substring(F.lower(text_col), k, F.lit(len(low))) == low)
+        found = F.transform(at, lambda k: (k - 1).cast("int"))
+    else:
+        found = F.transform(spans(F.lower(text_col), re.escape(low)), lambda s: s["start"])
+    held = docs.where(F.contains(F.lower(text_col), F.lit(low))).select(F.col(id_col).alias("source"), F.col(text_col).alias("text"), F.explode(F.slice(found, 1, most)).alias("start"))
+    return held.select("source", "start", around(F.col("text"), F.col("start"), F.col("start") + len(low), context, context).alias("snippet"))
+
 
+# Numbers and the units looked for behind them, in the order in which they are tried.
+NUMBER_UNIT = r"(\d+(?:\.\d+)?)\s*(mm|cm|m|kg|g|mg|ml|mL|%|years?|months?|days?|hours?|minutes?)?"
 
-NUMBER_UNIT = r"(\d+(?:\.\d+)?)\s*(mm|cm|mg|ml|kg|g|%|bpm|mmHg)\b"
 
+def number_inventory(docs: DataFrame, id_col: str, text_col: str, context: int = 80) -> DataFrame:
+    """(source, ordinal, value, unit, context): each number of a text with its unit (empty without one) where it first stands.
 
-def number_inventory(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(source, value, unit, n) of the numbers with units in each text."""
-    found = docs.select(F.col(id_col).alias("source"), F.explode(F.regexp_extract_all(text_col, F.lit(NUMBER_UNIT), F.lit(0))).alias("hit"))
-    rows = found.select("source", F.regexp_extract("hit", r"^\d+(?:\.\d+)?", 0).cast("double").alias("value"), F.regexp_extract("hit", r"[^\d\s]+$", 0).alias("unit"))
-    return rows.groupBy("source", "value", "unit").agg(F.count("*").alias("n"))
+    A unit is read as the first of the list that fits, so 'mg' and 'months' come out as 'm', as the reference has it.
+    """
+    rows = docs.select(F.col(id_col).alias("source"), F.col(text_col).alias("text"), F.posexplode(spans(F.col(text_col), NUMBER_UNIT)).alias("pos", "s"))
+    rows = rows.select(
+        "source", "pos", F.regexp_extract("s.value", NUMBER_UNIT, 1).alias("value"), F.regexp_extract("s.value", NUMBER_UNIT, 2).alias("unit"),
+        F.substring("text", F.greatest(F.col("s.start") - context, F.lit(0)) + 1, F.col("s.end") + context - F.greatest(F.col("s.start") - context, F.lit(0))).alias("context"),
+    )
+    first = rows.groupBy("source", "value", "unit").agg(F.min(F.struct("pos", "context")).alias("f"))
+    return first.select("source", F.col("f.pos").alias("ordinal"), "value", "unit", "f.context")
 
 
 def merge_hits(parts: list[DataFrame], cap: int = 50, prefix: int = 180) -> DataFrame:

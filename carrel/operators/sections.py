@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carrel.functions.text import MATCH_STOPWORDS, NULLISH, jaccard, tokens
+from carrel.functions.text import MATCH_STOPWORDS, NULLISH, tokens
 
 # Headings of report sections and the shape of a labelled line.
 HEADINGS = r"clinical information|clinical history|history|indication|comparison|technique|procedure information|findings?|impression|diagnosis|assessment|plan|recommendation"
@@ -39,7 +39,7 @@ def sections(docs: DataFrame, id_col: str, text_col: str, most: int = 10) -> Dat
     kept = F.when(F.size("s") <= most, F.col("s")).otherwise(
         F.concat(F.slice("s", 1, most - 1), F.array(F.struct(
             F.lit("Remaining Sections").alias("title"),
-            F.array_join(F.transform(F.slice("s", most, 100000), lambda x: F.concat(x["title"], F.lit("\n"), x["text"])), "\n\n").alias("text"))))
+            F.array_join(F.transform(F.slice("s", F.lit(most), F.size("s")), lambda x: F.concat(x["title"], F.lit("\n"), x["text"])), "\n\n").alias("text"))))
     )
     name = lambda t: F.regexp_replace(F.lower(F.regexp_replace(t, r"[^a-zA-Z0-9]+", "_")), "^_|_$", "")
     rows = docs.select(F.col(id_col), full.alias("s")).select(id_col, F.posexplode(kept).alias("section_no", "x"))
@@ -141,7 +141,3 @@ def backfill(docs: DataFrame, id_col: str, text_col: str, fields: list[str], lea
     scored = near.withColumn("score", label_score(F.col("field"), F.col("label"))).where(F.col("score") >= least)
     best = scored.groupBy(id_col, "field").agg(F.max(F.struct("score", (-F.col("block_no")).alias("neg"), "label", "value")).alias("m"))
     return best.select(id_col, "field", "m.label", "m.value", F.round("m.score", 6).alias("score"))
-
-
-def token_likeness(a: Column, b: Column) -> Column:
-    return jaccard(F.array_distinct(tokens(a)), F.array_distinct(tokens(b)))

@@ -35,17 +35,26 @@ def field_verdicts(fields: DataFrame, id_col: str, source: str) -> DataFrame:
     )
 
 
-def extraction_reports(verdicts: DataFrame, id_col: str, bad_references: DataFrame | None = None) -> DataFrame:
-    """(id, verdict, confidence, checked, grounded, issues); bad_references: (id, n) of invalid references, each an issue."""
+def extraction_reports(verdicts: DataFrame, id_col: str, bad_references: DataFrame | None = None, ids: DataFrame | None = None) -> DataFrame:
+    """(id, verdict, confidence, checked, grounded, issues); bad_references: (id, n) of invalid references, each an issue.
+
+    Nothing to check is insufficient evidence with confidence 0; ids (a table with the id column) brings the documents whose
+    extractions hold no field that can be checked. A critical issue contradicts.
+    """
     agg = verdicts.groupBy(id_col).agg(
-        F.count("*").alias("checked"), F.count(F.when(F.col("status") == "verified", 1)).alias("grounded"), F.count("issue").alias("issues")
-    )
+        F.count("*").alias("checked"), F.count(F.when(F.col("status") == "verified", 1)).alias("grounded"), F.count("issue").alias("issues"), F.coalesce(F.bool_or(F.col("severity") == "critical"), F.lit(False)).alias("critical"),
+    )
+    if ids is not None:
+        agg = ids.select(id_col).distinct().join(agg, id_col, "left").na.fill({"checked": 0, "grounded": 0, "issues": 0, "critical": False})
     if bad_references is not None:
         agg = agg.join(bad_references, id_col, "left").withColumn("issues", F.col("issues") + F.coalesce("n", F.lit(0))).drop("n")
-    ratio = F.col("grounded") / F.col("checked")
-    verdict = F.when(F.col("issues") == 0, "verified").when(ratio >= 0.7, "verified").otherwise("partially_supported")
-    confidence = F.when(F.col("issues") == 0, F.least(F.lit(0.95), ratio)).otherwise(F.greatest(F.lit(0.1), ratio))
-    return agg.select(id_col, verdict.alias("verdict"), F.round(confidence, 3).alias("confidence"), "checked", "grounded", "issues")
+    ratio = F.col("grounded") / F.greatest("checked", F.lit(1))
+    cases = [
+        (F.col("checked") == 0, F.lit("insufficient_evidence"), F.lit(0.0)), (F.col("issues") == 0, F.lit("verified"), F.least(F.lit(0.95), ratio)), (F.col("critical"), F.lit("contradicted"), F.lit(0.2)),
+        (ratio >= 0.7, F.lit("verified"), F.greatest(F.lit(0.1), ratio)), (F.lit(True), F.lit("partially_supported"), F.greatest(F.lit(0.1), ratio)),
+    ]
+    pick = lambda k: F.coalesce(*[F.when(c[0], c[k]) for c in cases])
+    return agg.select(id_col, pick(1).alias("verdict"), F.round(pick(2), 3).alias("confidence"), "checked", "grounded", "issues")
 
 
 def invalid_references(impressions: Column, findings: Column) -> Column:
@@ -96,7 +105,7 @@ def high_risk_fields(fields: DataFrame, id_col: str, most: int = 8) -> DataFrame
     named = F.arrays_overlap(words, F.array(*[F.lit(w) for w in HIGH_RISK]))
     rows = fields.withColumn("named", named).withColumn("any_named", F.max("named").over(Window.partitionBy(id_col)))
     kept = rows.where(F.col("named") | (~F.col("any_named") & ((F.col("kind") == "number") | (F.char_length("value") >= 20))))
-    turn = F.row_number().over(Window.partitionBy(id_col).orderBy("path"))
+    turn = F.row_number().over(Window.partitionBy(id_col).orderBy("path", "value"))
     return kept.withColumn("turn", turn).where(F.col("named") | (F.col("turn") <= most)).select(id_col, "path", "value", "kind")
 
 
@@ -153,7 +162,3 @@ def lenient_json(text: Column) -> Column:
     quoted = F.regexp_replace(F.regexp_replace(F.regexp_replace(block, "'", '"'), r"\bTrue\b", "true"), r"\bFalse\b", "false")
     tries = [F.try_parse_json(t) for t in (text, fenced, block, F.regexp_replace(quoted, r"\bNone\b", "null"))]
     return reduce(lambda a, b: F.coalesce(a, b), [F.when(F.trim(t) != "", p) for t, p in zip((text, fenced, block, block), tries)])
-
-
-def shared_words(a: Column, b: Column) -> Column:
-    return F.size(F.array_intersect(tokens(a), tokens(b)))

@@ -8,6 +8,8 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from carrel.session import cut
+
 # What a CSV cell may hold for 'no value'.
 NA_CELLS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
@@ -98,11 +100,23 @@ def unique_name(name: str, taken: set[str]) -> str:
 
 
 def unique_names(df: DataFrame, name: str, order: str) -> DataFrame:
-    """Repeated names numbered in order: 'x', 'x (2)'."""
+    """Repeated names numbered in order: 'x', 'x (2)'.
+
+    Rows are range-partitioned by the order, numbered within each partition and shifted by the counts of the partitions before,
+    so that a name of very many rows is spread over all partitions. Names with equal orders are numbered in any order.
+    """
     from pyspark.sql import Window
 
-    n = F.row_number().over(Window.partitionBy(name).orderBy(order))
-    return df.withColumn("unique_name", F.when(n == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit(" ("), n.cast("string"), F.lit(")"))))
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = cut(df.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy(name, "_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(name).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = sizes.select(F.col(name).alias("_name"), F.col("_part").alias("_of"), before.alias("_before"))
+    within = ranged.withColumn("_n", F.row_number().over(Window.partitionBy(name, "_part").orderBy(order)))
+    joined = within.join(shifts, within[name].eqNullSafe(F.col("_name")) & (F.col("_part") == F.col("_of")))
+    n = F.col("_n") + F.col("_before")
+    named = joined.withColumn("unique_name", F.when(n == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit(" ("), n.cast("string"), F.lit(")"))))
+    return named.drop("_part", "_n", "_name", "_of", "_before")
 
 
 # ---- HTML -----------------------------------------------------------------------------------------------------------
@@ -119,7 +133,7 @@ def html_table(html: Column) -> Column:
     lines = F.transform(rows, lambda r: F.concat(F.lit("| "), F.array_join(F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), _plain), " | "), F.lit(" |")))
     cells = F.size(F.regexp_extract_all(F.get(rows, F.lit(0)), F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)))
     rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), cells))
-    return F.when(F.size(rows) > 0, F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, 100000)), "\n"))
+    return F.when(F.size(rows) > 0, F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.size(lines))), "\n"))
 
 
 def html_sections(html: Column) -> Column:
