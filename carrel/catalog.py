@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +22,7 @@ from carrel.operators import sections as SE
 from carrel.operators import tables as T
 from carrel.operators import verify as V
 from carrel.operators.units import p5_found
+from carrel.plans import answers as AN
 from carrel.plans import planner as PL
 from carrel.plans.guard import guarded_sql
 from carrel.session import table
@@ -852,4 +856,210 @@ def source_snippets(spark, d):
     return rows.select("record_id", "path", G.source_snippet(F.col("document_text"), F.col("value")).alias("snippet"))
 
 
+
+# ---- questions and answers ------------------------------------------------------------------------------------------
+def _session(spark, d):
+    s = PL.QuerySession(spark)
+    s.add_table("orders", table(spark, d, "orders"))
+    s.add_table("customer", table(spark, d, "customer"))
+    return s
+
+
+_ASKED = [
+    "what is the average o_totalprice?", "how many rows are in orders?", "how many distinct o_custkey?", "what is the breakdown of o_orderpriority?", "which columns are in customer?", "how many columns are there?", "list the values of c_mktsegment", "and how many are there?",
+    "what is the maximum c_acctbal?", "how many o_orderstatus values are there?", "what is the average weather?",
+]
+
+
+@query("session_answers", """
+SELECT * FROM (
+SELECT 0 AS turn, 'aggregate' AS intent, 'orders' AS source, 'The mean of o_totalprice is ' || round(avg(o_totalprice), 4) || '.' AS answer FROM orders
+UNION ALL SELECT 1, 'count_rows', 'orders', 'There are ' || count(*) || ' rows in orders.' FROM orders
+UNION ALL SELECT 2, 'count_distinct', 'orders', 'There are ' || count(DISTINCT o_custkey) || ' distinct o_custkey values.' FROM orders
+UNION ALL SELECT 3, 'count_values', 'orders', 'o_orderpriority distribution: ' || string_agg(v || ' (' || n || ')', ', ' ORDER BY n DESC, v) || '.' FROM (SELECT o_orderpriority AS v, count(*) AS n FROM orders GROUP BY 1)
+UNION ALL SELECT 4, 'schema', 'customer', 'customer has 5 columns: c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment'
+UNION ALL SELECT 6, 'list_values', 'customer', 'Values of c_mktsegment: ' || string_agg(v, ', ' ORDER BY n DESC, v) || '.' FROM (SELECT c_mktsegment AS v, count(*) AS n FROM customer GROUP BY 1)
+UNION ALL SELECT 7, 'count_values', 'customer', 'There are ' || count(*) || ' distinct c_mktsegment values: ' || string_agg(v, ', ' ORDER BY n DESC, v) || '.' FROM (SELECT c_mktsegment AS v, count(*) AS n FROM customer GROUP BY 1)
+UNION ALL SELECT 8, 'aggregate', 'customer', 'The max of c_acctbal is ' || round(max(c_acctbal), 4) || '.' FROM customer
+UNION ALL SELECT 9, 'count_distinct', 'orders', 'There are ' || count(DISTINCT o_orderstatus) || ' distinct o_orderstatus values.' FROM orders
+UNION ALL SELECT 10, 'text_qa', '', 'No computed value supports an answer.')""")
+def session_answers(spark, d):
+    """Answers of one session, follow-ups included."""
+    s = _session(spark, d)
+    rows = []
+    for q in _ASKED:
+        a = s.ask(q)
+        text = a.answer if not isinstance(a.value, float) else f"The {a.plan.operation} of {a.plan.column} is {_plain(round(a.value, 4))}."
+        rows.append((a.turn, a.plan.intent, a.plan.source, text))
+    # which of two tables a bare question about columns means is not settled
+    return spark.createDataFrame([r for r in rows if r[0] != 5], "turn int, intent string, source string, answer string")
+
+
+def _plain(x: float) -> str:
+    return repr(x)
+
+
+@query("session_payload", "SELECT * FROM (VALUES ('aggregate', true, 'deterministic', 'deterministic_tabular', '', 29), ('text_qa', false, 'retrieval', 'retrieval', 'missing_computed_evidence', 29)) AS t(intent, computed, mode, path, code, keys)")
+def session_payload(spark, d):
+    """The result of an answered and of a refused question."""
+    s = _session(spark, d)
+    rows = []
+    for q in ("what is the average o_totalprice?", "what is the average weather?"):
+        p = s.ask(q).payload()
+        rows.append((p["intent"], p["deterministic_used"], p["execution_mode"], p["execution_path"], p["fallback_code"], len(p)))
+    return spark.createDataFrame(rows, "intent string, computed boolean, mode string, path string, code string, keys int")
+
+
+@query("sql_answers", """
+SELECT 'how are priorities distributed? breakdown' AS question, 'o_orderpriority distribution (' || count(*) || ' groups): ' || string_agg(v || '=' || n, ', ' ORDER BY v) || '.' AS answer, CAST(count(*) + 2 AS INT) AS evidence FROM (SELECT o_orderpriority AS v, count(*) AS n FROM orders GROUP BY 1)
+UNION ALL SELECT 'what are the distinct values of priority', 'Distinct o_orderpriority values: ' || string_agg(v, ', ' ORDER BY v) || '.', CAST(count(*) + 2 AS INT) FROM (SELECT o_orderpriority AS v, count(*) AS n FROM orders GROUP BY 1)
+UNION ALL SELECT 'how many orders are there?', 'There are ' || count(*) || '.', 1 FROM orders
+UNION ALL SELECT 'largest customer key', 'top_key: ' || max(o_custkey) || '.', 1 FROM orders
+UNION ALL SELECT 'range of keys', 'Computed result: [{"low": ' || min(o_custkey) || ', "high": ' || max(o_custkey) || '}]', 1 FROM orders""")
+def sql_answers(spark, d):
+    """What the rows of statements say."""
+    s = _session(spark, d)
+    asked = [
+        ("how are priorities distributed? breakdown", "SELECT o_orderpriority, count(*) AS n FROM _table GROUP BY o_orderpriority ORDER BY o_orderpriority"), ("what are the distinct values of priority", "SELECT o_orderpriority, count(*) AS freq FROM _table GROUP BY 1 ORDER BY 1"),
+        ("how many orders are there?", "SELECT count(*) AS total FROM _table"), ("largest customer key", "SELECT max(o_custkey) AS top_key FROM _table"), ("range of keys", "SELECT min(o_custkey) AS low, max(o_custkey) AS high FROM _table"),
+    ]
+    rows = [(q, *s.ask_sql(q, sql, "orders")) for q, sql in asked]
+    return spark.createDataFrame([(q, a, len(e)) for q, a, e in rows], "question string, answer string, evidence int")
+
+
+@query("table_evidence", """
+SELECT 'what is the average l_quantity?' AS question, 'Computed mean of l_quantity from ' || count(*) || ' rows (non-null ' || count(l_quantity) || ')' AS snippet, 80 AS score, 'table_stat' AS evidence_type FROM lineitem
+UNION ALL SELECT 'how many distinct l_partkey?', 'Computed nunique of l_partkey from ' || count(*) || ' rows (non-null ' || count(l_partkey) || ')', 80, 'table_stat' FROM lineitem
+UNION ALL SELECT 'how many rows are there?', 'Computed row_count of lineitem', 80, 'table_stat'
+UNION ALL SELECT 'breakdown of l_returnflag', 'Distinct l_returnflag: ' || l_returnflag || ' (count=' || count(*) || ')', 86, 'table_value' FROM lineitem GROUP BY l_returnflag
+UNION ALL SELECT 'breakdown of l_returnflag', 'Computed unique_count of l_returnflag from ' || count(*) || ' rows', 88, 'table_stat' FROM lineitem
+UNION ALL SELECT 'list the values of l_linestatus', 'Distinct l_linestatus: ' || l_linestatus || ' (count=' || count(*) || ')', 84, 'table_value' FROM lineitem GROUP BY l_linestatus""")
+def table_evidence(spark, d):
+    """Computed evidence for questions of each kind."""
+    t = table(spark, d, "lineitem")
+    rows = []
+    for q in ("what is the average l_quantity?", "how many distinct l_partkey?", "how many rows are there?", "breakdown of l_returnflag", "list the values of l_linestatus"):
+        rows += [(q, e.snippet if e.evidence_type == "table_value" else e.snippet.rsplit(": ", 1)[0], e.score, e.evidence_type) for e in PL.table_evidence(q, "lineitem", t, PL.plan_question(q, "lineitem", t))]
+    return spark.createDataFrame(rows, "question string, snippet string, score int, evidence_type string")
+
+
+@query("follow_ups", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in [
+    ("schema", "how many are there?", "How many columns are there in orders?"), ("schema", "list the names", "What are the column names in orders?"), ("count_values", "how many?", "How many distinct values are there for o_orderpriority in orders?"),
+    ("list_values", "what are they, list the values", "What are the distinct values of o_orderpriority in orders?"), ("aggregate", "and what about the maximum?", "and what about the maximum about o_orderpriority in orders"), ("aggregate", "what is the average o_totalprice?", "what is the average o_totalprice?"),
+]) + ") AS t(last_intent, question, rewritten)")
+def follow_ups(spark, d):
+    """Questions that lean on the one before."""
+    columns = table(spark, d, "orders").columns
+    asked = [("schema", "how many are there?"), ("schema", "list the names"), ("count_values", "how many?"), ("list_values", "what are they, list the values"), ("aggregate", "and what about the maximum?"), ("aggregate", "what is the average o_totalprice?")]
+    rows = [(i, q, PL.rewrite_follow_up(q, {"intent": i, "source": "orders", "column": "o_orderpriority"}, columns)) for i, q in asked]
+    return spark.createDataFrame(rows, "last_intent string, question string, rewritten string")
+
+
+@query("column_suggestions")
+def column_suggestions(spark, d):
+    """Columns for questions, with roles, identifiers and the words of their values."""
+    rows = []
+    for name in ("customer", "orders"):
+        t = table(spark, d, name)
+        roles = T.column_roles(t)
+        ids, words = [r["column"] for r in T.id_candidates(t).collect()], PL.value_words(t, roles)
+        for q in ("how many customers are in the building segment?", "what is the average balance?", "how many urgent orders?"):
+            rows += [(name, q, c, n) for c, n in PL.suggest_columns(q, t, roles, words, ids=ids)]
+    return spark.createDataFrame(rows, "source string, question string, column string, score int")
+
+
+@query("timeline_answer")
+def timeline_answer(spark, d):
+    """Dated sentences about an operation, in order."""
+    rows = table(spark, d, "documents").where("contains(text, 'endoscopy')").select(F.col("doc_id").alias("source"), F.explode(F.split("text", r"(?<=[.!?])\s+")).alias("snippet"))
+    return AN.timeline(rows.where("contains(snippet, 'endoscopy')").select("source", "snippet", F.char_length("snippet").alias("rank")))
+
+
+@query("source_manifest")
+def source_manifest(spark, d):
+    rows = table(spark, d, "loaded_document").select("loaded_id", "source_path", "text", "page_count").distinct()
+    return rows.select("loaded_id", F.md5("text").alias("digest"), AN.source_manifest(F.col("source_path"), F.col("text"), F.col("page_count")).alias("line"))
+
+
+@query("absence_cues")
+def absence_cues(spark, d):
+    """Sentences of the documents that say that something is not there."""
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", r"\n")).alias("line", "t"))
+    return rows.groupBy("doc_id").agg(F.sum(X.states_absence(F.col("t")).cast("int")).alias("absent"), F.sum(X.states_failure(F.col("t")).cast("int")).alias("failing"))
+
+
+# ---- functions that no other query shows ------------------------------------------------------------------------------
+@query("phi_found_beside_patterns")
+def phi_found_beside_patterns(spark, d):
+    """Entity values that stand in their notes, those that overlap no pattern's span, beside the spans of the patterns."""
+    e = table(spark, d, "phi_entity").where("record_id IS NOT NULL AND trim(value_text) <> ''").select("record_id", "value_text", "phi_type").distinct()
+    e = e.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct(F.col("value_text").alias("value"), F.coalesce("phi_type", F.lit("OTHER")).alias("kind")))).alias("e"))
+    rows = _notes(spark, d).join(e, "record_id")
+    claimed = rows.select("record_id", "document_text", P.claim_entities(F.col("document_text"), F.col("e")).alias("found"), P.merge_spans(P.all_spans(F.col("document_text"))).alias("regex"))
+    return claimed.select("record_id", F.md5("document_text").alias("note"), F.inline(P.merge_mappings(F.col("found"), F.col("regex"))))
+
+
+@query("phi_alignment")
+def phi_alignment(spark, d):
+    """What a redacted copy no longer holds, found by aligning it with its original."""
+    rows = _notes(spark, d).select("record_id", "document_text", P.scrub(F.col("document_text")).alias("redacted"))
+    spans = rows.select("record_id", F.md5("document_text").alias("note"), F.inline(P.align_redaction(F.col("document_text"), F.col("redacted"))))
+    return spans.select("record_id", "note", "start", "end", "value")
+
+
+@query("invalid_references", """
+SELECT report_id, CAST(len(list_filter(r, lambda x: x >= n)) AS INT) AS invalid FROM (
+  SELECT report_id, max(n) AS n, list(ref) AS r FROM (SELECT report_id, finding_no + 1 AS ref, count(*) OVER (PARTITION BY report_id) AS n FROM (SELECT DISTINCT report_id, finding_no FROM radiology_mode_output WHERE report_id IS NOT NULL)) GROUP BY report_id)""")
+def invalid_references(spark, d):
+    """Impressions that point one finding too far: the last reference of a report is behind its findings."""
+    f = table(spark, d, "radiology_mode_output").where("report_id IS NOT NULL").select("report_id", "finding_no").distinct().groupBy("report_id").agg(F.collect_list("finding_no").alias("findings"))
+    impressions = F.transform("findings", lambda n: F.struct(F.array((n + 1).cast("int")).alias("finding_refs")))
+    return f.select("report_id", V.invalid_references(impressions, F.col("findings")).alias("invalid"))
+
+
+_WRAPS = [("plain", "{p}"), ("fenced", "Here it is:\n```json\n{p}\n```"), ("inside", "The answer is {p} as asked"), ("python", "{{'a': True, 'b': None, 'name': 'x'}}")]
+
+
+@query("lenient_json", "SELECT report_id, how, CASE WHEN how = 'python' THEN 'x' ELSE exam_type END AS name FROM (SELECT DISTINCT report_id, exam_type FROM radiology_train WHERE exam_type IS NOT NULL), (SELECT unnest(['plain', 'fenced', 'inside', 'python']) AS how)")
+def lenient_json(spark, d):
+    """Payloads recovered from text that fences or surrounds them."""
+    r = table(spark, d, "radiology_train").where("exam_type IS NOT NULL").select("report_id", "exam_type").distinct()
+    p = F.to_json(F.struct(F.col("exam_type").alias("name")))
+    texts = F.array(*[F.struct(F.lit(k).alias("how"), F.replace(F.lit(t.replace("{{", "{").replace("}}", "}")), F.lit("{p}"), p).alias("t")) for k, t in _WRAPS])
+    return r.select("report_id", F.inline(texts)).select("report_id", "how", F.try_variant_get(V.lenient_json(F.col("t")), "$.name", "string").alias("name"))
+
+
+@query("best_candidates", "SELECT report_id, arg_max({'a': anatomy}, (confidence, -finding_no)).a AS anatomy, max(confidence) AS confidence FROM (SELECT DISTINCT report_id, finding_no, anatomy, confidence FROM radiology_mode_output WHERE report_id IS NOT NULL AND confidence IS NOT NULL) GROUP BY report_id")
+def best_candidates(spark, d):
+    """The finding of each report with the highest confidence, the first of equals."""
+    rows = table(spark, d, "radiology_mode_output").where("report_id IS NOT NULL AND confidence IS NOT NULL").select("report_id", "finding_no", "anatomy", "confidence").distinct()
+    return E.best_candidate(rows, "report_id", "confidence", "finding_no").select("report_id", "anatomy", "confidence")
+
+
+@query("step_totals", "SELECT count(*) AS steps, round(sum(value), 4) AS duration, sum(length(event_type) + user_id) AS tokens FROM events")
+def step_totals(spark, d):
+    rows = table(spark, d, "events").select(F.col("value").alias("duration"), F.length("event_type").cast("bigint").alias("input_tokens"), F.col("user_id").alias("output_tokens"))
+    return B.step_totals(rows).withColumn("duration", F.round("duration", 4))
+
+
+@query("density")
+def density(spark, d):
+    """Completeness and density of the extractions against their notes."""
+    rows = table(spark, d, "extract_train").where("extracted IS NOT NULL AND document_text IS NOT NULL").select("record_id", "document_text", "extracted").distinct()
+    v = F.try_parse_json("extracted")
+    flags = [F.try_variant_get(v, f"$.{k}", "string").isNotNull() for k in ("patient_name", "visit_date", "primary_diagnosis")]
+    return rows.select("record_id", F.md5("document_text").alias("note"), F.round(Q.field_coverage(flags), 6).alias("coverage"), F.round(Q.information_density(F.col("document_text"), F.col("extracted")), 6).alias("density"), F.round(Q.completeness(flags, F.col("document_text"), F.col("extracted")), 6).alias("completeness"))
+
+
+@query("stream_files", "SELECT count(*) AS files, CAST(sum(n) AS BIGINT) AS chars FROM (SELECT doc_id, max(length(text)) AS n FROM documents GROUP BY doc_id)")
+def stream_files(spark, d):
+    """The documents written as a folder of text files and taken up by a stream that ends when it has seen them all."""
+    sc = spark.sparkContext
+    base = f"{spark.conf.get('spark.checkpoint.dir', None) or os.path.join(tempfile.gettempdir(), 'carrel_checkpoints')}/stream_{uuid.uuid4().hex}"
+    one = table(spark, d, "documents").groupBy("doc_id").agg(F.max("text").alias("text"))
+    one.select(F.translate("text", "\n\r", "  ").alias("value")).repartition(max(2, sc.defaultParallelism)).write.text(f"{base}/in")
+    B.stream_folder(spark, f"{base}/in", f"{base}/out", f"{base}/state", lambda files: files.select(F.explode(F.split(F.regexp_replace("text", r"\n\z", ""), "\n")).alias("text")))
+    return spark.read.schema("text string").parquet(f"{base}/out").agg(F.count("*").alias("files"), F.sum(F.char_length("text")).alias("chars"))
+
+
 ORACLES |= {k: v for k, v in oracles.SQL.items() if k in QUERIES}

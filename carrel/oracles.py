@@ -391,3 +391,23 @@ SQL["chunk_phrase_search"] = f"""
 WITH s AS (SELECT doc_id, text, string_split(lower(text), 'chest pain') AS p FROM documents WHERE contains(lower(text), 'chest pain')),
 v AS (SELECT doc_id AS source, CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + (i - 1) * 10 AS INT) AS "start", text FROM (SELECT doc_id, text, unnest(range(1, len(p))) AS i, p FROM s) WHERE i <= 10)
 SELECT source, "start", {squash('substring(text, greatest("start" - 150, 0) + 1, "start" + 160 - greatest("start" - 150, 0))')} AS snippet FROM v"""
+
+# ---- answers and the rest -------------------------------------------------------------------------------------------
+_SENTENCES = "string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+SQL["timeline_answer"] = f"""
+WITH b AS (SELECT source, {squash('snippet')} AS snippet, length(snippet) AS rank FROM (SELECT doc_id AS source, unnest({_SENTENCES}) AS snippet FROM documents WHERE contains(text, 'endoscopy')) WHERE contains(snippet, 'endoscopy') ORDER BY rank DESC, source, snippet LIMIT 6),
+s AS (SELECT *, nullif(regexp_extract(snippet, '\\b\\d{{4}}-\\d{{2}}-\\d{{2}}\\b'), '') AS day FROM b),
+l AS (SELECT 1 AS part, row_number() OVER (ORDER BY day, source, snippet) AS k, '- ' || day || ' | ' || source || ': ' || substring(snippet, 1, 220) AS line FROM s WHERE day IS NOT NULL
+  UNION ALL SELECT 2, row_number() OVER (ORDER BY rank DESC, source, snippet), '- ' || source || ': ' || substring(snippet, 1, 220) FROM s WHERE day IS NULL
+  UNION ALL SELECT 0, 1, 'Timeline from grounded evidence:' WHERE EXISTS (SELECT 1 FROM s WHERE day IS NOT NULL))
+SELECT CAST(row_number() OVER (ORDER BY part, k) - 1 AS INT) AS place, line FROM l WHERE (part = 0) OR (part = 1 AND k <= 4) OR (part = 2 AND k <= 2)"""
+SQL["source_manifest"] = "SELECT loaded_id, md5(text) AS digest, concat_ws(' | ', source_path, length(text) || ' chars', len(string_split(text, chr(10))) || ' lines', page_count || ' pages') AS line FROM (SELECT DISTINCT loaded_id, source_path, text, page_count FROM loaded_document)"
+SQL["absence_cues"] = f"""
+SELECT doc_id, sum(CAST(a AS INT))::BIGINT AS absent, sum(CAST(f AS INT))::BIGINT AS failing FROM (
+  SELECT doc_id, len(list_filter({_list(X.ABSENCE_CUES)}, lambda c: contains(low, c))) > 0 OR regexp_matches(lower(t), '\\bno\\b[^.]{{0,100}}\\bfound\\b') AS a, len(list_filter({_list(X.FAILURE_CUES)}, lambda c: contains(low, c))) > 0 AS f FROM (
+    SELECT doc_id, t, lower({squash('t')}) AS low FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents))) GROUP BY doc_id"""
+_GOT = " + ".join(f"CAST(json_extract_string(extracted, '$.{k}') IS NOT NULL AS INT)" for k in ("patient_name", "visit_date", "primary_diagnosis"))
+_COUNT_OF = "len(list_filter(string_split_regex({t}, '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{2000}}-\\x{{200a}}\\x{{202f}}\\x{{3000}}]+'), lambda w: w <> ''))"
+SQL["density"] = f"""
+SELECT record_id, md5(document_text) AS note, round(({_GOT}) / 3, 6) AS coverage, round(d, 6)::DOUBLE AS density, round(0.7 * ({_GOT}) / 3 + 0.3 * d, 6)::DOUBLE AS completeness FROM (
+  SELECT *, coalesce(least(1.0, {_COUNT_OF.format(t='extracted')} / nullif({_COUNT_OF.format(t='document_text')}, 0)), 0.0) AS d FROM (SELECT DISTINCT record_id, document_text, extracted FROM extract_train WHERE extracted IS NOT NULL AND document_text IS NOT NULL))"""

@@ -1,0 +1,141 @@
+"""Answers from computed evidence: results of statements, statistics of tables, timelines, and the guards over them.
+
+Everything here works on a handful of rows that a plan has already computed; nothing reads a table by itself but table_evidence,
+whose plans are statistics and lists of bounded length.
+"""
+
+from __future__ import annotations
+
+import json
+import re
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from carrel.functions.text import squash
+
+# Names of count columns in results of statements.
+COUNT_NAMES = {"count", "cnt", "n", "freq", "frequency"}
+PREVIEW = 6
+
+
+@dataclass(frozen=True)
+class Evidence:
+    """One computed or quoted piece of evidence."""
+
+    source: str
+    snippet: str
+    score: int
+    evidence_type: str
+    operation: str = ""
+    column: str = ""
+    value: object = None
+    count: int | None = None
+
+
+def _plain_name(name: str) -> str:
+    return re.sub(r"[^a-z0-9]+", "_", name.lower()).strip("_")
+
+
+def _whole(value) -> bool:
+    try:
+        return float(str(value)).is_integer()
+    except ValueError:
+        return False
+
+
+def count_and_value_columns(rows: list[dict]) -> tuple[str, str]:
+    """(value column, count column) of a result that counts values; empty names where it does not."""
+    shown = rows[:PREVIEW]
+    counts = next((c for c in shown[0] if _plain_name(c) in COUNT_NAMES and all(_whole(r[c]) for r in shown)), "") if shown else ""
+    return next((c for c in shown[0] if c != counts), "") if counts else "", counts
+
+
+def sql_answer(question: str, source: str, statement: str, rows: list[dict], wants: dict[str, bool]) -> tuple[str, list[Evidence]]:
+    """What the rows of a statement say, with the evidence for it; ('', []) without rows.
+
+    wants: whether a spread, a list of values or a count was asked for.
+    """
+    if not rows:
+        return "", []
+    shown = rows[:PREVIEW]
+    value, count = count_and_value_columns(rows)
+    as_json = json.dumps(shown, default=str, ensure_ascii=False)
+    counted = [(r[value], int(float(str(r[count] or 0)))) for r in shown] if value else []
+    if value and wants.get("spread"):
+        answer = f"{value} distribution ({len(rows)} groups): " + ", ".join(f"{v}={n}" for v, n in counted) + "."
+    elif value and wants.get("values"):
+        listed = ", ".join(str(v) for v, _ in counted)
+        answer = f"There are {len(rows)} distinct {value} values: {listed}." if wants.get("count") else f"Distinct {value} values: {listed}."
+    elif len(rows) == 1 and len(rows[0]) == 1:
+        ((name, only),) = rows[0].items()
+        answer = f"There are {only}." if wants.get("count") and any(t in _plain_name(name) for t in ("count", "n", "total", "rows")) else f"{name}: {only}."
+    elif len(rows) == 1:
+        answer = f"Computed result: {as_json}"
+    else:
+        answer = f"Computed result rows ({len(shown)} shown): {as_json}"
+    evidence = [Evidence(source, f"Computed SQL on {source}: {statement} -> {as_json[:320]}", 92, "table_sql", value=len(rows))]
+    evidence += [Evidence(source, f"Distinct {value}: {v} (count={n})", 90, "table_value", "distinct_values", value, v, n) for v, n in counted]
+    if value:
+        evidence.append(Evidence(source, f"Computed unique_count of {value} from SQL result: {len(rows)} groups", 88, "table_stat", "nunique", value, len(rows)))
+    return answer, evidence
+
+
+def shown_number(x) -> str:
+    """Six significant digits without zeros at the end."""
+    if x is None:
+        return "null"
+    return f"{x:.6g}" if isinstance(x, float) else str(x)
+
+
+def answer_from_evidence(evidence: list[Evidence], wants: dict[str, bool]) -> str | None:
+    """The count or list that computed evidence states, so that no other text can stand in for it; None without such evidence."""
+    values = [e for e in evidence if e.evidence_type == "table_value"]
+    unique = next((e for e in evidence if e.evidence_type == "table_stat" and e.operation == "nunique"), None)
+    if wants.get("spread") and values:
+        return f"{values[0].column} distribution: " + ", ".join(f"{e.value} ({e.count})" for e in values) + "."
+    if wants.get("values") and values:
+        listed = ", ".join(str(e.value) for e in values)
+        return f"There are {unique.value} distinct {unique.column} values: {listed}." if wants.get("count") and unique else f"Values of {values[0].column}: {listed}."
+    stat = next((e for e in evidence if e.evidence_type == "table_stat" and e.value is not None), None)
+    if stat is None:
+        return None
+    if stat.operation == "nunique":
+        return f"There are {stat.value} distinct {stat.column} values."
+    return f"There are {stat.value} rows in {stat.source}." if stat.operation == "count_rows" else f"The {stat.operation} of {stat.column} is {shown_number(stat.value)}."
+
+
+def fail_closed(question_is_numeric: bool, computed: bool, answer: str) -> tuple[str, str]:
+    """(answer, code): a numeric question without computed evidence is refused, whatever text there is."""
+    if question_is_numeric and not computed:
+        return "No computed value supports an answer.", "missing_computed_evidence"
+    return answer, ""
+
+
+DAY = r"\b\d{4}-\d{2}-\d{2}\b"
+
+
+def timeline(snippets: DataFrame, most: int = 6, dated: int = 4, undated: int = 2) -> DataFrame:
+    """(place, line): the `most` best snippets (source, snippet, rank) with a day in order of the day, at most `dated`, then
+    at most `undated` others; the first line says what they are, where any has a day."""
+    best = snippets.orderBy(F.desc("rank"), "source", "snippet").limit(most)
+    rows = best.select("rank", "source", squash(F.col("snippet")).alias("snippet")).withColumn("day", F.nullif(F.regexp_extract("snippet", DAY, 0), F.lit("")))
+    order = lambda *c: F.array_sort(F.collect_list(F.struct(*c)))
+    lists = rows.agg(
+        order(*[F.when(F.col("day").isNotNull(), F.col(c)).alias(c) for c in ("day", "source", "snippet")]).alias("d"),
+        order(*[F.when(F.col("day").isNull(), x).alias(a) for a, x in (("neg", -F.col("rank")), ("source", F.col("source")), ("snippet", F.col("snippet")))]).alias("u"),
+    )
+    text = lambda x: F.substring(x["snippet"], 1, 220)
+    first = F.transform(F.slice(F.filter("d", lambda x: x["snippet"].isNotNull()), 1, dated), lambda x: F.concat(F.lit("- "), x["day"], F.lit(" | "), x["source"].cast("string"), F.lit(": "), text(x)))
+    rest = F.transform(F.slice(F.filter("u", lambda x: x["snippet"].isNotNull()), 1, undated), lambda x: F.concat(F.lit("- "), x["source"].cast("string"), F.lit(": "), text(x)))
+    title = F.when(F.size(first) > 0, F.array(F.lit("Timeline from grounded evidence:"))).otherwise(F.expr("cast(array() as array<string>)"))
+    return lists.select(F.posexplode(F.concat(title, first, rest)).alias("place", "line"))
+
+
+def source_manifest(name: Column, text: Column, page_count: Column | None = None) -> Column:
+    """One line that says what a source is: name, characters, lines and pages."""
+    parts = [name.cast("string"), F.concat(F.char_length(text).cast("string"), F.lit(" chars")), F.concat(F.size(F.split(text, "\n")).cast("string"), F.lit(" lines"))]
+    if page_count is not None:
+        parts.append(F.when(page_count.isNotNull(), F.concat(page_count.cast("string"), F.lit(" pages"))))
+    return F.concat_ws(" | ", *parts)

@@ -12,9 +12,12 @@ from difflib import get_close_matches
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from carrel.functions.text import question_terms, stem_word
+from carrel.functions.text import SEARCH_STOPWORDS, question_terms, stem_word
 from carrel.operators import tables as tb
+from carrel.plans import answers as an
+from carrel.plans.answers import shown_number
 from carrel.plans.guard import guarded_sql, planned_sql_is_safe
 
 # Words that ask for an operation; the first list by words, the second by parts of the text, in this order.
@@ -128,47 +131,99 @@ def named_column(question: str, columns: list[str]) -> str | None:
     return max(hits)[2] if hits else None
 
 
-def suggest_columns(question: str, df: DataFrame, roles: dict[str, str] | None = None, values: dict[str, set[str]] | None = None, top_k: int = 8) -> list[tuple[str, int]]:
-    """(column, score) best first: 25 for each shared word, 12 for a part, 18 for each value named, and what the operation needs."""
-    wanted = question_terms(question)
+def value_words(df: DataFrame, roles: dict[str, str], most: int = 300) -> dict[str, set[str]]:
+    """The words of the `most` most frequent values of each categorical or boolean column."""
+    out = {}
+    for c, role in roles.items():
+        if role in ("categorical", "boolean") and not isinstance(df.schema[c].dataType, (T.ArrayType, T.StructType, T.MapType)):
+            rows = df.where(tb.quoted(c).isNotNull()).groupBy(tb.quoted(c).cast("string").alias("v")).count().orderBy(F.desc("count"), "v").limit(most).collect()
+            out[c] = {w for r in rows for w in question_terms(r["v"] or "", expand=False)}
+    return out
+
+
+def suggest_columns(
+    question: str, df: DataFrame, roles: dict[str, str] | None = None, values: dict[str, set[str]] | None = None, top_k: int = 8, ids: list[str] | None = None
+) -> list[tuple[str, int]]:
+    """(column, score) best first, equals in the order of the table.
+
+    25 for each word of the name, 12 for each term inside it, 18 for each word among its values; 20 more for a numeric column
+    where a statistic is asked for, 35 for an identifier where things are counted, 10 for one where values are.
+    """
+    wanted = set(question_terms(question))
     op = operation_by_words(question)
-    roles = roles or {}
     out = []
+    for k, c in enumerate(df.columns):
+        key = tb.column_key(c)
+        base = 25 * len({t for t in key.split("_") if t} & wanted) + 12 * sum(t in key for t in wanted) + 18 * len(wanted & (values or {}).get(c, set()))
+        score = base + (20 if op in STATISTICS and (roles or {}).get(c) == "numeric" else 0)
+        if counts_entities(question) and c in (ids or ()):
+            score += 35
+        elif op in ("nunique", "count") and c in (ids or ()) and base:
+            score += 10
+        if score > 0:
+            out.append((c, score, k))
+    return [(c, n) for c, n, _ in sorted(out, key=lambda x: (-x[1], x[2]))[: max(1, top_k)]]
+
+
+# Operations that need numbers.
+STATISTICS = {"mean", "median", "min", "max", "sum", "std"}
+
+
+def counts_entities(question: str) -> bool:
+    """Whether things such as subjects or patients are to be counted."""
+    low = question.lower()
+    return any(m in low for m in COUNT_MARKS) and bool({stem_word(w) for w in re.findall("[a-z]+", low)} & tb.ENTITY_WORDS)
+
+
+def choose_column(question: str, df: DataFrame) -> str | None:
+    """The column with the best score, the first of equals: 120 if its name stands in the terms of the question, 60 if it is
+    one of them, 15 for each word they share."""
+    terms = [t for t in question_terms(question, expand=False) if t not in SEARCH_STOPWORDS]
+    if not terms:
+        return None
+    wanted = question_terms(question)
+    joined = "_".join(wanted)
+    best: tuple[int, str] | None = None
     for c in df.columns:
-        words = {stem_word(w) for w in re.findall("[a-z0-9]+", c.lower())}
-        score = 25 * len(words & set(wanted)) + 12 * sum(t in tb.column_key(c) for t in wanted if t not in words and len(t) > 2)
-        score += 18 * len(set(wanted) & (values or {}).get(c, set()))
-        role = roles.get(c)
-        if score and op in tb.NUMERIC:
-            score += 20 if role == "numeric" else 0
-        elif score and op == "nunique":
-            score += 10 if role in ("categorical", "id") else 0
-        elif score and asks_spread(question):
-            score += 35 if role in ("categorical", "boolean") else 0
-        if score:
-            out.append((c, score))
-    return sorted(out, key=lambda x: (-x[1], x[0]))[:top_k]
-
-
-def choose_column(question: str, df: DataFrame, roles: dict[str, str] | None = None) -> str | None:
-    return named_column(question, df.columns) or next((c for c, _ in suggest_columns(question, df, roles)), None)
-
-
-def plan_question(question: str, source: str, df: DataFrame, roles: dict[str, str] | None = None, ids: list[str] | None = None) -> Plan:
+        key = tb.column_key(c)
+        parts = {stem_word(t) for t in key.split("_") if t} | {t for t in key.split("_") if t}
+        score = (120 if key and key in joined else 0) + 15 * len(parts & set(wanted)) + (60 if key in wanted else 0)
+        if score and (best is None or score > best[0]):
+            best = (score, c)
+    return best[1] if best else None
+
+
+def counts_distinct(question: str, column: str, ids: list[str], role: str, uniques: int, non_null: int) -> bool:
+    """Whether a count over a column means its different values: it is named, identifies what is counted, or has few values."""
+    low = question.lower()
+    if set(re.findall("[a-z]+", low)) & {"distinct", "unique", "different"}:
+        return True
+    named = bool(set(question_terms(question)) & set(question_terms(column.replace("_", " "), expand=False)))
+    if "how many" in low and named or counts_entities(question) and column in ids:
+        return True
+    return "how many" in low and not asks_rows(question) and role in ("categorical", "boolean") and uniques <= 20 and non_null > 0 and uniques / non_null <= 0.6
+
+
+def plan_question(question: str, source: str, df: DataFrame, roles: dict[str, str] | None = None, ids: list[str] | None = None, profile: dict[str, tuple[int, int]] | None = None) -> Plan:
     """The plan of a question over one table.
 
-    A count turns into a distinct count for a named column, an identifier, or an entity ('how many subjects').
+    A count turns into a distinct count for a named column, an identifier of the things counted ('how many subjects') or a
+    column of few values. profile: (values, filled rows) of the columns.
     """
     intent = intent_of(question)
-    column = choose_column(question, df, roles) or ""
+    column = named_column(question, df.columns) or choose_column(question, df) or ""
     if intent == "aggregate":
         op = operation_by_words(question) or operation_by_marks(question) or "mean"
+        if not column and roles:
+            # a numeric column whose name shares something with the question
+            column = next((c for c, n in suggest_columns(question, df, roles, ids=ids) if roles.get(c) == "numeric" and n > 20), "")
         return Plan("aggregate", source, column, op) if column else Plan("text_qa", source)
     if intent == "count_distinct":
-        entity = {stem_word(w) for w in re.findall("[a-z]+", question.lower())} & tb.ENTITY_WORDS
-        if not column and entity and ids:
-            column = ids[0]
-        return Plan("count_distinct", source, column, "nunique") if column else Plan("count_rows", source, operation="count")
+        if counts_entities(question) and not named_column(question, df.columns) and ids:
+            column = next((c for c, _ in suggest_columns(question, df, roles, ids=ids) if c in ids), ids[0])
+        if column and (named_column(question, df.columns) == column or counts_distinct(question, column, ids or [], (roles or {}).get(column, ""), *(profile or {}).get(column, (0, 0)))):
+            return Plan("count_distinct", source, column, "nunique")
+        return Plan("count_rows", source, operation="count")
     if intent in ("count_values", "list_values"):
         return Plan(intent, source, column, "nunique", include_values=True) if column else Plan("text_qa", source)
     return Plan(intent, source, operation="count" if intent == "count_rows" else "")
@@ -205,13 +260,6 @@ def compile_plan(plan: Plan, df: DataFrame) -> DataFrame:
     raise ValueError(f"no table plan for {plan.intent!r}")
 
 
-def shown_number(x) -> str:
-    """Six significant digits without zeros at the end."""
-    if x is None:
-        return "null"
-    return f"{x:.6g}" if isinstance(x, float) else str(x)
-
-
 def answer_of(plan: Plan, rows: list) -> str:
     if plan.intent == "schema":
         return f"{plan.source} has {len(rows)} columns: " + ", ".join(r["column"] for r in rows)
@@ -228,6 +276,71 @@ def answer_of(plan: Plan, rows: list) -> str:
     return f"The {plan.operation} of {plan.column} is {shown_number(rows[0]['value'])}."
 
 
+def wanted_forms(question: str) -> dict[str, bool]:
+    """Whether a spread, a list of values or a count is asked for."""
+    return {"spread": asks_spread(question), "values": asks_values(question), "count": any(m in question.lower() for m in (*COUNT_MARKS, "count"))}
+
+
+def table_evidence(question: str, name: str, df: DataFrame, plan: Plan, top_k: int = 5) -> list[an.Evidence]:
+    """Computed evidence for a question over one table, best first: a row count, values with their counts, or a statistic."""
+    if plan.intent == "count_rows":
+        n = compile_plan(plan, df).first()["value"]
+        return [an.Evidence(name, f"Computed row_count of {name}: {n}", 80, "table_stat", "count_rows", value=n)]
+    if plan.intent in ("list_values", "count_values"):
+        spread = plan.intent == "count_values"
+        rows = tb.distinct_values(df, plan.column, plan.where or None, max(8, min(16, top_k * 3))).collect()
+        out = [an.Evidence(name, f"Distinct {plan.column}: {r['value']} (count={r['n']})", 86 if spread else 84, "table_value", "distinct_values", plan.column, r["value"], r["n"]) for r in rows]
+        if spread:
+            r = tb.table_stat(df, plan.column, "nunique", where=plan.where or None).first()
+            out.append(an.Evidence(name, f"Computed unique_count of {plan.column} from {r['row_count']} rows: {r['value']}", 88, "table_stat", "nunique", plan.column, r["value"]))
+        return sorted(out, key=lambda e: -e.score)
+    if plan.intent in ("aggregate", "count_distinct"):
+        op = plan.operation or "nunique"
+        r = tb.table_stat(df, plan.column, op, where=plan.where or None).first()
+        label = "unique_count" if op == "nunique" and counts_entities(question) else op
+        return [an.Evidence(name, f"Computed {label} of {plan.column} from {r['row_count']} rows (non-null {r['non_null']}): {shown_number(r['value'])}", 80, "table_stat", op, plan.column, r["value"])]
+    return []
+
+
+# Words that point back to what was said before.
+BACK_WORDS = {"it", "they", "them", "those", "these", "that", "this", "there", "ones", "same"}
+
+
+def points_back(question: str) -> bool:
+    """Whether a question leans on the one before: few words, one of which points back, or a list of values of nothing."""
+    words = {stem_word(w) for w in re.findall("[a-z0-9]+", question.lower()) if len(w) >= 2} | set(re.findall("[a-z0-9]{2,}", question.lower()))
+    if asks_values(question):
+        return not {w for w in words if w not in BACK_WORDS and w not in SEARCH_STOPWORDS and stem_word(w) not in ("value", "name", "list", "distinct", "unique")}
+    return bool(words & BACK_WORDS) and len(words) <= 10
+
+
+def counts_nothing_named(question: str) -> bool:
+    """A bare 'how many?' or 'how many are there?'."""
+    words = set(re.findall("[a-z]+", question.lower()))
+    return bool(words) and "many" in words and words <= {"how", "many", "are", "there", "of", "in", "total", "and", "so", *BACK_WORDS}
+
+
+def rewrite_follow_up(question: str, state: dict[str, str], columns: list[str] = ()) -> str:
+    """The question with what it leaves out, from the state (intent, source, column) of the last answer."""
+    q = " ".join(question.split())
+    column, source, last = state.get("column", ""), state.get("source", ""), state.get("intent", "")
+    place = f" in {source}" if source else ""
+    if last == "schema":
+        if counts_nothing_named(q):
+            return f"How many columns are there{place}?"
+        if asks_values(q) and points_back(q):
+            return f"What are the column names{place}?"
+    if last in ("count_values", "count_distinct", "list_values") and column:
+        if counts_nothing_named(q):
+            return f"How many distinct values are there for {column}{place}?"
+        if asks_values(q) and points_back(q):
+            return f"What are the distinct values of {column}{place}?"
+    leans = re.match(r"(?:and|what about|how about|also)\b", q.lower())
+    if column and (points_back(q) or leans) and not named_column(q, list(columns)):
+        return f"{q.rstrip('?')} about {column}{place}" if not asks_values(q) else f"What are the distinct values of {column}{place}?"
+    return q
+
+
 @dataclass
 class Answer:
     question: str
@@ -238,6 +351,22 @@ class Answer:
     citations: list = field(default_factory=list)
     confidence: float = 0.0
     computed: bool = False
+    asked: str = ""
+    turn: int = 0
+    code: str = ""
+    reason: str = ""
+    path: str = ""
+
+    def payload(self) -> dict:
+        """The result under the names of the reference's result; what a language model would have done is false or empty."""
+        table = self.plan.intent != "text_qa"
+        return {
+            "question": self.question, "answer": self.answer, "citations": self.citations, "confidence": self.confidence, "sources_consulted": sorted({str(c[0]) for c in self.citations}), "turn_index": self.turn,
+            "fallback_used": bool(self.code), "fallback_reason": self.reason, "fallback_code": self.code, "rescue_used": False, "rescue_reason": "", "deterministic_used": self.computed, "deterministic_intent": self.plan.intent if self.computed else "",
+            "execution_mode": "deterministic" if self.computed else "retrieval", "llm_primary_used": False, "intent": self.plan.intent, "route_intent": intent_of(self.question), "longdoc_literal_support": None, "execution_path": self.path or ("deterministic_tabular" if self.computed else "retrieval"),
+            "target_resolution": self.asked if self.asked != self.question else "", "planner_used": table, "planner_executed": self.computed, "planner_intent": self.plan.intent, "planner_source": self.plan.source, "planner_column": self.plan.column, "planner_column_recovered": bool(self.plan.column) and self.plan.column.lower() not in self.question.lower(),
+            "planner_error": "", "parallel_used": False, "parallel_failures": [],
+        }
 
 
 class QuerySession:
@@ -249,6 +378,7 @@ class QuerySession:
         self.texts: DataFrame | None = None
         self.turns: list[tuple[str, str]] = []
         self.state: dict[str, str] = {}
+        self._profiles: dict[str, tuple] = {}
         self.closed = False
 
     def add_table(self, name: str, df: DataFrame) -> str:
@@ -270,45 +400,78 @@ class QuerySession:
         rows = [(n, df.count(), ", ".join(df.columns)) for n, df in self.tables.items()]
         return self.spark.createDataFrame(rows, "name string, rows long, columns string")
 
+    def profile(self, name: str) -> tuple[dict[str, str], list[str], dict[str, tuple[int, int]]]:
+        """(roles, identifying columns, (values, filled rows) of each column) of a table, worked out once."""
+        if name not in self._profiles:
+            df = self.tables[name]
+            counts = {r["column"]: (r["uniques"], r["non_null"]) for r in tb.table_schema(df).collect()}
+            self._profiles[name] = (tb.column_roles(df), [r["column"] for r in tb.id_candidates(df).collect()], counts)
+        return self._profiles[name]
+
     def follow_up(self, question: str) -> str:
-        """A question that leans on the one before ('and by sex?', 'what about the maximum?') with the column it means."""
-        low = question.lower().strip()
-        leans = re.match(r"(?:and|what about|how about|also)\b", low) or re.search(r"\b(?:it|that|those|them)\b", low)
-        if leans and self.state.get("column") and not any(named_column(question, df.columns) for df in self.tables.values()):
-            return f"{question.rstrip('?')} of {self.state['column']}?"
-        return question
+        """A question that leans on the one before with the column it means."""
+        return rewrite_follow_up(question, self.state, [c for df in self.tables.values() for c in df.columns])
+
+    def plan(self, question: str) -> Plan | None:
+        """The plan of the table that fits a question best; None where none does."""
+        best: tuple[int, Plan] | None = None
+        for name, df in self.tables.items():
+            if intent_of(question) == "text_qa":
+                break
+            roles, ids, counts = self.profile(name)
+            plan = plan_question(question, name, df, roles, ids, counts)
+            fit = (0 if plan.intent == "text_qa" else 10) + (5 if plan.column else 0) + (3 if name.lower() in question.lower() else 0)
+            if plan.intent != "text_qa" and (best is None or fit > best[0]):
+                best = (fit, plan)
+        return best[1] if best else None
 
     def ask(self, question: str) -> Answer:
-        """The answer from tables where one fits, else the best snippets of the documents; a numeric question without a
-        computed value is refused rather than guessed."""
+        """The answer from tables where one fits, else the best snippets of the documents.
+
+        A schema is always read from the table, counts and lists always come from computed evidence, and a numeric question
+        without a computed value is refused rather than guessed.
+        """
         if self.closed:
             raise ValueError("the session is closed")
         asked = self.follow_up(question)
-        best: tuple[int, str, Plan] | None = None
-        for name, df in self.tables.items():
-            plan = plan_question(asked, name, df)
-            fit = (0 if plan.intent == "text_qa" else 10) + (5 if plan.column else 0) + (3 if name.lower() in asked.lower() else 0)
-            if plan.intent != "text_qa" and (best is None or fit > best[0]):
-                best = (fit, name, plan)
-        if best:
-            plan = best[2]
-            rows = compile_plan(plan, self.tables[best[1]]).collect()  # a statistic, or at most 100 values
-            value = rows[0]["value"] if rows and "value" in rows[0].asDict() and plan.intent not in ("list_values", "count_values") else None
-            out = Answer(asked, plan, answer_of(plan, rows), value, "table_value" if plan.include_values else "table_stat", [(best[1], plan.column, plan.operation)], 0.82 if plan.column else 0.7, True)
-            self.state.update(source=best[1], column=plan.column, operation=plan.operation)
+        plan = self.plan(asked)
+        if plan:
+            df = self.tables[plan.source]
+            if plan.intent == "schema":
+                rows = compile_plan(plan, df).collect()
+                out = Answer(question, plan, answer_of(plan, rows), len(rows), "table_schema", [(plan.source, ", ".join(df.columns), 80)], 0.82, True)
+            else:
+                found = table_evidence(asked, plan.source, df, plan)
+                stat = next((e for e in found if e.evidence_type == "table_stat"), None)
+                text = an.answer_from_evidence(found, wanted_forms(asked) | {"spread": plan.intent == "count_values" and not asks_values(asked), "values": plan.include_values}) or "No evidence was found."
+                out = Answer(question, plan, text, stat.value if stat else None, found[0].evidence_type if found else "", [(e.source, e.snippet, e.score) for e in found], 0.82 if plan.column else 0.7, bool(found))
+            self.state.update(intent=plan.intent, source=plan.source, column=plan.column, operation=plan.operation)
         elif self.texts is not None:
             from carrel.operators.search import search_documents
 
             hits = search_documents(self.texts, "source", "text", asked).collect()  # the five best
             text = hits[0]["snippet"] if hits else "No evidence was found."
-            out = Answer(asked, Plan("text_qa"), text, None, "text", [(h["source"], h["snippet"], h["score"]) for h in hits], min(0.68, 0.2 * len(hits)), False)
+            out = Answer(question, Plan("text_qa"), text, None, "text", [(h["source"], h["snippet"], h["score"]) for h in hits], min(0.68, 0.2 * len(hits)), False)
         else:
-            out = Answer(asked, Plan("text_qa"), "No evidence was found.")
-        if operation_by_marks(asked) and not out.computed and not re.search(r"\d", out.answer):
-            out.answer, out.confidence = "No computed value supports an answer.", 0.0
+            out = Answer(question, Plan("text_qa"), "No evidence was found.")
+        numeric = bool(operation_by_marks(asked)) and not re.search(r"\d", out.answer)
+        out.answer, out.code = an.fail_closed(numeric, out.computed, out.answer)
+        if out.code:
+            out.confidence, out.reason = 0.0, "no computed evidence for a numeric question"
+        if is_non_answer(out.answer) and not out.code:
+            out.confidence = min(out.confidence, 0.2)
+        out.asked, out.turn = asked, len(self.turns)
         self.turns.append((question, out.answer))
         return out
 
+    def ask_sql(self, question: str, statement: str, name: str) -> tuple[str, list[an.Evidence]]:
+        """The answer that a statement over one table (called _table) gives to a question, with its evidence."""
+        rows = [r.asDict() for r in self.planned_sql(statement, name).collect()]  # at most 100 rows
+        answer, evidence = an.sql_answer(question, name, statement, rows, wanted_forms(question))
+        column = evidence[1].column if len(evidence) > 1 else self.state.get("column", "")
+        self.state.update(intent="sql_analytic", source=name, column=column)
+        return answer, evidence
+
     def sql(self, statement: str, limit: int = 100) -> DataFrame:
         return guarded_sql(self.spark, statement, self.tables, limit)
 

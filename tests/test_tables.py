@@ -66,3 +66,46 @@ def test_session(spark, cohort):
 
 def test_terms():
     assert question_terms("the lesions")[:2] == ["lesion", "nodule"]
+
+
+def test_guard(spark):
+    from carrel.plans.guard import guarded_sql
+
+    t = {"a": spark.range(5).toDF("x"), "b": spark.range(3).toDF("x")}
+    good = ["WITH t AS (SELECT x FROM a), u AS (SELECT * FROM t) SELECT * FROM u JOIN b USING (x)", "SELECT x FROM a WHERE x IN (SELECT x FROM b)", "SELECT x, (SELECT max(x) FROM b) AS m FROM a WHERE EXISTS (SELECT 1 FROM b WHERE b.x = a.x)", "SELECT x FROM a EXCEPT SELECT x FROM b", "SELECT * FROM a LATERAL VIEW explode(array(1, 2)) t AS e"]
+    for sql in good:
+        assert guarded_sql(spark, sql, t).count() >= 2, sql
+    bad = ["WITH t AS (SELECT 1 AS a) INSERT INTO x SELECT * FROM t", "SELECT * FROM text.`/etc/hostname`", "WITH t AS (SELECT * FROM csv.`/etc/hosts`) SELECT * FROM t", "SELECT * FROM a WHERE x IN (SELECT x FROM text.`/etc/hostname`)", "SELECT * FROM other", "SELECT * FROM range(5)",
+           "SELECT reflect('java.lang.System', 'getenv', 'HOME')", "WITH u AS (SELECT * FROM v), v AS (SELECT 1) SELECT * FROM u", "DROP TABLE a", "SELECT 1; SELECT 2", "", "SET x = 1"]
+    for sql in bad:
+        with pytest.raises(ValueError):
+            guarded_sql(spark, sql, t)
+    assert not spark.catalog.listTables()
+
+
+def test_plans_of_counts(spark):
+    df = spark.createDataFrame([(f"S{i}", "M" if i % 2 else "F", float(i)) for i in range(30)], "subject_id string, sex string, bmi double")
+    s = PL.QuerySession(spark)
+    s.add_table("cohort", df)
+    assert s.ask("how many subjects are there?").value == 30 and s.ask("how many subjects are there?").plan.column == "subject_id"
+    assert s.ask("how many rows are there?").plan.intent == "count_rows"
+    assert s.ask("breakdown of sex").answer == "sex distribution: F (15), M (15)."
+    assert s.ask("how many are there?").plan.intent in ("count_values", "count_distinct")
+    refused = s.ask("what is the average price of gold?")
+    assert refused.code == "missing_computed_evidence" and refused.confidence == 0.0 and len(refused.payload()) == 29
+    # what the evidence states is what is answered
+    answer, evidence = s.ask_sql("breakdown of sex", "SELECT sex, count(*) AS n FROM _table GROUP BY sex ORDER BY sex", "cohort")
+    assert answer == "sex distribution (2 groups): F=15, M=15." and [e.evidence_type for e in evidence] == ["table_sql", "table_value", "table_value", "table_stat"]
+    with pytest.raises(ValueError):
+        s.ask_sql("x", "SELECT * FROM cohort", "cohort")
+
+
+def test_unique_names_and_terms(spark):
+    from carrel.operators.search import term_frequencies
+    from carrel.sources.readers import unique_names
+
+    df = spark.createDataFrame([("a", 3), ("a", 1), ("b", 2), ("a", 2), (None, 9), (None, 10)], "name string, k int")
+    got = {(r.name, r.k, r.unique_name) for r in unique_names(df, "name", "k").collect()}
+    assert got == {("a", 1, "a"), ("a", 2, "a (2)"), ("a", 3, "a (3)"), ("b", 2, "b"), (None, 9, None), (None, 10, None)}
+    terms = {(r.term, r.n, r.docs) for r in term_frequencies(spark.createDataFrame([("Cats cat dog",), ("cat",), (None,), ("",)], "t string"), "t").collect()}
+    assert terms == {("cat", 3, 2), ("dog", 1, 1)}
