@@ -20,6 +20,7 @@ from carrel.operators import schemas as SC
 from carrel.operators import search as S
 from carrel.operators import sections as SE
 from carrel.operators import tables as T
+from carrel.operators import templates as TP
 from carrel.operators import verify as V
 from carrel.operators.units import p5_found
 from carrel.plans import answers as AN
@@ -1062,4 +1063,112 @@ def stream_files(spark, d):
     return spark.read.schema("text string").parquet(f"{base}/out").agg(F.count("*").alias("files"), F.sum(F.char_length("text")).alias("chars"))
 
 
+# ---- templates, payloads, registries --------------------------------------------------------------------------------
+_CATALOG_SQL = """SELECT vocabulary AS field_name, 'which ' || vocabulary AS field_description, CASE WHEN code LIKE '%1' THEN 'yes' ELSE 'no' END AS field_is_mandatory, code AS field_value, trim(term) AS value_label, code AS o FROM ontology_result"""
+
+
+@query("table_specs_catalog")
+def table_specs_catalog(spark, d):
+    """The reference list as a field catalog: a field for each vocabulary, an option for each code."""
+    o = table(spark, d, "ontology_result").select(
+        F.col("vocabulary").alias("field_name"), F.concat(F.lit("which "), "vocabulary").alias("field_description"), F.when(F.col("code").endswith("1"), "yes").otherwise("no").alias("field_is_mandatory"), F.col("code").alias("field_value"), F.trim("term").alias("value_label"), F.col("code").alias("o")
+    )
+    return TP.table_specs(o, "o").withColumns({c: F.array_join(c, ";") for c in ("values", "labels")})
+
+
+@query("table_specs_data")
+def table_specs_data(spark, d):
+    """A plain table: its columns as fields."""
+    return TP.table_specs(table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"), "o_orderkey").drop("values", "labels")
+
+
+@query("template_registry", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{t.description}', '{t.mode}')" for n, t in ((t.name, t) for t in TP.list_templates())) + ") AS t(name, description, mode)")
+def template_registry(spark, d):
+    """The built-in templates after a round trip through YAML, by the names that resolve_template takes."""
+    rows = []
+    for info in TP.list_templates():
+        spec, name = TP.resolve_template(info.name)
+        back = TP.parse_template(TP.template_yaml(spec))
+        if [f["name"] for f in back["fields"]] == [f["name"] for f in spec["fields"]]:
+            rows.append((name, back["description"], TP.template_mode(back)))
+    return spark.createDataFrame(rows, "name string, description string, mode string")
+
+
+@query("registries", "SELECT * FROM (VALUES ('metric', 8), ('mode', 2), ('rules', 2), ('hipaa', 21)) AS t(registry, entries)")
+def registries(spark, d):
+    rows = [("metric", len(Q.list_metrics())), ("mode", len(TP.list_modes())), ("rules", len(P.list_rules())), ("hipaa", len(P.CATEGORIES["hipaa"]))]
+    return spark.createDataFrame(rows, "registry string, entries int")
+
+
+_PAYLOAD_SPEC = {"name": "Note", "fields": [
+    {"name": "patient_name", "type": "str", "required": True}, {"name": "visit_date", "type": "str", "required": False}, {"name": "primary_diagnosis", "type": "str", "required": False}, {"name": "medication", "type": "list[str]", "required": True},
+]}
+
+
+@query("payload_coerced", """
+SELECT record_id, md5(extracted) AS digest, coalesce(json_extract_string(extracted, '$.patient_name'), '') AS patient_name, json_extract_string(extracted, '$.visit_date') AS visit_date, json_extract_string(extracted, '$.primary_diagnosis') AS primary_diagnosis,
+CAST(CASE json_type(extracted, '$.medication') WHEN 'ARRAY' THEN json_array_length(extracted, '$.medication') WHEN 'VARCHAR' THEN 1 ELSE 0 END AS INT) AS medications FROM (SELECT DISTINCT record_id, extracted FROM extract_train WHERE json_valid(extracted))""")
+def payload_coerced(spark, d):
+    """Extractions in the shape of a schema, optional values that break their rule gone."""
+    rows = table(spark, d, "extract_train").where("extracted IS NOT NULL").select("record_id", "extracted").distinct()
+    shaped = rows.select("record_id", F.md5("extracted").alias("digest"), E.coerced_payload(F.col("extracted"), _PAYLOAD_SPEC).alias("p")).where("p IS NOT NULL")
+    return shaped.select("record_id", "digest", E.validated_payload(F.col("p"), _PAYLOAD_SPEC).alias("p")).select("record_id", "digest", "p.patient_name", "p.visit_date", "p.primary_diagnosis", F.size("p.medication").alias("medications"))
+
+
+@query("rewards")
+def rewards(spark, d):
+    """Rewards of reports as extractions, and of their findings and impressions."""
+    r = table(spark, d, "radiology_train").where("findings IS NOT NULL").select("report_id", "findings", "impressions").distinct()
+    return r.select("report_id", F.round(Q.extraction_reward(F.col("findings"), F.col("impressions")), 6).alias("extraction"), F.round(Q.finding_reward(F.col("findings")), 6).alias("findings"), Q.diagnosis_reward(F.col("impressions")).alias("diagnosis"))
+
+
+@query("schema_scores", "SELECT * FROM (VALUES ('" + "'), ('".join(sorted(TP.BUILT_IN)) + "')) AS t(name), (SELECT 1.0::DOUBLE AS metric)")
+def schema_scores(spark, d):
+    """Built-in templates measured against themselves."""
+    rows = [(n, [f["name"] for f in TP.built_in(n)["fields"]]) for n in sorted(TP.BUILT_IN)]
+    df = spark.createDataFrame(rows, "name string, fields array<string>")
+    return df.select("name", F.round(Q.schema_metric(F.col("fields"), F.col("fields"), F.lit(True)), 6).alias("metric"))
+
+
+@query("schema_granularity")
+def schema_granularity(spark, d):
+    """Whether a flat template fits what report texts hold."""
+    r = table(spark, d, "radiology_train").select("report_id", "report_text").distinct()
+    g = TP.granularity(F.col("report_text"), TP.built_in("msk_mri"))
+    return r.select("report_id", F.md5("report_text").alias("digest"), g.alias("g")).select("report_id", "digest", F.round("g.score", 6).alias("score"), F.array_join("g.issues", ",").alias("issues"))
+
+
+@query("think_levels", "SELECT * FROM (VALUES ('generic', 'fast', 'fast', 'deep'), ('chest_ct', 'standard', 'standard', 'deep'), ('thyroid_us', 'fast', 'fast', 'deep')) AS t(name, auto, fast, deep)")
+def think_levels(spark, d):
+    rows = [(n, *[TP.effective_level(a, TP.built_in(n)) for a in ("auto", "fast", "deep")]) for n in ("generic", "chest_ct", "thyroid_us")]
+    return spark.createDataFrame(rows, "name string, auto string, fast string, deep string")
+
+
+@query("phi_deidentified")
+def phi_deidentified(spark, d):
+    """Entity values and what the patterns find, replaced together."""
+    values = table(spark, d, "phi_entity").where("record_id IS NOT NULL AND trim(value_text) <> ''").groupBy("record_id").agg(F.collect_set("value_text").alias("v"))
+    rows = _notes(spark, d).join(values, "record_id", "left")
+    return rows.select("record_id", P.deidentify(F.col("document_text"), F.col("v")).alias("text"))
+
+
+@query("lengths_across", """
+WITH f AS (SELECT DISTINCT report_id, finding_no, length(observation) AS extent, length(anatomy) AS len FROM radiology_mode_output WHERE report_id IS NOT NULL AND length(anatomy) > 0 AND length(observation) > 0),
+l AS (SELECT report_id, finding_no, min(len) AS len FROM f GROUP BY ALL)
+SELECT report_id, max(round_even(extent / (l.len * 10.0) * 100, 0))::DOUBLE AS worst FROM f JOIN l USING (report_id, finding_no) GROUP BY report_id""")
+def lengths_across(spark, d):
+    """Extents in one list, lengths in another, met by the number of the finding."""
+    f = table(spark, d, "radiology_mode_output").where("report_id IS NOT NULL AND length(anatomy) > 0 AND length(observation) > 0").select("report_id", "finding_no", F.length("observation").alias("extent"), F.length("anatomy").alias("len")).distinct()
+    lists = f.groupBy("report_id").agg(F.collect_list(F.struct("finding_no", "extent")).alias("a"), F.array_sort(F.collect_list(F.struct("finding_no", "len"))).alias("b"))
+    return lists.select("report_id", E.max_percentage_across(F.col("a"), "extent", "finding_no", E.lengths_by_key(F.col("b"), "finding_no", "len")).cast("double").alias("worst"))
+
+
+_DESCRIBED = [("Count entries in samples where tumor is true", "count_where|samples|tumor"), ("Count all entries in the list / sample_list", "count|sample_list"), ("Maximum tumor percentage over all samples", "max_percentage"), ("Number of samples where positive is true", "count_where||positive"), ("Plain text", "")]
+
+
+@query("derived_rules", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _DESCRIBED) + ") AS t(description, rule)")
+def derived_rules(spark, d):
+    return spark.createDataFrame([(a, "|".join(E.derived_rule(a) or ())) for a, _ in _DESCRIBED], "description string, rule string")
+
+
 ORACLES |= {k: v for k, v in oracles.SQL.items() if k in QUERIES}

@@ -262,5 +262,40 @@ def summary_stats(rows: DataFrame, column: str) -> DataFrame:
     return rows.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.median(c).alias("median"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
 
 
+# What a measure looks like in a finding.
+MEASUREMENT = r"(?i)\d+\s*(mm|cm|m|cc|ml|mg|g|kg|in|ft)"
+
+
+def extraction_reward(findings: Column, impression: Column, anatomy: str = "anatomy", observation: str = "observation") -> Column:
+    """.3 for findings, .1 for each with a place (.4 at most), .2 for an impression of more than 10 characters, .1 for each with a measure; 1 at most."""
+    n = lambda test: F.size(F.filter(findings, test))
+    placed = F.least(F.lit(0.4), 0.1 * n(lambda f: F.coalesce(F.trim(f[anatomy]) != "", F.lit(False))))
+    score = F.when(F.size(findings) > 0, 0.3).otherwise(0.0) + placed + F.when(F.char_length(F.trim(F.coalesce(impression, F.lit("")))) > 10, 0.2).otherwise(0.0) + 0.1 * n(lambda f: F.coalesce(f[observation].rlike(MEASUREMENT), F.lit(False)))
+    return F.least(F.lit(1.0), score)
+
+
+def diagnosis_reward(diagnosis: Column) -> Column:
+    """As impression_reward, for the diagnosis of a specimen."""
+    return impression_reward(diagnosis)
+
+
+def schema_metric(gold_fields: Column, fields: Column, compiles: Column) -> Column:
+    """.7 share of the wanted field names (arrays of names) that are there + .3 if the schema compiles."""
+    names = lambda c: F.array_distinct(F.transform(c, lambda x: F.lower(F.trim(x))))
+    share = F.when(F.size(names(gold_fields)) > 0, F.size(F.array_intersect(names(gold_fields), names(fields))) / F.size(names(gold_fields))).otherwise(0.0)
+    return 0.7 * share + 0.3 * F.when(compiles, 1.0).otherwise(0.0)
+
+
 #: Metrics by pipeline; further ones may be put in.
-METRICS = {"radiology": radiology_metric, "pathology": pathology_metric, "extract": extraction_pairs, "summarize": summary_metric, "deidentify": deidentify_metric, "query": query_score, "verify": verify_score}
+METRICS = {"radiology": radiology_metric, "pathology": pathology_metric, "extract": extraction_pairs, "summarize": summary_metric, "deidentify": deidentify_metric, "query": query_score, "verify": verify_score, "schema": schema_metric}
+
+
+def get_metric(pipeline: str):
+    """The metric of a pipeline; an unknown one is a KeyError that lists the known ones."""
+    if pipeline not in METRICS:
+        raise KeyError(f"no metric for {pipeline!r}; there are {', '.join(sorted(METRICS))}")
+    return METRICS[pipeline]
+
+
+def list_metrics() -> list[str]:
+    return sorted(METRICS)

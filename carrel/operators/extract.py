@@ -279,6 +279,82 @@ def best_candidate(candidates: DataFrame, id_col: str, score: str, ordinal: str)
     return best.select(id_col, *[F.col(f"m.`{c}`").alias(c) for c in others])
 
 
+def coerced_payload(json_text: Column, spec: dict) -> Column:
+    """A JSON payload in the shape of a normalised spec (struct); null for one that is no object.
+
+    Scalars are coerced by their type, an absent or null-like one becomes null, or the zero value where it is required; a single
+    value stands for a list of it; objects and lists of objects are coerced within.
+    """
+    v = F.try_parse_json(json_text)
+    whole = F.try_variant_get(v, "$", "map<string,variant>")
+    return F.when(whole.isNotNull(), _shaped(v, spec["fields"]))
+
+
+def _shaped(v: Column, fields: list[dict]) -> Column:
+    made = []
+    for f in fields:
+        at = f"$.{f['name']}"
+        need, kind = bool(f.get("required", True)), f["type"]
+        if kind == "object" and f.get("fields"):
+            out = _shaped(F.try_variant_get(v, at, "variant"), f["fields"])
+        elif kind.startswith("list"):
+            items = F.coalesce(F.try_variant_get(v, at, "array<variant>"), F.when(F.try_variant_get(v, at, "variant").isNotNull() & ~F.is_variant_null(F.try_variant_get(v, at, "variant")), F.array(F.try_variant_get(v, at, "variant"))))
+            if f.get("fields"):
+                out = F.transform(items, _shaper(f["fields"]))
+            else:
+                inner = re.fullmatch(r"list\[(\w+)\]", kind)
+                out = F.filter(F.transform(items, _coercer(inner[1] if inner else "str")), lambda x: x.isNotNull())
+            if need:
+                out = F.coalesce(out, F.array())
+        else:
+            out = coerce(F.try_variant_get(v, at, "string"), kind, need, f.get("values"))
+        made.append(out.alias(f["name"]))
+    return F.struct(*made)
+
+
+def _shaper(fields: list[dict]):
+    return lambda x: _shaped(x, fields)
+
+
+def _coercer(kind: str):
+    return lambda x: coerce(F.try_variant_get(x, "$", "string"), kind)
+
+
+def validated_payload(payload: Column, spec: dict) -> Column:
+    """A coerced payload whose optional texts and numbers that break the rule of their name are null."""
+    made = []
+    for f in spec["fields"]:
+        value = payload[f["name"]]
+        if f["type"] in ("str", "int", "float") and not f.get("required", True):
+            value = F.when(semantic_check(F.lit(f["name"]), value.cast("string"))["valid"], value)
+        made.append(value.alias(f["name"]))
+    return F.struct(*made)
+
+
+def derived_rule(description: str) -> tuple[str, ...] | None:
+    """('count_where', list, flag), ('count', list) or ('max_percentage',) as a field's description tells it; None if it does not."""
+    low = description.lower()
+    if m := re.search(r"(?:count\s+entries|number\s+of\s+\w+)(?:\s+in\s+(\w+))?.*?where\s+(\w+)\s+is\s+true", low):
+        return ("count_where", m[1] or "", m[2])
+    if m := re.search(r"count\s+(?:all\s+)?entries\s+in\s+(?:.*/\s*)?(\w+)", low):
+        return ("count", m[1])
+    if re.search(r"max(?:imum|imaler?)?\b.*percentage|max\(", low):
+        return ("max_percentage",)
+    return None
+
+
+def lengths_by_key(items: Column, key: str, length: str) -> Column:
+    """map<key, length> of the entries that have both, the first of equal keys."""
+    good = F.filter(items, lambda x: x[key].isNotNull() & x[length].isNotNull())
+    first = F.filter(good, lambda x, i: F.array_position(F.transform(good, lambda y: y[key]), x[key]) == i + 1)
+    return F.map_from_entries(F.transform(first, lambda x: F.struct(x[key], x[length])))
+
+
+def max_percentage_across(items: Column, extent: str, key: str, lengths: Column) -> Column:
+    """max_percentage where the lengths stand in another list, found by a key."""
+    return F.array_max(F.transform(items, lambda x: F.bround(x[extent] / (F.try_element_at(lengths, x[key]) * 10) * 100, 0)))
+
+
 def count_where(items: Column, flag: str) -> Column:
     """Number of entries whose flag is true."""
     return F.size(F.filter(items, lambda x: F.coalesce(F.lower(x[flag].cast("string")).isin(*("true", "yes", "ja", "1", "positive")) | (x[flag].cast("string").try_cast("double") > 0), F.lit(False))))

@@ -30,8 +30,39 @@ RULE_SETS: dict[str, list[tuple[str, str]]] = {"default": PATTERNS, "hipaa": PAT
 SPAN = "array<struct<start:int,end:int,value:string,kind:string>>"
 
 
-def register_rules(name: str, rules: list[tuple[str, str]]) -> None:
+# Kinds of identifiers that a rule set of this standard covers.
+HIPAA_CATEGORIES = "NAME DATE AGE ADDRESS ZIP PHONE FAX EMAIL URL SSN MRN ID ACCOUNT LICENSE INSURANCE CERTIFICATE DEVICE_ID IP_ADDRESS BIOMETRIC PHOTO OTHER".split()
+CATEGORIES: dict[str, list[str]] = {"default": sorted({k for k, _ in PATTERNS}), "hipaa": HIPAA_CATEGORIES}
+#: What a de-identification may do: patterns alone, or patterns and values found by a provider, both replaced by the placeholder.
+REDACTION_MODES = ("remove", "regex")
+
+
+def register_rules(name: str, rules: list[tuple[str, str]], categories: list[str] | None = None) -> None:
     RULE_SETS[name] = rules
+    CATEGORIES[name] = categories or sorted({k for k, _ in rules})
+
+
+def get_rules(name: str) -> list[tuple[str, str]]:
+    """The patterns of a rule set; an unknown name is a KeyError that lists the known ones."""
+    if name not in RULE_SETS:
+        raise KeyError(f"unknown rule set {name!r}; there are {', '.join(list_rules())}")
+    return RULE_SETS[name]
+
+
+def list_rules() -> list[str]:
+    return sorted(RULE_SETS)
+
+
+def deidentify(text: Column, values: Column | None = None, mode: str = "remove", rules: str = "default") -> Column:
+    """The text without identifiers. remove: given values and what the patterns find, each once, longer ones first, every
+    occurrence case aside; regex: what the patterns find. Other modes are a ValueError."""
+    if mode not in REDACTION_MODES:
+        raise ValueError(f"unknown mode {mode!r}; one of {', '.join(REDACTION_MODES)}")
+    found = get_rules(rules)
+    if mode == "regex":
+        return scrub(text, found)
+    all_values = F.concat(F.coalesce(values, F.expr("cast(array() as array<string>)")) if values is not None else F.expr("cast(array() as array<string>)"), F.transform(all_spans(text, found), lambda s: s["value"]))
+    return redact_values(text, all_values)
 
 
 def all_spans(text: Column, rules: list[tuple[str, str]] | None = None) -> Column:
@@ -58,7 +89,7 @@ def merge_spans(span_array: Column) -> Column:
 
 def phi_spans(docs: DataFrame, id_col: str, text_col: str, rules: str = "default") -> DataFrame:
     """(id, start, end, original, replacement, phi_type, method): merged spans of each text. Null and empty texts have none."""
-    rows = docs.select(F.col(id_col), F.explode(merge_spans(all_spans(F.col(text_col), RULE_SETS[rules]))).alias("s"))
+    rows = docs.select(F.col(id_col), F.explode(merge_spans(all_spans(F.col(text_col), get_rules(rules)))).alias("s"))
     return rows.select(id_col, F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.value").alias("original"), F.lit(REDACTED).alias("replacement"), F.col("s.kind").alias("phi_type"), F.lit("regex").alias("method"))
 
 

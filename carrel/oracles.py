@@ -411,3 +411,28 @@ _COUNT_OF = "len(list_filter(string_split_regex({t}, '[\\s\\x0b\\x1c-\\x1f\\x{{8
 SQL["density"] = f"""
 SELECT record_id, md5(document_text) AS note, round(({_GOT}) / 3, 6) AS coverage, round(d, 6)::DOUBLE AS density, round(0.7 * ({_GOT}) / 3 + 0.3 * d, 6)::DOUBLE AS completeness FROM (
   SELECT *, coalesce(least(1.0, {_COUNT_OF.format(t='extracted')} / nullif({_COUNT_OF.format(t='document_text')}, 0)), 0.0) AS d FROM (SELECT DISTINCT record_id, document_text, extracted FROM extract_train WHERE extracted IS NOT NULL AND document_text IS NOT NULL))"""
+
+# ---- templates and payloads -----------------------------------------------------------------------------------------
+SQL["table_specs_catalog"] = """
+SELECT '' AS split, CAST(row_number() OVER (ORDER BY o, name) - 1 AS INT) AS place, name, 'enum' AS type, 'which ' || name AS description, required, "values", labels FROM (
+  SELECT vocabulary AS name, min(code) AS o, bool_or(code LIKE '%1') AS required, string_agg(code, ';' ORDER BY code) AS "values", string_agg(code || '=' || trim(term), ';' ORDER BY code) AS labels FROM (SELECT DISTINCT vocabulary, code, term FROM ontology_result) GROUP BY vocabulary)"""
+SQL["table_specs_data"] = " UNION ALL ".join(
+    f"SELECT '' AS split, {k} AS place, '{c}' AS name, '{t}' AS type, '' AS description, count(*) = count({c}) AS required FROM orders" for k, (c, t) in enumerate((("o_orderkey", "int"), ("o_orderstatus", "enum"), ("o_totalprice", "float"), ("o_orderpriority", "enum")))
+)
+SQL["rewards"] = f"""
+SELECT report_id, round(least(1.0, CASE WHEN len(findings) > 0 THEN 0.3 ELSE 0 END + least(0.4, 0.1 * len(list_filter(findings, lambda f: coalesce(trim(f.anatomy) <> '', false)))) + CASE WHEN length(trim(coalesce(impressions, ''))) > 10 THEN 0.2 ELSE 0 END
+  + 0.1 * len(list_filter(findings, lambda f: coalesce(regexp_matches(f.observation, '(?i)\\d+\\s*(mm|cm|m|cc|ml|mg|g|kg|in|ft)'), false)))), 6)::DOUBLE AS extraction,
+  round(coalesce(list_sum(list_transform(findings, lambda x: 0.5 * {_HAS.format(c='x.anatomy')} + 0.5 * {_HAS.format(c='x.observation')})) / nullif(len(findings), 0), 0), 6)::DOUBLE AS findings,
+  CASE WHEN length(trim(coalesce(impressions, ''))) = 0 THEN 0.0 WHEN length(trim(impressions)) < 10 THEN 0.5 ELSE 1.0 END::DOUBLE AS diagnosis FROM (SELECT DISTINCT report_id, findings, impressions FROM radiology_train WHERE findings IS NOT NULL)"""
+_HINTS = " + ".join(f"(length(low) - length(replace(low, '{w}', ''))) / {len(w)}" for w in ("none", "mild", "moderate", "severe", "present", "absent", "left", "right", "bilateral", "unilateral"))
+SQL["schema_granularity"] = f"""
+WITH c AS (SELECT report_id, md5(report_text) AS digest, report_text, len(list_distinct(regexp_extract_all(report_text, '\\b[cCtTlLsS]\\d{{1,2}}\\s*[-/]\\s*[cCtTlLsS]?\\d{{1,2}}\\b'))) >= 3 AS lev, {_HINTS} >= 6 AS hint, len(regexp_extract_all(report_text, '(?m)^[ \\t]*\\d+[).:-]\\s+')) >= 3 AS num
+  FROM (SELECT DISTINCT report_id, report_text, lower(report_text) AS low FROM radiology_train))
+SELECT report_id, digest, CASE WHEN trim(coalesce(report_text, '')) = '' THEN 1.0 ELSE round(0.35 - CASE WHEN lev THEN 0.4 ELSE 0 END - CASE WHEN hint THEN 0.1 ELSE 0 END - CASE WHEN num THEN 0.1 ELSE 0 END, 6) END::DOUBLE AS score,
+  CASE WHEN trim(coalesce(report_text, '')) = '' THEN '' ELSE concat_ws(',', CASE WHEN lev THEN 'document_has_repeating_level_markers_but_schema_lacks_list_object_structure' END, CASE WHEN lev THEN 'document_has_level_markers_but_schema_has_no_level_field' END,
+  CASE WHEN hint THEN 'document_has_strong_categorical_cues_but_schema_has_no_enum_fields' END, CASE WHEN num THEN 'document_has_numbered_structures_but_schema_is_flat' END) END AS issues FROM c"""
+_FOUND = "flatten([" + ", ".join(f"regexp_extract_all(document_text, '{p}')" for _, p in _RULES) + "])"
+SQL["phi_deidentified"] = f"""
+WITH e AS (SELECT record_id, list_distinct(list(value_text)) AS v FROM phi_entity WHERE record_id IS NOT NULL AND trim(value_text) <> '' GROUP BY record_id),
+a AS (SELECT n.record_id, document_text, list_transform(list_sort(list_transform(list_distinct(list_concat(coalesce(v, []), {_FOUND})), lambda x: {{'neg': -length(x), 'v': x}})), lambda x: x.v) AS v FROM {_NOTES} n LEFT JOIN e ON e.record_id = n.record_id)
+SELECT record_id, list_reduce(list_concat([document_text], v), lambda acc, x: regexp_replace(acc, regexp_escape(x), '[REDACTED]', 'gi')) AS text FROM a"""

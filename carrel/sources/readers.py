@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import glob
 import os
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +48,46 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mode", "FAILFAST").json(path)
 
 
+def numbered_json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, line, ok): every filled line with its number from 1 in its file, which is read as one text."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("k", "line"))
+    return whole.where(F.trim("line") != "").select("file", (F.col("k") + 1).alias("line_no"), "line", F.try_parse_json("line").isNotNull().alias("ok"))
+
+
+def check_examples(spark: SparkSession, path: str, inputs: list[str], labels: list[str]) -> DataFrame:
+    """(file, line_no, inputs, labels) of training examples, as maps of the fields named; a file without lines, a line that is no
+    object or one that lacks an input is a ValueError that names the line."""
+    rows = numbered_json_lines(spark, path)
+    v = F.try_parse_json("line")
+    lacking = [F.when(F.try_variant_get(v, f"$.{k}", "variant").isNull(), F.lit(k)) for k in inputs]
+    wrong = rows.select("file", "line_no", F.when(~F.col("ok"), "no JSON").otherwise(F.concat(F.lit("lacks "), F.coalesce(*lacking))).alias("why")).where("why IS NOT NULL").orderBy("file", "line_no").first()
+    if wrong:
+        raise ValueError(f"{wrong['file']}, line {wrong['line_no']}: {wrong['why']}")
+    if rows.isEmpty():
+        raise ValueError(f"no examples in {path}")
+    pick = lambda names: F.map_from_arrays(F.array(*[F.lit(k) for k in names]), F.array(*[F.try_variant_get(v, f"$.{k}", "string") for k in names]))
+    return rows.select("file", "line_no", pick(inputs).alias("inputs"), pick(labels).alias("labels"))
+
+
+def sniff_delimiter(sample: str) -> str:
+    """The separator that splits the lines of a sample into most cells, equally many in each; a comma where none does."""
+    lines = [x for x in sample.splitlines() if x.strip()]
+    best = (0, ",")
+    for sep in (",", ";", "\t", "|"):
+        n = {len(re.sub(r'"[^"]*"', "", x).split(sep)) - 1 for x in lines}
+        if len(n) == 1 and (k := n.pop()) > best[0]:
+            best = (k, sep)
+    return best[1]
+
+
+def read_delimited(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV of any separator as strings: found from the file's first ten lines; a byte order mark goes, names are trimmed, columns without a name are dropped."""
+    head = "\n".join(r["value"] for r in spark.read.text(path).limit(10).collect())
+    raw = spark.read.csv(path, header=True, sep=sniff_delimiter(head.lstrip("\ufeff")), inferSchema=False, multiLine=True, escape='"')
+    named = [(c, " ".join(c.lstrip("\ufeff").split())) for c in raw.columns]
+    return raw.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(n) for c, n in named if n and not re.fullmatch(r"_c\d+", n)])
+
+
 def bad_json_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line): the lines that are no JSON; blank lines are skipped."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
@@ -76,17 +116,18 @@ def read_bytes(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ("*",
     return out if suffixes == ("*",) else out.where(F.lower(F.substring_index("path", ".", -1)).isin(*[s.lstrip(".").lower() for s in suffixes]))
 
 
-def expand_sources(pattern: str) -> list[str]:
-    """Files behind a path, folder or glob, sorted; none is an error."""
-    if any(c in pattern for c in "*?["):
-        found = sorted(f for f in glob.glob(pattern) if os.path.isfile(f))
-    elif os.path.isdir(pattern):
-        found = sorted(os.path.join(pattern, f) for f in os.listdir(pattern) if os.path.isfile(os.path.join(pattern, f)))
-    else:
-        found = [pattern] if os.path.exists(pattern) else []
+def expand_sources(spark: SparkSession, pattern: str) -> list[str]:
+    """Files behind a path, folder or glob of any file system that the session reaches, sorted; none is an error."""
+    jvm, sc = spark._jvm, spark.sparkContext
+    path = jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    found = []
+    for status in fs.globStatus(path) or []:
+        inner = fs.listStatus(status.getPath()) if status.isDirectory() and not any(c in pattern for c in "*?[") else [status]
+        found += [f.getPath().toUri().getPath() if f.getPath().toUri().getScheme() in (None, "file") else f.getPath().toString() for f in inner if f.isFile()]
     if not found:
         raise FileNotFoundError(f"no source at {pattern}")
-    return found
+    return sorted(found)
 
 
 def unique_name(name: str, taken: set[str]) -> str:

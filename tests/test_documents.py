@@ -150,7 +150,7 @@ def test_sources_and_sinks(spark, tmp_path):
     df = R.read_source(spark, str(tmp_path / "a.csv"))
     assert dict(df.dtypes) == {"BMI": "bigint", "Sex": "string"} and df.where("BMI is null").count() == 1
     with pytest.raises(FileNotFoundError):
-        R.expand_sources(str(tmp_path / "none*"))
+        R.expand_sources(spark, str(tmp_path / "none*"))
     reports = spark.createDataFrame([(1, "CT", [("lung", "mass")]), (2, "CT", []), (3, "MR", None)], "id int, exam string, findings array<struct<anatomy:string,exam:string>>")
     assert [tuple(r) for r in W.findings_rows(reports).collect()] == [(1, "lung", "mass")]
     W.write_parquet(reports, str(tmp_path / "o"), "one_row")
