@@ -41,16 +41,63 @@ def test_verdicts(spark):
 def test_statistics_against_plain_counts():
     text = "Ab cd, ef.\nGh 12!\nlist"
     scores = K.pair_scores(np.ones((K.N_CODES, K.N_CODES)))
-    s = dict(zip(K.STATS, K.text_statistics(text, frozenset({"ab", "gh"}), scores)))
+    stats, patterns, sizes = K.measure(text, frozenset({"ab", "gh"}), scores)
+    s = dict(zip(K.STATS, stats))
     assert s["words"] == 6 and s["mean_word_length"] == sum(map(len, text.split())) / 6 and s["punct_line_share"] == 2 / 3 and s["common_share"] == 2 / 5
     assert s["symbol_share"] == sum(not c.isalnum() and not c.isspace() for c in text) / len(text)
-
-
-def test_em_finds_the_rates():
-    r = np.random.default_rng(0)
-    true = np.array([x for _, x in K.LABELLERS])
-    kinds = r.choice(4, 20000, p=[0.7, 0.1, 0.1, 0.1])
-    votes = (r.random((20000, len(true))) < true[:, kinds].T).astype(float)
-    u, n = np.unique(votes, axis=0, return_counts=True)
-    share, rate = K.learn_labellers(u, n.astype(float))
-    assert np.abs(share - [0.7, 0.1, 0.1, 0.1]).max() < 0.02 and np.abs(rate - true).max() < 0.06
+    assert sizes.tolist() == [len(x) for x in text.split("\n")] and patterns.max() < K.N_PATTERNS
+    for odd in ("x", "\n\n a \n", "😀" * 500, "a" * 5000 + "\n" + "b " * 3000, "\u2028 x"):
+        _, p, n = K.measure(odd, frozenset(), scores)
+        assert n.sum() == sum(len(x.strip()) for x in odd.split("\n")) and p.size == n.size
+
+
+def corpus(n=400, seed=5):
+    """Texts of the four kinds in many shapes, prose with hard line ends and without full stops among them."""
+    global R
+    R = random.Random(seed)
+    out = []
+    for i in range(n):
+        p = prose(R.randrange(3, 12))
+        if i % 4 == 0:
+            words, p = p.split(), ""
+            for k in range(0, len(words), 9):
+                p += " ".join(words[k : k + 9]) + "\n"
+        out.append((p, "prose"))
+    for _ in range(n // 10):
+        out += [(list_text(R.choice(("- ", "* ", "", "1. ", "[ ] ")), R.randrange(8, 40)), "list"), (R.choice((", ", "; ")).join(R.choice(ORGANS) for _ in range(R.randrange(20, 70))), "list")]
+        out += [(table_text(R.choice(("\t", " | ", ",", "    ", ";")), R.randrange(6, 30)), "table")]
+        out += [("".join(R.choice("{}[]<>#$%^*~\\ 0OIl\n") for _ in range(R.randrange(300, 900))), "junk"), (" ".join("".join(R.choice("bcdfghjklmnpqrstvwxz") for _ in range(6)) for _ in range(R.randrange(30, 120))), "junk")]
+    return out
+
+
+def test_em_learns_from_wrong_guesses():
+    texts = corpus()
+    common = frozenset("the was on of and has been since a is because".split())
+    counts = np.ones(K.N_CODES * K.N_CODES)
+    for t, _ in texts:
+        c, _k = K._codes(t)
+        counts += np.bincount(c[:-1].astype(np.int32) * K.N_CODES + c[1:], minlength=counts.size)
+    scores = K.pair_scores(counts.reshape(K.N_CODES, K.N_CODES))
+    units = [K.measure(t, common, scores)[1:] for t, _ in texts]
+    weights = np.zeros(K.N_PATTERNS)
+    for p, n in units:
+        np.add.at(weights, p, n)
+    known = np.flatnonzero(weights)
+
+    def right(share, rates) -> float:
+        post = K.posteriors(K.votes_of(known), share, rates)
+        found = [K.KINDS[int((n @ post[np.searchsorted(known, p)]).argmax())] for p, n in units]
+        return sum(f == k for f, (_, k) in zip(found, texts)) / len(texts)
+
+    # nearly blind guesses, and guesses that take a function's levels for those of another kind
+    names = list(K.FUNCTIONS)
+    for power, turned in ((0.3, ()), (1.0, ("common",)), (0.5, ("odd", "repeats"))):
+        wrong = [np.roll(r, 1, axis=1) if names[f] in turned else r**power / (r**power).sum(0) for f, r in enumerate(K.START)]
+        before = right(np.full(4, 0.25), wrong)
+        share, rates = K.learn(known, weights[known], wrong, np.full(4, 0.25))
+        learnt = right(share, rates)
+        assert learnt > before + 0.1 and learnt > 0.97, (before, learnt)
+    # no function by itself comes near
+    blind = [np.full_like(r, 1 / len(r)) for r in rates]
+    alone = [right(share, [r if f == g else blind[g] for g, r in enumerate(rates)]) for f in range(len(rates))]
+    assert max(alone) < learnt - 0.03, (learnt, alone)
