@@ -135,7 +135,10 @@ def _power(text: str | None) -> int:
     return POWERS.get(text) or int(text.lstrip("^"))
 
 
-_NUMBER = re.compile(r"(?<![\w.,])(?:\d+(?:[.,]\d+)?|[.,]\d+)(?:\s+(\d)/(\d))?")
+_DIGITS = r"(?:\d+(?:[.,]\d+)?|[.,]\d+)(?:\s+(\d)/(\d))?"
+_NUMBER = re.compile(rf"(?<![\w.,]){_DIGITS}")
+#: A number that may follow a unit or a cross directly.
+_NUMBER_HERE = re.compile(_DIGITS)
 _TIMES = re.compile(r"\s*(?:x|×|\*|by)\s*(?=[\d.,])", re.I)
 _RANGE = re.compile(r"\s*(?:-|–|to)\s*(?=[\d.,])", re.I)
 # Words before a number that say it is no current size.
@@ -174,14 +177,18 @@ def quantities(text: str | None) -> list[Quantity]:
     if not text:
         return out
     at = 0
-    while m := _NUMBER_AT(text, at):
-        other = bool(_OTHER_BEFORE.search(text, max(0, m.start() - 48), m.start()))
+    while m := _NUMBER.search(text, at):
+        # the words before a number, at most 48 characters besides the white space next to it
+        before = m.start()
+        while before and text[before - 1].isspace():
+            before -= 1
+        other = bool(_OTHER_BEFORE.search(text, max(0, before - 48), m.start()))
         group: list[tuple[Fraction, Unit | None, int, int]] = []
         while True:
             unit, end = _unit_after(text, m.end())
             group.append((_value(m), unit, m.start(), end))
             link = _TIMES.match(text, end) or (_RANGE.match(text, end) if not other else None)
-            nxt = link and _NUMBER.match(_gap(text, link.end()), link.end())
+            nxt = link and _NUMBER_HERE.match(text, link.end())
             if not nxt:
                 break
             m = nxt
@@ -197,15 +204,6 @@ def quantities(text: str | None) -> list[Quantity]:
     return out
 
 
-def _gap(text: str, at: int) -> str:
-    """The text with a blank before `at`, so that a number may follow a unit or a cross directly."""
-    return text if at == 0 else text[: at - 1] + " " + text[at:]
-
-
-def _NUMBER_AT(text: str, at: int) -> re.Match | None:
-    return _NUMBER.search(text, at)
-
-
 _PREPOSITION = re.compile(r"\s*in\s+(?:the\s+)?(?:long|largest|greatest|maximum|axial|coronal|sagittal)\b", re.I)
 _GLUED = re.compile(r"\s*(" + _NAME + r")\.?(?=\d|[.,]\d)")
 
@@ -262,15 +260,18 @@ def declared_unit(text: str | None) -> Unit | None:
     return None
 
 
+_IN_BRACKETS = re.compile(r"\s*[(\[]\s*(?:in\s+)?(" + _NAME + r")\s*[)\]]")
+_CLAUSE_END = re.compile(r"\.\s|\n|;|,\s")
+
+
 def labelled_unit(text: str | None, label: re.Pattern, field: str) -> Unit | None:
     """The unit that stands beside the same measure: 'LABEL (mm): 47.7', 'LABEL 53 mm', for the value typed in the field."""
     wanted = {q.value for q in quantities(field)}
     for m in label.finditer(text or ""):
-        rest = text[m.end() : m.end() + 60]
-        if (p := re.match(r"\s*[(\[]\s*(?:in\s+)?(" + _NAME + r")\s*[)\]]", rest)) and (u := _length_unit(p[1])):
+        if (p := _IN_BRACKETS.match(text, m.end())) and (u := _length_unit(p[1])):
             return u
-        head = re.split(r"\.\s|\n|;|,\s", rest, maxsplit=1)[0]
-        for q in quantities(head):
+        stop = _CLAUSE_END.search(text, m.end())
+        for q in quantities(text[m.end() : stop.start() if stop else len(text)]):
             if q.value in wanted and q.unit:
                 return q.unit if q.unit.exponents == LENGTH else None
     return None
@@ -281,10 +282,16 @@ def micrometres(metres: Fraction) -> int:
     return int((metres * 10**6 + Fraction(1, 2)).__floor__())
 
 
-def observed_length_um(field: str | None, neighbour: str | None, label: re.Pattern | None = None) -> int | None:
-    """Length of one typed measurement in micrometres, the unit from the field or, for a bare number, its neighbouring text."""
+def field_length(field: str | None) -> tuple[Fraction | None, Fraction | None]:
+    """(length in metres, None) of a field that tells its unit, (None, number) of a bare number, (None, None) of anything else."""
     metres, bare = largest_length(field)
-    if metres is None and bare is not None and _BARE.fullmatch(field):
+    return (None, bare) if metres is None and bare is not None and _BARE.fullmatch(field) else (metres, None)
+
+
+def observed_length_um(field: str | None, neighbour: str | None, label: re.Pattern | None = None, of_field=field_length) -> int | None:
+    """Length of one typed measurement in micrometres, the unit from the field or, for a bare number, its neighbouring text."""
+    metres, bare = of_field(field)
+    if metres is None and bare is not None:
         unit = labelled_unit(neighbour, label, field) if label else None
         unit = unit or declared_unit(neighbour)
         if unit is None and label is None:

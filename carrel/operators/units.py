@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carrel.functions.units import observed_length_um
+from carrel.functions.units import field_length, observed_length_um
 from carrel.session import table
 
 # Names of the left-ventricular end-diastolic diameter.
@@ -19,20 +19,20 @@ EDD_LABEL = re.compile(r"LVEDD(?:\s*\(2D\))?|LVIDd|LV\s+end-?\s?diastolic\s+(?:d
 def length_um(field: Column, neighbour: Column, label: re.Pattern | None = None) -> Column:
     """Column of the length in micrometres (bigint); null where there is none.
 
-    Equal (field, neighbour) pairs of a batch are parsed once.
+    Equal fields of a batch are parsed once; neighbouring texts only for bare numbers.
     """
 
     @F.pandas_udf("bigint")
     def parse(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for values, texts in parts:
             seen: dict = {}
-            out = []
-            for v, t in zip(values, texts):
-                key = (v, t)
-                if key not in seen:
-                    seen[key] = observed_length_um(v, t, label) if v is not None else None
-                out.append(seen[key])
-            yield pd.Series(out, dtype="Int64")
+
+            def of_field(v):
+                if v not in seen:
+                    seen[v] = field_length(v)
+                return seen[v]
+
+            yield pd.Series([observed_length_um(v, t, label, of_field) for v, t in zip(values, texts)], dtype="Int64")
 
     return parse(field, neighbour)
 
