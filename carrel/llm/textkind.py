@@ -115,14 +115,27 @@ _SIGNS = _sign_table()
 
 
 def _sums(x: np.ndarray) -> np.ndarray:
-    out = np.zeros(x.size + 1, np.int64 if x.dtype == bool else np.float64)
+    out = np.zeros(x.size + 1, np.float64)
     np.cumsum(x, out=out[1:])
     return out
 
 
+class _Count:
+    """How many places with a mark lie between others."""
+
+    def __init__(self, mark: np.ndarray) -> None:
+        self.places = mark.nonzero()[0]
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.places.searchsorted(b) - self.places.searchsorted(a)
+
+
 def _level(x: np.ndarray, *bounds: float) -> np.ndarray:
     """How many of the bounds each value exceeds or equals."""
-    return np.searchsorted(np.array(bounds), x, side="right")
+    out = (x >= bounds[0]) * 1
+    for b in bounds[1:]:
+        out += x >= b
+    return out
 
 
 def measure(text: str, common: frozenset[str], scores: np.ndarray) -> tuple[tuple, np.ndarray, np.ndarray]:
@@ -141,24 +154,28 @@ def measure(text: str, common: frozenset[str], scores: np.ndarray) -> tuple[tupl
     begins_word = np.ones(n, bool)
     begins_word[1:] = space[:-1]
     starts = solid[begins_word[solid]]
-    known = _sums(np.fromiter([t.strip(_EDGES) in common for t in tokens], bool, len(tokens)))
-    filled, symbol, digit = _sums(~space), _sums(kind == 2), _sums(code == DIGIT)
+    word_ends = solid[np.append(begins_word[solid][1:], True)] + 1
+    is_common = [t in common for t in tokens]
+    # only words with signs at their edges are stripped
+    for k in ((kind[starts] != 1) | (kind[word_ends - 1] != 1)).nonzero()[0].tolist():
+        is_common[k] = tokens[k].strip(_EDGES) in common
+    known = _Count(np.array(is_common))
 
     # lines from their first to behind their last character
     ends = np.append(np.flatnonzero(newline), n)
     first, last = np.searchsorted(solid, np.append(0, ends[:-1])), np.searchsorted(solid, ends) - 1
     good = last >= first
     begin, end = solid[first[good]], solid[last[good]] + 1
-    words = np.searchsorted(starts, end) - np.searchsorted(starts, begin)
+    words = starts.searchsorted(end) - starts.searchsorted(begin)
     closed = (sign[end - 1] & END_SIGN) > 0
     marked = np.fromiter([_MARK.match(text, a, b) is not None for a, b in zip(begin.tolist(), end.tolist())], bool, begin.size)
-    between = lambda c: c[end] - c[begin]
+    between = lambda mark: _Count(mark)(begin, end)
     blank_next = np.append(space[1:], True)
     comma = (sign & COMMA) > 0
-    bare, soft = between(_sums(comma & ~blank_next)), between(_sums(comma & blank_next))
+    bare, soft = between(comma & ~blank_next), between(comma & blank_next)
     gap = np.zeros(n, bool)
     gap[:-1] = space[:-1] & space[1:]
-    separators, tabs, gaps = between(_sums((sign & CELL_SIGN) > 0)), between(_sums(points == 9)), between(_sums(gap))
+    separators, tabs, gaps = between(sign & CELL_SIGN), between(points == 9), between(gap)
     cells = np.where((separators >= 2) | (tabs >= 1) | ((bare >= 2) & (soft == 0)), 2, (gaps >= 1) * 1)
     each = words / (soft + 1)
     pieces = np.where((soft >= 4) & (each <= 3.2), 2, ((soft >= 1) & (each <= 4)) * 1)
@@ -177,24 +194,24 @@ def measure(text: str, common: frozenset[str], scores: np.ndarray) -> tuple[tupl
     far = np.minimum(n, np.maximum(b, a + CONTEXT))
     near = np.minimum(a, np.maximum(0, far - CONTEXT))
     pairs = scores[code[:-1].astype(np.int32) * N_CODES + code[1:]] if n > 1 else np.zeros(1, np.float32)
-    total, used = _sums(pairs), _sums(pairs != 0)
-    top = np.minimum(far, used.size - 1)
-    seen = used[top] - used[np.minimum(near, used.size - 1)]
-    score = (total[top] - total[np.minimum(near, used.size - 1)]) / np.maximum(seen, 1)
+    total = _sums(pairs)
+    top, bottom = np.minimum(far, pairs.size), np.minimum(near, pairs.size)
+    seen = _Count(pairs)(bottom, top)
+    score = (total[top] - total[bottom]) / np.maximum(seen, 1)
     odd = np.where(seen < 0.25 * (far - near), 3, 2 - _level(score, -3.3, -2.95))
-    full = np.maximum(filled[b] - filled[a], 1)
-    inside = lambda c: (c[b] - c[a]) / full
-    w0 = np.searchsorted(starts, near)
-    w1 = np.maximum(np.searchsorted(starts, far), w0 + 1)
-    share = (known[np.minimum(w1, len(tokens))] - known[np.minimum(w0, len(tokens))]) / (w1 - w0)
-    figures = _level(inside(digit), 0.1, 0.3) * 4 + _level(inside(symbol), 0.1, 0.25, 0.45)
-    votes = (layout[line], marked[line], cells[line], figures, _level(share, 0.06, 0.15, 0.25), odd, pieces[line], repeats, _level(inside(_sums((sign & ODD_SIGN) > 0)), 0.02, 0.08))
+    full = np.maximum(solid.searchsorted(b) - solid.searchsorted(a), 1)
+    inside = lambda mark: _Count(mark)(a, b) / full
+    w0 = starts.searchsorted(near)
+    w1 = np.maximum(starts.searchsorted(far), w0 + 1)
+    share = known(w0, w1) / (w1 - w0)
+    symbol = kind == 2
+    figures = _level(inside(code == DIGIT), 0.1, 0.3) * 4 + _level(inside(symbol), 0.1, 0.25, 0.45)
+    votes = (layout[line], marked[line], cells[line], figures, _level(share, 0.06, 0.15, 0.25), odd, pieces[line], repeats, _level(inside(sign & ODD_SIGN), 0.02, 0.08))
     patterns = sum(v * int(r) for v, r in zip(votes, RADIX))
 
-    letters = _sums((code >= LETTER) & (code <= ACCENTED))
-    word_ends = solid[np.append(begins_word[solid][1:], True)] + 1
-    lettered = int((letters[word_ends] > letters[starts]).sum())
-    stats = (len(tokens), filled[-1] / len(tokens), symbol[-1] / n, float(closed.sum()) / closed.size, known[-1] / max(1, lettered))
+    letters = _Count((code >= LETTER) & (code <= ACCENTED))
+    lettered = int((letters(starts, word_ends) > 0).sum())
+    stats = (len(tokens), solid.size / len(tokens), float(symbol.sum()) / n, float(closed.sum()) / closed.size, known.places.size / max(1, lettered))
     return stats, np.broadcast_to(patterns, a.shape), b - a
 
 
