@@ -9,11 +9,12 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from carrel.functions.text import question_terms, stem_word
+from carrel.session import cut
 
 # Names under which an operation may be asked for.
 OPERATION_NAMES = {
@@ -72,6 +73,39 @@ def statistic(df: DataFrame, column: str, operation: str) -> Column:
     }[op]()
 
 
+def exact_quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float | None]:
+    """Quantiles with linear interpolation between neighbours, exact at any size; nulls where the column holds no number.
+
+    Equal values are counted first, the counts are range-partitioned by value, and only the partitions' sums come to the driver
+    (one row each). They tell in which partition each wanted rank lies; that partition alone is then looked into.
+    """
+    values = df.select(_as_double(df, resolve_column(df, column)).alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n"))
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = cut(values.repartitionByRange(parts, "v").withColumn("p", F.spark_partition_id()))
+    sums = {r["p"]: r["n"] for r in ranged.groupBy("p").agg(F.sum("n").alias("n")).collect()}
+    total = sum(sums.values())
+    if not total:
+        return [None] * len(shares)
+    at = [(total - 1) * q for q in shares]
+    ranks = sorted({int(x) for x in at} | {min(total - 1, int(x) + 1) for x in at})
+    found: dict[int, float] = {}
+    before = 0
+    for p in sorted(sums):
+        inside = [r for r in ranks if before <= r < before + sums[p]]
+        if inside:
+            upto = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) + before
+            rows = ranged.where(F.col("p") == p).select("v", upto.alias("upto"), (upto - F.col("n")).alias("from"))
+            rows = rows.where(F.exists(F.array(*[F.lit(r).cast("bigint") for r in inside]), lambda r: (r >= F.col("from")) & (r < F.col("upto"))))
+            for row in rows.collect():  # at most one row a rank
+                found.update({r: row["v"] for r in inside if row["from"] <= r < row["upto"]})
+        before += sums[p]
+    out = []
+    for x in at:
+        low, high = found[int(x)], found[min(total - 1, int(x) + 1)]
+        out.append(low + (high - low) * (x - int(x)))
+    return out
+
+
 def filtered(df: DataFrame, where: str | None) -> DataFrame:
     """Rows under a SQL predicate; one that does not parse or resolve is a ValueError."""
     if not where or not where.strip():
@@ -87,7 +121,11 @@ def filtered(df: DataFrame, where: str | None) -> DataFrame:
 def table_stat(df: DataFrame, column: str, operation: str, group_by: str | None = None, where: str | None = None, top_n: int = 10) -> DataFrame:
     """(value, row_count, non_null), or (grp, value) of the top_n (1 to 50) groups: largest value first, nulls last, then by group."""
     rows = filtered(df, where)
-    stat = statistic(rows, column, operation)
+    if operation_name(operation) == "median" and not group_by:
+        # a median aggregate would hold all different values in one task
+        stat = F.lit(exact_quantiles(rows, column, [0.5])[0]).cast("double")
+    else:
+        stat = statistic(rows, column, operation)
     if group_by:
         g = quoted(resolve_column(rows, group_by))
         return rows.groupBy(g.alias("grp")).agg(stat.alias("value")).orderBy(F.desc_nulls_last("value"), F.asc_nulls_last("grp")).limit(max(1, min(50, top_n)))
@@ -102,18 +140,26 @@ def distinct_values(df: DataFrame, column: str, where: str | None = None, limit:
 
 
 def table_schema(df: DataFrame) -> DataFrame:
-    """(column, type, non_null, missing, missing_pct, uniques) of every column, in one pass over the table."""
-    aggs = [F.count("*").alias("n")]
-    for i, c in enumerate(df.columns):
-        value = _hashable(df, c)
-        aggs += [F.count(value).alias(f"c{i}"), F.countDistinct(value).alias(f"u{i}")]
-    row = df.agg(*aggs)
-    parts = F.array(*[
-        F.struct(F.lit(i).alias("pos"), F.lit(c).alias("column"), F.lit(df.schema[c].dataType.simpleString()).alias("type"), F.col(f"c{i}").alias("non_null"), (F.col("n") - F.col(f"c{i}")).alias("missing"),
-                 F.when(F.col("n") > 0, F.round(100 * (F.col("n") - F.col(f"c{i}")) / F.col("n"), 2)).otherwise(0.0).alias("missing_pct"), F.col(f"u{i}").alias("uniques"))
-        for i, c in enumerate(df.columns)
-    ])
-    return row.select(F.inline(parts)).drop("pos")
+    """(column, type, non_null, missing, missing_pct, uniques) of every column, in one pass over the table.
+
+    The cells are counted as (column, hash of the value) before they are shuffled, and equal ones once after it, so that neither
+    a hot value nor the number of columns multiplies what a task holds. The hash has 96 bits.
+    """
+    if not df.columns:
+        return df.sparkSession.createDataFrame([], "column string, type string, non_null bigint, missing bigint, missing_pct double, uniques bigint")
+    cells = df.select(F.posexplode(F.array(*[F.when(_hashable(df, c).isNotNull(), F.struct(*_digest(_hashable(df, c)))) for c in df.columns])).alias("pos", "h"))
+    counted = cells.groupBy("pos", "h").agg(F.count("*").alias("n"))
+    sums = counted.groupBy("pos").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("h").isNotNull(), F.col("n")).otherwise(0)).alias("non_null"), F.count("h").alias("uniques"))
+    names = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(df.schema[c].dataType.simpleString()).alias("type")) for c in df.columns])
+    every = df.sparkSession.range(len(df.columns)).select(F.col("id").cast("int").alias("pos")).withColumn("c", F.get(names, F.col("pos")))
+    row = every.join(sums, "pos", "left").na.fill(0)
+    gone = F.col("n") - F.col("non_null")
+    return row.orderBy("pos").select("c.column", "c.type", "non_null", gone.alias("missing"), F.when(F.col("n") > 0, F.round(100 * gone / F.col("n"), 2)).otherwise(0.0).alias("missing_pct"), "uniques")
+
+
+def _digest(value: Column) -> list[Column]:
+    """Two independent hashes, of 64 and 32 bits."""
+    return [F.xxhash64(value).alias("a"), F.hash(value).alias("b")]
 
 
 def _hashable(df: DataFrame, name: str) -> Column:
@@ -122,15 +168,13 @@ def _hashable(df: DataFrame, name: str) -> Column:
 
 
 def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column, mean, std, min, p25, median, p75, max) of the numeric columns, in one pass."""
+    """(column, mean, std, min, p25, median, p75, max) of the numeric columns: one pass for the moments, exact quantiles of each."""
     names = [resolve_column(df, c) for c in columns] if columns else [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
     parts = []
     for c in names:
         v = _as_double(df, c)
-        parts.append(F.struct(
-            F.lit(c).alias("column"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
-            F.percentile(v, 0.25).alias("p25"), F.percentile(v, 0.5).alias("median"), F.percentile(v, 0.75).alias("p75"), F.max(v).alias("max"),
-        ))
+        quarters = [F.lit(q).cast("double").alias(k) for q, k in zip(exact_quantiles(df, c, [0.25, 0.5, 0.75]), ("p25", "median", "p75"))]
+        parts.append(F.struct(F.lit(c).alias("column"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), *quarters, F.max(v).alias("max")))
     return df.agg(F.array(*parts).alias("all")).select(F.inline("all"))
 
 

@@ -109,3 +109,28 @@ def test_unique_names_and_terms(spark):
     assert got == {("a", 1, "a"), ("a", 2, "a (2)"), ("a", 3, "a (3)"), ("b", 2, "b"), (None, 9, None), (None, 10, None)}
     terms = {(r.term, r.n, r.docs) for r in term_frequencies(spark.createDataFrame([("Cats cat dog",), ("cat",), (None,), ("",)], "t string"), "t").collect()}
     assert terms == {("cat", 3, 2), ("dog", 1, 1)}
+
+
+def test_exact_quantiles(spark):
+    import random
+
+    r = random.Random(4)
+    for values in ([], [None], [3.0], [1.0, 2.0], [5.0] * 40 + [r.random() * 10 for _ in range(60)], [float(i % 7) for i in range(101)] + [None, float("nan")]):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        clean = sorted(v for v in values if v is not None and v == v)
+        got = T.exact_quantiles(df, "v", [0.0, 0.25, 0.5, 0.75, 1.0])
+        if not clean:
+            assert got == [None] * 5
+            continue
+        for q, g in zip([0.0, 0.25, 0.5, 0.75, 1.0], got):
+            at = (len(clean) - 1) * q
+            low, high = clean[int(at)], clean[min(len(clean) - 1, int(at) + 1)]
+            assert abs(g - (low + (high - low) * (at - int(at)))) < 1e-12
+
+
+def test_schema_of_any_columns(spark):
+    df = spark.createDataFrame([(1, None, [1, 2]), (1, 0.0, None), (2, -0.0, [1, 2]), (None, float("nan"), [])], "a int, b double, c array<int>")
+    rows = {r["column"]: r for r in T.table_schema(df).collect()}
+    assert [(rows[c]["non_null"], rows[c]["missing"], rows[c]["uniques"]) for c in "abc"] == [(3, 1, 2), (2, 2, 1), (3, 1, 2)]
+    empty = T.table_schema(df.limit(0)).collect()
+    assert [(r["column"], r["non_null"], r["missing_pct"]) for r in empty] == [("a", 0, 0.0), ("b", 0, 0.0), ("c", 0, 0.0)]
