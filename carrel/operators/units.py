@@ -16,22 +16,28 @@ from carrel.session import table
 EDD_LABEL = re.compile(r"LVEDD(?:\s*\(2D\))?|LVIDd|LV\s+end-?\s?diastolic\s+(?:diameter|dimension)|LV\s+diastolic\s+(?:dimension|diameter)", re.I)
 
 
+#: Parsed fields that a task remembers.
+MOST_SEEN = 500_000
+
+
 def length_um(field: Column, neighbour: Column, label: re.Pattern | None = None) -> Column:
     """Column of the length in micrometres (bigint); null where there is none.
 
-    Equal fields of a batch are parsed once; neighbouring texts only for bare numbers.
+    Equal fields of a task are parsed once, as far as MOST_SEEN of them are remembered; neighbouring texts only for bare numbers.
     """
 
     @F.pandas_udf("bigint")
     def parse(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for values, texts in parts:
-            seen: dict = {}
+        seen: dict = {}
 
-            def of_field(v):
-                if v not in seen:
-                    seen[v] = field_length(v)
-                return seen[v]
+        def of_field(v):
+            if v not in seen:
+                if len(seen) >= MOST_SEEN:
+                    seen.clear()
+                seen[v] = field_length(v)
+            return seen[v]
 
+        for values, texts in parts:
             yield pd.Series([observed_length_um(v, t, label, of_field) for v, t in zip(values, texts)], dtype="Int64")
 
     return parse(field, neighbour)
