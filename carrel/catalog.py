@@ -1037,7 +1037,7 @@ def best_candidates(spark, d):
     return E.best_candidate(rows, "report_id", "confidence", "finding_no").select("report_id", "anatomy", "confidence")
 
 
-@query("step_totals", "SELECT count(*) AS steps, round(sum(value), 4) AS duration, sum(length(event_type) + user_id) AS tokens FROM events")
+@query("step_totals", "SELECT count(*) AS steps, round(sum(value), 4) AS duration, CAST(sum(length(event_type) + user_id) AS BIGINT) AS tokens FROM events")
 def step_totals(spark, d):
     rows = table(spark, d, "events").select(F.col("value").alias("duration"), F.length("event_type").cast("bigint").alias("input_tokens"), F.col("user_id").alias("output_tokens"))
     return B.step_totals(rows).withColumn("duration", F.round("duration", 4))
