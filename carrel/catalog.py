@@ -405,7 +405,8 @@ def routed_context(spark, d):
 
 @query("focused_context")
 def focused_context(spark, d):
-    return SE.focused_context(_scans(spark, d), "loaded_id", "text", ["medication", "history", "findings"])
+    scans = _scans(spark, d).select(F.concat_ws("-", "loaded_id", F.md5("text")).alias("scan"), "text")
+    return SE.focused_context(scans, "scan", "text", ["medication", "history", "findings"])
 
 
 @query("label_backfill")

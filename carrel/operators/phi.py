@@ -192,25 +192,25 @@ def align_redaction(original: Column, redacted: Column) -> Column:
 
 
 def _align(original, redacted, within: int = 200, least: int = 3) -> list[dict]:
-    """Text between placeholders is found again in order, at most `within` characters ahead where possible."""
+    """Text between placeholders is found again in order, at most `within` characters ahead where possible. Less than `least`
+    characters between two placeholders could stand anywhere: they belong to one span with what is gone around them."""
     if not original or not redacted:
         return []
-    out, at = [], 0
     pieces = redacted.split(REDACTED)
-    for k, piece in enumerate(pieces):
-        if k == 0:
-            if not original.startswith(piece):
-                return []
-            at = len(piece)
+    if not original.startswith(pieces[0]):
+        return []
+    out, at = [], len(pieces[0])
+    for k, piece in enumerate(pieces[1:], 1):
+        last = k == len(pieces) - 1
+        if len(piece) < least and not last:
             continue
-        anchor = piece if len(piece) >= least or k == len(pieces) - 1 else piece
-        if k == len(pieces) - 1 and not piece:
-            nxt = len(original)
+        if last and original.endswith(piece):
+            nxt = len(original) - len(piece)
         else:
-            nxt = original.find(anchor, at, at + within + len(anchor))
-            nxt = original.find(anchor, at) if nxt < 0 else nxt
-            if nxt < 0:
-                break
+            nxt = original.find(piece, at, at + within + len(piece))
+            nxt = original.find(piece, at) if nxt < 0 else nxt
+        if nxt < at:
+            break
         if nxt > at:
             out.append({"start": at, "end": nxt, "value": original[at:nxt], "kind": "OTHER"})
         at = nxt + len(piece)

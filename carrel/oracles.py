@@ -436,3 +436,19 @@ SQL["phi_deidentified"] = f"""
 WITH e AS (SELECT record_id, list_distinct(list(value_text)) AS v FROM phi_entity WHERE record_id IS NOT NULL AND trim(value_text) <> '' GROUP BY record_id),
 a AS (SELECT n.record_id, document_text, list_transform(list_sort(list_transform(list_distinct(list_concat(coalesce(v, []), {_FOUND})), lambda x: {{'neg': -length(x), 'v': x}})), lambda x: x.v) AS v FROM {_NOTES} n LEFT JOIN e ON e.record_id = n.record_id)
 SELECT record_id, list_reduce(list_concat([document_text], v), lambda acc, x: regexp_replace(acc, regexp_escape(x), '[REDACTED]', 'gi')) AS text FROM a"""
+
+# ---- contexts, snippets, roles --------------------------------------------------------------------------------------
+_WANTED = _list(["medication", "history", "findings"])
+SQL["focused_context"] = f"""
+WITH s AS (SELECT loaded_id || '-' || digest AS scan, section_no, title, text, len(list_intersect({_WANTED}, list_concat({words('title')}, {words('text')}))) / 3 AS score FROM ({_SECTIONS})),
+r AS (SELECT scan, list_transform(list_sort(list({{'neg': -score, 'no': section_no, 'title': title, 'text': text}}))[1:6], lambda x: {{'used': length(x.text), 'take': [{{'no': x.no, 'text': x.title || ':' || chr(10) || x.text}}]}}) AS r FROM s WHERE score >= 0.18 GROUP BY scan),
+c AS (SELECT scan, list_reduce(list_concat([{{'used': 0::BIGINT, 'take': r[1].take[1:0]}}], r), lambda acc, x: CASE WHEN acc.used + x.used > 4000 THEN acc ELSE {{'used': acc.used + x.used, 'take': list_concat(acc.take, x.take)}} END) AS c FROM r)
+SELECT scan, coalesce(array_to_string(list_transform(list_sort(c.take), lambda x: x.text), chr(10) || chr(10)), '') AS context FROM c"""
+_SLASHED = "regexp_replace({t}, '\\s*/\\s*', '/', 'g')"
+SQL["source_snippets"] = f"""
+SELECT record_id, path, CASE WHEN p >= 0 AND wanted <> '' THEN substring(flat, greatest(p - 80, 0) + 1, p + length(wanted) + 80 - greatest(p - 80, 0)) END AS snippet FROM (
+  SELECT *, instr(lower(flat), lower(wanted)) - 1 AS p FROM (SELECT record_id, path, {_SLASHED.format(t=squash('document_text'))} AS flat, {_SLASHED.format(t=squash('value'))} AS wanted FROM {fields()}))"""
+SQL["column_roles"] = """
+WITH s AS (SELECT avg(length(text)) AS t, avg(length(title)) AS ti, avg(length(source)) AS so, count(DISTINCT text) >= least(greatest(15, count(text) // 3), count(text)) AS many FROM documents)
+SELECT 'doc_id' AS "column", 'numeric' AS role UNION ALL SELECT 'text', CASE WHEN t >= 48 AND many THEN 'text' ELSE 'categorical' END FROM s UNION ALL SELECT 'lang', 'categorical' UNION ALL SELECT 'source', CASE WHEN so >= 48 THEN 'text' ELSE 'categorical' END FROM s
+UNION ALL SELECT 'n_chars', 'numeric' UNION ALL SELECT 'title', CASE WHEN ti >= 48 THEN 'text' ELSE 'categorical' END FROM s UNION ALL SELECT 'created_at', 'datetime'"""

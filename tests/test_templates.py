@@ -112,3 +112,9 @@ def test_reading(spark, tmp_path):
     with pytest.raises(ValueError, match="no examples"):
         R.check_examples(spark, str(tmp_path / "empty.jsonl"), ["q"], [])
     assert R.expand_sources(spark, str(tmp_path))[0].endswith("bad.jsonl") and len(R.expand_sources(spark, str(tmp_path / "*.jsonl"))) == 3
+
+
+def test_alignment(spark):
+    rows = [("mail ann@example.org. 2024-01-02 and more", "mail [REDACTED]. [REDACTED] and more"), ("a 1 b 1 c", "a [REDACTED] b [REDACTED] c"), ("x 123", "x [REDACTED]"), ("same", "same"), (None, "x"), ("abc", "[REDACTED]")]
+    got = [[(r.start, r.end, r.value) for r in x[0]] for x in spark.createDataFrame(rows, "a string, b string").select(P.align_redaction(F.col("a"), F.col("b"))).collect()]
+    assert got == [[(5, 32, "ann@example.org. 2024-01-02")], [(2, 3, "1"), (6, 7, "1")], [(2, 5, "123")], [], [], [(0, 3, "abc")]]
