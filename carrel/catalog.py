@@ -249,8 +249,7 @@ def _count_sql(t: str) -> str:
     return f"(length(low) - length(replace(low, '{t}', ''))) / {len(t)}"
 
 
-@query("chunk_audit_search", f"""SELECT doc_id AS source, chunk_id, CAST(8 * CAST(contains(low, 'chest pain') AS INT) + 2 * (CAST(contains(low, 'chest') AS INT) + CAST(contains(low, 'pain') AS INT)) + {_count_sql('chest')} + {_count_sql('pain')} AS INT) AS score
-FROM (SELECT doc_id, chunk_id, lower(text) AS low FROM ({_CHUNK_SQL})) WHERE contains(low, 'chest') OR contains(low, 'pain') ORDER BY score DESC, source, chunk_id LIMIT 12""")
+@query("chunk_audit_search")
 def chunk_audit_search(spark, d):
     return S.audit_chunks(table(spark, d, "documents"), "doc_id", "text", "chest pain")
 
@@ -1172,4 +1171,91 @@ def derived_rules(spark, d):
     return spark.createDataFrame([(a, "|".join(E.derived_rule(a) or ())) for a, _ in _DESCRIBED], "description string, rule string")
 
 
+# ---- chunks, pages, layouts, reports --------------------------------------------------------------------------------
+@query("chunk_list")
+def chunk_list(spark, d):
+    return S.list_chunks(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query("chunk_get")
+def chunk_get(spark, d):
+    """The last chunk of every document, and the one behind it, which is missing."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    last = S.document_chunks(docs, "doc_id", "text").groupBy(F.col("doc_id").alias("source")).agg(F.max("chunk_id").alias("k"))
+    wanted = last.select("source", F.explode(F.array("k", F.col("k") + 1)).alias("chunk_id"))
+    out = S.get_chunk(docs, "doc_id", "text", wanted)
+    return out.withColumn("digest", F.md5("text")).drop("text")
+
+
+@query("phi_page_spans")
+def phi_page_spans(spark, d):
+    """Identifiers in the pages of scans, with the parts of each by page."""
+    pages = _pages(spark, d)
+    docs = G.assemble_pages(pages, "loaded_id", "page_number", "text").select("loaded_id", "text")
+    offsets = G.page_offsets(pages, "loaded_id", "page_number", "text").withColumnRenamed("page_number", "page")
+    m = G.with_page_spans(P.phi_spans(docs, "loaded_id", "text"), offsets, "loaded_id")
+    return m.select("loaded_id", "start", "end", "phi_type", F.array_join(F.transform("pages", lambda p: F.concat_ws(":", p["page"], p["start"], p["end"])), ",").alias("pages"))
+
+
+@query("source_blocks")
+def source_blocks(spark, d):
+    """The place of every extracted field in its note."""
+    rows = _extracted(spark, d).withColumn("note", F.concat_ws("-", "record_id", F.md5("document_text")))
+    return G.source_block(rows, "note", "document_text").select("note", F.to_json("source_block").alias("source_block"))
+
+
+@query("layout_lines", """
+SELECT p_partkey, 1 AS page, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY l) - 1 AS INT) AS line_no, string_agg(w, ' ' ORDER BY i) AS text, CAST(l * 10 AS DOUBLE) AS y0, CAST(l * 10 + 8 AS DOUBLE) AS y1
+FROM (SELECT p_partkey, (i - 1) // 2 AS l, i, w FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w, generate_subscripts(string_split(p_name, ' '), 1) AS i FROM part)) GROUP BY p_partkey, l""")
+def layout_lines(spark, d):
+    """Words of part names as boxes, two on a line, the second a little lower."""
+    w = table(spark, d, "part").select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("i", "w"))
+    line, place = F.floor(F.col("i") / 2), F.col("i") % 2
+    boxes = w.select("p_partkey", F.lit(1).alias("page"), "w", (place * 50).cast("double").alias("x0"), (line * 10 + place).cast("double").alias("y0"), (place * 50 + 40).cast("double").alias("x1"), (line * 10 + 8).cast("double").alias("y1"))
+    return G.layout_lines(boxes, "p_partkey", "page", "w")
+
+
+@query("loinc_codes", "SELECT DISTINCT report_id, 'i1' AS section, site_id AS code, trim(regexp_replace(exam_type, '[\"<>&]', '', 'g')) AS meaning FROM radiology_train WHERE exam_type IS NOT NULL AND site_id IS NOT NULL")
+def loinc_codes(spark, d):
+    """Codes of sections in the XML part of a page."""
+    r = table(spark, d, "radiology_train").where("exam_type IS NOT NULL AND site_id IS NOT NULL").select("report_id", "site_id", F.trim(F.regexp_replace("exam_type", '["<>&]', "")).alias("e")).distinct()
+    page = F.concat(F.lit('<html><script type="text/xml"><template><entry origtxt="i1" x="1"><term><code meaning="'), "e", F.lit('" value="'), "site_id", F.lit('" scheme="LOINC"/></term></entry></template></script></html>'))
+    return r.select("report_id", F.explode(R.loinc_entries(page)).alias("section", "c")).select("report_id", "section", "c.code", "c.meaning").distinct()
+
+
+@query("report_runs")
+def report_runs(spark, d):
+    """What the default provider reads for a template, and how complete it is."""
+    notes = table(spark, d, "radiology_train").where("report_text IS NOT NULL").select(F.concat_ws("-", "report_id", F.md5("report_text")).alias("report"), "report_text").distinct()
+    out = TP.run_report(notes, "report", "report_text", TP.built_in("chest_ct"))
+    return out.select("report", F.map_keys("fields").alias("fields"), "overall", "required_coverage", "optional_coverage").withColumn("fields", F.array_join(F.array_sort("fields"), ", "))
+
+
+_PRESSURES = [
+    ("BP was 128/82 on arrival. Normal range 120/80.", "pressure is 120/82", "128/82"), ("Target 130/80; measured 150/95.", "150 over 95", "130/80"), ("no reading", "120/80", None), ("Ratio 12/34, blood pressure 99/60", "99/60", "99/60"),
+]
+
+
+@query("blood_pressures", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{c}', {repr(v) if v else 'NULL'})" for t, c, v in _PRESSURES) + ") AS t(text, claim, value)")
+def blood_pressures(spark, d):
+    """The pressure of a text that a claim means."""
+    df = spark.createDataFrame([(t, c) for t, c, _ in _PRESSURES], "text string, claim string")
+    return df.select("text", "claim", V.blood_pressure_near(F.col("text"), F.col("claim")).alias("value"))
+
+
+@query("citation_focus")
+def citation_focus(spark, d):
+    """Citations with the focus on one source and a change in size asked for."""
+    hits = merge_hits_dedupe(spark, d)
+    return S.diverse_citations(S.ranked_citations(hits, "liver lesion growth", 20, delta=True), 5, ("text_chunk",))
+
+
+@query("claims_by_level", """SELECT item_id, CASE WHEN miss = 0 AND r > 0.5 THEN 'verified' WHEN r > 0.3 THEN 'partially_supported' ELSE 'insufficient_evidence' END AS verdict, round(CASE WHEN miss = 0 AND r > 0.5 THEN least(0.95, r) ELSE r END, 6) AS confidence, 'standard: quick only' AS level FROM (
+  SELECT item_id, len(list_filter(regexp_extract_all(response, '\\d+(?:\\.\\d+)?'), lambda n: NOT contains(source_text, n))) AS miss,
+    len(list_intersect(list_distinct(regexp_extract_all(lower(response), '[a-z0-9]+')), regexp_extract_all(lower(source_text), '[a-z0-9]+'))) / len(list_distinct(regexp_extract_all(lower(response), '[a-z0-9]+'))) AS r
+  FROM eval_item WHERE response IS NOT NULL)""")
+def claims_by_level(spark, d):
+    return V.verify_claims(table(spark, d, "eval_item").where("response IS NOT NULL"), "item_id", "response", "source_text", "standard")
+
+
 ORACLES |= {k: v for k, v in oracles.SQL.items() if k in QUERIES}

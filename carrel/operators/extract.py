@@ -112,8 +112,12 @@ def contract(fields: DataFrame, id_col: str, source: Column) -> DataFrame:
 
 
 def contract_counts(contracts: DataFrame, id_col: str) -> DataFrame:
+    """(id, supported, needs_review, insufficient_evidence, fields, present, missing): numbers of fields, and the names of those
+    with and without a value."""
     n = lambda s: F.count(F.when(F.col("status") == s, 1)).alias(s)
-    return contracts.groupBy(id_col).agg(n("supported"), n("needs_review"), n("insufficient_evidence"), F.count("*").alias("fields"))
+    there = lambda missing: F.array_sort(F.collect_set(F.when((F.col("kind") == "null") == missing, F.col("field"))))
+    counts = contracts.groupBy(id_col).agg(n("supported"), n("needs_review"), n("insufficient_evidence"), F.count("*").alias("fields"), there(False).alias("present"), there(True).alias("missing"))
+    return counts.withColumns({c: F.array_join(c, ", ") for c in ("present", "missing")})
 
 
 # ---- nested payloads ------------------------------------------------------------------------------------------------

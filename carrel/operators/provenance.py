@@ -260,3 +260,50 @@ def source_snippet(text: Column, needle: Column, context: int = 80) -> Column:
     at = F.instr(F.lower(flat), F.lower(wanted)) - 1
     low = F.greatest(at - context, F.lit(0))
     return F.when((at >= 0) & (wanted != ""), F.substring(flat, low + 1, at + F.char_length(wanted) + context - low))
+
+
+def with_page_spans(mappings: DataFrame, offsets: DataFrame, doc_col: str) -> DataFrame:
+    """Mappings (doc, start, end, ...) with pages: array<struct<page, start, end>>, the parts of each span by page, in characters of
+    the page. offsets: (doc, page, start, end), as page_offsets gives them with its page column named page."""
+    pages = offsets.groupBy(doc_col).agg(F.array_sort(F.collect_list(F.struct("page", F.col("start").alias("s"), F.col("end").alias("e")))).alias("_pages"))
+    joined = mappings.join(pages, doc_col, "left")
+    inside = F.filter("_pages", lambda p: (p["s"] < F.col("end")) & (p["e"] > F.col("start")))
+    parts = F.transform(inside, lambda p: F.struct(p["page"].alias("page"), (F.greatest(p["s"], F.col("start")) - p["s"]).alias("start"), (F.least(p["e"], F.col("end")) - p["s"]).alias("end")))
+    return joined.withColumn("pages", F.coalesce(parts, F.expr("cast(array() as array<struct<page:int,start:bigint,end:bigint>>)"))).drop("_pages")
+
+
+def source_block(fields: DataFrame, id_col: str, source: str, offsets: DataFrame | None = None) -> DataFrame:
+    """(id, source_block): for each document the place of every field, array<struct<field, value, excerpt, start, end, page, grounded>>
+    in the order of the fields. fields: (id, path, value, source text); offsets: (id, page, start, end) of the pages, if any."""
+    found = fields.select(id_col, F.col("path").alias("field"), "value", tight_excerpt(F.col(source), F.col("value")).alias("x"))
+    rows = found.select(id_col, "field", "value", F.col("x.excerpt").alias("excerpt"), F.col("x.start").alias("start"), F.col("x.end").alias("end"))
+    if offsets is not None:
+        pages = offsets.select(id_col, "page", F.col("start").alias("_s"), F.col("end").alias("_e"))
+        rows = rows.join(pages, (rows[id_col] == pages[id_col]) & (pages["_s"] <= rows["start"]) & (rows["start"] < pages["_e"]), "left").drop(pages[id_col]).drop("_s", "_e")
+    else:
+        rows = rows.withColumn("page", F.lit(None).cast("int"))
+    entry = F.struct("field", "value", "excerpt", "start", "end", "page", F.col("start").isNotNull().alias("grounded"))
+    return rows.groupBy(id_col).agg(F.array_sort(F.collect_list(entry)).alias("source_block"))
+
+
+def layout_lines(words: DataFrame, doc_col: str, page_col: str, text_col: str, tolerance: float = 0.5) -> DataFrame:
+    """(doc, page, line_no, text, y0, y1): boxes of words (x0, y0, x1, y1) grouped to lines and read from left to right.
+
+    From the top down, a box begins a new line where its middle lies more than `tolerance` heights below that of the line before.
+    Pages are folded within their row; a page's words are what one scanned page holds.
+    """
+    box = F.struct(((F.col("y0") + F.col("y1")) / 2).alias("m"), "x0", (F.col("y1") - F.col("y0")).alias("h"), F.col(text_col).alias("t"), "y0", "y1")
+    pages = words.where(F.col(text_col).isNotNull()).groupBy(doc_col, page_col).agg(F.array_sort(F.collect_list(box)).alias("w"))
+    kind = "array<struct<m: double, h: double, words: array<struct<x0: double, t: string>>, y0: double, y1: double>>"
+    one = lambda x: F.struct(x["m"].alias("m"), x["h"].alias("h"), F.array(F.struct(x["x0"].cast("double").alias("x0"), x["t"].alias("t"))).alias("words"), x["y0"].alias("y0"), x["y1"].alias("y1"))
+    last = lambda acc: F.element_at(acc, -1)
+    lines = F.aggregate(
+        "w",
+        F.expr(f"cast(array() as {kind})"),
+        lambda acc, x: F.when((F.size(acc) == 0) | (x["m"] - last(acc)["m"] > tolerance * F.greatest(x["h"], last(acc)["h"])), F.concat(acc, F.array(one(x)))).otherwise(
+            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(
+                last(acc)["m"].alias("m"), F.greatest(last(acc)["h"], x["h"]).alias("h"), F.concat(last(acc)["words"], one(x)["words"]).alias("words"), F.least(last(acc)["y0"], x["y0"]).alias("y0"), F.greatest(last(acc)["y1"], x["y1"]).alias("y1")))),
+        ),
+    )
+    rows = pages.select(doc_col, page_col, F.posexplode(lines).alias("line_no", "l"))
+    return rows.select(doc_col, page_col, "line_no", F.array_join(F.transform(F.array_sort("l.words"), lambda x: x["t"]), " ").alias("text"), "l.y0", "l.y1")

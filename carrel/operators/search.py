@@ -25,8 +25,18 @@ def document_chunks(docs: DataFrame, id_col: str, text_col: str, size: int = 180
     return rows.select(id_col, "chunk_id", "start", "end", F.char_length("text").alias("char_count"), "text")
 
 
-def get_chunk(chunk_table: DataFrame, id_col: str, doc, chunk_id: int) -> DataFrame:
-    return chunk_table.where((F.col(id_col) == doc) & (F.col("chunk_id") == chunk_id))
+def list_chunks(docs: DataFrame, id_col: str, text_col: str, size: int = 1800, overlap: int = 220) -> DataFrame:
+    """(source, chunk_id, start, end, char_count, preview): the chunks with their first 120 characters."""
+    rows = document_chunks(docs, id_col, text_col, size, overlap)
+    return rows.select(F.col(id_col).alias("source"), "chunk_id", "start", "end", "char_count", F.substring(squash(F.col("text")), 1, 120).alias("preview"))
+
+
+def get_chunk(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
+    """(source, chunk_id, start, end, char_count, text, error) for each row (source, chunk_id) of wanted; error is
+    'chunk_not_found' and the rest null where there is none."""
+    chunks_ = document_chunks(docs, id_col, text_col).withColumnRenamed(id_col, "source")
+    out = wanted.select("source", "chunk_id").join(chunks_, ["source", "chunk_id"], "left")
+    return out.select("source", "chunk_id", "start", "end", "char_count", "text", F.when(F.col("text").isNull(), "chunk_not_found").alias("error"))
 
 
 def _anchor(term_array: Column, wanted: list[str]) -> Column:
@@ -55,15 +65,22 @@ def search_chunks(docs: DataFrame, id_col: str, text_col: str, query: str, top_k
     return best.select(F.col(id_col).alias("source"), "chunk_id", "start", "end", "score", snippet.alias("snippet"), F.lit("text_chunk").alias("evidence_type"))
 
 
-def audit_chunks(docs: DataFrame, id_col: str, text_col: str, phrase: str, top_k: int = 12) -> DataFrame:
-    """Chunks by 8 x phrase + 2 x terms covered + hits: (source, chunk_id, score)."""
-    wanted = question_terms(phrase, expand=False)
-    part = document_chunks(docs, id_col, text_col)
-    low = F.lower("text")
-    hits = reduce(lambda a, b: a + b, [F.regexp_count(low, F.lit(re.escape(t))) for t in wanted], F.lit(0))
-    covered = reduce(lambda a, b: a + b, [F.when(F.contains(low, F.lit(t)), 1).otherwise(0) for t in wanted], F.lit(0))
-    score = 8 * F.when(F.contains(low, F.lit(phrase.lower())), 1).otherwise(0) + 2 * covered + hits
-    return part.select(F.col(id_col).alias("source"), "chunk_id", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "source", "chunk_id").limit(top_k)
+def audit_chunks(docs: DataFrame, id_col: str, text_col: str, phrase: str, top_k: int = 12, context: int = 300) -> DataFrame:
+    """Chunks by 8 x phrase + 2 x words covered + hits: (source, chunk_id, score, snippet), the snippet being half of `context` on
+    each side of the phrase, or of the first word that stands in the chunk."""
+    low_phrase = phrase.lower()
+    wanted = list(dict.fromkeys(w for w in re.findall("[a-z0-9]+", low_phrase) if len(w) >= 2))
+    part = document_chunks(docs, id_col, text_col).withColumn("low", F.lower("text"))
+    word = lambda t: rf"\b{re.escape(t)}\b"
+    hits = reduce(lambda a, b: a + b, [F.regexp_count("low", F.lit(word(t))) for t in wanted], F.lit(0))
+    covered = reduce(lambda a, b: a + b, [F.when(F.col("low").rlike(word(t)), 1).otherwise(0) for t in wanted], F.lit(0))
+    phrase_at = F.instr("low", F.lit(low_phrase)) - 1
+    score = 8 * F.when(phrase_at >= 0, 1).otherwise(0) + 2 * covered + hits
+    first = F.coalesce(*[F.when(F.col("low").rlike(word(t)), F.struct((F.regexp_instr("low", F.lit(word(t))) - 1).alias("at"), F.lit(len(t)).alias("n"))) for t in wanted], F.struct(F.lit(0).alias("at"), F.lit(1).alias("n")))
+    anchor = F.when(phrase_at >= 0, F.struct(phrase_at.alias("at"), F.lit(len(phrase)).alias("n"))).otherwise(first)
+    best = part.withColumn("score", score).where("score > 0").orderBy(F.desc("score"), id_col, "chunk_id").limit(top_k).withColumn("a", anchor)
+    start = F.greatest(F.col("a.at") - context // 2, F.lit(0))
+    return best.select(F.col(id_col).alias("source"), "chunk_id", "score", F.substring("text", start + 1, F.col("a.at") + F.col("a.n") + context // 2 - start).alias("snippet"))
 
 
 def overlaps_itself(phrase: str) -> bool:
@@ -114,26 +131,51 @@ def merge_hits(parts: list[DataFrame], cap: int = 50, prefix: int = 180) -> Data
     return kept.orderBy("part", F.desc("score"), "source", "snippet").limit(cap).drop("n")
 
 
-# Worth of each kind of evidence.
-EVIDENCE_WORTH = {"table_stat": 30, "table_sql": 28, "table_value": 26, "table_row": 22, "text_chunk": 18, "table_schema": 16, "table_column": 16, "text": 14}
+# Worth of each kind of evidence, words that do not count in citations, and titles that say nothing.
+EVIDENCE_WORTH = {"table_stat": 30, "table_sql": 28, "table_value": 26, "table_schema": 22, "table_column": 18, "text_chunk": 16, "table_row": 14}
+CITATION_STOPWORDS = (
+    "the a an and or of in on to for with is are was were be been being what which who whom when where why how does do did please show tell about can you your my me from that this those these there their them "
+    "report reports patient study scan ct mri kind used use throughout across overall imaging image images imaged"
+).split()
+EMPTY_TITLES = ("radiology report", "follow-up radiology report", "ct chest/abdomen/pelvis with contrast")
+TABLE_EVIDENCE = ("table_stat", "table_sql", "table_value", "table_schema", "table_column", "table_row")
 
 
-def ranked_citations(hits: DataFrame, question: str, top_k: int = 8) -> DataFrame:
-    """Hits with their rank score: 20 x question terms held + score (12 at most) + worth of the evidence + 12 for a measure + 5 for a date."""
-    wanted = question_terms(question, expand=False)
-    worth = F.coalesce(F.create_map(*[F.lit(x) for kv in EVIDENCE_WORTH.items() for x in kv])[F.col("evidence_type")], F.lit(10))
-    held = F.size(F.array_intersect(terms(F.col("snippet")), F.array(*[F.lit(t) for t in wanted]).cast("array<string>")))
-    rank = (
-        20 * held + F.least("score", F.lit(12)) + worth + F.when(F.col("snippet").rlike(r"(?i)\d+(?:\.\d+)?\s*(?:mm|cm)\b"), 12).otherwise(0)
-        + F.when(F.col("snippet").rlike(r"\b\d{4}-\d{2}-\d{2}\b"), 5).otherwise(0)
-    )
-    return hits.withColumn("rank", rank.cast("int")).orderBy(F.desc("rank"), "source", "snippet").limit(top_k)
+def citation_words(text: str) -> list[str]:
+    return list(dict.fromkeys(w for w in re.findall("[a-z0-9]+", text.lower()) if len(w) >= 3 and w not in CITATION_STOPWORDS))
 
 
-def diverse_citations(ranked: DataFrame, top_k: int = 5) -> DataFrame:
-    """First the best hit of every source, then the rest by rank."""
-    turn = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("rank"), "snippet"))
-    return ranked.withColumn("turn", F.when(turn == 1, 0).otherwise(1)).orderBy("turn", F.desc("rank"), "source", "snippet").limit(top_k).drop("turn")
+def ranked_citations(hits: DataFrame, question: str, top_k: int = 8, focus_source: str = "", focus_column: str = "", delta: bool = False) -> DataFrame:
+    """Hits with their rank: 20 for each word of the question + score (12 at most) + worth of the evidence + 12 for millimetres + 5
+    for a day, less 8 for a short snippet without either and 20 for an empty title; negative ranks are out.
+
+    focus_source: +10 for evidence of that table, -18 for that of others; focus_column: +22 and -35 where hits have a column;
+    delta: -25 for a snippet without millimetres, negative ranks out again.
+    """
+    wanted = F.array(*[F.lit(w) for w in citation_words(question)]).cast("array<string>")
+    worth = F.coalesce(F.create_map(*[F.lit(x) for kv in EVIDENCE_WORTH.items() for x in kv])[F.col("evidence_type")], F.lit(0))
+    text = squash(F.col("snippet"))
+    has_mm, has_day = F.lower(text).rlike(r"\b\d+(?:\.\d+)?\s*mm\b"), text.rlike(r"\b\d{4}-\d{2}-\d{2}\b")
+    held = F.size(F.array_intersect(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), wanted))
+    rank = 20 * held + F.least("score", F.lit(12)) + worth + F.when(has_mm, 12).otherwise(0) + F.when(has_day, 5).otherwise(0)
+    rank = rank - F.when((F.char_length(text) < 26) & ~has_mm & ~has_day, 8).otherwise(0) - F.when(F.lower(text).isin(*EMPTY_TITLES), 20).otherwise(0)
+    rows = hits.where(text != "").withColumn("rank", rank.cast("int")).where("rank >= 0")
+    if focus_source:
+        rows = rows.withColumn("rank", F.col("rank") + F.when(~F.col("evidence_type").isin(*TABLE_EVIDENCE), 0).when(F.col("source") == focus_source, 10).otherwise(-18))
+    if focus_column and "column" in hits.columns:
+        named = F.col("evidence_type").isin("table_stat", "table_value", "table_column") & (F.coalesce("column", F.lit("")) != "")
+        rows = rows.withColumn("rank", F.col("rank") + F.when(named & (F.col("column") == focus_column), 22).when(named, -35).otherwise(0))
+    if delta:
+        rows = rows.withColumn("rank", F.col("rank") - F.when(has_mm, 0).otherwise(25)).where("rank >= 0")
+    return rows.orderBy(F.desc("rank"), F.desc("score"), "source", "snippet").limit(top_k)
+
+
+def diverse_citations(ranked: DataFrame, top_k: int = 5, forced: tuple[str, ...] = ()) -> DataFrame:
+    """First the best hit of each kind of evidence that is forced, then that of every source, then the rest by rank."""
+    by = lambda *c: F.row_number().over(Window.partitionBy(*c).orderBy(F.desc("rank"), "source", "snippet"))
+    must = F.when(F.col("evidence_type").isin(*forced) & (by("evidence_type") == 1), -1) if forced else F.lit(None)
+    turned = ranked.withColumn("turn", F.coalesce(must, F.when(by("source") == 1, 0).otherwise(1)))
+    return turned.orderBy("turn", F.desc("rank"), "source", "snippet").limit(top_k).drop("turn")
 
 
 def citation_confidence(citations: DataFrame, question: str, answer: str) -> DataFrame:

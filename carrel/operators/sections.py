@@ -129,8 +129,9 @@ def label_score(field: Column, label: Column) -> Column:
     return score(field, label)
 
 
-def backfill(docs: DataFrame, id_col: str, text_col: str, fields: list[str], least: float = 0.72) -> DataFrame:
-    """(id, field, label, value, score): for each field the labelled block that names it best, the first of equals.
+def backfill(docs: DataFrame, id_col: str, text_col: str, fields: list[str], least: float = 0.72, least_section: float = 0.84) -> DataFrame:
+    """(id, field, label, value, score): for each field the labelled block that names it best, the first of equals; where none
+    reaches `least`, the section whose title reaches least_section.
 
     This is the default provider of extractions where no language model is plugged in. A document's blocks meet the fixed list
     of fields; documents never meet each other.
@@ -139,5 +140,8 @@ def backfill(docs: DataFrame, id_col: str, text_col: str, fields: list[str], lea
     # blocks that share no word score 0: they never reach Python
     near = blocks.where(F.size(F.array_intersect(tokens(F.col("field")), tokens(F.col("label")))) > 0)
     scored = near.withColumn("score", label_score(F.col("field"), F.col("label"))).where(F.col("score") >= least)
-    best = scored.groupBy(id_col, "field").agg(F.max(F.struct("score", (-F.col("block_no")).alias("neg"), "label", "value")).alias("m"))
+    parts = sections(docs, id_col, text_col).where("name <> 'document'").select(id_col, F.col("title").alias("label"), F.col("text").alias("value"), (F.col("section_no") + 1_000_000).alias("block_no"), F.explode(F.array(*[F.lit(f) for f in fields])).alias("field"))
+    parts = parts.where(F.size(F.array_intersect(tokens(F.col("field")), tokens(F.col("label")))) > 0).withColumn("score", label_score(F.col("field"), F.col("label"))).where(F.col("score") >= least_section)
+    scored = scored.select(id_col, "field", "label", "value", "block_no", "score", F.lit(1).alias("tier")).unionByName(parts.select(id_col, "field", "label", "value", "block_no", "score", F.lit(0).alias("tier")))
+    best = scored.groupBy(id_col, "field").agg(F.max(F.struct("tier", "score", (-F.col("block_no")).alias("neg"), "label", "value")).alias("m"))
     return best.select(id_col, "field", "m.label", "m.value", F.round("m.score", 6).alias("score"))

@@ -312,3 +312,18 @@ def granularity(text: Column, spec: dict) -> Column:
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(base) - sum((F.when(c, w).otherwise(0.0) for _, w, c in rules), F.lit(0.0))))
     empty = text.isNull() | (F.trim(F.regexp_replace(text, r"\s+", " ")) == "")
     return F.struct(F.when(empty, 1.0).otherwise(score).alias("score"), F.when(empty, F.expr("cast(array() as array<string>)")).otherwise(issues).alias("issues"))
+
+
+def run_report(docs: DataFrame, id_col: str, text_col: str, spec: dict) -> DataFrame:
+    """(id, fields, overall, required_coverage, optional_coverage, missing_required): what the default provider reads for a
+    template, map<field, value>, and how complete it is."""
+    from carrel.functions.quality import report_completeness
+    from carrel.operators.sections import backfill
+
+    names = [f["name"] for f in spec["fields"]]
+    found = backfill(docs, id_col, text_col, names).groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("fields"))
+    rows = docs.select(id_col).distinct().join(found, id_col, "left").withColumn("fields", F.coalesce("fields", F.expr("cast(map() as map<string,string>)")))
+    has = {n: F.coalesce(F.trim(F.try_element_at(F.col("fields"), F.lit(n))) != "", F.lit(False)) for n in names}
+    need = {f["name"] for f in spec["fields"] if f.get("required", True)}
+    c = report_completeness({n: h for n, h in has.items() if n in need}, {n: h for n, h in has.items() if n not in need})
+    return rows.select(id_col, "fields", c.alias("c")).select(id_col, "fields", F.round("c.overall", 6).alias("overall"), F.round("c.required_coverage", 6).alias("required_coverage"), F.round("c.optional_coverage", 6).alias("optional_coverage"), "c.missing_required")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from carrel.functions.text import around, squash, tokens, truncate, word_overlap
+from carrel.functions.text import around, spans, squash, tokens, truncate, word_overlap
 
 
 def field_verdicts(fields: DataFrame, id_col: str, source: str) -> DataFrame:
@@ -123,6 +123,38 @@ def value_comparison(claimed: Column, found: Column) -> Column:
     )
 
 
+def blood_pressure_near(text: Column, claim: Column) -> Column:
+    """The blood pressure of a text that a claim most likely means: by the words within 72 characters of it and by the claim's own
+    figures; the first of equals, null where there is none."""
+    pattern = r"\b\d{2,3}\s*/\s*\d{2,3}\b"
+    plain = lambda v: F.regexp_replace(v, r"\s+", "")
+    own = F.nullif(plain(F.regexp_extract(claim, pattern, 0)), F.lit(""))
+    half = lambda v, k: F.split_part(v, F.lit("/"), F.lit(k))
+
+    def scored(s: Column, i: Column) -> Column:
+        low = F.greatest(s["start"] - 72, F.lit(0))
+        near = F.lower(F.substring(text, low + 1, s["end"] + 72 - low))
+        holds = lambda *marks: F.exists(F.array(*[F.lit(m) for m in marks]), lambda m: F.contains(near, m))
+        value = plain(s["value"])
+        points = F.when(F.contains(near, F.lit("blood pressure")) | near.rlike(r"\bbp\b"), 5).otherwise(0) + F.when(holds("vital", "reading", "measured", "measurement", "status"), 2).otherwise(0) - F.when(holds("normal range", "reference", "target", "goal"), 2).otherwise(0)
+        same = F.when(half(value, 2) == half(own, 2), 2).otherwise(0) + F.when(half(value, 1) == half(own, 1), 1).otherwise(0) + F.when(value == own, 3).otherwise(0)
+        return F.struct((points + F.when(own.isNotNull(), same).otherwise(0)).alias("points"), (-i).alias("neg"), value.alias("value"))
+
+    return F.array_max(F.transform(spans(text, pattern), scored))["value"]
+
+
+# How deep a check goes.
+VERIFY_LEVELS = ("quick", "standard", "thorough")
+
+
+def verify_claims(rows: DataFrame, id_col: str, claim: str, source: str, level: str = "quick") -> DataFrame:
+    """(id, verdict, confidence, level) of claims against their sources. The deeper levels need a language model: without one they
+    give what 'quick' gives and say so; an unknown level is a ValueError."""
+    if level not in VERIFY_LEVELS:
+        raise ValueError(f"unknown level {level!r}; one of {', '.join(VERIFY_LEVELS)}")
+    return rows.select(id_col, claim_check(F.col(claim), F.col(source)).alias("c")).select(id_col, "c.verdict", "c.confidence", F.lit("quick" if level == "quick" else f"{level}: quick only").alias("level"))
+
+
 def final_decision(verdict: Column, confidence: Column, comparison: Column, critical_issue: Column, grounded: Column) -> Column:
     """struct<verdict, confidence, support_score, claim_is_true> after the comparison of values."""
     v = (

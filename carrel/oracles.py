@@ -94,11 +94,16 @@ SELECT source, snippet, score, evidence_type, part FROM (
     SELECT CAST(source AS VARCHAR) AS source, snippet, score, evidence_type, 0 AS part FROM ({chunk_hits('liver lesion')})
     UNION ALL SELECT CAST(source AS VARCHAR), snippet, score, evidence_type, 1 FROM ({document_hits('liver lesion')}))) WHERE n = 1"""
 
-_ASKED = X.question_terms("liver lesion", expand=False)
-_RANKED = f"""
-SELECT source, snippet, score, evidence_type, part, CAST(20 * len(list_intersect(list_distinct({stems('snippet')}), {_list(_ASKED)})) + least(score, 12) + CASE evidence_type WHEN 'text_chunk' THEN 18 WHEN 'text' THEN 14 ELSE 10 END
-  + CASE WHEN regexp_matches(snippet, '(?i)\\d+(?:\\.\\d+)?\\s*(?:mm|cm)\\b') THEN 12 ELSE 0 END + CASE WHEN regexp_matches(snippet, '\\b\\d{{4}}-\\d{{2}}-\\d{{2}}\\b') THEN 5 ELSE 0 END AS INT) AS rank FROM ({SQL['merge_hits_dedupe']})
-ORDER BY rank DESC, source, snippet LIMIT 20"""
+def ranked(question: str, delta: bool = False) -> str:
+    asked = _list(S.citation_words(question))
+    text, mm, day = squash("snippet"), "regexp_matches(lower(snippet), '\\b\\d+(?:\\.\\d+)?\\s*mm\\b')", "regexp_matches(snippet, '\\b\\d{4}-\\d{2}-\\d{2}\\b')"
+    rank = f"""CAST(20 * len(list_intersect(list_distinct({words('snippet')}), {asked})) + least(score, 12) + CASE evidence_type WHEN 'text_chunk' THEN 16 ELSE 0 END + CASE WHEN {mm} THEN 12 ELSE 0 END + CASE WHEN {day} THEN 5 ELSE 0 END
+  - CASE WHEN length({text}) < 26 AND NOT {mm} AND NOT {day} THEN 8 ELSE 0 END - CASE WHEN lower({text}) IN {_in(S.EMPTY_TITLES)} THEN 20 ELSE 0 END AS INT)"""
+    less = f"- CASE WHEN {mm} THEN 0 ELSE 25 END" if delta else ""
+    return f"""SELECT * FROM (SELECT source, snippet, score, evidence_type, part, CAST(rank {less} AS INT) AS rank FROM (SELECT *, {rank} AS rank FROM ({SQL['merge_hits_dedupe']}) WHERE {text} <> '') WHERE rank >= 0) WHERE rank >= 0 ORDER BY rank DESC, score DESC, source, snippet LIMIT 20"""
+
+
+_RANKED = ranked("liver lesion")
 _DIVERSE = f"""
 SELECT source, snippet, score, evidence_type, part, rank FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY source ORDER BY rank DESC, snippet) = 1 THEN 0 ELSE 1 END AS turn FROM ({_RANKED}))
 ORDER BY turn, rank DESC, source, snippet LIMIT 8"""
@@ -452,3 +457,25 @@ SQL["column_roles"] = """
 WITH s AS (SELECT avg(length(text)) AS t, avg(length(title)) AS ti, avg(length(source)) AS so, count(DISTINCT text) >= least(greatest(15, count(text) // 3), count(text)) AS many FROM documents)
 SELECT 'doc_id' AS "column", 'numeric' AS role UNION ALL SELECT 'text', CASE WHEN t >= 48 AND many THEN 'text' ELSE 'categorical' END FROM s UNION ALL SELECT 'lang', 'categorical' UNION ALL SELECT 'source', CASE WHEN so >= 48 THEN 'text' ELSE 'categorical' END FROM s
 UNION ALL SELECT 'n_chars', 'numeric' UNION ALL SELECT 'title', CASE WHEN ti >= 48 THEN 'text' ELSE 'categorical' END FROM s UNION ALL SELECT 'created_at', 'datetime'"""
+
+# ---- chunks, pages, reports -----------------------------------------------------------------------------------------
+SQL["citation_focus"] = f"""
+SELECT source, snippet, score, evidence_type, part, rank FROM (SELECT *, CASE WHEN evidence_type = 'text_chunk' AND row_number() OVER (PARTITION BY evidence_type ORDER BY rank DESC, source, snippet) = 1 THEN -1
+  WHEN row_number() OVER (PARTITION BY source ORDER BY rank DESC, source, snippet) = 1 THEN 0 ELSE 1 END AS turn FROM ({ranked('liver lesion growth', True)})) ORDER BY turn, rank DESC, source, snippet LIMIT 5"""
+SQL["chunk_list"] = f"""SELECT doc_id AS source, chunk_id, "start", "end", CAST(length(text) AS INT) AS char_count, substring({squash('text')}, 1, 120) AS preview FROM ({_CHUNKS})"""
+SQL["chunk_get"] = f"""
+WITH c AS ({_CHUNKS}), w AS (SELECT doc_id AS source, CAST(unnest([max(chunk_id), max(chunk_id) + 1]) AS INT) AS chunk_id FROM c GROUP BY doc_id)
+SELECT w.source, w.chunk_id, "start", "end", CAST(length(text) AS INT) AS char_count, CASE WHEN text IS NULL THEN 'chunk_not_found' END AS error, md5(text) AS digest FROM w LEFT JOIN c ON c.doc_id = w.source AND c.chunk_id = w.chunk_id"""
+_CHEST, _PAIN = (f"len(regexp_extract_all(low, '\\b{w}\\b'))" for w in ("chest", "pain"))
+SQL["chunk_audit_search"] = f"""
+SELECT source, chunk_id, score, substring(text, greatest(p - 150, 0) + 1, p + n + 150 - greatest(p - 150, 0)) AS snippet FROM (
+  SELECT *, CASE WHEN contains(low, 'chest pain') THEN instr(low, 'chest pain') - 1 WHEN {_CHEST} > 0 THEN length(string_split_regex(low, '\\bchest\\b')[1]) ELSE length(string_split_regex(low, '\\bpain\\b')[1]) END AS p, CASE WHEN contains(low, 'chest pain') THEN 10 WHEN {_CHEST} > 0 THEN 5 ELSE 4 END AS n FROM (
+    SELECT doc_id AS source, chunk_id, text, low, CAST(8 * CAST(contains(low, 'chest pain') AS INT) + 2 * (CAST({_CHEST} > 0 AS INT) + CAST({_PAIN} > 0 AS INT)) + {_CHEST} + {_PAIN} AS INT) AS score FROM (SELECT *, lower(text) AS low FROM ({_CHUNKS})) WHERE {_CHEST} + {_PAIN} > 0 ORDER BY score DESC, source, chunk_id LIMIT 12))"""
+SQL["contract_counts"] = f"""SELECT record_id, count(*) FILTER (status = 'supported') AS supported, count(*) FILTER (status = 'needs_review') AS needs_review, count(*) FILTER (status = 'insufficient_evidence') AS insufficient_evidence, count(*) AS fields,
+coalesce(array_to_string(list_sort(list(DISTINCT field) FILTER (kind <> 'null')), ', '), '') AS present, coalesce(array_to_string(list_sort(list(DISTINCT field) FILTER (kind = 'null')), ', '), '') AS missing FROM ({_CONTRACT}) GROUP BY record_id"""
+_BY_PAGE = "(SELECT loaded_id, p.page_number AS page_number, coalesce(p.text, '') AS text FROM (SELECT loaded_id, unnest(pages) AS p FROM (SELECT loaded_id, min(pages) AS pages FROM loaded_document WHERE pages IS NOT NULL GROUP BY loaded_id)))"
+SQL["phi_page_spans"] = f"""
+WITH o AS (SELECT loaded_id, page_number, coalesce(sum(length(text) + 2) OVER (PARTITION BY loaded_id ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, length(text) AS n FROM {_BY_PAGE}),
+d AS (SELECT loaded_id, string_agg(text, chr(10) || chr(10) ORDER BY page_number) AS text FROM {_BY_PAGE} GROUP BY loaded_id),
+x AS (SELECT loaded_id, unnest(s) AS s FROM (SELECT loaded_id, {merged_spans('text')} AS s FROM d WHERE {' OR '.join(f'regexp_matches(text, $p${p}$p$)' for _, p in _RULES)}))
+SELECT x.loaded_id, s.s AS "start", s.e AS "end", s.k AS phi_type, coalesce((SELECT string_agg(page_number || ':' || CAST(greatest(o.s, x.s.s) - o.s AS BIGINT) || ':' || CAST(least(o.s + n, x.s.e) - o.s AS BIGINT), ',' ORDER BY page_number) FROM o WHERE o.loaded_id = x.loaded_id AND o.s < x.s.e AND o.s + n > x.s.s), '') AS pages FROM x"""

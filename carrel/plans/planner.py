@@ -444,14 +444,16 @@ class QuerySession:
                 found = table_evidence(asked, plan.source, df, plan)
                 stat = next((e for e in found if e.evidence_type == "table_stat"), None)
                 text = an.answer_from_evidence(found, wanted_forms(asked) | {"spread": plan.intent == "count_values" and not asks_values(asked), "values": plan.include_values}) or "No evidence was found."
-                out = Answer(question, plan, text, stat.value if stat else None, found[0].evidence_type if found else "", [(e.source, e.snippet, e.score) for e in found], 0.82 if plan.column else 0.7, bool(found))
+                out = Answer(question, plan, text, stat.value if stat else None, found[0].evidence_type if found else "", [(e.source, e.snippet, e.score) for e in found], 0.0, bool(found))
+                out.confidence = an.answer_confidence(asked, text, [{"source": e.source, "snippet": e.snippet, "score": e.score, "evidence_type": e.evidence_type, "value": e.value} for e in found])
             self.state.update(intent=plan.intent, source=plan.source, column=plan.column, operation=plan.operation)
         elif self.texts is not None:
             from carrel.operators.search import search_documents
 
             hits = search_documents(self.texts, "source", "text", asked).collect()  # the five best
             text = hits[0]["snippet"] if hits else "No evidence was found."
-            out = Answer(question, Plan("text_qa"), text, None, "text", [(h["source"], h["snippet"], h["score"]) for h in hits], min(0.68, 0.2 * len(hits)), False)
+            out = Answer(question, Plan("text_qa"), text, None, "text", [(h["source"], h["snippet"], h["score"]) for h in hits], 0.0, False)
+            out.confidence = an.answer_confidence(asked, text, [h.asDict() for h in hits])
         else:
             out = Answer(question, Plan("text_qa"), "No evidence was found.")
         numeric = bool(operation_by_marks(asked)) and not re.search(r"\d", out.answer)

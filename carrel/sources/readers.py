@@ -183,3 +183,13 @@ def html_sections(html: Column) -> Column:
     parts = [F.regexp_extract_all(html, F.lit(shape), F.lit(g)) for g in (1, 2, 3)]
     area = lambda body: F.coalesce(F.nullif(F.regexp_extract(body, r"(?is)<textarea[^>]*>(.*?)</textarea>", 1), F.lit("")), body)
     return F.transform(F.arrays_zip(parts[0].alias("i"), parts[1].alias("n"), parts[2].alias("b")), lambda z: F.struct(z["i"].alias("id"), z["n"].alias("name"), _plain(area(z["b"])).alias("text")))
+
+
+def loinc_entries(html: Column) -> Column:
+    """map<section id, struct<code, meaning>> of the codes that a page's XML part gives its sections; empty without one."""
+    xml = F.regexp_extract(html, r'(?is)<script\s+type="text/xml">(.*?)</script>', 1)
+    shape = r'(?is)<entry\s+origtxt="([^"]+)"[^>]*>.*?<code\s+meaning="([^"]*)"[^>]*value="([^"]*)"[^>]*scheme="LOINC"'
+    ids, meanings, codes = (F.regexp_extract_all(xml, F.lit(shape), F.lit(g)) for g in (1, 2, 3))
+    zipped = F.arrays_zip(ids.alias("i"), codes.alias("c"), meanings.alias("m"))
+    kept = F.filter(zipped, lambda z, k: F.array_position(ids, z["i"]) == k + 1)
+    return F.map_from_entries(F.transform(kept, lambda z: F.struct(z["i"], F.struct(z["c"].alias("code"), z["m"].alias("meaning")))))

@@ -83,3 +83,14 @@ def clinical_bundle(report_id: Column, exam: Column, findings: Column, impressio
 def public_tier(df: DataFrame) -> DataFrame:
     """Without the internal columns."""
     return df.drop(*INTERNAL)
+
+
+def write_documents(df: DataFrame, name: str, path: str) -> None:
+    """One JSON text a document, in a folder of the document's name; a document's row is a line of its own."""
+    df.write.mode("overwrite").partitionBy(name).json(path)
+
+
+def write_redacted(docs: DataFrame, name: str, redacted: str, mappings: DataFrame, path: str) -> None:
+    """The redacted texts (name, text) and, beside them, the map of what was replaced (public columns only)."""
+    docs.select(F.col(name), F.col(redacted).alias("text")).write.mode("overwrite").json(f"{path}/texts")
+    mappings.drop("original", "value").write.mode("overwrite").json(f"{path}/map")

@@ -118,3 +118,40 @@ def test_alignment(spark):
     rows = [("mail ann@example.org. 2024-01-02 and more", "mail [REDACTED]. [REDACTED] and more"), ("a 1 b 1 c", "a [REDACTED] b [REDACTED] c"), ("x 123", "x [REDACTED]"), ("same", "same"), (None, "x"), ("abc", "[REDACTED]")]
     got = [[(r.start, r.end, r.value) for r in x[0]] for x in spark.createDataFrame(rows, "a string, b string").select(P.align_redaction(F.col("a"), F.col("b"))).collect()]
     assert got == [[(5, 32, "ann@example.org. 2024-01-02")], [(2, 3, "1"), (6, 7, "1")], [(2, 5, "123")], [], [], [(0, 3, "abc")]]
+
+
+def test_pages_lines_and_codes(spark):
+    from carrel.operators import provenance as G
+
+    spans = spark.createDataFrame([("d", 3, 8, "x"), ("d", 0, 2, "y"), ("e", 0, 1, "z")], "doc string, start int, end int, original string")
+    pages = spark.createDataFrame([("d", 1, 0, 5), ("d", 2, 7, 12)], "doc string, page int, start long, end long")
+    got = {(r.doc, r.start): [tuple(p) for p in r.pages] for r in G.with_page_spans(spans, pages, "doc").collect()}
+    assert got == {("d", 3): [(1, 3, 5), (2, 0, 1)], ("d", 0): [(1, 0, 2)], ("e", 0): []}
+    boxes = [("p", 1, "right", 60.0, 11.0, 90.0, 20.0), ("p", 1, "left", 0.0, 10.0, 40.0, 19.0), ("p", 1, "below", 0.0, 30.0, 40.0, 39.0), ("p", 1, None, 0.0, 0.0, 1.0, 1.0)]
+    lines = G.layout_lines(spark.createDataFrame(boxes, "doc string, page int, t string, x0 double, y0 double, x1 double, y1 double"), "doc", "page", "t").orderBy("line_no").collect()
+    assert [r.text for r in lines] == ["left right", "below"]
+    fields = spark.createDataFrame([("a", "name", "Ann Lee", "Seen: Ann Lee."), ("a", "age", "99", "Seen: Ann Lee.")], "id string, path string, value string, text string")
+    offsets = spark.createDataFrame([("a", 1, 0, 5), ("a", 2, 5, 14)], "id string, page int, start long, end long")
+    block = {x.field: x for x in G.source_block(fields, "id", "text", offsets).first().source_block}
+    assert block["name"].page == 2 and block["name"].grounded and not block["age"].grounded and block["age"].page is None
+    page = '<script type="text/xml"><entry origtxt="f"><code meaning="Findings" value="1-2" scheme="LOINC"/></entry></script>'
+    df = spark.createDataFrame([(page,), ("<p>none</p>",), (None,)], "h string").select(R.loinc_entries(F.col("h")).alias("m"))
+    maps = [r.m for r in df.collect()]
+    assert maps[0]["f"].code == "1-2" and maps[0]["f"].meaning == "Findings" and not maps[1] and maps[2] is None
+
+
+def test_confidence_and_levels(spark):
+    from carrel.operators import verify as V
+    from carrel.plans.answers import answer_confidence
+
+    assert answer_confidence("how many?", "There are 5.", []) == 0.0
+    stat = [{"source": "t", "snippet": "Computed nunique of sex: 5", "score": 80, "evidence_type": "table_stat", "value": 5}]
+    values = [{"source": "t", "snippet": f"Distinct sex: {v} (count=1)", "score": 84, "evidence_type": "table_value", "value": v} for v in ("F", "M")]
+    assert answer_confidence("how many sexes?", "There are 5 values.", stat) >= 0.78 and answer_confidence("list the sexes", "Values: F, M.", values) >= 0.82
+    assert answer_confidence("list the sexes", "X=3, Y=4", values) < 0.74
+    text = [{"source": "n", "snippet": "the CT shows a nodule", "score": 1, "evidence_type": "text"}]
+    assert answer_confidence("what does the scan show?", "It measures 24 mm", text) < answer_confidence("what does the scan show?", "shows a nodule", text)
+    rows = spark.createDataFrame([(1, "size 5", "size 5 here")], "id int, c string, s string")
+    assert V.verify_claims(rows, "id", "c", "s").first().verdict == "verified"
+    with pytest.raises(ValueError):
+        V.verify_claims(rows, "id", "c", "s", "deep")
