@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 import uuid
@@ -192,12 +193,16 @@ def sql_guard(spark, d):
 # ---- row search -----------------------------------------------------------------------------------------------------
 
 
-@query("search_tables_rows", """
-SELECT 'customer' AS source, c_custkey AS row_key, CAST(1 + (CASE WHEN contains(lower(c_mktsegment), 'building') THEN 0 ELSE 0 END) AS INT) AS score,
-  'row ' || c_custkey || ': c_mktsegment=' || c_mktsegment AS snippet, 'table_row' AS evidence_type
-FROM customer WHERE contains(lower(c_mktsegment), 'building') ORDER BY c_custkey LIMIT 5""")
+_SEARCHED = ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+_CELL = "lower(CAST({c} AS VARCHAR))"
+
+
+@query("search_tables_rows", f"""
+WITH h AS (SELECT c_custkey, list_filter([{', '.join(f"{{'n': '{c}', 'v': CAST({c} AS VARCHAR), 'k': CAST(contains({_CELL.format(c=c)}, 'building') AS INT) + CAST(contains({_CELL.format(c=c)}, '15') AS INT)}}" for c in _SEARCHED)}], lambda x: x.k > 0) AS m FROM customer),
+s AS (SELECT *, list_sum(list_transform(m, lambda x: x.k)) AS score FROM h WHERE len(m) > 0)
+SELECT 'customer' AS source, c_custkey AS row_key, CAST(score AS INT) AS score, 'row ' || c_custkey || ': ' || array_to_string(list_transform(m[1:4], lambda x: x.n || '=' || x.v), ', ') AS snippet, 'table_row' AS evidence_type FROM s ORDER BY score DESC, c_custkey LIMIT 5""")
 def search_tables_rows(spark, d):
-    return T.search_rows(table(spark, d, "customer"), "building", "customer", "c_custkey")
+    return T.search_rows(table(spark, d, "customer"), "building 15", "customer", "c_custkey")
 
 
 # ---- text -----------------------------------------------------------------------------------------------------------
@@ -414,8 +419,9 @@ def label_backfill(spark, d):
 
 
 def _extracted(spark, d, dialect="verify"):
-    rows = table(spark, d, "extract_train").where("extracted IS NOT NULL").select("record_id", "document_text", "extracted").distinct()
-    return rows.select("record_id", "document_text", F.inline(E.flattened(F.col("extracted"), dialect)))
+    """Fields of the extractions with their notes; flat: the note with single blanks, made once for all its fields."""
+    rows = table(spark, d, "extract_train").where("extracted IS NOT NULL").select("record_id", "document_text", "extracted").distinct().withColumn("flat", X.squash(F.col("document_text")))
+    return rows.select("record_id", "document_text", "flat", F.inline(E.flattened(F.col("extracted"), dialect)))
 
 
 @query("field_flatten", """
@@ -444,14 +450,14 @@ def semantic_checks(spark, d):
 
 @query("grounding_snippet")
 def grounding_snippet(spark, d):
-    g = E.ground(F.col("document_text"), F.col("value"))
+    g = E.ground(F.col("flat"), F.col("value"), True)
     return _extracted(spark, d).select("record_id", "path", "value", g.alias("g")).select("record_id", "path", "value", "g.grounded", "g.snippet")
 
 
 @query("contract")
 def contract(spark, d):
     rows = _extracted(spark, d).withColumnRenamed("path", "field")
-    return E.contract(rows, "record_id", F.col("document_text"))
+    return E.contract(rows, "record_id", F.col("flat"), True)
 
 
 @query("contract_counts")
@@ -1055,8 +1061,7 @@ def density(spark, d):
 @query("stream_files", "SELECT count(*) AS files, CAST(sum(n) AS BIGINT) AS chars FROM (SELECT doc_id, max(length(text)) AS n FROM documents GROUP BY doc_id)")
 def stream_files(spark, d):
     """The documents written as a folder of text files and taken up by a stream that ends when it has seen them all."""
-    sc = spark.sparkContext
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or os.path.join(tempfile.gettempdir(), 'carrel_checkpoints')}/stream_{uuid.uuid4().hex}"
+    sc, base = spark.sparkContext, _folder(spark, "stream")
     one = table(spark, d, "documents").groupBy("doc_id").agg(F.max("text").alias("text"))
     one.select(F.translate("text", "\n\r", "  ").alias("value")).repartition(max(2, sc.defaultParallelism)).write.text(f"{base}/in")
     B.stream_folder(spark, f"{base}/in", f"{base}/out", f"{base}/state", lambda files: files.select(F.explode(F.split(F.regexp_replace("text", r"\n\z", ""), "\n")).alias("text")))
@@ -1258,4 +1263,210 @@ def claims_by_level(spark, d):
     return V.verify_claims(table(spark, d, "eval_item").where("response IS NOT NULL"), "item_id", "response", "source_text", "standard")
 
 
+# ---- sources and sinks, written and read again ----------------------------------------------------------------------
+def _folder(spark, name: str) -> str:
+    """A new folder in the shared place for what a query writes."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "carrel_checkpoints")
+    return f"{base}/{name}_{uuid.uuid4().hex}"
+
+
+_READ_BACK = "SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS balance, max(c_custkey) AS most FROM customer GROUP BY c_mktsegment"
+
+
+def _summary(df):
+    return df.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"), F.max("c_custkey").cast("bigint").alias("most"))
+
+
+def _round_trip(write, suffix: str, read=None):
+    def run(spark, d):
+        path = f"{_folder(spark, 'io')}.{suffix}"
+        write(table(spark, d, "customer"), path)
+        return _summary((read or R.read_source)(spark, path))
+
+    return run
+
+
+query("source_csv", _READ_BACK)(_round_trip(lambda df, p: W.write_csv(df, p), "csv"))
+query("source_tsv", _READ_BACK)(_round_trip(lambda df, p: df.write.csv(p, header=True, sep="\t"), "tsv"))
+query("source_semicolons", _READ_BACK)(
+    _round_trip(lambda df, p: df.write.csv(p, header=True, sep=";"), "csv", lambda spark, p: R.read_delimited(spark, p).select("c_mktsegment", F.col("c_acctbal").cast("double").alias("c_acctbal"), F.col("c_custkey").cast("bigint").alias("c_custkey")))
+)
+query("source_jsonl", _READ_BACK)(_round_trip(lambda df, p: W.write_jsonl(df, p), "jsonl"))
+query("source_json", _READ_BACK)(_round_trip(lambda df, p: df.write.option("lineSep", "\n").json(p), "json", lambda spark, p: spark.read.json(p)))
+query("source_parquet", _READ_BACK)(_round_trip(lambda df, p: W.write_parquet(df, p), "parquet"))
+
+
+@query("source_examples", "SELECT count(*) AS examples, count(DISTINCT c_name) AS inputs, count(c_mktsegment) AS labels FROM customer")
+def source_examples(spark, d):
+    """Customers as training examples of JSON lines, checked line by line."""
+    path = _folder(spark, "examples") + ".jsonl"
+    table(spark, d, "customer").write.json(path)
+    rows = R.check_examples(spark, path, ["c_name"], ["c_mktsegment"])
+    return rows.agg(F.count("*").alias("examples"), F.countDistinct(F.col("inputs")["c_name"]).alias("inputs"), F.count(F.col("labels")["c_mktsegment"]).alias("labels"))
+
+
+@query("source_bad_lines", "SELECT count(*) FILTER (c_custkey % 7 = 0) AS bad FROM customer")
+def source_bad_lines(spark, d):
+    """Lines of JSON, some cut short: those that do not parse."""
+    path = _folder(spark, "lines") + ".jsonl"
+    c = table(spark, d, "customer")
+    line = F.to_json(F.struct("c_custkey", "c_name"))
+    c.select(F.when(F.col("c_custkey") % 7 == 0, F.substring(line, 1, 9)).otherwise(line).alias("value")).write.text(path)
+    return R.bad_json_lines(spark, path).agg(F.count("*").alias("bad"))
+
+
+@query("source_files", "SELECT 25 AS files, sum(length(n_name))::BIGINT AS chars, 25 AS bytes FROM nation")
+def source_files(spark, d):
+    """Nations as one text file each: listed, read as texts and as bytes."""
+    base = _folder(spark, "files")
+    names = table(spark, d, "nation").select("n_name").repartitionByRange(25, "n_name")
+    names.select(F.col("n_name").alias("value")).write.option("lineSep", "\n").partitionBy().text(base)
+    listed = len([f for f in R.expand_sources(spark, base) if not f.rsplit("/", 1)[-1].startswith(("_", "."))])
+    texts = R.read_text(spark, base).where("trim(text) <> ''")
+    found = R.read_bytes(spark, base, (".txt",)).where("length > 0")
+    lines = texts.select(F.explode(F.split("text", "\n")).alias("t")).where("t <> ''")
+    out = lines.agg(F.count("*").cast("int").alias("files"), F.sum(F.char_length("t")).alias("chars"))
+    return out.withColumn("bytes", F.lit(25 if listed and not found.isEmpty() else 0))
+
+
+@query("sink_documents", "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment")
+def sink_documents(spark, d):
+    """Rows as JSON texts in a folder for each segment."""
+    path = _folder(spark, "documents")
+    W.write_documents(table(spark, d, "customer"), "c_mktsegment", path)
+    return spark.read.json(path).groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+
+
+@query("sink_redacted")
+def sink_redacted(spark, d):
+    """Redacted notes with the map of what was replaced, which holds no identifier."""
+    path = _folder(spark, "redacted")
+    notes = _notes(spark, d)
+    texts = notes.select("record_id", P.scrub(F.col("document_text")).alias("text"))
+    W.write_redacted(texts, "record_id", "text", P.phi_spans(notes, "record_id", "document_text"), path)
+    back, made = spark.read.json(f"{path}/texts"), spark.read.json(f"{path}/map")
+    left = back.agg(F.count("*").alias("texts"), F.sum(F.when(P.leak_score(F.col("text")) == 0.0, 1).otherwise(0)).alias("leaks"))
+    return left.crossJoin(made.agg(F.count("*").alias("spans"))).withColumn("columns", F.lit(", ".join(sorted(made.columns))))
+
+
+@query("public_columns", "SELECT 'a, b' AS columns")
+def public_columns(spark, d):
+    df = spark.createDataFrame([(1, 2, 3, 4)], "a int, b int, _source int, redaction_map int")
+    return spark.createDataFrame([(", ".join(W.public_tier(df).columns),)], "columns string")
+
+
+@query("batch_runs", "SELECT 'first' AS run, count(*)::BIGINT AS total, count(*) FILTER (c_custkey % 5 <> 0)::BIGINT AS succeeded, count(*) FILTER (c_custkey % 5 = 0)::BIGINT AS failed, 0::BIGINT AS skipped FROM customer UNION ALL SELECT 'again', count(*), 0, count(*) FILTER (c_custkey % 5 = 0), count(*) FILTER (c_custkey % 5 <> 0) FROM customer")
+def batch_runs(spark, d):
+    """A batch in which every fifth document fails, and its resume."""
+    out = _folder(spark, "batch")
+    docs = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 5 != 0, F.col("c_name")).otherwise("").alias("t"))
+    rows = []
+    for run in ("first", "again"):
+        n = B.run_batch(docs, "c_custkey", "t", lambda t: t.upper(), out)
+        rows.append((run, n["total"], n["succeeded"], n["failed"], n["skipped"]))
+    return spark.createDataFrame(rows, "run string, total bigint, succeeded bigint, failed bigint, skipped bigint")
+
+
+# ---- rules of the planner and of schemas, case by case --------------------------------------------------------------
+_QUESTIONS = [
+    # question, intent, operation by words, by parts of the text, spread, values, rows, change, time
+    ("what is the average age?", "aggregate", "mean", "mean", False, False, False, False, False), ("what is the meaning of this?", "aggregate", "", "mean", False, False, False, False, False), ("total cost", "aggregate", "sum", "sum", False, False, False, False, False),
+    ("how many rows are there?", "count_rows", "count", "", False, False, True, False, False), ("how many patients?", "count_distinct", "count", "", False, False, False, False, False), ("distribution of sex", "count_values", "", "", True, False, False, False, False),
+    ("which columns are there?", "schema", "", "", False, False, False, False, False), ("what colums does it have?", "schema", "", "", False, False, False, False, False), ("how many types of scanner are there and what are the options", "count_values", "count", "", False, True, False, False, False),
+    ("list the scanners", "list_values", "", "", False, True, False, False, False), ("did the lesion grow compared with before?", "text_qa", "", "", False, False, False, True, False), ("timeline of events", "text_qa", "", "", False, False, False, False, True),
+    ("how many missing values", "count_distinct", "count", "missing_count", False, False, False, False, False), ("what is the standard deviation of weight", "aggregate", "std", "std", False, False, False, False, False),
+]
+
+
+@query("question_rules", "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(repr(x) if isinstance(x, str) else str(x).lower() for x in row) + ")" for row in _QUESTIONS) + ") AS t(question, intent, by_words, by_marks, spread, \"values\", \"rows\", change, \"time\")")
+def question_rules(spark, d):
+    """What the planner reads out of questions."""
+    rows = [(q, PL.intent_of(q), PL.operation_by_words(q) or "", PL.operation_by_marks(q) or "", PL.asks_spread(q), PL.asks_values(q), PL.asks_rows(q), PL.asks_delta(q), PL.asks_time(q)) for q, *_ in _QUESTIONS]
+    return spark.createDataFrame(rows, "question string, intent string, by_words string, by_marks string, spread boolean, values boolean, rows boolean, change boolean, time boolean")
+
+
+_PLANNED = [("average of O Totalprice", "aggregate", "o_totalprice", "mean"), ("stat|avg|O_TOTALPRICE", "aggregate", "o_totalprice", "mean"), ("distribution||o orderpriority", "count_values", "o_orderpriority", ""), ("distinct|unique|o_custkey", "count_distinct", "o_custkey", "nunique"), ("stat|avg|nothing", "error", "", ""), ("stat|guess|o_custkey", "error", "", "")]
+
+
+@query("plan_rules", "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(repr(x) for x in row) + ")" for row in _PLANNED) + ") AS t(proposed, intent, \"column\", operation)")
+def plan_rules(spark, d):
+    """Proposed plans with settled names; unknown columns and operations are errors."""
+    o = table(spark, d, "orders")
+    rows = []
+    for text, *_ in _PLANNED:
+        try:
+            if "|" in text:
+                intent, op, column = text.split("|")
+                p = PL.normalize_plan({"intent": intent, "operation": op, "column": column, "source": "orders"}, o)
+            else:
+                p = PL.plan_question(text, "orders", o)
+            rows.append((text, p.intent, p.column, p.operation))
+        except ValueError:
+            rows.append((text, "error", "", ""))
+    return spark.createDataFrame(rows, "proposed string, intent string, column string, operation string")
+
+
+_OPERATIONS = [("avg", "mean"), ("Average", "mean"), ("unique", "nunique"), ("distinct", "nunique"), ("null", "missing_count"), ("na", "missing_count"), ("total", "sum"), ("guess", "error")]
+_SAFE = [("SELECT a FROM _table", True), ("select created_at from _table", True), ("SELECT a FROM other", False), ("DELETE FROM _table", False), ("SELECT 1; SELECT * FROM _table", False), ("WITH t AS (SELECT 1) SELECT * FROM _table", False), ("SELECT a FROM _table WHERE drop = 1", False)]
+_NO_ANSWER = [("Not available in the sources.", True), ("The value is 5.", False), ("", True), ("I don't know.", True)]
+
+
+@query("small_rules", "SELECT * FROM (VALUES " + ", ".join(f"('{kind}', $x${a}$x$, '{b}')" for kind, rows in (("operation", _OPERATIONS), ("safe", [(a, str(b).lower()) for a, b in _SAFE]), ("no_answer", [(a, str(b).lower()) for a, b in _NO_ANSWER])) for a, b in rows) + ") AS t(rule, given, result)")
+def small_rules(spark, d):
+    """Names of operations, planned statements, texts that are no answer."""
+
+    def operation(x):
+        try:
+            return T.operation_name(x)
+        except ValueError:
+            return "error"
+
+    rows = [("operation", a, operation(a)) for a, _ in _OPERATIONS] + [("safe", a, str(PL.planned_sql_is_safe(a)).lower()) for a, _ in _SAFE] + [("no_answer", a, str(PL.is_non_answer(a)).lower()) for a, _ in _NO_ANSWER]
+    return spark.createDataFrame(rows, "rule string, given string, result string")
+
+
+@query("table_catalog", "SELECT 'orders' AS name, count(*) AS rows, 'o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority' AS columns FROM orders UNION ALL SELECT 'customer', count(*), 'c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment' FROM customer")
+def table_catalog(spark, d):
+    return _session(spark, d).catalog()
+
+
+_RAW_SPEC = {"name": "Visit", "fields": [
+    {"name": "Visit Date", "type": "string"}, {"name": "visit-date", "type": "text", "required": False}, {"name": "2nd size", "type": "number"}, {"name": "Grade", "type": "enum", "values": ["Mild", "mild", "Severe"], "required": False},
+    {"name": "tags", "type": "list[string]"}, {"name": "lesions", "type": "array", "fields": [{"name": "sizeMm", "type": "double"}, {"name": "side", "type": "str"}]}, {"name": "flag", "type": "boolean"},
+]}
+_SCHEMA_CASES = [
+    ("names", "visit_date,visit_date_2,field_2nd_size,grade,tags,lesions,flag"), ("types", "str,str,float,enum,list[str],list,bool"), ("options", "Mild,Severe,None"), ("pascal", "ChestCtReport,Schema2ndVisit,Schema"),
+    ("struct", "struct<visit_date:string,visit_date_2:string,field_2nd_size:double,grade:string,tags:array<string>,lesions:array<struct<size_mm:double,side:string>>,flag:boolean>"), ("fields", "9"), ("depth", "2"),
+    ("evidence", "struct<value:variant,excerpt:string>"), ("round_trip", "visit_date:str,visit_date_2:str,field_2nd_size:float,grade:enum,tags:list[str],lesions:list,flag:bool"), ("issues", "0"), ("issues_of_bad", "repeated field a;enum b has no values;unknown type 'odd' of c;object d has no fields"),
+    ("edited", "a,c,b2"), ("labels", "1=small,2=large,3=3"), ("listing", "a=1:number,b[0].c=x:string,flag=true:boolean"), ("set", '{"a": 1, "b": [{"c": "new"}], "flag": true, "none": null}'), ("numbers", "-3.5,null,0.25"), ("truncated", "abcd...,short"),
+]
+
+
+@query("schema_rules", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', $x${b}$x$)" for a, b in _SCHEMA_CASES) + ") AS t(rule, result)")
+def schema_rules(spark, d):
+    """Names, types, options, issues, edits and listings of specs and payloads."""
+    spec = SC.normalize_spec(_RAW_SPEC)
+    struct = SC.to_struct(spec)
+    bad = {"fields": [{"name": "a", "type": "str"}, {"name": "a", "type": "str"}, {"name": "b", "type": "enum"}, {"name": "c", "type": "odd"}, {"name": "d", "type": "object"}]}
+    edited = SC.rename_field(SC.remove_field(SC.add_field({"fields": [{"name": "a"}, {"name": "x"}, {"name": "c"}]}, {"name": "b"}), "x"), "b", "b2")
+    payload = {"a": 1, "b": [{"c": "x"}], "flag": True, "none": None}
+    shown = spark.createDataFrame([("n is -3.5 mm",), ("none",), ("x .25",)], "t string").select(F.coalesce(Q.first_number(F.col("t")).cast("string"), F.lit("null")).alias("n"))
+    short = spark.createDataFrame([("abcdefghij",), ("short",)], "t string").select(X.truncate(F.col("t"), 7).alias("t"))
+    got = {
+        "names": ",".join(f["name"] for f in spec["fields"]), "types": ",".join(f["type"] for f in spec["fields"]), "options": ",".join(spec["fields"][3]["values"]), "pascal": ",".join(SC.pascal_name(n) for n in ("chest ct-report", "2nd visit", "--")), "struct": struct.simpleString(),
+        "fields": str(SC.field_count(struct)), "depth": str(SC.depth(struct)), "evidence": SC.to_evidence_struct(spec)["visit_date"].dataType.simpleString(), "round_trip": ",".join(f"{f['name']}:{f['type']}" for f in SC.from_struct(struct)["fields"]), "issues": str(len(SC.spec_issues(spec))),
+        "issues_of_bad": ";".join(SC.spec_issues(bad)), "edited": ",".join(f["name"] for f in edited["fields"]), "labels": ",".join(f"{k}={v}" for k, v in SC.value_labels("1=small; 2=large; 3").items()), "listing": ",".join(f"{x['path']}={x['value']}:{x['kind']}" for x in E.flatten_value(payload, "listing")),
+        "set": json.dumps(E.json_set(json.loads(json.dumps(payload)), "b[0].c", "new")), "numbers": ",".join(r["n"] for r in shown.collect()), "truncated": ",".join(r["t"] for r in short.collect()),
+    }
+    return spark.createDataFrame(list(got.items()), "rule string, result string")
+
+
+@query("field_names", """SELECT DISTINCT path, list_has_any(ws, ['date', 'dob', 'birth', 'birthday', 'admission', 'discharge', 'study_date', 'exam_date']) AS is_date, list_has_any(ws, ['impression', 'finding', 'findings', 'diagnosis', 'assessment', 'procedure', 'exam_date', 'date_of_birth', 'dob', 'patient_name']) AS is_critical FROM (
+  SELECT path, list_concat(string_split(path, '_'), [path]) AS ws FROM (SELECT unnest(json_keys(extracted)) AS path FROM extract_train WHERE json_type(extracted) = 'OBJECT'))""")
+def field_names(spark, d):
+    """What the names of extracted fields say of their values."""
+    keys = table(spark, d, "extract_train").select(F.explode(F.json_object_keys("extracted")).alias("path")).distinct()
+    return keys.select("path", E.named_as(F.col("path"), ("date", *E.DATE_WORDS)).alias("is_date"), E.named_as(F.col("path"), E.CRITICAL_WORDS).alias("is_critical"))
+
+
 ORACLES |= {k: v for k, v in oracles.SQL.items() if k in QUERIES}

@@ -71,13 +71,13 @@ def semantic_check(name: Column, value: Column) -> Column:
     )
 
 
-def ground(source: Column, value: Column) -> Column:
-    """struct<grounded, snippet>: where a value stands in the source.
+def ground(source: Column, value: Column, is_flat: bool = False) -> Column:
+    """struct<grounded, snippet>: where a value stands in the source. is_flat: the source is squashed already.
 
     Squashed and case aside it is looked for as it is, 80 characters around it being the snippet; else, for four or more words
     of three letters, the one to three sentences that hold most of them: 85 % is grounded, under 45 % nothing.
     """
-    hay, needle = squash(source), squash(value)
+    hay, needle = source if is_flat else squash(source), squash(value)
     at = F.instr(F.lower(hay), F.lower(needle)) - 1
     direct = F.substring(hay, F.greatest(at - 80, F.lit(0)) + 1, F.least(at, F.lit(80)) + F.char_length(needle) + 80)
     long_words = lambda t: F.filter(F.array_distinct(tokens(t)), lambda w: F.length(w) >= 3)
@@ -102,9 +102,9 @@ def ground(source: Column, value: Column) -> Column:
     )
 
 
-def contract(fields: DataFrame, id_col: str, source: Column) -> DataFrame:
+def contract(fields: DataFrame, id_col: str, source: Column, is_flat: bool = False) -> DataFrame:
     """(id, field, value, valid, kind, grounded, evidence, confidence, status) from rows (id, field, value)."""
-    rows = fields.withColumn("_c", semantic_check(F.col("field"), F.col("value"))).withColumn("_g", ground(source, F.col("value")))
+    rows = fields.withColumn("_c", semantic_check(F.col("field"), F.col("value"))).withColumn("_g", ground(source, F.col("value"), is_flat))
     missing = F.col("_c.kind") == "null"
     status = F.when(missing, "insufficient_evidence").when(F.col("_c.valid") & F.coalesce(F.col("_g.grounded"), F.lit(False)), "supported").otherwise("needs_review")
     confidence = F.when(missing, 0.0).when(~F.col("_c.valid"), 0.25).when(F.coalesce(F.col("_g.grounded"), F.lit(False)), 0.9).otherwise(0.5)

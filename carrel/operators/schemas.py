@@ -24,6 +24,12 @@ def snake_name(name: str) -> str:
     return f"field_{s}" if s[0].isdigit() else s
 
 
+def pascal_name(name: str) -> str:
+    """'chest ct-report' as 'ChestCtReport'; a leading digit gets 'Schema' before it."""
+    out = "".join(w[:1].upper() + w[1:] for w in re.findall("[A-Za-z0-9]+", name)) or "Schema"
+    return f"Schema{out}" if out[0].isdigit() else out
+
+
 def unique_fields(names: list[str]) -> list[str]:
     """Repeated names get _2, _3."""
     seen: dict[str, int] = {}

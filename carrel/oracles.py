@@ -479,3 +479,5 @@ WITH o AS (SELECT loaded_id, page_number, coalesce(sum(length(text) + 2) OVER (P
 d AS (SELECT loaded_id, string_agg(text, chr(10) || chr(10) ORDER BY page_number) AS text FROM {_BY_PAGE} GROUP BY loaded_id),
 x AS (SELECT loaded_id, unnest(s) AS s FROM (SELECT loaded_id, {merged_spans('text')} AS s FROM d WHERE {' OR '.join(f'regexp_matches(text, $p${p}$p$)' for _, p in _RULES)}))
 SELECT x.loaded_id, s.s AS "start", s.e AS "end", s.k AS phi_type, coalesce((SELECT string_agg(page_number || ':' || CAST(greatest(o.s, x.s.s) - o.s AS BIGINT) || ':' || CAST(least(o.s + n, x.s.e) - o.s AS BIGINT), ',' ORDER BY page_number) FROM o WHERE o.loaded_id = x.loaded_id AND o.s < x.s.e AND o.s + n > x.s.s), '') AS pages FROM x"""
+
+SQL["sink_redacted"] = f"SELECT (SELECT count(*) FROM {_NOTES}) AS texts, 0::BIGINT AS leaks, count(*) AS spans, 'end, method, phi_type, record_id, replacement, start' AS columns FROM ({_SPANS})"
