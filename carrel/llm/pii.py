@@ -92,6 +92,10 @@ ADDRESS = [
     re.compile(r"(?<![\w-])(?:Am|An der|An den|Auf der|Auf dem|Im|In der|In den|Zum|Zur|Unter den|Unter der|Hinter der|Bei der|Beim|Vor dem|AM|IM|AN DER|ZUM|ZUR)\s+(?:[A-ZÄÖÜ][\wäöüß-]+\s+){1,3}\d{1,4}\s?[A-Za-z]?(?!\w|\.\d)"),
     re.compile(r"(?<!\w)(?:P\.?\s?O\.?\s*Box|PO\s*Box|Postbox|Postfach|Post\s+Office\s+Box)\s+\d{1,6}(?!\w)", re.I),
 ]
+#: Where phone numbers may begin.
+_PHONE_AT = re.compile(r"(?<![\w.,/+-])[+(\d]")
+#: Where numbers without a label may begin.
+_BARE_AT = re.compile(r"(?<![\w-])(?:\d{3}|[A-Z]{1,4}-?\d{4})")
 _WARD = re.compile(r"^\d{1,4}\s+(?:mg|ml|mm|cm|kg|days?|weeks?|hours?|year)", re.I)
 
 # ---- names ----------------------------------------------------------------------------------------------------------
@@ -151,22 +155,27 @@ class Lexicon:
         self.rest = rest
 
     def given_in(self, text: str) -> Iterator[tuple[int, int]]:
-        """Where given names stand, by look-up of the words, however many names there are."""
-        if self.given.isdisjoint(name_pieces(text)):
+        """Where given names stand, by look-up of the words, however many names there are; of names at one place the longest."""
+        hits = self.given & name_pieces(text)
+        if not hits:
             return
-        for m in _TOKEN.finditer(text):
-            # parts between apostrophes count by themselves, the longest first
-            parts = [(k.start(), k.end()) for k in _PART.finditer(text, m.start(), m.end())]
-            i = 0
-            while i < len(parts):
-                for j in range(len(parts), i, -1):
-                    s, e = parts[i][0], parts[j - 1][1]
-                    if text[s:e].lower() in self.given and text[s - 1 : s] not in ("@", ".", "-") and text[e : e + 1] != "@":
-                        yield s, e
-                        i = j
-                        break
-                else:
-                    i += 1
+        low = text.lower()
+        if len(low) != len(text):  # letters whose small form is longer
+            low = "".join(c if len(x := c.lower()) != 1 else x for c in text)
+        found = []
+        for word in hits:
+            s = low.find(word)
+            while s >= 0:
+                e = s + len(word)
+                before, after = text[s - 1 : s], text[e : e + 1]
+                if not (before.isalnum() or before in ("_", "@", ".", "-") or after.isalnum() or after in ("_", "@")):
+                    found.append((s, -e))
+                s = low.find(word, s + 1)
+        at = 0
+        for s, e in sorted(found):
+            if s >= at:
+                yield s, -e
+                at = -e
 
     def is_family(self, text: str) -> bool:
         parts = [p for p in re.split(r"[\s-]+", text.lower()) if p not in ("van", "von", "de", "der", "den")]
@@ -175,7 +184,10 @@ class Lexicon:
 
 def placed_names(text: str) -> Iterator[tuple[int, int]]:
     """Names by the place they stand at alone."""
+    slash = "/" in text
     for pattern in (PLACED, TITLED, SLASHED):
+        if pattern is SLASHED and not slash:
+            continue
         for m in pattern.finditer(text):
             if _plausible(m["name"]) and not _NO_PERSON.match(text, m.end("name")):
                 yield m.span("name")
@@ -233,12 +245,24 @@ def lexicon_names(text: str, lexicon: Lexicon) -> Iterator[tuple[int, int]]:
     for m in _INITIAL.finditer(text):
         if lexicon.is_family(m["family"]) and not _NO_PERSON.match(text, m.end()):
             yield m.span()
-    for m in _FAMILY_ALONE.finditer(text):
-        if lexicon.is_family(m["family"]):
-            yield m.span("family")
+    if _SAYS.search(text):
+        for m in _FAMILY_ALONE.finditer(text):
+            if lexicon.is_family(m["family"]):
+                yield m.span("family")
 
 
-_FAMILY_ALONE = re.compile(rf"(?<![\w.-])(?P<family>{_FAMILY})(?=\s+(?:says|reports|said|states|told|feels|asked|denies|complains|was\s+seen|is\s+seen|has\s+been\s+seen)\b)")
+_SPEAKS = r"\s+(?:says|reports|said|states|told|feels|asked|denies|complains|was\s+seen|is\s+seen|has\s+been\s+seen)\b"
+_SAYS = re.compile(r"[\w'’]" + _SPEAKS)
+_FAMILY_ALONE = re.compile(rf"(?<![\w.-])(?P<family>{_FAMILY})(?={_SPEAKS})")
+
+
+def _from(starts: re.Pattern, pattern: re.Pattern, text: str) -> Iterator[re.Match]:
+    """pattern.finditer(text), tried only where one of the starts stands, without which it cannot match."""
+    at = 0
+    for m in starts.finditer(text):
+        if m.start() >= at and (hit := pattern.match(text, m.start())):
+            yield hit
+            at = hit.end()
 
 
 def find_details(text: str | None, lexicon: Lexicon, alone: bool = False) -> list[tuple[str, int, int]]:
@@ -250,14 +274,18 @@ def find_details(text: str | None, lexicon: Lexicon, alone: bool = False) -> lis
         found += [("EMAIL", *m.span()) for m in EMAIL.finditer(text)]
     for m in ID.finditer(text):
         found.append(("ID", *m.span("id")))
-    for m in ID_BARE.finditer(text):
+    for m in _from(_BARE_AT, ID_BARE, text):
         if id_holds(m):
             found.append(("ID", *m.span("id")))
-    for m in PHONE.finditer(text):
+    for m in _from(_PHONE_AT, PHONE, text):
         digits = sum(c.isdigit() for c in m[0])
         if 7 <= digits <= 15 and not _NO_DETAIL.search(text, max(0, m.start() - 40), m.start()):
             found.append(("PHONE", *m.span()))
-    for pattern in ADDRESS:
+    low = text.lower()
+    box = "box" in low or "postfach" in low
+    for k, pattern in enumerate(ADDRESS):
+        if k == 6 and not box:
+            continue
         for m in pattern.finditer(text):
             if not _WARD.match(m[0]):
                 found.append(("ADDRESS", *m.span()))
