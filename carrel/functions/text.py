@@ -39,8 +39,8 @@ def truncate(text: Column, n: int) -> Column:
 def stem(token: Column) -> Column:
     """Plural endings off: 'ies' becomes 'y' in words over four letters, 's' goes in words over three."""
     return (
-        F.when(token.endswith("ies") & (F.length(token) > 4), F.regexp_replace(token, "ies$", "y"))
-        .when(token.endswith("s") & (F.length(token) > 3), F.regexp_replace(token, "s$", ""))
+        F.when(token.endswith("ies") & (F.length(token) > 4), F.concat(F.substring(token, F.lit(1), F.length(token) - 3), F.lit("y")))
+        .when(token.endswith("s") & (F.length(token) > 3), F.substring(token, F.lit(1), F.length(token) - 1))
         .otherwise(token)
     )
 
@@ -112,23 +112,19 @@ def jaccard(a: Column, b: Column) -> Column:
 def spans(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value>> of the non-empty matches of a Java pattern, offsets in characters.
 
-    Texts between the matches give the offsets; they grow by running sums over the matches of one text.
+    Texts between the matches give the offsets; the ends are running sums over the matches of one text, kept as numbers alone.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def build(pair: Column) -> Column:
         m, gaps = pair["m"], pair["g"]
         ends = F.aggregate(
-            F.sequence(F.lit(0), F.size(m) - 1),
-            F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)"),
-            lambda acc, i: F.concat(acc, F.array(F.struct(
-                (F.when(F.size(acc) > 0, F.element_at(acc, -1)["end"]).otherwise(0) + F.char_length(gaps[i])).cast("int").alias("start"),
-                (F.when(F.size(acc) > 0, F.element_at(acc, -1)["end"]).otherwise(0) + F.char_length(gaps[i]) + F.char_length(m[i])).cast("int").alias("end"),
-                m[i].alias("value")))),
-        )
-        return F.when(F.size(m) > 0, ends).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)"))
-
-    pair = F.struct(found.alias("m"), F.split(text, pattern, -1).alias("g"))
+            F.sequence(F.lit(0), F.size(m) - 1), F.array(F.lit(0)), lambda acc, i: F.array_append(acc, F.element_at(acc, -1) + F.char_length(gaps[i]) + F.char_length(m[i]))
+        )
+        return F.when(F.size(m) > 0, F.transform(F.array(ends), lambda e: F.transform(
+            m, lambda v, i: F.struct((F.get(e, i + 1) - F.char_length(v)).cast("int").alias("start"), F.get(e, i + 1).cast("int").alias("end"), v.alias("value"))))[0]
+        ).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)"))
+
+    pair = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
     return F.transform(F.array(pair), build)[0]
 
 

@@ -13,10 +13,11 @@ from carrel.functions.text import around, chunks, question_terms, spans, squash,
 
 def term_frequencies(docs: DataFrame, text_col: str) -> DataFrame:
     """(term, n, docs): how often each stemmed term occurs and in how many rows."""
-    # sorted within the row, a term's first place tells it apart from its repeats: one shuffle of partial sums
-    per = docs.select(F.array_sort(terms(F.col(text_col))).alias("t")).where(F.size("t") > 0)
-    each = per.select(F.explode(F.transform("t", lambda x, i: F.struct(x.alias("term"), F.when((i == 0) | (F.get("t", i - 1) != x), 1).otherwise(0).alias("first")))).alias("e"))
-    return each.groupBy(F.col("e.term").alias("term")).agg(F.count("*").alias("n"), F.sum("e.first").alias("docs"))
+    # all terms of a row and its different ones side by side: one shuffle of partial sums
+    rows = docs.select(terms(F.col(text_col)).alias("t"))
+    lists = F.array(F.struct(F.lit(False).alias("once"), F.col("t").alias("t")), F.struct(F.lit(True).alias("once"), F.array_distinct("t").alias("t")))
+    each = rows.select(F.explode(lists).alias("x")).select("x.once", F.explode("x.t").alias("term"))
+    return each.groupBy("term").agg(F.count_if(~F.col("once")).alias("n"), F.count_if("once").alias("docs"))
 
 
 def document_chunks(docs: DataFrame, id_col: str, text_col: str, size: int = 1800, overlap: int = 220) -> DataFrame:
