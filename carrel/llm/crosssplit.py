@@ -19,6 +19,7 @@ disagree keeps each text, and a pair counts if any of them match; extra columns
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -137,7 +138,7 @@ def note_profiles(notes: DataFrame, divisor: int = 4) -> DataFrame:
                 tokens = words(text)
                 if tokens:
                     name = xxhash.xxh3_128_digest(" ".join(tokens))
-                    out.append((side, rid, xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")), name, len(tokens), bitmap(word_bag(tokens)), chunk_ids(tokens, divisor)))
+                    out.append((side, rid, hashlib.md5(text.encode(), usedforsecurity=False).digest(), name, len(tokens), bitmap(word_bag(tokens)), chunk_ids(tokens, divisor)))
             yield pd.DataFrame(out, columns=["side", "rid", "text_id", "class_id", "n", "bits", "chunks"])
 
     return notes.mapInPandas(profile, PROFILE)
@@ -195,7 +196,8 @@ def class_pairs(notes: DataFrame, profiles: DataFrame, least_overlap: float = 0.
     near = cut(near)
     # only the notes of such pairs are read again
     wanted = near.select(F.col("ca").alias("class_id")).unionByName(near.select(F.col("cb").alias("class_id"))).distinct()
-    texts = classes.join(wanted, "class_id", "left_semi").select("class_id", "side", "rid", "text_id", "chunks").join(notes.withColumn("text_id", _text_id("text")), ["side", "rid", "text_id"]).select("class_id", "text", "chunks")
+    members = classes.join(wanted, "class_id", "left_semi").select("class_id", "side", "rid", "text_id", "chunks")
+    texts = members.join(notes.withColumn("text_id", F.unhex(F.md5("text"))), ["side", "rid", "text_id"]).select("class_id", "text", "chunks")
     of = lambda c, x: texts.select(F.col("class_id").alias(c), F.col("text").alias(f"text_{x}"), F.col("chunks").alias(f"chunks_{x}"))
     measured = near.join(of("ca", "a"), "ca").join(of("cb", "b"), "cb").withColumn("w", _shared("text_a", "text_b"))
     common = F.aggregate(F.array_intersect("chunks_a", "chunks_b"), F.lit(0).cast("bigint"), lambda acc, c: acc + _length(c))
@@ -205,11 +207,6 @@ def class_pairs(notes: DataFrame, profiles: DataFrame, least_overlap: float = 0.
     return measured.unionByName(equal)
 
 
-@F.pandas_udf(T.BinaryType())
-def _text_id(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")))
-
-
 @F.pandas_udf(T.StructType([T.StructField("common", T.IntegerType()), T.StructField("longer", T.IntegerType())]))
 def _shared(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([shared_words(x, y) for x, y in zip(a, b)], columns=["common", "longer"])
