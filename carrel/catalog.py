@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -27,7 +25,7 @@ from carrel.operators.units import p5_found
 from carrel.plans import answers as AN
 from carrel.plans import planner as PL
 from carrel.plans.guard import guarded_sql
-from carrel.session import table
+from carrel.session import shared_folder, table
 from carrel.sources import readers as R
 from carrel.sources import writers as W
 from carrel.streaming import batch as B
@@ -1266,8 +1264,7 @@ def claims_by_level(spark, d):
 # ---- sources and sinks, written and read again ----------------------------------------------------------------------
 def _folder(spark, name: str) -> str:
     """A new folder in the shared place for what a query writes."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "carrel_checkpoints")
-    return f"{base}/{name}_{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}_{uuid.uuid4().hex}"
 
 
 _READ_BACK = "SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS balance, max(c_custkey) AS most FROM customer GROUP BY c_mktsegment"

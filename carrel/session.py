@@ -54,17 +54,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder the cluster names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, which the cluster names in spark.checkpoint.dir.
 
     Where none is named, a session on this machine alone (master local[...]) gets a temporary folder and any other one an
-    error, since a folder of the driver's machine would not serve the executors. The files go when the session's references to
-    them do, with spark.cleaner.referenceTracking.cleanCheckpoints, which build_session sets.
+    error, since a folder of the driver's machine would not serve the executors.
     """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir names no folder; set it to one that all executors share")
+    return named or os.path.join(tempfile.gettempdir(), "carrel_checkpoints")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder. The files go when the session's references to them do,
+    with spark.cleaner.referenceTracking.cleanCheckpoints, which build_session sets."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir names no folder; set it to one that all executors share")
-        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "carrel_checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -134,3 +134,18 @@ def test_schema_of_any_columns(spark):
     assert [(rows[c]["non_null"], rows[c]["missing"], rows[c]["uniques"]) for c in "abc"] == [(3, 1, 2), (2, 2, 1), (3, 1, 2)]
     empty = T.table_schema(df.limit(0)).collect()
     assert [(r["column"], r["non_null"], r["missing_pct"]) for r in empty] == [("a", 0, 0.0), ("b", 0, 0.0), ("c", 0, 0.0)]
+
+
+def test_shared_folder(spark):
+    from carrel import session
+
+    assert session.shared_folder(spark)
+
+    class Elsewhere:
+        conf = {}
+        sparkContext = type("C", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(Elsewhere)
+    Elsewhere.conf = {"spark.checkpoint.dir": "hdfs://shared"}
+    assert session.shared_folder(Elsewhere) == "hdfs://shared"
